@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, toxicity
+from . import minhash, packing, toxicity
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its near-duplicates) of every document."""
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -25,6 +30,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, toxicity
+from . import minhash, packing, pii, toxicity
 from .common import table
 
 
@@ -28,9 +28,16 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of base spans by kind, their digest, and all spans of every document."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {}

@@ -35,14 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, as a compressed Parquet table in the shared folder; for wide intermediates that are read several times."""
+    """Computes df once, as a Parquet table in the shared folder, which cuts its lineage and survives lost executors.
+
+    Unlike checkpoint() it leaves no constraints of the old plan behind, which grow with every turn of a loop."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -10,9 +10,10 @@ it; points that come later than the last register's first arrival are never draw
 Jaccard similarity as their chance. 24 bands of 5 registers make a pair of similarity 0.8 a candidate with a chance of
 0.9999.
 
-Texts with equal word sequences are one node (their smallest doc_id). Within each bucket a pivot is verified against
-all other members; pivots go on, in growing numbers a round, until no two members of different components are left
-untested, so no candidate pair is lost and a bucket of texts that resemble one another costs a pair for each member.
+Texts with equal word sequences are one node (their smallest doc_id). Within each bucket a pivot is first verified
+against all other members, which joins most of what belongs together at the cost of a pair for each member. Members
+of a bucket that are still in different components are then compared in blocks of bounded size, and each block returns
+only links that join components: no candidate pair stays untested, and the rows made grow with the members.
 
 Defined cases: null, empty and wordless texts are classes of their own; repeated rows are returned each, in one class;
 a text with a null doc_id joins its class, which is null if no doc_id of the class is known. Other columns play no part.
@@ -27,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, rolling, spans_of, stored, uniform, word_hashes
+from .common import bounded_broadcast, mix64, rolling, spans_of, stored, uniform, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Members of a pivot that one verification group holds.
 MEMBERS_A_GROUP = 256
+#: Leftovers and members of a bucket that one block holds.
+LEFT_BLOCK, RIGHT_BLOCK = 512, 2_048
 U64 = np.uint64
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 ID_BITS = 44
@@ -127,20 +130,99 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((gx / (below + above / ratio)).sum())
 
 
+class Shingled:
+    """The weighted shingles of a list of texts."""
+
+    def __init__(self, texts: list[str]) -> None:
+        ids, counts, sizes = [], [], []
+        for i, j in spans_of([len(t) for t in texts]):
+            a, b, offsets = shingles(*words_of(texts[i:j]))
+            ids.append(a)
+            counts.append(b)
+            sizes.append(np.diff(offsets))
+        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+        self.at = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        self.plain = np.ones(len(texts), bool)
+        self.plain[np.repeat(np.arange(len(texts)), np.diff(self.at))[self.counts > 1]] = False
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids[self.at[i] : self.at[i + 1]], self.counts[self.at[i] : self.at[i + 1]]
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others are linked to i."""
+        own, _ = self.of(i)
+        size = self.at[others + 1] - self.at[others]
+        if not len(own) or not len(others):
+            return np.zeros(len(others), bool)
+        ends = np.cumsum(size)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[others] - ends + size, size)]
+        found = np.concatenate(([0], np.cumsum(own[np.minimum(np.searchsorted(own, ids), len(own) - 1)] == ids)))
+        common = found[ends] - found[ends - size]
+        plain = self.plain[others] & self.plain[i]
+        out = plain & (common / (len(own) + size - common) >= THRESHOLD - 1e-9)
+        for k in np.flatnonzero(~plain & (common > 0)):
+            out[k] = probability_jaccard(self.of(i), self.of(others[k])) >= THRESHOLD - 1e-9
+        return out
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts: dict[str, int] = {}
-        left = [texts.setdefault(t, len(texts)) for t in pdf["text_a"]]
-        right = [texts.setdefault(t, len(texts)) for t in pdf["text_b"]]
-        every: list[tuple[np.ndarray, np.ndarray]] = []
-        names = list(texts)
-        for i, j in spans_of([len(t) for t in names]):
-            ids, counts, offsets = shingles(*words_of(names[i:j]))
-            every += [(ids[p:q], counts[p:q]) for p, q in zip(offsets[:-1], offsets[1:], strict=True)]
-        keep = [probability_jaccard(every[i], every[j]) >= THRESHOLD - 1e-9 for i, j in zip(left, right, strict=True)]
+        numbers: dict[str, int] = {}
+        left = np.array([numbers.setdefault(t, len(numbers)) for t in pdf["text_a"]])
+        right = np.array([numbers.setdefault(t, len(numbers)) for t in pdf["text_b"]])
+        texts, keep = Shingled(list(numbers)), np.zeros(len(pdf), bool)
+        for i in np.unique(left):
+            rows = np.flatnonzero(left == i)
+            keep[rows] = texts.similar(i, right[rows])
         yield pdf.loc[keep, ["a", "b"]]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The batches of a sorted partition, dealt anew so that none ends within a group of equal keys."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = np.logical_and.reduce([pdf[k].to_numpy() == pdf[k].iloc[-1] for k in key])
+        cut_at = len(pdf) - int(last.sum())
+        if cut_at:
+            yield pd.concat([*held, pdf.iloc[:cut_at]], ignore_index=True)
+            held = [pdf.iloc[cut_at:]]
+        elif held and any(held[-1][k].iloc[-1] != pdf[k].iloc[0] for k in key):
+            yield pd.concat(held, ignore_index=True)
+            held = [pdf]
+        else:
+            held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key = ["bucket", "lblock", "rblock"]
+    for pdf in whole_groups(batches, key):
+        numbers: dict[str, int] = {}
+        text_of = np.array([numbers.setdefault(t, len(numbers)) for t in pdf["text"]])
+        texts = Shingled(list(numbers))
+        ids, comps = pdf["id"].to_numpy(), pdf["comp"].to_numpy().copy()
+        bands, order = np.stack(pdf["bands"].to_numpy()), pdf["band"].to_numpy()
+        left, rest = pdf["left"].to_numpy(), pdf["rest"].to_numpy()
+        edges = np.flatnonzero(np.logical_or.reduce([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in key])) + 1
+        out = []
+        for lo, hi in zip([0, *edges], [*edges, len(pdf)], strict=True):
+            right = np.flatnonzero(~left[lo:hi]) + lo
+            for x in np.flatnonzero(left[lo:hi]) + lo:
+                # of two leftovers the smaller id is the left one; pairs that met in an earlier band were tested there
+                to = right[(comps[right] != comps[x]) & (~rest[right] | (ids[right] > ids[x]))]
+                to = to[~(bands[to, : order[x]] == bands[x, : order[x]]).any(axis=1)]
+                to = to[texts.similar(text_of[x], text_of[to])]
+                if len(to):
+                    _, first = np.unique(comps[to], return_index=True)  # one link to each other component
+                    out += [(ids[x], ids[y]) for y in to[first]]
+                    group = comps[lo:hi]
+                    group[np.isin(group, comps[to])] = comps[x]
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough. texts: id, text.
 
@@ -152,18 +234,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return wide.join(pivots, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long")
 
 
+def across_components(members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket in different components, enough of them to join what they link.
+
+    members: bucket, band, id, without the pivots, which have been tested against their whole buckets. In a bucket all
+    members outside its largest component are leftovers; blocks of them meet blocks of all members."""
+    at = members.join(comps, "id")
+    sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
+    blocks = sizes.select("bucket", F.col("top.comp").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / LEFT_BLOCK).cast("int").alias("lblocks"), F.ceil(F.col("n") / RIGHT_BLOCK).cast("int").alias("rblocks"))
+    at = at.join(blocks, "bucket").withColumn("rest", F.col("comp") != F.col("main"))
+    lblock, rblock = F.pmod(F.xxhash64("id"), F.col("lblocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rblocks")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["bucket", "band", "id", "comp", "rest"]
+    left = at.where("rest").select(*own, F.lit(True).alias("left"), lblock.alias("lblock"), all_of("rblocks").alias("rblock"))
+    right = at.select(*own, F.lit(False).alias("left"), rblock.alias("rblock"), all_of("lblocks").alias("lblock"))
+    rows = left.unionByName(right).join(texts, "id")
+    return rows.repartition("bucket", "lblock", "rblock").sortWithinPartitions("bucket", "lblock", "rblock").mapInPandas(_block_links, "a long, b long")
+
+
 def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps (id, comp) after joining the components of each link (a, b), by contracting edges to random minima."""
+    """comps (id, comp) after joining the components of each link (a, b), by contracting edges to the smallest neighbours."""
     at = comps.select(F.col("id").alias("a"), F.col("comp").alias("u")), comps.select(F.col("id").alias("b"), F.col("comp").alias("v"))
-    edges = cut(links.join(at[0], "a").join(at[1], "b").where("u <> v").select("u", "v").distinct())
+    edges = stored(links.join(at[0], "a").join(at[1], "b").where("u <> v").select("u", "v").distinct())
     turn = 0
     while not edges.isEmpty():
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("x"))
-        to = cut(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(rank("u"), F.col("m"))["x"].alias("to")))
-        comps = cut(comps.join(to.withColumnRenamed("u", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
-        edges = cut(edges.join(to, "u").select(F.col("to").alias("p"), "v").join(to.select(F.col("u").alias("v"), "to"), "v").select(F.col("p").alias("u"), F.col("to").alias("v")).where("u <> v").distinct())
+        # in turn the smallest id, which folds a pivot's star at once, and the smallest random rank, which no chain of ids can slow
+        rank = lambda c, turn=turn: F.struct((F.col(c) if turn % 2 else F.xxhash64(c, F.lit(turn))).alias("h"), F.col(c).alias("x"))
+        to = stored(both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(rank("u"), F.col("m"))["x"].alias("to")))
+        comps = stored(comps.join(to.withColumnRenamed("u", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+        edges = stored(edges.join(to, "u").select(F.col("to").alias("p"), "v").join(to.select(F.col("u").alias("v"), "to"), "v").select(F.col("p").alias("u"), F.col("to").alias("v")).where("u <> v").distinct())
     return comps
 
 
@@ -172,31 +273,17 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(docs.mapInPandas(_signed, "doc_id long, k1 long, k2 long, n long, bands array<long>"))
     worded = signed.where("n > 0 and doc_id is not null")
-    nodes = cut(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("id"), "x.bands"))
-    entries = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket", "lo")
-    members = cut(entries.join(shared, "bucket"))
-    comps = cut(members.select("id").distinct().withColumn("comp", F.col("id")))
-    texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id")
-    pivots = cut(members.select("bucket", "lo").distinct().withColumnRenamed("lo", "id"))
-    members = members.drop("lo")
-    used, tested, turn, each = pivots, None, 0, 1
-    while True:
-        turn, each = turn + 1, each * 4
-        known = members.join(comps, "id")
-        pairs = known.join(pivots.join(comps, "id").select("bucket", F.col("id").alias("p"), F.col("comp").alias("q")), "bucket").where("comp <> q")
-        pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            comps = contract(comps, cut(verified(pairs, texts.join(comps.select("id"), "id", "left_semi"))))
-        left = members.join(used, ["bucket", "id"], "left_anti").join(comps, "id")
-        open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        left = left.join(open_, "bucket").withColumn("slot", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(each)))
-        pivots = cut(left.groupBy("bucket", "slot").agg(F.min("id").alias("id")).select("bucket", "id"))
-        if pivots.isEmpty():
-            break
-        used = used.unionByName(pivots)
+    nodes = stored(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("id"), "x.bands"))
+    entries = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("hi")).where("pivot < hi").select("bucket", "pivot")
+    members = stored(entries.join(shared, "bucket"))
+    ids = members.select("id").distinct()
+    comps = stored(ids.withColumn("comp", F.col("id")))
+    texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(bounded_broadcast(comps.select("id")), "id")
+    texts = stored(texts.join(nodes.select("id", "bands"), "id"))
+    stars = stored(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    comps = contract(comps, stored(verified(stars, texts.select("id", "text"))))
+    comps = contract(comps, stored(across_components(members.where("id <> pivot").drop("pivot"), comps, texts)))
     names = comps.groupBy("comp").agg(F.min("id").alias("class_id"))
     named = nodes.select("k1", "k2", "id").join(comps.join(names, "comp").select("id", "class_id"), "id", "left").select("k1", "k2", F.coalesce("class_id", "id").alias("class_id"))
     out = signed.select("doc_id", "k1", "k2", "n").join(named, ["k1", "k2"], "left")

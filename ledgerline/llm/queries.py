@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pii, toxicity
+from . import minhash, mixing, packing, pii, substrings, toxicity
 from .common import table
 
 
@@ -28,6 +28,17 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    out = substrings.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, domain, lang, source, tokens, copies of every document that the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of base spans by kind, their digest, and all spans of every document."""
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,6 +49,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_pii": op9_pii,
+    "op10_mixing": op10_mixing,
+}
+SUBSTRINGS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS r FROM p),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM o WHERE r > 1),
+g AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, j: NOT list_contains(gone, j)), ' ') END) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": SUBSTRINGS_SQL,
+    "op10_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}

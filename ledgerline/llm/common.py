@@ -79,16 +79,17 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def word_hashes(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and 64-bit hashes of the words in data, split at the bytes that `separators` (256 booleans) marks.
+def word_hashes(data: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and 64-bit hashes of the words in data: runs of bytes of one class in `classes` (256 numbers) that isn't 0.
 
     A word's hash is a polynomial over its bytes, finalized by mix64; it depends on the word alone."""
     b = np.frombuffer(data, dtype=np.uint8)
-    inside = ~separators[b]
-    if not inside.any():
+    kind = classes[b]
+    if not kind.any():
         return np.empty(0, np.int64), np.empty(0, U64)
-    first = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-    last = np.flatnonzero(inside & ~np.concatenate((inside[1:], [False])))
+    change = np.concatenate(([True], kind[1:] != kind[:-1], [True]))
+    first = np.flatnonzero(change[:-1] & (kind > 0))
+    last = np.flatnonzero(change[1:] & (kind > 0))
     size = last - first + 1
     where = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
     at = where - np.repeat(first, size)

@@ -37,7 +37,7 @@ MEMBERS_A_GROUP = 256
 #: Leftovers and members of a bucket that one block holds.
 LEFT_BLOCK, RIGHT_BLOCK = 512, 2_048
 U64 = np.uint64
-SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+IN_WORDS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)], np.uint8)
 ID_BITS = 44
 
 
@@ -45,7 +45,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the numbers of words before each text (and in all)."""
     parts = [t.lower().encode("utf-8", "replace") for t in texts]
     starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
-    first, h = word_hashes(b"\n".join(parts), SEPARATORS)
+    first, h = word_hashes(b"\n".join(parts), IN_WORDS)
     return h, np.searchsorted(first, starts)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pii, substrings, toxicity
+from . import licenses, minhash, mixing, packing, pii, quality, substrings, toxicity
 from .common import table
 
 
@@ -39,6 +39,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, digest, n_matches, licenses of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, log_weight, key of the sampled documents."""
+    return quality.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of base spans by kind, their digest, and all spans of every document."""
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_quality_resampling": op8_quality_resampling,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
@@ -65,5 +77,6 @@ FROM w LEFT JOIN g USING (doc_id)
 """
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": SUBSTRINGS_SQL,
+    "op7_license_scan": licenses.oracle(),
     "op10_mixing": mixing.ORACLE,
 }

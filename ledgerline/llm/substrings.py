@@ -37,7 +37,7 @@ WINDOW, GRAM = 20, 5
 #: Windows of a segment at most; segments of a minimizer above which its windows are dealt singly; words of a shard.
 LONGEST, HOT, SHARD_WORDS = 64, 2_000, 400_000
 U64 = np.uint64
-BLANK = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+IN_WORDS = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)], np.uint8)
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -45,7 +45,7 @@ BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the numbers of words before each text (and in all)."""
     parts = [t.encode("utf-8", "replace") for t in texts]
-    first, h = word_hashes(b"\n".join(parts), BLANK)
+    first, h = word_hashes(b"\n".join(parts), IN_WORDS)
     return h, np.searchsorted(first, np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, pii, quality, substrings, toxicity
+from . import licenses, minhash, mixing, packing, pii, quality, substrings, topk, toxicity
 from .common import table
 
 
@@ -18,6 +18,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 largest inner products of each vector whose id is divisible by 20."""
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,6 +63,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_topk_search": op2_topk_search,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
@@ -76,6 +83,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
 FROM w LEFT JOIN g USING (doc_id)
 """
 ORACLES: dict[str, str] = {
+    "op2_topk_search": topk.ORACLE,
     "op5_substring_dedup": SUBSTRINGS_SQL,
     "op7_license_scan": licenses.oracle(),
     "op10_mixing": mixing.ORACLE,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, packing, pii, quality, substrings, topk, toxicity
+from . import licenses, minhash, mixing, nndescent, packing, pii, quality, substrings, topk, toxicity
 from .common import table
 
 
@@ -45,6 +45,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text")
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 nearest vectors found for each vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nndescent.Index(vectors).search(vectors.where("vec_id % 100 = 0"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, digest, n_matches, licenses of every document."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_nn_descent": op6_nn_descent,
     "op7_license_scan": op7_license_scan,
     "op8_quality_resampling": op8_quality_resampling,
     "op9_pii": op9_pii,

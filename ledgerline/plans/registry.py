@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import statement_queries
+from . import rule_queries, statement_queries  # noqa: F401
 
 QUERIES = {**statement_queries.Q}
 ORACLES = {**statement_queries.O}

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 K, LEVELS = 20, (1, 4, 16)
 QUERY_BLOCK, CANDIDATE_BLOCK, STRIPE = 2_048, 4_096, 32
+#: Share of survivors above which their products are computed as a matrix.
+DENSE = 0.01
 BLOCK = "n int, kind string, ids binary, vectors binary"
 
 
@@ -64,7 +66,7 @@ def _unpacked(n: int, kind: str, ids: bytes, vectors: bytes) -> tuple[np.ndarray
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of the segments, times the root of their lengths; products of rows bound inner products."""
     parts = np.array_split(x.astype(np.float64), min(segments, x.shape[1]), axis=1)
-    return np.column_stack([f(p, axis=1) * np.sqrt(p.shape[1]) for p in parts for f in (np.mean, np.std)])
+    return np.column_stack([f(p, axis=1) * np.sqrt(p.shape[1]) for p in parts for f in (np.mean, np.std)]).astype(np.float32)
 
 
 def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,8 +81,8 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
     for level in LEVELS:
         sq, sc = statistics(q, level), statistics(c[columns], level)
         bound = sq @ sc.T
-        bound += 1e-9 * (np.abs(sq).max() * np.abs(sc).max() * sq.shape[1] + 1)
-        if level == LEVELS[0] and len(columns) > k:  # floors from the candidates that look best at the coarsest level
+        bound += 1e-5 * (np.abs(sq).max() * np.abs(sc).max() * sq.shape[1] + 1)
+        if level == LEVELS[0] and len(columns) > k and not np.isfinite(floor).all():  # floors from the candidates that look best at the coarsest level
             first = np.argpartition(-bound, k, axis=1)[:, : k + 1]
             seen = np.stack([product(np.arange(len(q)), first[:, t]) for t in range(k + 1)], axis=1).astype(np.float64)
             seen[c_ids[first] == q_ids[:, None]] = -np.inf
@@ -88,6 +90,10 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
         alive = bound >= floor[:, None]
         some = alive.any(axis=0)
         columns, alive = columns[some], alive[:, some]
+    if not exact and alive.mean() > DENSE and len(columns) > k:  # many survivors: one product of matrices is cheaper than pairs
+        scores = np.where(alive, q @ c[columns].T, -np.inf)
+        scores[q_ids[:, None] == c_ids[columns][None]] = -np.inf
+        alive = (scores >= np.maximum(np.partition(scores, -k, axis=1)[:, -k], floor)[:, None]) & (scores > -np.inf)
     i, j = np.nonzero(alive)
     j = columns[j]
     other = q_ids[i] != c_ids[j]

@@ -156,7 +156,7 @@ def clean_page(x: Column) -> Column:
 
 def dense_sentences(x: Column) -> Column:
     """K-6: a paragraph of 220 characters or more as its sentences."""
-    parts = F.filter(F.transform(F.split(x, r"(?<=[。！？；.!?])\s*"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(x, r"(?<=[。！？；.!?])\s*"), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.length(x) >= 220, parts).otherwise(F.array(x))
 
 

@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import stored
 from .topk import usable
 
-K, DEGREE, REVERSE, BEAM, BLOCK = 10, 32, 64, 300, 256
-TURNS, CHANGE, SEED = 6, 0.002, 5
+K, DEGREE, REVERSE, BEAM, BLOCK = 10, 24, 48, 256, 256
+TURNS, CHANGE, SEED = 6, 0.008, 5
 #: Neighbouring cells that a node is shown to at the start.
 PROBES = 8
+#: In a turn of NN-descent: reverse neighbours of a node, and how many of each neighbour's nearest are met.
+BACK, NEAREST = 12, 4
 STEPS = 60
 
 
@@ -63,6 +65,8 @@ def nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, d
         d, i = np.concatenate((held_d, d), axis=1), np.concatenate((held_i, np.broadcast_to(o, d.shape)), axis=1)
         at = np.argpartition(d, degree - 1, axis=1)[:, :degree]
         held_d, held_i = np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1)
+    order = np.argsort(held_d, axis=1)
+    held_d, held_i = np.take_along_axis(held_d, order, 1), np.take_along_axis(held_i, order, 1)
     ok = np.isfinite(held_d)
     return [i[o] for i, o in zip(held_i, ok, strict=True)], float(np.sqrt(held_d[ok]).sum())
 
@@ -133,9 +137,8 @@ class Index:
         graph = self._measure(first.join(cells, "cell").select("block", "other", "small"))
         last = graph.agg(F.sum("total")).first()[0] or 0.0
         for turn in range(TURNS):
-            edges = stored(self._edges(graph, self.degree))
-            near = edges.join(at, "node").select("block", "other").distinct()
-            far = near.select("block", F.col("other").alias("node")).join(edges, "node").select("block", "other")
+            near = stored(self._edges(graph, BACK).join(at, "node").select("block", "other").distinct())
+            far = near.select("block", F.col("other").alias("node")).join(graph.select("node", F.explode(F.slice("neighbours", 1, NEAREST)).alias("other")), "node").select("block", "other")
             wanted = near.unionByName(far).distinct().join(self.nodes.select(F.col("node").alias("other"), "small"), "other")
             graph = self._measure(wanted)
             now = graph.agg(F.sum("total"), F.sum(F.size("neighbours"))).first()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cells as C
+from ..operators import evidence as E
 from ..operators import retrieval as K
 from ..sources import tables as A
 from .statement_queries import ORACLE_BASE, REV, sheets
@@ -141,3 +142,45 @@ _on("c17_c18_grid_choice", "lineitem", lambda x: C.kept_grids(C.grid_quality(x.s
 _on("c21_page_lines", "documents", lambda d: C.page_lines(d).select("doc_id", "row_idx", F.size("cells").alias("n_cells")), "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INT - 1 AS row_idx FROM l) SELECT doc_id, row_idx, (1 + least(len(regexp_extract_all(line, '[-+]?\\(?[0-9][0-9,]*(?:\\.[0-9]+)?\\)?%?')), 5))::INT AS n_cells FROM u WHERE length(trim(line, ' ')) >= 4")
 Q["a2_a17_curation"] = lambda spark, d: A.curation_summary(A.parse_coded_names(sheets(spark, d)["income"].select(F.concat(F.when(F.col("report_year") % 2 == 0, F.col("stock_code")).otherwise(F.lit("x")), F.lit("_19980331_"), F.col("report_period"), F.lit(".pdf")).alias("name"))))
 O["a2_a17_curation"] = f"WITH {ORACLE_BASE}, n AS (SELECT CASE WHEN report_year % 2 = 0 THEN stock_code ELSE 'x' END || '_19980331_' || report_period || '.pdf' AS name, report_year % 2 = 0 AS parsed FROM income) SELECT count(*) FILTER (WHERE parsed) AS parsed, count(*) FILTER (WHERE NOT parsed) AS unparsed, (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM (SELECT name FROM n WHERE NOT parsed ORDER BY name LIMIT 20)) AS examples FROM n"
+
+
+def _sheets(name: str, f: Callable[[dict[str, DataFrame]], DataFrame], sql: str) -> None:
+    Q[name] = lambda spark, d: f(sheets(spark, d))
+    O[name] = f"WITH {ORACLE_BASE} {sql}"
+
+
+_K3 = "stock_code, report_period, report_year"
+_sheets("d6_enriched_kpi", lambda s: E.enriched_kpi(s["kpi"], s["income"], s["balance"], s["cash"]).select(*_K3.split(", "), "gross_profit_margin", "net_profit_margin", "roe", "operating_cf_per_share"), f""", x AS (SELECT {_K3}, k.gross_profit_margin AS g, k.net_profit_margin AS m, k.roe, k.operating_cf_per_share AS o, (i.{REV} - i.operating_expense_cost_of_sales) * 100 / nullif(i.{REV}, 0) AS ng, i.net_profit * 100 / nullif(i.{REV}, 0) AS nm,
+ CASE WHEN i.net_profit * 10000 / nullif(k.eps, 0) BETWEEN 1e6 AND 1e12 THEN c.operating_cf_net_amount * 10000 / (i.net_profit * 10000 / nullif(k.eps, 0)) END AS no
+ FROM kpi k LEFT JOIN income i USING ({_K3}) LEFT JOIN balance b USING ({_K3}) LEFT JOIN cash c USING ({_K3}))
+SELECT {_K3}, CASE WHEN ng IS NOT NULL AND (g IS NULL OR abs(g - ng) > 20) THEN ng ELSE g END AS gross_profit_margin, CASE WHEN nm IS NOT NULL AND (m IS NULL OR abs(m - nm) > 20) THEN nm ELSE m END AS net_profit_margin, roe, CASE WHEN no IS NOT NULL AND (o IS NULL OR abs(o - no) > greatest(0.2, abs(no) * 0.8)) THEN no ELSE o END AS operating_cf_per_share FROM x""")
+_sheets("c10b_record_fill", lambda s: E.record_fill(s["balance"]).select(*_K3.split(", "), "equity_total_equity", "asset_liability_ratio"), f"SELECT {_K3}, coalesce(equity_total_equity, asset_total_assets - liability_total_liabilities) AS equity_total_equity, liability_total_liabilities * 100 / nullif(asset_total_assets, 0) AS asset_liability_ratio FROM balance")
+_sheets("r25_r26_return_prechecks", lambda s: E.return_prechecks(s["kpi"].withColumns({"roe": F.col("roe") * 3 + 5, "net_asset_per_share": F.col("net_asset_per_share") * 200}), s["income"], s["balance"]), f""", x AS (SELECT {_K3}, k.roe * 3 + 5 AS roe, k.net_asset_per_share * 200 AS nav, i.net_profit * 100 / nullif(b.equity_total_equity, 0) AS d, CASE WHEN i.net_profit * 10000 / nullif(k.eps, 0) BETWEEN 1e6 AND 1e12 THEN b.equity_total_equity * 10000 / (i.net_profit * 10000 / nullif(k.eps, 0)) END AS n FROM kpi k JOIN income i USING ({_K3}) JOIN balance b USING ({_K3})),
+g AS (SELECT * FROM x WHERE coalesce(abs(d) <= 100, true)) SELECT {_K3}, 'roe_precheck' AS rule FROM g WHERE report_period LIKE '%FY' AND abs(roe - d) > greatest(8, abs(d) * 0.8) UNION ALL SELECT {_K3}, 'net_asset_per_share_precheck' FROM g WHERE abs(nav - n) > greatest(2, abs(n) * 0.8)""")
+_sheets("b29_snapped", lambda s: E.snapped(s["cash"].select(*_K3.split(", "), "net_cash_flow"), ["net_cash_flow"]), f"SELECT {_K3}, CASE WHEN abs(net_cash_flow) <= 1e-3 THEN 0 ELSE net_cash_flow END AS net_cash_flow FROM cash")
+_sheets("c19_page_grids", lambda s: E.only_without_long_grids(s["income"].select(F.col("stock_code").alias("source_name"), F.col("report_period").alias("table_name")), s["cash"].where("net_cash_flow > 0").select(F.col("stock_code").alias("source_name"), F.col("report_period").alias("table_name"))), "SELECT stock_code AS source_name, report_period AS table_name FROM income i WHERE NOT EXISTS (SELECT 1 FROM cash c WHERE c.stock_code = i.stock_code AND c.report_period = i.report_period AND net_cash_flow > 0)")
+_on("k2_k3_body_pages", "documents", lambda d: E.body_pages(d, ["the ", " der ", " que "]).select("doc_id", F.md5(E.without_noise(F.col("text"), ["[%]{3}", "[*]{3}"]).cast("binary")).alias("clean")), "SELECT doc_id, md5(regexp_replace(text, '[%]{3}|[*]{3}', '', 'g')) AS clean FROM documents WHERE contains(text, 'the ')::INT + contains(text, ' der ')::INT + contains(text, ' que ')::INT < 2")
+_on("k5_headings", "documents", lambda d: E.with_headings(d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")), "doc_id", "n", F.length("line") < 40).select("doc_id", "n", "section"), "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INT - 1 AS n FROM l) SELECT doc_id, n, last_value(CASE WHEN length(line) < 40 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM u")
+_on("k11_captions", "pages", lambda p: p.select("page_id", F.array_join(E.captions(F.col("html"), "href=\"/[A-Za-z]+"), ",").alias("labels")), "WITH t AS (SELECT page_id, regexp_extract_all(html, 'href=\"/[A-Za-z]+') AS w FROM pages), u AS (SELECT page_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), m AS (SELECT page_id, x, min(i) AS i FROM u GROUP BY ALL) SELECT page_id, coalesce((SELECT string_agg(x, ',' ORDER BY i) FROM m WHERE m.page_id = t.page_id), '') AS labels FROM t")
+_on("k24_cut_hits", "embeddings", lambda e: E.cut_hits(_hits(e).drop("rank"), "label", 4, 0.05).select("query_id", "vec_id", "label", "place", "clear"), _sqlhits + ", o AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r1 FROM r QUALIFY r1 = 1) SELECT query_id, vec_id, label, row_number() OVER w::INT AS place, score - coalesce(lead(score) OVER w, 0) >= 0.05 AS clear FROM o WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY place <= 4".replace("row_number() OVER w::INT AS place", "(row_number() OVER w)::INT AS place"))
+_on("k25_reranked", "embeddings", lambda e: E.reranked(_hits(e), _hits(e).where("label % 2 = 1").select("query_id", "vec_id", (F.col("vec_id") % 17).alias("outside"))).select("query_id", "vec_id", "place"), _sqlhits + " SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN label % 2 = 1 THEN vec_id % 17 END DESC NULLS LAST, score DESC, vec_id))::INT AS place FROM r")
+_on("k28_reference_rows", "embeddings", lambda e: E.reference_rows(_hits(e).select("query_id", "vec_id", F.col("rank").alias("place"), (F.col("label") == 9).alias("image"))).select("query_id", "vec_id", "place"), _sqlhits + ", x AS (SELECT query_id, vec_id, rank AS place, label = 9 AS image, max(CASE WHEN rank <= 5 THEN (label = 9)::INT END) OVER (PARTITION BY query_id) AS a, min(CASE WHEN rank > 5 AND label = 9 THEN rank END) OVER (PARTITION BY query_id) AS s FROM r WHERE rank <= 20) SELECT query_id, vec_id, place FROM x WHERE CASE WHEN a = 0 AND s IS NOT NULL THEN place < 5 OR place = s ELSE place <= 5 END")
+_on("k31_fusion_rows", "embeddings", lambda e: E.fusion_rows(e.where("vec_id < 7").select(F.col("vec_id").alias("query_id")), _hits(e).withColumnRenamed("rank", "place")), _sqlhits + " SELECT q.vec_id AS query_id, count(r.vec_id) AS n_hits, coalesce(string_agg(CASE WHEN rank <= 3 THEN r.vec_id::VARCHAR END, ',' ORDER BY rank), '') AS preview FROM (SELECT vec_id FROM embeddings WHERE vec_id < 7) q LEFT JOIN r ON r.query_id = q.vec_id GROUP BY 1")
+_kinds = lambda d: d.select("doc_id", "source", F.when(F.length("text") > 500, "body").otherwise("short").alias("kind"))
+_sqlkinds = "WITH k AS (SELECT doc_id, source, CASE WHEN length(text) > 500 THEN 'body' ELSE 'short' END AS kind FROM documents)"
+_on("e14_corpus_statistics", "documents", lambda d: E.corpus_statistics(_kinds(d)), _sqlkinds + " SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, count(DISTINCT CASE WHEN kind = 'body' THEN doc_id END) AS n_body FROM k GROUP BY 1")
+_on("e15_sample_chunks", "documents", lambda d: E.sample_chunks(_kinds(d)), _sqlkinds + " SELECT source, kind, min(doc_id) AS doc_id FROM k GROUP BY ALL ORDER BY 1, 2 LIMIT 6")
+_on("c14_c16_page_ranges", "conversations", lambda c: E.page_ranges(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.length("text").alias("n")), F.col("n") > 200, F.col("n") < 120), "WITH p AS (SELECT conv_id AS doc_id, turn AS page, length(text) AS n FROM conversations), x AS (SELECT *, least(coalesce(min(CASE WHEN n < 120 THEN page - 1 END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), page + 3), page + 3) AS e FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page - e, page) AS r FROM x WHERE n > 200) SELECT doc_id, page AS first, e AS last FROM s WHERE r = 1")
+Q["l3_l7_topics_charts"] = lambda spark, d: questions(spark, d).select("question_id", E.topics(F.col("text"), ["净利润", "营业总收入", "公司"]).alias("topics"), E.chart_type(F.col("text"), {"前十": "bar", "公司": "table", "多少": "value"}).alias("chart"))
+O["l3_l7_topics_charts"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 0 THEN '营业总收入' WHEN 1 THEN '净利润,公司' ELSE '营业总收入,公司' END AS topics, CASE t WHEN 0 THEN 'value' ELSE 'table' END AS chart FROM qs"
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    q = questions(spark, d)
+    return E.retrieval_plan(K.slots(q).join(K.companies(q, sheets(spark, d)["income"].select("stock_code", "stock_abbr").distinct()), "question_id", "left"))
+
+
+Q["l11_retrieval_plan"] = _plan
+O["l11_retrieval_plan"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 0 THEN 'stock' ELSE 'industry' END AS scope, CASE t WHEN 0 THEN 'sql' ELSE 'hybrid' END AS mode, CASE t WHEN 1 THEN 10 ELSE 5 END AS top_k FROM qs"
+Q["l12_metric_columns"] = lambda spark, d: E.metric_columns(K.metrics(questions(spark, d), {"营业总收入": "revenue", "净利润": "profit"}), spark.createDataFrame([("revenue", "total_operating_revenue")], "metric string, column string"))
+O["l12_metric_columns"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 1 THEN 'profit' ELSE 'revenue' END AS metric, CASE t WHEN 1 THEN NULL ELSE 'total_operating_revenue' END AS column, t <> 1 AS supported FROM qs"

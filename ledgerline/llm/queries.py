@@ -84,10 +84,9 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20),
 o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS r FROM p),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM o WHERE r > 1),
-g AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-    sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, j: NOT list_contains(gone, j)), ' ') END) AS kept_sha256
-FROM w LEFT JOIN g USING (doc_id)
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
 """
 ORACLES: dict[str, str] = {
     "op2_topk_search": topk.ORACLE,

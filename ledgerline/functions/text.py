@@ -170,3 +170,15 @@ def windows(x: Column, size: int, overlap: int) -> Column:
 def terms(x: Column, stop: list[str]) -> Column:
     """K-30: distinct words of two letters or more that are no stop words, in order."""
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z]{2,}"), F.lit(0))), F.array(*[F.lit(s) for s in stop]))
+
+
+def first_line_with(page: Column, words: list[str]) -> Column:
+    """B-27: the first line that holds one of the words."""
+    return F.get(F.filter(F.split(page, "\n"), lambda x: reduce(lambda a, w: a | x.contains(w), words[1:], x.contains(words[0]))), 0)
+
+
+def cover(page: Column, file_name: Column) -> Column:
+    """B-24: year, period, summary flag and code from a cover page, else from the file's name."""
+    from_both = lambda p: F.coalesce(F.nullif(F.regexp_extract(page, p, 1), F.lit("")), F.nullif(F.regexp_extract(file_name, p, 1), F.lit("")))
+    period = F.coalesce(F.nullif(report_period(F.lit(""), page), F.lit("")), F.nullif(report_period(F.lit(""), file_name), F.lit("")))
+    return F.struct(from_both("(20[0-9]{2})年").try_cast("int").alias("year"), period.alias("period"), (page.contains("摘要") | file_name.contains("摘要")).alias("summary"), from_both("([0-9]{6})").alias("code"))

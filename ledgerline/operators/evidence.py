@@ -174,3 +174,10 @@ def page_ranges(pages: DataFrame, start: Column, stop: Column, span: int = 4) ->
     x = pages.withColumn("end", F.least(F.coalesce(F.min(F.when(stop, F.col("page") - 1)).over(ahead), F.col("page") + span - 1), F.col("page") + span - 1)).where(start)
     best = F.struct((F.col("page") - F.col("end")).alias("l"), F.col("page").alias("p"))
     return x.groupBy("doc_id").agg(F.min_by(F.struct(F.col("page").alias("first"), F.col("end").alias("last")), best).alias("x")).select("doc_id", "x.*")
+
+
+def relaxed_cash_gap() -> Column:
+    """R-27: the cash flow issue of R-22, but not for a net flow of about zero."""
+    total = F.col("operating_cf_net_amount") + F.col("investing_cf_net_amount") + F.col("financing_cf_net_amount")
+    net = F.col("net_cash_flow")
+    return (F.abs(net - total) > F.greatest(F.lit(100.0), F.abs(net) * 0.05)) & (F.abs(net) > 1e-3)

@@ -184,3 +184,22 @@ Q["l11_retrieval_plan"] = _plan
 O["l11_retrieval_plan"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 0 THEN 'stock' ELSE 'industry' END AS scope, CASE t WHEN 0 THEN 'sql' ELSE 'hybrid' END AS mode, CASE t WHEN 1 THEN 10 ELSE 5 END AS top_k FROM qs"
 Q["l12_metric_columns"] = lambda spark, d: E.metric_columns(K.metrics(questions(spark, d), {"营业总收入": "revenue", "净利润": "profit"}), spark.createDataFrame([("revenue", "total_operating_revenue")], "metric string, column string"))
 O["l12_metric_columns"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 1 THEN 'profit' ELSE 'revenue' END AS metric, CASE t WHEN 1 THEN NULL ELSE 'total_operating_revenue' END AS column, t <> 1 AS supported FROM qs"
+Q["k19_report_metadata"] = lambda spark, d: E.report_metadata(_table(spark, d, "documents").select(F.col("doc_id").alias("report_id"), "source", F.when(F.col("lang") == "en", F.col("lang")).alias("lang")), ["source", "lang"]).select("report_id", F.col("metadata")["source"].alias("source"), F.size("metadata").alias("n"))
+O["k19_report_metadata"] = "SELECT doc_id AS report_id, source, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS n FROM documents"
+Q["k20_descriptions"] = lambda spark, d: E.described(_table(spark, d, "nation").select(F.col("n_name").alias("field"), F.when(F.col("n_regionkey") == 1, F.lit("given")).alias("description")), _table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_name").alias("field"), F.lit("default").alias("description")))
+O["k20_descriptions"] = "SELECT n_name AS field, coalesce(CASE WHEN n_regionkey = 1 THEN 'given' END, CASE WHEN n_nationkey < 12 THEN 'default' END) AS description FROM nation"
+_on("k23_retried", "embeddings", lambda e: E.retried(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id")), _hits(e).where("query_id < 3 and rank <= 2").select("query_id", "vec_id"), _hits(e).where("rank <= 4").select("query_id", "vec_id")), _sqlhits + " SELECT query_id, vec_id, 1 AS pass FROM r WHERE query_id < 3 AND rank <= 2 UNION ALL SELECT query_id, vec_id, 2 FROM r WHERE query_id >= 3 AND rank <= 4")
+Q["k18_metadata_scores"] = lambda spark, d: K.metadata_scores(
+    _table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("question_id"), F.lit("en").alias("company"), T.terms(F.substring("text", 1, 200), ["de", "la"]).alias("terms")),
+    _table(spark, d, "benchmark").select(F.col("item_id").alias("report_id"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("company"), T.terms(F.col("text"), ["de", "la"]).alias("terms")),
+    5,
+)
+O["k18_metadata_scores"] = "WITH q AS (SELECT DISTINCT item_id AS question_id, unnest(regexp_extract_all(lower(text[1:200]), '[a-z]{2,}')) AS t FROM benchmark WHERE item_id < 20), b AS (SELECT DISTINCT item_id AS report_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM benchmark), h AS (SELECT question_id, report_id, round((report_id % 2 = 0)::INT * 3.0::DOUBLE + count(*) * 0.2::DOUBLE, 6) AS score FROM q JOIN b USING (t) WHERE t NOT IN ('de', 'la') GROUP BY question_id, report_id) SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, report_id))::INT AS rank FROM h QUALIFY rank <= 5"
+Q["k26_best_chunk"] = lambda spark, d: E.best_chunk(
+    _hits(_table(spark, d, "embeddings")).where("rank <= 10").select("query_id", F.col("vec_id").alias("doc_id"), "label"),
+    _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk", "text")).withColumn("kind", F.when(F.col("chunk") % 2 == 0, "body").otherwise("visual")),
+    F.col("label") < 5,
+)
+O["k26_best_chunk"] = _sqlhits + ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1)::INT - 1 AS chunk FROM l), s AS (SELECT query_id, doc_id, chunk, round(CASE WHEN chunk % 2 = 0 THEN 2.0 ELSE 0 END - CASE WHEN length(text) < 80 THEN 1.5 ELSE 0 END + CASE WHEN label < 5 THEN 2.0 ELSE -0.8 END, 6)::DOUBLE AS chunk_score FROM r JOIN c ON c.doc_id = r.vec_id WHERE rank <= 10) SELECT query_id, doc_id, chunk, chunk_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_score DESC, chunk) = 1"
+_on("b24_b27_page_heads", "documents", lambda d: d.select("doc_id", T.first_line_with(F.col("text"), ["License", "token"]).alias("title"), T.file_key(F.concat(F.col("source"), F.lit(" (1).PDF"))).alias("key")), "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, 'License') OR contains(x, 'token'))[1] AS title, source || '1' AS key FROM documents")
+_sheets("r27_relaxed_cash_flow", lambda s: s["cash"].withColumns({c: F.col(c) * 1000 for c, t in s["cash"].dtypes if t == "double"}).where(E.relaxed_cash_gap()).select(*_K3.split(", ")), f"SELECT {_K3} FROM cash WHERE abs(net_cash_flow * 1000 - (operating_cf_net_amount * 1000 + investing_cf_net_amount * 1000 + financing_cf_net_amount * 1000)) > greatest(100, abs(net_cash_flow * 1000) * 0.05) AND abs(net_cash_flow * 1000) > 1e-3")

@@ -202,4 +202,4 @@ Q["k26_best_chunk"] = lambda spark, d: E.best_chunk(
 )
 O["k26_best_chunk"] = _sqlhits + ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1)::INT - 1 AS chunk FROM l), s AS (SELECT query_id, doc_id, chunk, round(CASE WHEN chunk % 2 = 0 THEN 2.0 ELSE 0 END - CASE WHEN length(text) < 80 THEN 1.5 ELSE 0 END + CASE WHEN label < 5 THEN 2.0 ELSE -0.8 END, 6)::DOUBLE AS chunk_score FROM r JOIN c ON c.doc_id = r.vec_id WHERE rank <= 10) SELECT query_id, doc_id, chunk, chunk_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_score DESC, chunk) = 1"
 _on("b24_b27_page_heads", "documents", lambda d: d.select("doc_id", T.first_line_with(F.col("text"), ["License", "token"]).alias("title"), T.file_key(F.concat(F.col("source"), F.lit(" (1).PDF"))).alias("key")), "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, 'License') OR contains(x, 'token'))[1] AS title, source || '1' AS key FROM documents")
-_sheets("r27_relaxed_cash_flow", lambda s: s["cash"].withColumns({c: F.col(c) * 1000 for c, t in s["cash"].dtypes if t == "double"}).where(E.relaxed_cash_gap()).select(*_K3.split(", ")), f"SELECT {_K3} FROM cash WHERE abs(net_cash_flow * 1000 - (operating_cf_net_amount * 1000 + investing_cf_net_amount * 1000 + financing_cf_net_amount * 1000)) > greatest(100, abs(net_cash_flow * 1000) * 0.05) AND abs(net_cash_flow * 1000) > 1e-3")
+_sheets("r27_relaxed_cash_flow", lambda s: s["cash"].withColumns({c: F.coalesce(F.col(c) * 1000, F.lit(0.0)) for c, t in s["cash"].dtypes if t == "double"}).where(E.relaxed_cash_gap()).select(*_K3.split(", ")), f", z AS (SELECT {_K3}, coalesce(net_cash_flow, 0) * 1000 AS n, (coalesce(operating_cf_net_amount, 0) * 1000 + coalesce(investing_cf_net_amount, 0) * 1000 + coalesce(financing_cf_net_amount, 0) * 1000) AS t FROM cash) SELECT {_K3} FROM z WHERE abs(n - t) > greatest(100, abs(n) * 0.05) AND abs(n) > 1e-3")

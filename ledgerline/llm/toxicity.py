@@ -5,13 +5,15 @@ word and its end from up to four letters before. Highest-order counts are each c
 continuation counts, and the order below the lowest is pooled over both classes, so that rare expressions fall
 back to what both share. A text is scored by the models' log-likelihood ratio: over the whole text and over its
 most telling word, both normalised by length as well as summed for that word; a logistic curve, fitted on labelled
-rows that gave no counts, turns these into a score.
+rows left out of the counts, turns these into a score.
 
-Counting is one Spark aggregation over every labelled training text; the models are derived from it by joins. What
-is sent to the tasks is a table of fixed size (`slots` entries of 6 bytes): an n-gram that finds its slot taken by a
-heavier one is scored by its own lower order.
+Counting is one Spark aggregation over every labelled training text. The rows of the logistic curve are measured
+by models without their counts; scores come from the same models. No n-gram predicts across words, so
+each distinct word of the documents is scored once, by joins with the whole count tables of all orders, contexts'
+back-off weights included. The most frequent words (FREQUENT at most) are sent to the tasks; the documents' other words
+meet their scores in a join.
 
-Defined cases: null and empty texts have no words and get the score of a text without evidence; null labels don't
+Defined cases: a letter that no labelled text has counts as if seen once; null and empty texts have no words and get the score of a text without evidence; null labels don't
 count; a doc_id labelled twice is toxic if any of its labels is; rows with a null doc_id are scored, never learned
 from; repeated rows are scored each. With no usable labels at all every score is 0. Other columns play no part.
 """
@@ -23,15 +25,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, mix64, spans_of, stored
+from .common import POWERS, bounded_broadcast, mix64, spans_of, stored
 
 ORDER, BITS = 5, 12
-SLOTS = 1 << 21
+#: Words, the most frequent ones, whose scores are sent to the tasks. Others are joined.
+FREQUENT = 1_000_000
 #: Labelled rows, about this many at most (chosen by hash), on which the logistic curve is fitted.
 CALIBRATION_ROWS = 20_000
+CLASSES = [f"c{i}" for i in range(4)]
 U64 = np.uint64
 
 
@@ -53,14 +58,40 @@ def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
     cps = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
     c = _letters()[np.minimum(cps, 65_535)]
+    gram, begins, keep = grams(c)
+    of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    return gram, begins, of[keep]
+
+
+def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 5-grams of letter numbers, which of them begin a word, and which places have one."""
     prev = np.concatenate(([0], c[:-1]))
     gram, shifted = c.copy(), c
     for k in range(1, ORDER):  # letters before the word's start stay 0
         shifted = np.where(shifted > 0, np.concatenate(([0], shifted[:-1])), 0) if k > 1 else np.where(c + prev > 0, prev, 0)
         gram |= shifted << (BITS * k)
     keep = (c > 0) | (prev > 0)
-    of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    return gram[keep], ((c > 0) & (prev == 0))[keep], of[keep]
+    return gram[keep], ((c > 0) & (prev == 0))[keep], keep
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word in the texts: its hash, its number of letters, its text; and all letter numbers and the words' places in them."""
+    none = np.empty(0, np.int64)
+    if not texts:
+        return none, none, none, none, none
+    c = _letters()[np.minimum(np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32), 65_535)]
+    inside = np.concatenate(([False], c > 0, [False]))
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    first, size = change[::2], change[1::2] - change[::2]
+    if not len(first):
+        return none, none, none, c, none
+    where = np.flatnonzero(c > 0)
+    at = where - np.repeat(first, size)
+    with np.errstate(over="ignore"):
+        terms = POWERS[at % len(POWERS)] * (c[where] + 1 + (at // len(POWERS)) * (1 << BITS)).astype(U64)
+        h = mix64(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return h.view(np.int64), size, np.searchsorted(ends, first, side="right"), c, first
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,13 +102,13 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
         keys, at = np.unique(keys, return_inverse=True)
         counts = np.bincount(at, counts).astype(np.int64)
-        return pd.DataFrame({"gram": keys >> 1, "toxic": keys & 1, "n": counts})
+        return pd.DataFrame({"gram": keys >> 2, "mark": keys & 3, "n": counts})
 
     for pdf in batches:
-        texts, marks = pdf["text"].fillna("").tolist(), pdf["toxic"].to_numpy(np.int64)
+        texts, marks = pdf["text"].fillna("").tolist(), pdf["mark"].to_numpy(np.int64)
         for i, j in spans_of([len(t) for t in texts]):
             gram, _, of = events(texts[i:j])
-            got = np.unique((gram << 1) | marks[i:j][of], return_counts=True)
+            got = np.unique((gram << 2) | marks[i:j][of], return_counts=True)
             held.append(got)
             size += len(got[0])
             if size > 1_500_000:
@@ -88,81 +119,164 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield merged()
 
 
-def train(labelled: DataFrame, slots: int = SLOTS) -> dict[str, np.ndarray] | None:
-    """The models' log-likelihood ratios. labelled: text and toxic (0 or 1). None if a class has no words.
+def train(labelled: DataFrame) -> tuple[dict[int, DataFrame], tuple[int, ...]] | None:
+    """Counts of all n-grams by order, and how many events each class has. labelled: text, toxic, held (0 or 1).
 
-    The result has `slots` entries at most, whatever the input."""
-    spark = labelled.sparkSession
-    counts = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInPandas(_count_grams, "gram long, toxic long, n long")
-    level = counts.groupBy("gram").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("c1"))
-    levels = {ORDER: stored(level)}
+    Classes: 0 and 1 are ordinary and toxic texts without held rows, 2 and 3 all of them. None if 2 or 3 have no words."""
+    marked = labelled.select("text", (F.col("toxic").cast("long") + 2 * F.col("held").cast("long")).alias("mark"))
+    counts = marked.mapInPandas(_count_grams, "gram long, mark long, n long")
+    of = lambda *marks: F.sum(F.when(F.col("mark").isin(*marks), F.col("n")).otherwise(0))
+    levels = {ORDER: stored(counts.groupBy("gram").agg(of(0).alias("c0"), of(1).alias("c1"), of(0, 2).alias("c2"), of(1, 3).alias("c3")))}
     for k in range(ORDER - 1, 0, -1):
-        of_all = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
-        levels[k] = stored(levels[k + 1].groupBy(of_all.alias("gram")).agg(F.sum((F.col("c0") > 0).cast("long")).alias("c0"), F.sum((F.col("c1") > 0).cast("long")).alias("c1")))
-    total = levels[1].agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1")).first()
-    if not total or not total["t0"] or not total["t1"]:
-        return None
+        levels[k] = stored(levels[k + 1].groupBy(_suffix(k).alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in CLASSES]))
+    total = tuple(v or 0 for v in levels[1].agg(*[F.sum(c) for c in CLASSES]).first())
+    return (levels, total) if total[2] and total[3] else None
+
+
+def _suffix(k: int) -> Column:
+    return F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
 
-    def discounts(df: DataFrame) -> list[float]:
-        row = df.agg(*[F.sum((F.col(f"c{c}") == n).cast("long")).alias(f"n{c}{n}") for c in (0, 1) for n in (1, 2)]).first()
-        return [row[f"n{c}1"] / (row[f"n{c}1"] + 2 * row[f"n{c}2"]) if row[f"n{c}1"] and row[f"n{c}2"] else 0.5 for c in (0, 1)]
 
-    everything = total["t0"] + total["t1"]
+def gram_ratios(grams_: DataFrame, levels: dict[int, DataFrame], total: tuple[int, ...]) -> DataFrame:
+    """gram, r0, r1 of the distinct 5-grams in grams_: the log-likelihood ratio by the models without held rows, and by those of all."""
     lower: DataFrame | None = None
-    out: DataFrame | None = None
     for k in range(1, ORDER + 1):
-        d = discounts(levels[k])
+        level = levels[k]
+        row = level.agg(*[F.sum((F.col(c) == n).cast("long")).alias(f"{c}{n}") for c in CLASSES for n in (1, 2)]).first()
+        d = [row[f"{c}1"] / (row[f"{c}1"] + 2 * row[f"{c}2"]) if row[f"{c}1"] and row[f"{c}2"] else 0.5 for c in CLASSES]
         context = F.shiftright("gram", BITS)
-        sums = levels[k].groupBy(context.alias("context")).agg(*[F.sum(f"c{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum((F.col(f"c{c}") > 0).cast("long")).alias(f"u{c}") for c in (0, 1)])
-        rows = levels[k].withColumn("context", context).join(sums, "context")
-        if lower is None:
-            rows = rows.withColumns({f"q{c}": (F.col("c0") + F.col("c1")) / F.lit(float(everything)) for c in (0, 1)})
+        sums = level.groupBy(context.alias("context")).agg(*[F.sum(c).alias(f"s{c}") for c in CLASSES], *[F.sum((F.col(c) > 0).cast("long")).alias(f"u{c}") for c in CLASSES])
+        rows = grams_.select(_suffix(k).alias("gram")).distinct().join(level, "gram", "left").withColumn("context", context).join(sums, "context", "left")
+        rows = rows.fillna(0, [*CLASSES, *[f"{x}{c}" for x in "su" for c in CLASSES]])
+        if lower is None:  # pooled over both classes, and over all letter numbers
+            rows = rows.withColumns({f"q{c}": (F.col(f"c{c & 2}") + F.col(f"c{c | 1}") + 1) / F.lit(float(total[c & 2] + total[c | 1] + (1 << BITS))) for c in range(4)})
         else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(lower, "suffix")
+            rows = rows.withColumn("suffix", _suffix(k - 1)).join(lower, "suffix")
 
         def p(c: int, d: list[float] = d) -> Column:
             own = F.greatest(F.col(f"c{c}") - F.lit(d[c]), F.lit(0.0))
-            return F.when(F.col(f"s{c}") > 0, (own + F.lit(d[c]) * F.col(f"u{c}") * F.col(f"q{c}")) / F.col(f"s{c}")).otherwise(F.col(f"q{c}"))
-
-        rows = stored(rows.select("gram", (F.col("c0") + F.col("c1")).alias("weight"), *[p(c).alias(f"p{c}") for c in (0, 1)]))
-        lower = rows.select(F.col("gram").alias("suffix"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
-        part = rows.select(F.lit(k).alias("k"), "gram", "weight", F.log(F.col("p1") / F.col("p0")).cast("float").alias("ratio"))
-        out = part if out is None else out.unionByName(part)
-    key = F.xxhash64("k", "gram")
-    best = (
-        out.select(key.bitwiseAND(slots - 1).cast("int").alias("slot"), F.shiftrightunsigned(key, 48).cast("int").alias("mark"), "ratio", F.struct(F.abs("ratio") * F.log1p("weight"), key).alias("by"))
-        .groupBy("slot")
-        .agg(F.max_by(F.struct("mark", "ratio"), "by").alias("x"))
-        .select("slot", "x.mark", "x.ratio")
-    )
-    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    got = best.toPandas()
-    mark, ratio = np.zeros(slots, np.uint16), np.zeros(slots, np.float32)
-    filled = np.zeros(slots, bool)
-    mark[got["slot"]], ratio[got["slot"]], filled[got["slot"]] = got["mark"].to_numpy(np.uint16), got["ratio"], True
-    ratio[~filled] = np.nan
-    return {"mark": mark, "ratio": ratio}
-
-
-def ratios(model: dict[str, np.ndarray], gram: np.ndarray) -> np.ndarray:
-    """Of each 5-gram, by the longest order that has a slot."""
-    out = np.zeros(len(gram), np.float32)
-    left = np.arange(len(gram))
-    slots = len(model["ratio"])
-    for k in range(ORDER, 0, -1):
-        key = xxhash64_int_long(k, gram[left] & ((1 << (BITS * k)) - 1))
-        slot = (key & U64(slots - 1)).astype(np.int64)
-        r = model["ratio"][slot]
-        hit = (model["mark"][slot] == (key >> U64(48)).astype(np.uint16)) & ~np.isnan(r)
-        out[left[hit]] = r[hit]
-        left = left[~hit]
-        if not len(left):
+            return F.when(F.col(f"sc{c}") > 0, (own + F.lit(d[c]) * F.col(f"uc{c}") * F.col(f"q{c}")) / F.col(f"sc{c}")).otherwise(F.col(f"q{c}"))
+
+        if k == ORDER:
+            return stored(rows.select("gram", *[F.log(p(2 * m + 1) / p(2 * m)).cast("float").alias(f"r{m}") for m in (0, 1)]))
+        lower = stored(rows.select(F.col("gram").alias("suffix"), *[p(c).alias(f"q{c}") for c in range(4)]))
+    raise AssertionError
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word (a hash), letters (16 bits each), n of the distinct words met; a word may come several times."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    letters: dict[int, bytes] = {}
+    held = 0
+
+    def merged() -> pa.RecordBatch:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array([letters[x] for x in k.tolist()], pa.binary()), pa.array(n)], ["word", "letters", "n"])
+
+    for batch in batches:
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        for i, j in spans_of([len(t) for t in texts]):
+            h, size, _, c, first = words(texts[i:j])
+            k, at, n = np.unique(h, return_index=True, return_counts=True)
+            small = c.astype(np.int16)
+            for word, a, b in zip(k.tolist(), first[at].tolist(), (first + size)[at].tolist(), strict=True):
+                if word not in letters:
+                    letters[word] = small[a:b].tobytes()
+                    held += 100 + 2 * (b - a)
+            keys.append(k)
+            counts.append(n)
+            held += 16 * len(k)
+            if held > 100_000_000:
+                yield merged()
+                keys, counts, letters, held = [], [], {}, 0
+    if keys:
+        yield merged()
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, gram: each 5-gram of each word."""
+    for batch in batches:
+        letters = batch.column(1).to_pylist()
+        for i, j in spans_of([len(x) // 2 + 1 for x in letters]):
+            c = np.frombuffer(b"".join(x + b"\0\0" for x in letters[i:j]), np.int16).astype(np.int64)
+            of = np.repeat(batch.column(0).to_numpy()[i:j], [len(x) // 2 + 1 for x in letters[i:j]])
+            gram, _, keep = grams(c)
+            yield pa.RecordBatch.from_arrays([pa.array(of[keep]), pa.array(gram)], ["word", "gram"])
+
+
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _word_grams(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(1).to_numpy()))], ["gram"])
+
+
+def word_ratios(docs: DataFrame, levels: dict[int, DataFrame], total: tuple[int, ...]) -> DataFrame:
+    """word, n (occurrences), size (events), r0, r1: the log-likelihood ratios of every distinct word in the texts of docs."""
+    vocabulary = docs.select("text").mapInArrow(_count_words, "word long, letters binary, n long")
+    vocabulary = stored(vocabulary.groupBy("word", "letters").agg(F.sum("n").alias("n")).withColumn("size", F.length("letters") / 2 + 1))
+    spelled = vocabulary.select("word", "letters")
+    ratios = gram_ratios(stored(spelled.mapInArrow(_distinct_grams, "gram long").distinct()), levels, total)
+    scored = spelled.mapInArrow(_word_grams, "word long, gram long").join(bounded_broadcast(ratios), "gram").groupBy("word").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1"))
+    return stored(vocabulary.select("word", "n", "size").join(scored, "word"))
+
+
+def _keys() -> list[Column]:
+    """128 bits that stand for a text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(1), text).alias("kb")]
+
+
+def features(docs: DataFrame, ratios: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """ka, kb (of a distinct text), and by each model (0: without held rows, 1: all) the ratio per event, that of the most telling
+    word, and the largest ratio per event of a word: a0, b0, c0, a1, b1, c1."""
+    spark = docs.sparkSession
+    size = F.floor(F.log2("n")).cast("int")
+    least, held = 64, 0
+    for r in sorted(ratios.groupBy(size.alias("size")).count().collect(), reverse=True):  # 64 rows at most
+        held += r["count"]
+        if held > frequent:
             break
-    return out
+        least = r["size"]
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    top = ratios.where(size >= least).select("word", F.col("r0").cast("float").alias("r0"), F.col("r1").cast("float").alias("r1")).toPandas().sort_values("word")
+    table = spark.sparkContext.broadcast((top["word"].to_numpy(np.int64), top[["r0", "r1"]].to_numpy(np.float32)))
+    parts = ["events", "a0", "a1", "b0", "b1", "c0", "c1"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ratio = table.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for i, j in spans_of([len(t) for t in texts]):
+                h, n, of, _, _ = words(texts[i:j])
+                k, at = np.unique(h, return_inverse=True)
+                place = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
+                hit = known[place] == k if len(known) else np.zeros(len(k), bool)
+                ok = hit[at] if len(k) else np.empty(0, bool)
+                r = ratio[place[at[ok]]].astype(np.float64) if ok.any() else np.empty((0, 2))
+                own, events_ = of[ok], (n + 1)[ok]
+                out = [pa.array(np.bincount(of, n + 1, j - i).astype(np.float64))]
+                out += [pa.array(np.bincount(own, r[:, m], j - i).astype(np.float64)) for m in (0, 1)]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                for by in (np.ones(len(own)), events_):
+                    for m in (0, 1):
+                        most = np.full(j - i, -np.inf)
+                        if len(own):
+                            most[own[first]] = np.maximum.reduceat(r[:, m] / by, first)
+                        out.append(pa.array(most, mask=~np.isfinite(most)))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of[~ok], minlength=j - i))))
+                others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[~ok]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *out, others], ["ka", "kb", *parts, "others"])
+
+    rows = stored(docs.select(*_keys(), "text").mapInArrow(measure, f"ka long, kb long, {', '.join(f'{c} double' for c in parts)}, others array<long>"))
+    joined = rows.select("ka", "kb", F.explode("others").alias("word")).join(ratios.where(size < least), "word")
+    joined = joined.select("ka", "kb", F.lit(0.0).alias("events"), F.col("r0").alias("a0"), F.col("r1").alias("a1"), F.col("r0").alias("b0"), F.col("r1").alias("b1"), (F.col("r0") / F.col("size")).alias("c0"), (F.col("r1") / F.col("size")).alias("c1"))
+    whole = rows.drop("others").unionByName(joined).groupBy("ka", "kb").agg(*[(F.sum if c[0] in "ea" else F.max)(c).alias(c) for c in parts])
+    return whole.select("ka", "kb", *[F.coalesce(F.col(f"a{m}") / F.nullif("events", F.lit(0.0)), F.lit(0.0)).alias(f"a{m}") if x == "a" else F.coalesce(f"{x}{m}", F.lit(0.0)).alias(f"{x}{m}") for m in (0, 1) for x in "abc"])
 
 
 def xxhash64_int_long(k: int, x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(int, long) with its seed 42, over an array."""
+    """Spark's xxhash64(int, long) with its seed 42, over an array. No operator needs it now; its test stays."""
     p1, p2, p3, p4, p5 = (U64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     m = (1 << 64) - 1
     rotl = lambda v, r: ((v << r) | (v >> (64 - r))) & m
@@ -184,25 +298,6 @@ def xxhash64_int_long(k: int, x: np.ndarray) -> np.ndarray:
     return h2
 
 
-def features(model: dict[str, np.ndarray], texts: list[str]) -> np.ndarray:
-    """Of each text: the ratio per event, that of the most telling word, and that word's ratio per event."""
-    out = np.zeros((len(texts), 3))
-    for i, j in spans_of([len(t) for t in texts]):
-        gram, begins, of = events(texts[i:j])
-        if not len(gram):
-            continue
-        r = ratios(model, gram).astype(np.float64)
-        n = np.bincount(of, minlength=j - i)
-        out[i:j, 0] = np.bincount(of, r, j - i) / np.maximum(n, 1)
-        at = np.flatnonzero(begins)
-        words, size = np.add.reduceat(r, at), np.diff(np.append(at, len(r)))
-        first = np.flatnonzero(np.diff(of[at], prepend=-1))
-        having = of[at][first]
-        out[i + having, 1] = np.maximum.reduceat(words, first)
-        out[i + having, 2] = np.maximum.reduceat(words / size, first)
-    return out
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a ridge logistic regression (constant first), by Newton's steps."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -224,43 +319,35 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, slots: int = SLOTS, calibration_rows: int = CALIBRATION_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
-    """Learns from rows whose fold is not 0: folds 2 to 4 give the counts, fold 1 the logistic curve."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    marks = marks.where(fold(F.col("doc_id")) != 0)
-    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(bounded_broadcast(marks), "doc_id")
-    model = train(rows.where(fold(F.col("doc_id")) != 1), slots)
-    if model is None:
-        return None
-    sc = docs.sparkSession.sparkContext
-    held = sc.broadcast(model)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            f = features(held.value, pdf["text"].fillna("").tolist())
-            yield pd.DataFrame({"toxic": pdf["toxic"].astype("int32"), "a": f[:, 0], "b": f[:, 1], "c": f[:, 2]})
+def fold(doc_id: Column) -> Column:
+    """crc32(doc_id as text) mod 5."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
-    sample = rows.where(fold(F.col("doc_id")) == 1)
-    share = min(1.0, calibration_rows / max(1, marks.where(fold(F.col("doc_id")) == 1).count()))
-    sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = sample.select("text", "toxic").mapInPandas(measure, "toxic int, a double, b double, c double").toPandas()
-    return model, fit_curve(got[["a", "b", "c"]].to_numpy(float), got["toxic"].to_numpy(float))
 
+def score(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, frequent: int = FREQUENT) -> DataFrame:
+    """docs with toxic_score (0 to 1) added; any column of that name is replaced.
 
-def score(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """docs with toxic_score (0 to 1) added; any column of that name is replaced."""
-    learned = fit(docs, labels, slots)
+    Learns from rows whose fold is not 0: folds 2 to 4 give the counts. Rows of fold 1, about `calibration_rows` at most (by hash), are those whose
+    measures by models without their counts give the logistic curve."""
     docs = docs.drop("toxic_score")
-    if learned is None:
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    marks = marks.where(fold(F.col("doc_id")) != 0)
+    share = min(1.0, calibration_rows / max(1, marks.where(fold(F.col("doc_id")) == 1).count()))
+    held = (fold(F.col("doc_id")) == 1) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    marks = marks.withColumn("held", held.cast("int")).where((F.col("held") == 1) | (fold(F.col("doc_id")) != 1))
+    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(bounded_broadcast(marks), "doc_id")
+    model = train(rows)
+    if model is None:
         return docs.withColumn("toxic_score", F.lit(0.0))
-    held = docs.sparkSession.sparkContext.broadcast(learned)
-
-    @F.pandas_udf("double")
-    def toxic_score(text: pd.Series) -> pd.Series:
-        model, w = held.value
-        return pd.Series(1 / (1 + np.exp(-np.clip(w[0] + features(model, text.fillna("").tolist()) @ w[1:], -30, 30))))
-
-    return docs.withColumn("toxic_score", toxic_score(F.col("text")))
-
-
-__all__ = ["features", "fit", "fold", "mix64", "score", "train"]
+    measured = stored(features(docs, word_ratios(docs, *model), frequent))
+    sample = rows.where("held = 1").select("toxic", *_keys())
+    got = sample.join(measured, ["ka", "kb"]).select("toxic", "a0", "b0", "c0").toPandas() if model[1][0] and model[1][1] else pd.DataFrame({c: [] for c in ("toxic", "a0", "b0", "c0")})
+    w = fit_curve(got[["a0", "b0", "c0"]].to_numpy(float), got["toxic"].to_numpy(float))
+    z = F.lit(float(w[0])) + sum(F.lit(float(v)) * F.col(c) for v, c in zip(w[1:], ("a0", "b0", "c0"), strict=True))
+    scores = measured.select("ka", "kb", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("toxic_score"))
+    ka, kb = _keys()
+    out = docs.withColumns({"_ka": ka, "_kb": kb}).join(bounded_broadcast(scores.withColumnsRenamed({"ka": "_ka", "kb": "_kb"})), ["_ka", "_kb"])
+    return out.select(*[out[c] for c in docs.columns], "toxic_score")
+
+
+__all__ = ["features", "fold", "mix64", "score", "train", "word_ratios"]

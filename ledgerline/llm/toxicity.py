@@ -7,8 +7,8 @@ back to what both share. A text is scored by the models' log-likelihood ratio: o
 most telling word, both normalised by length as well as summed for that word; a logistic curve, fitted on labelled
 rows left out of the counts, turns these into a score.
 
-Counting is one Spark aggregation over every labelled training text. The rows of the logistic curve are measured
-by models without their counts; scores come from the same models. No n-gram predicts across words, so
+Counting is one Spark aggregation over every labelled text that may be learned from. The rows of the logistic curve are measured
+by models without their counts; all other scores come from models with all counts. No n-gram predicts across words, so
 each distinct word of the documents is scored once, by joins with the whole count tables of all orders, contexts'
 back-off weights included. The most frequent words (FREQUENT at most) are sent to the tasks; the documents' other words
 meet their scores in a join.
@@ -327,14 +327,14 @@ def fold(doc_id: Column) -> Column:
 def score(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, frequent: int = FREQUENT) -> DataFrame:
     """docs with toxic_score (0 to 1) added; any column of that name is replaced.
 
-    Learns from rows whose fold is not 0: folds 2 to 4 give the counts. Rows of fold 1, about `calibration_rows` at most (by hash), are those whose
+    Learns from all labelled rows whose fold is not 0. Rows of fold 1, about `calibration_rows` at most (by hash), are those whose
     measures by models without their counts give the logistic curve."""
     docs = docs.drop("toxic_score")
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     marks = marks.where(fold(F.col("doc_id")) != 0)
     share = min(1.0, calibration_rows / max(1, marks.where(fold(F.col("doc_id")) == 1).count()))
     held = (fold(F.col("doc_id")) == 1) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    marks = marks.withColumn("held", held.cast("int")).where((F.col("held") == 1) | (fold(F.col("doc_id")) != 1))
+    marks = marks.withColumn("held", held.cast("int"))
     rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0).join(bounded_broadcast(marks), "doc_id")
     model = train(rows)
     if model is None:
@@ -343,7 +343,7 @@ def score(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     sample = rows.where("held = 1").select("toxic", *_keys())
     got = sample.join(measured, ["ka", "kb"]).select("toxic", "a0", "b0", "c0").toPandas() if model[1][0] and model[1][1] else pd.DataFrame({c: [] for c in ("toxic", "a0", "b0", "c0")})
     w = fit_curve(got[["a0", "b0", "c0"]].to_numpy(float), got["toxic"].to_numpy(float))
-    z = F.lit(float(w[0])) + sum(F.lit(float(v)) * F.col(c) for v, c in zip(w[1:], ("a0", "b0", "c0"), strict=True))
+    z = F.lit(float(w[0])) + sum(F.lit(float(v)) * F.col(c) for v, c in zip(w[1:], ("a1", "b1", "c1"), strict=True))
     scores = measured.select("ka", "kb", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("toxic_score"))
     ka, kb = _keys()
     out = docs.withColumns({"_ka": ka, "_kb": kb}).join(bounded_broadcast(scores.withColumnsRenamed({"ka": "_ka", "kb": "_kb"})), ["_ka", "_kb"])

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import toxicity
 
 from test_operators import DOCS, LABELS, words
 
 
+def fold(i: int) -> int:
+    return zlib.crc32(str(i).encode()) % 5
+
+
 def plain(texts: list[tuple[str, int]]):
     """Log-likelihood ratio of a word by dictionaries of n-grams."""
     spell = lambda w: [(("^" * 4) + w + "$")[i : i + 5] for i in range(len(w) + 1)]
@@ -48,3 +54,15 @@ def test_rare_words_get_their_scores_by_a_join(spark):
     marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], LABELS)
     whole, few, none = ([(r["doc_id"], round(r["toxic_score"], 5)) for r in toxicity.score(rows, marks, frequent=n).orderBy("doc_id").collect()] for n in (1_000_000, 30, 0))
     assert whole == few == none and len(whole) == 122
+
+
+def test_expressions_of_fold_1_are_learned(spark):
+    by = defaultdict(list)
+    for i in range(600):
+        by[fold(i)].append(i)
+    said = {i: " zupfkwy vrxoltm" for i in by[1][::2]} | {i: " idiot moron" for f in (2, 3, 4) for i in by[f][::6]}
+    told = {i: " zupfkwy vrxoltm" for i in by[0][::2]}
+    rows = spark.createDataFrame([(i, words(i, 40) + (said | told).get(i, ""), "en", "s", 1, 0.0, "") for i in range(600)], DOCS)
+    marks = spark.createDataFrame([(i, 1, int(i in said)) for f in (1, 2, 3, 4) for i in by[f]], LABELS)
+    out = toxicity.score(rows, marks, calibration_rows=40).where(toxicity.fold(F.col("doc_id")) == 0).collect()
+    assert sum((r["toxic_score"] >= 0.5) == (r["doc_id"] in told) for r in out) >= 0.95 * len(out)

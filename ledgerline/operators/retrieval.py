@@ -42,13 +42,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 20_000) -> DataFrame:
-    """K-16: the k largest inner products. The query batch is broadcast if it has at most `limit` rows; a window's group limit keeps
-    k rows a query in each task before the shuffle."""
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 20_000, block: int = 1_000, part: int = 20_000) -> DataFrame:
+    """K-16: the k largest inner products. The query batch is broadcast if it has at most `limit` rows; beyond that, blocks of about
+    `block` queries meet parts of about `part` vectors in an equi-join, and k rows a query and part go on to the last rank."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    q = F.broadcast(q) if q.limit(limit + 1).count() <= limit else q
-    scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    columns = ["query_id", "vec_id", "label", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score")]
+    order = [F.desc("score"), F.col("vec_id")]
+    if q.limit(limit + 1).count() <= limit:
+        scored = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select(*columns)
+    else:
+        n_blocks, n_parts = -(-q.count() // block), max(1, -(-vectors.count() // part))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = q.withColumn("block", dealt("query_id", n_blocks)).withColumn("part", every(n_parts))
+        met = vectors.withColumn("part", dealt("vec_id", n_parts)).withColumn("block", every(n_blocks)).join(asked, ["block", "part"])
+        own = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
+        scored = met.where("vec_id <> query_id").select(*columns, "part").withColumn("own", own).where(F.col("own") <= k).drop("own", "part")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -3,7 +3,7 @@
 Equal vectors are one node (their smallest id; a node keeps its k + 1 smallest ids, all that a query can need). Nodes are dealt into
 blocks of about BLOCK by the signs of random projections. NN-descent starts with neighbours from each block, the cells beside it and a few random
 nodes, and then, by joins, brings every block the neighbours, reverse neighbours and neighbours of neighbours of its nodes; each node
-keeps the DEGREE nearest it has met, until a turn hardly changes them. Vectors travel with 16 bits a component here.
+keeps the DEGREE nearest it has met, until a turn hardly changes them. Vectors travel with 16 bits a component and a factor of their own here.
 
 A search is a beam of the BEAM nearest nodes for each query, first of its own block's; each turn joins the nearest ones not
 expanded yet with the graph (forward edges and up to REVERSE reverse ones), measures what is new, and stops when no
@@ -51,6 +51,18 @@ def matrix(rows, width: int) -> np.ndarray:
     return out
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row's factor (32 bits) and its components as multiples of it (16 bits each)."""
+    factor = (np.abs(x).max(axis=1, initial=0.0) / 32_000).astype(np.float32)
+    small = np.rint(np.clip(x / np.where(factor > 0, factor, 1)[:, None], -32_767, 32_767)).astype(np.int16)
+    return [f.tobytes() + r.tobytes() for f, r in zip(factor, small, strict=True)]
+
+
+def unpacked(rows, width: int) -> np.ndarray:
+    whole = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 4 + 2 * width)
+    return np.ascontiguousarray(whole[:, 4:]).view(np.int16).astype(np.float32) * np.ascontiguousarray(whole[:, :4]).view(np.float32)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T), 0)
 
@@ -85,19 +97,18 @@ class Index:
         order = Window.partitionBy("vector").orderBy("vec_id")
         self.members = stored(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
         shape = self.members.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("top")).first()
-        self.count, self.width, self.scale = shape["n"], shape["width"] or 1, 32_000 / (shape["top"] or 1.0)
-        means = self.members.select(F.posexplode("vector")).groupBy("pos").agg(F.sum("col").alias("s")).collect()  # one row a component
+        self.count, self.width, self.scale = shape["n"], shape["width"] or 1, min(1.0, 1e15 / (shape["top"] or 1.0))
+        means = self.members.select(F.posexplode("vector")).groupBy("pos").agg(F.percentile_approx("col", 0.5, 1000).alias("s")).collect()  # medians, which a few far vectors don't move; one row a component
         self.center = np.zeros(self.width)
         for r in means:
-            self.center[r["pos"]] = r["s"] / self.count
+            self.center[r["pos"]] = r["s"]
         self.bits = max(0, math.ceil(math.log2(max(1, self.count / BLOCK))))
         center, bits, width, scale = self.center, self.bits, self.width, self.scale
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 x = matrix(pdf["vector"], width)
-                small = np.rint(x * scale).astype(np.int16)
-                yield pd.DataFrame({"node": pdf["node"], "cell": signs(x, center, bits), "small": [r.tobytes() for r in small]})
+                yield pd.DataFrame({"node": pdf["node"], "cell": signs(x, center, bits), "small": packed(x * scale)})
 
         self.place = place
         placed = stored(self.members.select("node", "vector").mapInPandas(place, "node long, cell long, small binary"))
@@ -114,7 +125,7 @@ class Index:
         def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(others):
                 return pd.DataFrame({"node": [], "block": [], "neighbours": [], "total": []})
-            x, y = (np.frombuffer(b"".join(p["small"]), np.int16).reshape(-1, width).astype(np.float32) for p in (own, others))
+            x, y = (unpacked(p["small"], width) for p in (own, others))
             lists, total = nearest(own["node"].to_numpy(np.int64), x, others["other"].to_numpy(np.int64), y, degree)
             return pd.DataFrame({"node": own["node"], "block": own["block"], "neighbours": lists, "total": [total] + [0.0] * (len(own) - 1)})
 
@@ -161,11 +172,11 @@ class Index:
         def measure(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(asked):
                 return pd.DataFrame({"team": [], "query": [], "node": [], "d": []})
-            x = np.frombuffer(b"".join(own["small"]), np.int16).reshape(-1, width).astype(np.float32)
+            x = unpacked(own["small"], width)
             ids = own["node"].to_numpy(np.int64)
             order = np.argsort(ids)
             ids, x = ids[order], x[order]
-            q = np.frombuffer(b"".join(asked["q"]), np.int16).reshape(-1, width).astype(np.float32)
+            q = unpacked(asked["q"], width)
             of = np.repeat(np.arange(len(asked)), asked["others"].map(len))
             at = np.searchsorted(ids, np.concatenate(asked["others"].to_numpy()))
             d = ((q[of] - x[at]) ** 2).sum(axis=1)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHARS_A_PASS = 1_000_000
 #: Rows up to which a side of two fixed-width columns is broadcast (about 32 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of a word that are hashed at once.
+PIECE = 4_096
 U64 = np.uint64
 
 
@@ -82,20 +84,33 @@ def uniform(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and 64-bit hashes of the words in data: runs of bytes of one class in `classes` (256 numbers) that isn't 0.
 
-    A word's hash is a polynomial over its bytes, finalized by mix64; it depends on the word alone."""
+    A word's hash is a sum of its bytes times random factors, finalized by mix64; it depends on the word alone."""
     b = np.frombuffer(data, dtype=np.uint8)
     kind = classes[b]
     if not kind.any():
         return np.empty(0, np.int64), np.empty(0, U64)
     change = np.concatenate(([True], kind[1:] != kind[:-1], [True]))
     first = np.flatnonzero(change[:-1] & (kind > 0))
-    last = np.flatnonzero(change[1:] & (kind > 0))
-    size = last - first + 1
+    size = np.flatnonzero(change[1:] & (kind > 0)) - first + 1
     where = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
     at = where - np.repeat(first, size)
-    terms = POWERS[at % len(POWERS)] * (b[where].astype(U64) + U64(1) + (at // len(POWERS)).astype(U64) * U64(257))
-    h = np.add.reduceat(terms, np.concatenate(([0], np.cumsum(size)[:-1])))
-    return first, mix64(h + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    return first, folded(POWERS[at % PIECE] * (b[where].astype(U64) + U64(1)), size)
+
+
+def folded(terms: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of items from their terms, `size` of them each. An item of more than PIECE terms is the hash of the hashes of its
+    pieces, one after another, so that no two places of it count alike."""
+    pieces = -(-size // PIECE)
+    lengths = np.full(pieces.sum(), PIECE)
+    ends = np.cumsum(pieces) - 1
+    lengths[ends] = size - (pieces - 1) * PIECE
+    h = mix64(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(lengths)[:-1]))) + lengths.astype(U64) * U64(0x9E3779B97F4A7C15))
+    out = h[ends - pieces + 1]
+    turn = 1
+    while len(longer := np.flatnonzero(pieces > turn)):
+        out[longer] = mix64(out[longer] * U64(3) + h[(ends - pieces + 1)[longer] + turn] + U64(1))
+        turn += 1
+    return out
 
 
 def _powers(n: int) -> np.ndarray:
@@ -103,7 +118,7 @@ def _powers(n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
-POWERS = _powers(4096)
+POWERS = _powers(PIECE)
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:

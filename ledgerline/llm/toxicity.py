@@ -1,21 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary labelled text, predict the letters of each
-word and its end from up to four letters before. Highest-order counts are each class's own, lower orders are
-continuation counts, and the order below the lowest is pooled over both classes, so that rare expressions fall
-back to what both share. A text is scored by the models' log-likelihood ratio: over the whole text and over its
-most telling word, both normalised by length as well as summed for that word; a logistic curve, fitted on labelled
-rows left out of the counts, turns these into a score.
+word and its end from up to four letters before. Counts of 5-grams and the weights of backing off from them are each class's own;
+all lower orders are continuation counts over both classes, so that rare expressions fall back to what the classes share. A
+text is scored by the models' log-likelihood ratio: over the whole text and over its most telling word, both normalised by
+length as well as summed for that word; a logistic curve, fitted on labelled rows left out of the counts, turns these into a score.
 
 Counting is one Spark aggregation over every labelled text that may be learned from. The rows of the logistic curve are measured
-by models without their counts; all other scores come from models with all counts. No n-gram predicts across words, so
-each distinct word of the documents is scored once, by joins with the whole count tables of all orders, contexts'
-back-off weights included. The most frequent words (FREQUENT at most) are sent to the tasks; the documents' other words
-meet their scores in a join.
-
-Defined cases: a letter that no labelled text has counts as if seen once; null and empty texts have no words and get the score of a text without evidence; null labels don't
-count; a doc_id labelled twice is toxic if any of its labels is; rows with a null doc_id are scored, never learned
-from; repeated rows are scored each. With no usable labels at all every score is 0. Other columns play no part.
+by models without their counts; all other scores come from models with all counts. Each distinct 5-gram of the documents gets its
+ratio once, by joins with the whole count tables of all orders, contexts' back-off weights included. The most frequent 5-grams
+(FREQUENT at most) are sent to the tasks; words with others meet their ratios in a join.
+
+Defined cases: letters are what Unicode counts as letters or digits, in lower case, numbered modulo 4,095; null and empty texts have
+no words and get the score of a text without evidence; null labels don't count; a doc_id labelled twice is toxic if any of its
+labels is; rows with a null doc_id are scored, never learned from; repeated rows are scored each. With no usable labels at all
+every score is 0. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,28 +25,39 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, bounded_broadcast, mix64, spans_of, stored
+from .common import bounded_broadcast, spans_of, stored
 
 ORDER, BITS = 5, 12
-#: Words, the most frequent ones, whose scores are sent to the tasks. Others are joined.
+#: 5-grams, the most frequent ones, whose ratios are sent to the tasks. Others are joined.
 FREQUENT = 1_000_000
 #: Labelled rows, about this many at most (chosen by hash), on which the logistic curve is fitted.
 CALIBRATION_ROWS = 20_000
-CLASSES = [f"c{i}" for i in range(4)]
+CLASSES, SHARED = ["c0", "c1", "c2", "c3"], ["n0", "n1"]
 U64 = np.uint64
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """Code points to 12-bit letter numbers; 0 for what is no part of a word."""
-    out = np.zeros(65_536, np.int64)
-    for cp in range(65_536):
-        if (ch := chr(cp)).isalnum():
-            low = ch.lower()
-            out[cp] = 1 + (ord(low) if len(low) == 1 else cp) % ((1 << BITS) - 1)
+    return np.array([_number(cp) for cp in range(65_536)])
+
+
+def _number(cp: int) -> int:
+    if not (ch := chr(cp)).isalnum():
+        return 0
+    low = ch.lower()
+    return 1 + (ord(low) if len(low) == 1 else cp) % ((1 << BITS) - 1)
+
+
+def numbers(cps: np.ndarray) -> np.ndarray:
+    """Letter numbers of code points."""
+    out = _letters()[np.minimum(cps, 65_535)]
+    for cp in np.unique(cps[cps > 65_535]).tolist():
+        out[cps == cp] = _number(cp)
     return out
 
 
@@ -56,8 +66,7 @@ def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word, and the text each belongs to. The end of a word is predicted as letter 0."""
     if not texts:
         return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
-    cps = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
-    c = _letters()[np.minimum(cps, 65_535)]
+    c = numbers(np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32))
     gram, begins, keep = grams(c)
     of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
     return gram, begins, of[keep]
@@ -74,26 +83,6 @@ def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram[keep], ((c > 0) & (prev == 0))[keep], keep
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word in the texts: its hash, its number of letters, its text; and all letter numbers and the words' places in them."""
-    none = np.empty(0, np.int64)
-    if not texts:
-        return none, none, none, none, none
-    c = _letters()[np.minimum(np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32), 65_535)]
-    inside = np.concatenate(([False], c > 0, [False]))
-    change = np.flatnonzero(inside[1:] != inside[:-1])
-    first, size = change[::2], change[1::2] - change[::2]
-    if not len(first):
-        return none, none, none, c, none
-    where = np.flatnonzero(c > 0)
-    at = where - np.repeat(first, size)
-    with np.errstate(over="ignore"):
-        terms = POWERS[at % len(POWERS)] * (c[where] + 1 + (at // len(POWERS)) * (1 << BITS)).astype(U64)
-        h = mix64(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return h.view(np.int64), size, np.searchsorted(ends, first, side="right"), c, first
-
-
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -119,114 +108,115 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield merged()
 
 
-def train(labelled: DataFrame) -> tuple[dict[int, DataFrame], tuple[int, ...]] | None:
-    """Counts of all n-grams by order, and how many events each class has. labelled: text, toxic, held (0 or 1).
+def train(labelled: DataFrame) -> tuple[dict[int, DataFrame], tuple[int, int]] | None:
+    """Counts of all n-grams by order, and how many events the classes have. labelled: text, toxic, held (0 or 1).
 
-    Classes: 0 and 1 are ordinary and toxic texts without held rows, 2 and 3 all of them. None if 2 or 3 have no words."""
+    Highest order: c0 and c1 of ordinary and toxic texts without held rows, c2 and c3 of all. Lower orders, shared by the
+    classes: how many different letters come before the n-gram, n0 without held rows, n1 in all. None if a class has no words."""
     marked = labelled.select("text", (F.col("toxic").cast("long") + 2 * F.col("held").cast("long")).alias("mark"))
     counts = marked.mapInPandas(_count_grams, "gram long, mark long, n long")
     of = lambda *marks: F.sum(F.when(F.col("mark").isin(*marks), F.col("n")).otherwise(0))
     levels = {ORDER: stored(counts.groupBy("gram").agg(of(0).alias("c0"), of(1).alias("c1"), of(0, 2).alias("c2"), of(1, 3).alias("c3")))}
+    seen = {"n0": F.col("c0") + F.col("c1") > 0, "n1": F.col("c2") + F.col("c3") > 0}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = stored(levels[k + 1].groupBy(_suffix(k).alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in CLASSES]))
-    total = tuple(v or 0 for v in levels[1].agg(*[F.sum(c) for c in CLASSES]).first())
-    return (levels, total) if total[2] and total[3] else None
+        levels[k] = stored(levels[k + 1].groupBy(_suffix(k).alias("gram")).agg(*[F.sum(on.cast("long")).alias(n) for n, on in seen.items()]))
+        seen = {n: F.col(n) > 0 for n in SHARED}
+    total = levels[ORDER].agg(*[F.sum(c) for c in CLASSES]).first()
+    return (levels, (int(bool(total[0] and total[1])), int(bool(total[2] and total[3])))) if total[2] and total[3] else None
 
 
 def _suffix(k: int) -> Column:
     return F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
 
 
-def gram_ratios(grams_: DataFrame, levels: dict[int, DataFrame], total: tuple[int, ...]) -> DataFrame:
-    """gram, r0, r1 of the distinct 5-grams in grams_: the log-likelihood ratio by the models without held rows, and by those of all."""
+def gram_ratios(asked: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
+    """asked (distinct 5-grams: gram, n) with r0, r1: the log-likelihood ratio by the models without held rows, and by those of all."""
     lower: DataFrame | None = None
     for k in range(1, ORDER + 1):
-        level = levels[k]
-        row = level.agg(*[F.sum((F.col(c) == n).cast("long")).alias(f"{c}{n}") for c in CLASSES for n in (1, 2)]).first()
-        d = [row[f"{c}1"] / (row[f"{c}1"] + 2 * row[f"{c}2"]) if row[f"{c}1"] and row[f"{c}2"] else 0.5 for c in CLASSES]
+        level, names = levels[k], CLASSES if k == ORDER else SHARED
+        once = level.agg(*[F.sum((F.col(c) == n).cast("long")).alias(f"{c}{n}") for c in names for n in (1, 2)]).first()
+        discount = {c: once[f"{c}1"] / (once[f"{c}1"] + 2 * once[f"{c}2"]) if once[f"{c}1"] and once[f"{c}2"] else 0.5 for c in names}
         context = F.shiftright("gram", BITS)
-        sums = level.groupBy(context.alias("context")).agg(*[F.sum(c).alias(f"s{c}") for c in CLASSES], *[F.sum((F.col(c) > 0).cast("long")).alias(f"u{c}") for c in CLASSES])
-        rows = grams_.select(_suffix(k).alias("gram")).distinct().join(level, "gram", "left").withColumn("context", context).join(sums, "context", "left")
-        rows = rows.fillna(0, [*CLASSES, *[f"{x}{c}" for x in "su" for c in CLASSES]])
-        if lower is None:  # pooled over both classes, and over all letter numbers
-            rows = rows.withColumns({f"q{c}": (F.col(f"c{c & 2}") + F.col(f"c{c | 1}") + 1) / F.lit(float(total[c & 2] + total[c | 1] + (1 << BITS))) for c in range(4)})
+        sums = level.groupBy(context.alias("context")).agg(*[F.sum(c).alias(f"s{c}") for c in names], *[F.sum((F.col(c) > 0).cast("long")).alias(f"u{c}") for c in names])
+        rows = asked.select(_suffix(k).alias("gram")).distinct().join(level, "gram", "left").withColumn("context", context).join(sums, "context", "left")
+        rows = rows.fillna(0, [*names, *[f"{x}{c}" for x in "su" for c in names]])
+        if lower is None:  # below single letters: all letter numbers alike
+            rows = rows.withColumns({f"q{m}": F.lit(1.0 / (1 << BITS)) for m in (0, 1)})
         else:
             rows = rows.withColumn("suffix", _suffix(k - 1)).join(lower, "suffix")
 
-        def p(c: int, d: list[float] = d) -> Column:
-            own = F.greatest(F.col(f"c{c}") - F.lit(d[c]), F.lit(0.0))
-            return F.when(F.col(f"sc{c}") > 0, (own + F.lit(d[c]) * F.col(f"uc{c}") * F.col(f"q{c}")) / F.col(f"sc{c}")).otherwise(F.col(f"q{c}"))
+        def p(c: str, q: str, discount: dict[str, float] = discount) -> Column:
+            own = F.greatest(F.col(c) - F.lit(discount[c]), F.lit(0.0))
+            return F.when(F.col(f"s{c}") > 0, (own + F.lit(discount[c]) * F.col(f"u{c}") * F.col(q)) / F.col(f"s{c}")).otherwise(F.col(q))
 
         if k == ORDER:
-            return stored(rows.select("gram", *[F.log(p(2 * m + 1) / p(2 * m)).cast("float").alias(f"r{m}") for m in (0, 1)]))
-        lower = stored(rows.select(F.col("gram").alias("suffix"), *[p(c).alias(f"q{c}") for c in range(4)]))
+            ratios = rows.select("gram", *[F.log(p(CLASSES[2 * m + 1], f"q{m}") / p(CLASSES[2 * m], f"q{m}")).alias(f"r{m}") for m in (0, 1)])
+            return stored(asked.join(ratios, "gram"))
+        lower = stored(rows.select(F.col("gram").alias("suffix"), *[p(n, f"q{m}").alias(f"q{m}") for m, n in enumerate(SHARED)]))
     raise AssertionError
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word (a hash), letters (16 bits each), n of the distinct words met; a word may come several times."""
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    letters: dict[int, bytes] = {}
-    held = 0
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, n: the 5-grams of the texts; one may come several times."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def merged() -> pa.RecordBatch:
-        k, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array([letters[x] for x in k.tolist()], pa.binary()), pa.array(n)], ["word", "letters", "n"])
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
 
     for batch in batches:
         texts = [t or "" for t in batch.column(0).to_pylist()]
         for i, j in spans_of([len(t) for t in texts]):
-            h, size, _, c, first = words(texts[i:j])
-            k, at, n = np.unique(h, return_index=True, return_counts=True)
-            small = c.astype(np.int16)
-            for word, a, b in zip(k.tolist(), first[at].tolist(), (first + size)[at].tolist(), strict=True):
-                if word not in letters:
-                    letters[word] = small[a:b].tobytes()
-                    held += 100 + 2 * (b - a)
-            keys.append(k)
-            counts.append(n)
-            held += 16 * len(k)
-            if held > 100_000_000:
+            held.append(np.unique(events(texts[i:j])[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > 3_000_000:
                 yield merged()
-                keys, counts, letters, held = [], [], {}, 0
-    if keys:
+                held, size = [], 0
+    if held:
         yield merged()
 
 
-def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, gram: each 5-gram of each word."""
-    for batch in batches:
-        letters = batch.column(1).to_pylist()
-        for i, j in spans_of([len(x) // 2 + 1 for x in letters]):
-            c = np.frombuffer(b"".join(x + b"\0\0" for x in letters[i:j]), np.int16).astype(np.int64)
-            of = np.repeat(batch.column(0).to_numpy()[i:j], [len(x) // 2 + 1 for x in letters[i:j]])
-            gram, _, keep = grams(c)
-            yield pa.RecordBatch.from_arrays([pa.array(of[keep]), pa.array(gram)], ["word", "gram"])
-
-
-def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _word_grams(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(1).to_numpy()))], ["gram"])
-
-
-def word_ratios(docs: DataFrame, levels: dict[int, DataFrame], total: tuple[int, ...]) -> DataFrame:
-    """word, n (occurrences), size (events), r0, r1: the log-likelihood ratios of every distinct word in the texts of docs."""
-    vocabulary = docs.select("text").mapInArrow(_count_words, "word long, letters binary, n long")
-    vocabulary = stored(vocabulary.groupBy("word", "letters").agg(F.sum("n").alias("n")).withColumn("size", F.length("letters") / 2 + 1))
-    spelled = vocabulary.select("word", "letters")
-    ratios = gram_ratios(stored(spelled.mapInArrow(_distinct_grams, "gram long").distinct()), levels, total)
-    scored = spelled.mapInArrow(_word_grams, "word long, gram long").join(bounded_broadcast(ratios), "gram").groupBy("word").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1"))
-    return stored(vocabulary.select("word", "n", "size").join(scored, "word"))
-
-
 def _keys() -> list[Column]:
     """128 bits that stand for a text."""
     text = F.coalesce("text", F.lit(""))
     return [F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(1), text).alias("kb")]
 
 
+PARTS = ["events", "a0", "a1", "b0", "b1", "c0", "c1"]
+OTHERS = "array<struct<word:int, events:int, r0:double, r1:double, grams:array<long>>>"
+
+
+def _measured(texts: list[str], known: np.ndarray, ratio: np.ndarray) -> tuple[list[np.ndarray], list[list[tuple]]]:
+    """Of each text the PARTS by its words whose 5-grams are all known, and the other words."""
+    gram, begins, of = events(texts)
+    keys, at = np.unique(gram, return_inverse=True)
+    place = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    hit = known[place] == keys if len(known) else np.zeros(len(keys), bool)
+    r = np.zeros((len(keys), 2))
+    r[hit] = ratio[place[hit]]
+    first = np.flatnonzero(begins)
+    size = np.diff(np.append(first, len(gram)))
+    sums = np.add.reduceat(r[at], first) if len(first) else np.empty((0, 2))
+    ok = np.logical_and.reduceat(hit[at], first) if len(first) else np.empty(0, bool)
+    text, n = of[first], len(texts)
+    own, r_own, size_own = text[ok], sums[ok], size[ok]
+    out = [np.bincount(own, size_own, n).astype(float), *[np.bincount(own, r_own[:, m], n).astype(float) for m in (0, 1)]]
+    start = np.flatnonzero(np.diff(own, prepend=-1))
+    for by in (np.ones(len(own)), size_own):
+        for m in (0, 1):
+            most = np.full(n, -np.inf)
+            if len(own):
+                most[own[start]] = np.maximum.reduceat(r_own[:, m] / by, start)
+            out.append(most)
+    others: list[list[tuple]] = [[] for _ in texts]
+    for w in np.flatnonzero(~ok):
+        its = gram[first[w] : first[w] + size[w]]
+        others[text[w]].append((int(w), int(size[w]), *sums[w].tolist(), its[~hit[at[first[w] : first[w] + size[w]]]].tolist()))
+    return out, others
+
+
 def features(docs: DataFrame, ratios: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """ka, kb (of a distinct text), and by each model (0: without held rows, 1: all) the ratio per event, that of the most telling
     word, and the largest ratio per event of a word: a0, b0, c0, a1, b1, c1."""
@@ -239,65 +229,33 @@ def features(docs: DataFrame, ratios: DataFrame, frequent: int = FREQUENT) -> Da
             break
         least = r["size"]
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    top = ratios.where(size >= least).select("word", F.col("r0").cast("float").alias("r0"), F.col("r1").cast("float").alias("r1")).toPandas().sort_values("word")
-    table = spark.sparkContext.broadcast((top["word"].to_numpy(np.int64), top[["r0", "r1"]].to_numpy(np.float32)))
-    parts = ["events", "a0", "a1", "b0", "b1", "c0", "c1"]
+    top = ratios.where(size >= least).select("gram", "r0", "r1").toPandas().sort_values("gram")  # `frequent` rows at most
+    table = spark.sparkContext.broadcast((top["gram"].to_numpy(np.int64), top[["r0", "r1"]].to_numpy(np.float64)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ratio = table.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for i, j in spans_of([len(t) for t in texts]):
-                h, n, of, _, _ = words(texts[i:j])
-                k, at = np.unique(h, return_inverse=True)
-                place = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-                hit = known[place] == k if len(known) else np.zeros(len(k), bool)
-                ok = hit[at] if len(k) else np.empty(0, bool)
-                r = ratio[place[at[ok]]].astype(np.float64) if ok.any() else np.empty((0, 2))
-                own, events_ = of[ok], (n + 1)[ok]
-                out = [pa.array(np.bincount(of, n + 1, j - i).astype(np.float64))]
-                out += [pa.array(np.bincount(own, r[:, m], j - i).astype(np.float64)) for m in (0, 1)]
-                first = np.flatnonzero(np.diff(own, prepend=-1))
-                for by in (np.ones(len(own)), events_):
-                    for m in (0, 1):
-                        most = np.full(j - i, -np.inf)
-                        if len(own):
-                            most[own[first]] = np.maximum.reduceat(r[:, m] / by, first)
-                        out.append(pa.array(most, mask=~np.isfinite(most)))
-                ends = np.concatenate(([0], np.cumsum(np.bincount(of[~ok], minlength=j - i))))
-                others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[~ok]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *out, others], ["ka", "kb", *parts, "others"])
-
-    rows = stored(docs.select(*_keys(), "text").mapInArrow(measure, f"ka long, kb long, {', '.join(f'{c} double' for c in parts)}, others array<long>"))
-    joined = rows.select("ka", "kb", F.explode("others").alias("word")).join(ratios.where(size < least), "word")
-    joined = joined.select("ka", "kb", F.lit(0.0).alias("events"), F.col("r0").alias("a0"), F.col("r1").alias("a1"), F.col("r0").alias("b0"), F.col("r1").alias("b1"), (F.col("r0") / F.col("size")).alias("c0"), (F.col("r1") / F.col("size")).alias("c1"))
-    whole = rows.drop("others").unionByName(joined).groupBy("ka", "kb").agg(*[(F.sum if c[0] in "ea" else F.max)(c).alias(c) for c in parts])
+                parts, others = _measured(texts[i:j], known, ratio)
+                cells = [pa.array(np.arange(row, row + j - i)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)]
+                cells += [pa.array(p, mask=~np.isfinite(p)) for p in parts]
+                kind = pa.list_(pa.struct([("word", pa.int32()), ("events", pa.int32()), ("r0", pa.float64()), ("r1", pa.float64()), ("grams", pa.list_(pa.int64()))]))
+                listed = [[dict(zip(("word", "events", "r0", "r1", "grams"), x, strict=True)) for x in ws] for ws in others]
+                row += j - i
+                yield pa.RecordBatch.from_arrays([*cells, pa.array(listed, kind)], ["row", "ka", "kb", *PARTS, "others"])
+
+    rows = stored(docs.select(*_keys(), "text").mapInArrow(measure, f"row long, ka long, kb long, {', '.join(f'{c} double' for c in PARTS)}, others {OTHERS}"))
+    # words with 5-grams that were not sent to the tasks
+    words = rows.select("row", "ka", "kb", F.explode("others").alias("w")).select("row", "ka", "kb", "w.word", "w.events", "w.r0", "w.r1", "w.grams")
+    rest = words.select("row", "ka", "kb", "word", F.explode("grams").alias("gram")).join(ratios.where(size < least).select("gram", "r0", "r1"), "gram").select("row", "ka", "kb", "word", F.lit(0).alias("events"), "r0", "r1")
+    words = words.drop("grams").unionByName(rest).groupBy("row", "ka", "kb", "word").agg(*[F.sum(c).alias(c) for c in ("events", "r0", "r1")])
+    columns = {"events": F.col("events").cast("double")} | {f"{x}{m}": F.col(f"r{m}") / (F.col("events") if x == "c" else 1) for x in "abc" for m in (0, 1)}
+    whole = rows.select("ka", "kb", *PARTS).unionByName(words.select("ka", "kb", *[v.alias(c) for c, v in columns.items()])).groupBy("ka", "kb").agg(*[(F.sum if c[0] in "ea" else F.max)(c).alias(c) for c in PARTS])
     return whole.select("ka", "kb", *[F.coalesce(F.col(f"a{m}") / F.nullif("events", F.lit(0.0)), F.lit(0.0)).alias(f"a{m}") if x == "a" else F.coalesce(f"{x}{m}", F.lit(0.0)).alias(f"{x}{m}") for m in (0, 1) for x in "abc"])
 
 
-def xxhash64_int_long(k: int, x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(int, long) with its seed 42, over an array. No operator needs it now; its test stays."""
-    p1, p2, p3, p4, p5 = (U64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    m = (1 << 64) - 1
-    rotl = lambda v, r: ((v << r) | (v >> (64 - r))) & m
-    h = (42 + int(p5) + 4) & m
-    h ^= (k * int(p1)) & m
-    h = (rotl(h, 23) * int(p2) + int(p3)) & m
-    for shift, mul in ((33, int(p2)), (29, int(p3)), (32, 1)):
-        h = ((h ^ (h >> shift)) * mul) & m
-    with np.errstate(over="ignore"):
-        v = x.astype(U64) * p2
-        v = ((v << U64(31)) | (v >> U64(33))) * p1
-        h2 = U64((h + int(p5) + 8) & m) ^ v
-        h2 = ((h2 << U64(27)) | (h2 >> U64(37))) * p1 + p4
-        h2 ^= h2 >> U64(33)
-        h2 *= p2
-        h2 ^= h2 >> U64(29)
-        h2 *= p3
-        h2 ^= h2 >> U64(32)
-    return h2
-
-
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a ridge logistic regression (constant first), by Newton's steps."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -319,11 +277,6 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fold(doc_id: Column) -> Column:
-    """crc32(doc_id as text) mod 5."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5
-
-
 def score(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, frequent: int = FREQUENT) -> DataFrame:
     """docs with toxic_score (0 to 1) added; any column of that name is replaced.
 
@@ -339,9 +292,11 @@ def score(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     model = train(rows)
     if model is None:
         return docs.withColumn("toxic_score", F.lit(0.0))
-    measured = stored(features(docs, word_ratios(docs, *model), frequent))
+    levels, usable = model
+    asked = stored(docs.select("text").mapInArrow(_asked, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    measured = stored(features(docs, gram_ratios(asked, levels), frequent))
     sample = rows.where("held = 1").select("toxic", *_keys())
-    got = sample.join(measured, ["ka", "kb"]).select("toxic", "a0", "b0", "c0").toPandas() if model[1][0] and model[1][1] else pd.DataFrame({c: [] for c in ("toxic", "a0", "b0", "c0")})
+    got = sample.join(measured, ["ka", "kb"]).select("toxic", "a0", "b0", "c0").toPandas() if usable[0] else pd.DataFrame({c: [] for c in ("toxic", "a0", "b0", "c0")})
     w = fit_curve(got[["a0", "b0", "c0"]].to_numpy(float), got["toxic"].to_numpy(float))
     z = F.lit(float(w[0])) + sum(F.lit(float(v)) * F.col(c) for v, c in zip(w[1:], ("a1", "b1", "c1"), strict=True))
     scores = measured.select("ka", "kb", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("toxic_score"))
@@ -350,4 +305,4 @@ def score(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     return out.select(*[out[c] for c in docs.columns], "toxic_score")
 
 
-__all__ = ["features", "fold", "mix64", "score", "train", "word_ratios"]
+__all__ = ["features", "fold", "gram_ratios", "score", "train"]

@@ -17,6 +17,8 @@ CHARS_A_PASS = 1_000_000
 BROADCAST_ROWS = 2_000_000
 #: Bytes of a word that are hashed at once.
 PIECE = 4_096
+#: A key with more than this part of all rows is hot.
+HOT_SHARE = 10_000
 U64 = np.uint64
 
 
@@ -52,6 +54,17 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def split_join(rows: DataFrame, keyed: DataFrame, key: list[str], least: int = 100) -> DataFrame:
+    """rows joined with keyed (one row a key, with n, the number of rows of that key). rows is read twice.
+
+    Keys that hold over a HOT_SHARE-th of all rows (HOT_SHARE keys at most, whatever the tables' sizes) are broadcast, so that no
+    task gathers the rows of one; the others shuffle."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(least, total / HOT_SHARE)
+    few, many = F.broadcast(keyed.where(hot)), keyed.where(~hot)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(keyed.where(hot).select(*key)), key, "left_anti").join(many, key))
+
+
 def spans_of(lengths: list[int], size: int = CHARS_A_PASS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose lengths sum to at most `size`, or of one longer item."""
     start = total = 0

@@ -11,7 +11,8 @@ counts), and the bounds of suffixes that agree in one word less than a window. T
 right to left: backward search extends the match by a word; a match of a full window is reported and shortened at its
 right end by widening the interval to those bounds, so each word costs one step. The interval's first
 occurrence tells whether the window starts earlier elsewhere. A minimizer with more than `HOT` distinct segments (a frequent
-phrase) is split: each of its windows goes to the shard of its own hash.
+phrase in many contexts) has its segments cut into single windows, which fold into their first occurrence as segments do, in an
+aggregation that combines before it shuffles: no task gathers the copies of one window.
 
 Words are compared by 64-bit hashes, segments by 64-bit hashes of their words.
 
@@ -31,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, rolling, spans_of, stored, word_hashes
+from .common import mix64, rolling, spans_of, split_join, stored, word_hashes
 
 WINDOW, GRAM = 20, 5
-#: Windows of a segment at most; segments of a minimizer above which its windows are dealt singly; words of a shard.
+#: Windows of a segment at most; segments of a minimizer above which they are cut into single windows; words of a shard.
 LONGEST, HOT, SHARD_WORDS = 64, 2_000, 400_000
 U64 = np.uint64
 IN_WORDS = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)], np.uint8)
@@ -216,23 +217,26 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": docs[new], "lo": starts[new], "hi": starts[last] + WINDOW})
 
 
-def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict, np.ndarray]]:
+    """Document, wanted segment and its words, batch by batch."""
     for pdf in batches:
         texts, ids, wanted = pdf["text"].tolist(), pdf["doc_id"].tolist(), pdf["wanted"].tolist()
         for i, j in spans_of([len(t) for t in texts]):
             h, offsets = words_of(texts[i:j])
-            rows = []
-            for t in range(i, j):
-                own = h[offsets[t - i] : offsets[t - i + 1]]
-                for w in wanted[t]:
-                    m, start, n, hot = w["m"], w["start"], w["n"], w["hot"]
-                    part = own[start : start + n + WINDOW - 1]
-                    if hot:
-                        route = rolling(part, WINDOW).view(np.int64)
-                        rows += [(route[k], ids[t], start + k, part[k : k + WINDOW].tobytes()) for k in range(n)]
-                    else:
-                        rows.append((m, ids[t], start, part.tobytes()))
-            yield pd.DataFrame(rows, columns=["route", "doc_id", "start", "words"])
+            yield [(ids[t], w, h[offsets[t - i] : offsets[t - i + 1]][w["start"] : w["start"] + w["n"] + WINDOW - 1]) for t in range(i, j) for w in wanted[t]]
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for found in _pieces(batches):
+        yield pd.DataFrame([(w["m"], doc, w["start"], part.tobytes()) for doc, w, part in found], columns=["route", "doc_id", "start", "words"])
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for found in _pieces(batches):
+        hashes = [rolling(part, WINDOW).view(np.int64) for _, _, part in found]
+        n = [len(x) for x in hashes]
+        at = np.concatenate([np.arange(w["start"], w["start"] + k) for (_, w, _), k in zip(found, n, strict=True)] or [np.empty(0, np.int64)])
+        yield pd.DataFrame({"route": np.concatenate(hashes or [np.empty(0, np.int64)]), "doc_id": np.repeat([doc for doc, _, _ in found], n).astype(np.int64), "start": at})
 
 
 def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,28 +254,41 @@ def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def _later(rows: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
+    """The rows (doc_id, start) that come after the first of their key. firsts: key, first, n."""
+    return split_join(rows, firsts.where("n > 1"), key).where(F.struct("doc_id", "start") > F.col("first"))
+
+
+def passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Ranges of words (doc_id, lo, hi) that windows cover which also start earlier. Ranges may overlap."""
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = docs.mapInPandas(_segments, "m long, s long, doc_id long, start int, n int, twice boolean")
+    every = docs.mapInPandas(_segments, "m long, s long, doc_id long, start int, n int, twice boolean").withColumnRenamed("n", "size")
     shared = every.groupBy("m").agg(F.count("*").alias("k"), F.max("twice").alias("twice")).where("k > 1 or twice").select("m")
     held = stored(every.join(shared.hint("shuffle_hash"), "m", "left_semi"))
-    firsts = stored(held.groupBy("m", "s", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("twice").alias("twice")))
-    copies = held.join(firsts, ["m", "s", "n"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + WINDOW - 1).alias("hi"))
+    firsts = stored(held.groupBy("m", "s", "size").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("twice").alias("twice"), F.count("*").alias("n")))
+    later = _later(held.select("m", "s", "size", "doc_id", "start"), firsts.select("m", "s", "size", "first", "n"), ["m", "s", "size"])
+    copies = later.select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("size") + WINDOW - 1).alias("hi"))
     kinds = firsts.groupBy("m").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice")).where("kinds > 1 or twice").select("m", "kinds")
-    mixed = firsts.join(kinds, "m").select("m", "n", "first.doc_id", "first.start", (F.col("kinds") > HOT).alias("hot"))
-    words = mixed.agg(F.sum(F.when(F.col("hot"), F.col("n") * WINDOW).otherwise(F.col("n") + WINDOW - 1))).first()[0] or 0
-    shards = max(1, -(-words // SHARD_WORDS))
-    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("wanted"))
-    contents = docs.join(wanted, "doc_id").mapInPandas(_contents, "route long, doc_id long, start int, words binary")
+    mixed = stored(firsts.join(kinds, "m").select("m", F.col("size").alias("n"), "first.doc_id", "first.start", (F.col("kinds") > hot).alias("hot")))
+    sums = mixed.agg(F.sum(F.when(~F.col("hot"), F.col("n") + WINDOW - 1)), F.count_if("hot")).first()
+    shards = max(1, -(-(sums[0] or 0) // SHARD_WORDS))
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n")).alias("wanted")), "doc_id")
+
+    contents = wanted(mixed.where("not hot")).mapInPandas(_contents, "route long, doc_id long, start int, words binary")
     found = contents.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(_search, "doc_id long, lo int, hi int")
+    if sums[1]:
+        windows = stored(wanted(mixed.where("hot")).mapInPandas(_windows, "route long, doc_id long, start int"))
+        first = stored(windows.groupBy("route").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+        found = found.unionByName(_later(windows, first, ["route"]).select("doc_id", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi")))
     return copies.unionByName(found)
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by single spaces) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = passages(docs, hot).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return docs.join(spans, "doc_id", "left").mapInPandas(_cleaned, "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -10,13 +10,17 @@ it; points that come later than the last register's first arrival are never draw
 Jaccard similarity as their chance. 24 bands of 5 registers make a pair of similarity 0.8 a candidate with a chance of
 0.9999.
 
-Texts with equal word sequences are one node (their smallest doc_id). Within each bucket a pivot is first verified
+Texts with equal word sequences are one node, known by 64 bits of its words. Within each bucket a pivot is first verified
 against all other members, which joins most of what belongs together at the cost of a pair for each member. Members
 of a bucket that are still in different components are then compared in blocks of bounded size, and each block returns
-only links that join components: no candidate pair stays untested, and the rows made grow with the members.
-
-Defined cases: null, empty and wordless texts are classes of their own; repeated rows are returned each, in one class;
-a text with a null doc_id joins its class, which is null if no doc_id of the class is known. Other columns play no part.
+only links that join components. A bucket with over HOT such members (texts around a frequent passage, say) is split first: if
+the similarity of two texts is 0.8 or more, what they don't share is at most a fifth of each one's shingles, so in any common order of
+shingles the first one they share lies within the first fifth of either. Members meet by these shingles, rarest first, instead of the
+bucket: no candidate pair stays untested.
+
+Defined cases: null, empty and wordless texts are classes of their own; repeated rows are returned each, in one class; rows that
+share a doc_id but differ in text are classed each by its own text; a text with a null doc_id is a node like others and links what is
+like it, and a class of which no doc_id is known has a null class_id. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, mix64, rolling, spans_of, stored, uniform, word_hashes
+from .common import bounded_broadcast, mix64, rolling, spans_of, split_join, stored, uniform, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -36,6 +40,8 @@ BANDS, ROWS = 24, 5
 MEMBERS_A_GROUP = 256
 #: Leftovers and members of a bucket that one block holds.
 LEFT_BLOCK, RIGHT_BLOCK = 512, 2_048
+#: Leftovers of a bucket above which its members meet by shingles.
+HOT = 2_048
 U64 = np.uint64
 IN_WORDS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)], np.uint8)
 ID_BITS = 44
@@ -113,7 +119,8 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for k, seed in enumerate((U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47))):
                         keys[k, having] = np.add.reduceat(mix64(h + (place + U64(1)) * seed), offsets[:-1][having])
             bands = band_keys(prob_min_hash(*shingles(h, offsets), BANDS * ROWS), BANDS, ROWS)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[i:j].to_numpy(), "k1": keys[0].view(np.int64), "k2": keys[1].view(np.int64), "n": n, "bands": list(bands)})
+            own = {c: pdf[c].iloc[i:j].to_numpy() for c in ("doc_id", "named", "row")}
+            yield pd.DataFrame({**own, "k1": keys[0].view(np.int64), "k2": keys[1].view(np.int64), "n": n, "bands": list(bands)})
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -234,14 +241,48 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return wide.join(pivots, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long")
 
 
-def across_components(members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+def _weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """bucket, band, id, shingle, share: the shingles of each text and their parts of its weight."""
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        for i, j in spans_of([len(t) for t in texts]):
+            ids, counts, at = shingles(*words_of(texts[i:j]))
+            n = np.diff(at)
+            total = np.add.reduceat(counts, at[:-1]) if len(counts) else counts
+            own = {c: np.repeat(pdf[c].to_numpy()[i:j], n) for c in ("bucket", "band", "id")}
+            yield pd.DataFrame({**own, "shingle": ids.view(np.int64), "share": counts / np.repeat(total, n)})
+
+
+def by_prefix(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (bucket, band, id) by bucket and shingle instead of bucket alone: the shingles that make up the first fifth of a
+    text's weight, in the order of how many members have them. Shingles of one member alone lead nowhere and are left out."""
+    rows = stored(members.join(texts.select("id", "text"), "id").mapInPandas(_weighted, "bucket long, band int, id long, shingle long, share double"))
+    counts = rows.groupBy("bucket", "shingle").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("share").over(Window.partitionBy("bucket", "id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    first = split_join(rows, stored(counts), ["bucket", "shingle"]).withColumn("before", before).where(F.col("before") <= 1 - THRESHOLD + 1e-9)
+    return first.where("n > 1").select(F.xxhash64("bucket", "shingle").alias("bucket"), "band", "id")
+
+
+def across_components(members: DataFrame, comps: DataFrame, texts: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) between members of a bucket in different components, enough of them to join what they link.
 
     members: bucket, band, id, without the pivots, which have been tested against their whole buckets. In a bucket all
     members outside its largest component are leftovers; blocks of them meet blocks of all members."""
-    at = members.join(comps, "id")
-    sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
-    blocks = sizes.select("bucket", F.col("top.comp").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / LEFT_BLOCK).cast("int").alias("lblocks"), F.ceil(F.col("n") / RIGHT_BLOCK).cast("int").alias("rblocks"))
+
+    def sized(at: DataFrame) -> DataFrame:
+        sizes = at.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+        return sizes.where("comps > 1").withColumn("left_over", F.col("n") - F.col("top.n"))
+
+    members = members.select("bucket", "band", "id")
+    at = stored(members.join(comps, "id"))
+    sizes = sized(at)
+    crowded = stored(sizes.where(F.col("left_over") > hot).select("bucket"))
+    if not crowded.isEmpty():
+        few = bounded_broadcast(crowded)
+        refined = by_prefix(at.join(few, "bucket").select("bucket", "band", "id"), texts)
+        at = stored(at.join(few, "bucket", "left_anti").unionByName(refined.join(comps, "id")))
+        sizes = sized(at)
+    blocks = sizes.select("bucket", F.col("top.comp").alias("main"), F.ceil(F.col("left_over") / LEFT_BLOCK).cast("int").alias("lblocks"), F.ceil(F.col("n") / RIGHT_BLOCK).cast("int").alias("rblocks"))
     at = at.join(blocks, "bucket").withColumn("rest", F.col("comp") != F.col("main"))
     lblock, rblock = F.pmod(F.xxhash64("id"), F.col("lblocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rblocks")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -268,23 +309,53 @@ def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class) of each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInPandas(_signed, "doc_id long, k1 long, k2 long, n long, bands array<long>"))
-    worded = signed.where("n > 0 and doc_id is not null")
-    nodes = stored(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("id"), "x.bands"))
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with #row, a hash of all columns but maps, which have none."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.withColumn("#row", F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]))
+
+
+def grouped(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, row (a hash of the whole row), group (equal for rows of one class; null for texts without words), class_id of each
+    row of docs (doc_id, text and others)."""
+    docs = _hashed(docs)
+    asked = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.col("#row").alias("row"), "text")
+    signed = stored(asked.mapInPandas(_signed, "doc_id long, named boolean, row long, k1 long, k2 long, n long, bands array<long>"))
+    one = F.min(F.struct((~F.col("named")).alias("anonymous"), "doc_id", "row", "bands")).alias("x")
+    nodes = stored(signed.where("n > 0").groupBy("k1", "k2").agg(one).select("k1", "k2", F.xxhash64("k1", "k2").alias("id"), F.when(~F.col("x.anonymous"), F.col("x.doc_id")).alias("first"), "x.row", "x.bands"))
     entries = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("hi")).where("pivot < hi").select("bucket", "pivot")
-    members = stored(entries.join(shared, "bucket"))
+    shared = stored(entries.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("hi"), F.count("*").alias("n")).where("pivot < hi").select("bucket", "pivot", "n"))
+    members = stored(split_join(entries, shared, ["bucket"]).drop("n"))
     ids = members.select("id").distinct()
     comps = stored(ids.withColumn("comp", F.col("id")))
-    texts = docs.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(bounded_broadcast(comps.select("id")), "id")
-    texts = stored(texts.join(nodes.select("id", "bands"), "id"))
+    wanted = nodes.join(comps.select("id"), "id").select("id", "row", "bands")
+    texts = stored(docs.select(F.col("#row").alias("row"), "text").join(bounded_broadcast(wanted.select("id", "row")), "row").dropDuplicates(["id"]).join(wanted.select("id", "bands"), "id").select("id", "text", "bands"))
     stars = stored(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     comps = contract(comps, stored(verified(stars, texts.select("id", "text"))))
-    comps = contract(comps, stored(across_components(members.where("id <> pivot").drop("pivot"), comps, texts)))
-    names = comps.groupBy("comp").agg(F.min("id").alias("class_id"))
-    named = nodes.select("k1", "k2", "id").join(comps.join(names, "comp").select("id", "class_id"), "id", "left").select("k1", "k2", F.coalesce("class_id", "id").alias("class_id"))
-    out = signed.select("doc_id", "k1", "k2", "n").join(named, ["k1", "k2"], "left")
-    return out.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    comps = contract(comps, stored(across_components(members.where("id <> pivot"), comps, texts, hot)))
+    joined = stored(nodes.select("k1", "k2", "id", "first").join(comps, "id", "left").select("k1", "k2", "first", F.coalesce("comp", "id").alias("group")))
+    names = joined.groupBy("group").agg(F.min("first").alias("class_id"))
+    named = stored(joined.join(names, "group").join(signed.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"]).select("k1", "k2", "n", "group", "class_id"))
+    mine = F.when(F.col("named"), F.col("doc_id"))
+    worded = split_join(signed.where("n > 0").select(mine.alias("doc_id"), "row", "k1", "k2"), named, ["k1", "k2"])
+    wordless = signed.where("n = 0").select(mine.alias("doc_id"), "row", F.lit(None).cast("long").alias("group"), mine.alias("class_id"))
+    return worded.select("doc_id", "row", "group", "class_id").unionByName(wordless)
+
+
+def classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class) of each row of docs (doc_id, text)."""
+    return grouped(docs.select("doc_id", "text"), hot).select("doc_id", "class_id")
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """One row of each class: that of the smallest doc_id (known ones first), then the smallest hash of the whole row; of rows
+    that are equal in every column, one. Rows without words all stay."""
+    at = stored(grouped(docs))
+    best = at.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"))
+    rows = best.select(F.col("x.row").alias("#row"))
+    again = stored(at.where("group is not null").groupBy(F.col("row").alias("#row")).agg(F.count("*").alias("#n")).where("`#n` > 1").join(rows, "#row", "left_semi").select("#row"))
+    wordless = at.where("group is null").select(F.col("row").alias("#row")).distinct()
+    docs = _hashed(docs)
+    kept = docs.join(bounded_broadcast(rows.unionByName(wordless)), "#row", "left_semi")
+    once = kept.join(bounded_broadcast(again), "#row", "left_anti")
+    return once.unionByName(kept.join(bounded_broadcast(again), "#row", "left_semi").dropDuplicates(["#row"])).drop("#row")

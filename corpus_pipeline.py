@@ -11,8 +11,8 @@ from ledgerline.llm import minhash, mixing, packing, pii, toxicity
 from ledgerline.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Share of the words that the mix takes, in per cent.
-BUDGET_PERCENT = 90
+#: Share of the words that the mix takes, in per cent, and how often it may take a document.
+BUDGET_PERCENT, EPOCHS = 90, 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate class; rows without doc_id stay."""
-    docs = docs.select(*COLUMNS)
-    kept = minhash.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id").select(*COLUMNS)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each near-duplicate class, that of the smallest doc_id; texts without words all stay.
+
+    Rows without doc_id are in the classes like others and stay only where their class has no doc_id."""
+    return minhash.firsts(docs.select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes; one that it takes in several epochs is repeated."""
-    out = mixing.mix(docs.select(*COLUMNS), budget_percent=BUDGET_PERCENT)
+    out = mixing.mix(docs.select(*COLUMNS), budget_percent=BUDGET_PERCENT, epochs=EPOCHS)
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

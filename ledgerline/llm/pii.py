@@ -1,20 +1,26 @@
 """Personal data spans: base patterns plus candidates that boosted trees accept. DataFrame functions only.
 
 Base spans are fixed patterns with validity checks. Beside them, high-recall generators propose spans (anything around
-an @, any run of digits with separators), which may overlap one another. Each candidate gets twelve yes/no features of
-its format and context, so that all candidates of a corpus fold into at most 4,096 cells of counts; boosted trees are
-fitted on the driver from these cells, with whether the candidate overlaps a base span as the weak label. The score
-from which on candidates are accepted is calibrated for each generator: the lowest at which the cells' share of positives is
-`PRECISION` or more. Accepted candidates that overlap no base span are added, the higher score first where two overlap.
+an @ or its spellings, any run of digits with separators, any long run of letters and digits), which may overlap one another. Each
+candidate gets up to twelve yes/no features of its format and of what stands around it, so that all candidates of a corpus fold
+into at most 4,096 cells of counts for each generator; boosted trees are fitted on the driver from these cells.
 
-Scoring a document reads only its own row; the sole shuffle is the aggregation into cells, summed before it.
-Positions come from the pieces between matches (split) and the matches (regexp_extract_all), in code points.
+Labels are weak and come from another view than the features: a candidate is positive if it overlaps a valid base span or a word
+before it says what it is ("token", "phone", "mail"), negative if such a word says otherwise ("order", "isbn"), and open if there
+is neither; the trees take open ones for negative. Features never read these words, nor the signs that go with them, so what the trees learn about formats holds where no
+word stands. A fifth of the documents (crc32 of doc_id as text, or of the text where there is none, divisible by 5) is held out:
+the score from which on a generator's candidates are accepted is the lowest at which, of the held-out candidates, `PRECISION` or more
+of the positive and negative ones are positive, and `SHARE` or more of all. Accepted candidates that overlap
+no base span are added, the higher score first where two overlap; their kinds are the base ones and `secret`.
+
+Scoring a document reads only its own row; the sole shuffle is the aggregation into cells, summed before it. Each pattern runs once
+for the matches and once for the pieces between, from which positions come, in code points.
 
 Possessive quantifiers and the look-behinds keep matching linear on long runs and the matches the same: the
 character after each such run is never part of its class, so giving characters back can't help.
 
 Defined cases: null and empty texts have no spans; repeated rows and null doc_ids are handled each by itself; an empty
-table trains nothing and adds nothing. Other columns are kept as they are, but for the columns that are added.
+table, or one without held-out positives, adds nothing. Other columns are kept as they are, but for the columns that are added.
 """
 
 from __future__ import annotations
@@ -34,28 +40,59 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What an added span can be.
+ADDED = (*KINDS, "secret")
+#: Generators of candidates.
 GENERATORS = {
-    "at": r"(?:\G|(?<![^\s@<>,;]))[^\s@<>,;]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>,;]{1,255}",
+    "at": r"(?:\G|(?<![^\s@<>,;]))[^\s@<>,;]{1,64}+(?:@|\x20?[\[({]\x20?at\x20?[\])}]\x20?)[^\s@<>,;]{1,255}(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?[A-Za-z0-9-]{1,63})*",
     "digits": r"(?<![0-9A-Za-z.])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){7,}+(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,512}+={0,2}",
+}
+#: What a word just before a candidate says about it.
+SAYS = {
+    "at": r"(?i)\b(?:e-?mail|mailto|contact|kontakt|correo|courriel|write to|reach)s?\W*$",
+    "digits": r"(?i)\b(?:phone|tel|telefon|call|fax|mobile|cell|card|visa|mastercard|konto|account|iban|tarjeta|carte)(?: (?:no|nr|number))?\W*$",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credential)s?[\x22']?\s*[:=]?\s*[\x22']?$",
 }
-CONTEXT = r"(?i)\b(?:mail|e-mail|contact|phone|tel|call|fax|mobile|card|visa|account|ip|host|address|kontakt|konto|adresse|carte|tarjeta|correo)\b"
-TREES, RATE, PRECISION = 24, 0.3, 0.98
+DENIES = {
+    "at": r"(?i)\b(?:follow|handle|user)\W*$",
+    "digits": r"(?i)\b(?:order|invoice|isbn|issn|version|page|serial|date|price|article|item|sku|part)(?: (?:no|nr|number))?\W*$",
+    "secret": r"(?i)(?:version|commit|sha-?(?:1|256)?|md5|checksum|digest|etag|file|path|url)[\x22']?\s*[:=]?\s*[\x22']?$",
+}
+TREES, RATE, PRECISION, SHARE = 24, 0.3, 0.98, 0.5
 CELLS = 1 << 12
+#: Characters before a candidate that are looked at, up to the candidate before it; matches placed at a time.
+AROUND, CHUNK = 32, 256
+SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+
 
+def with_matches(docs: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """docs with an array for each pattern: (start, end, value, before, after) of its leftmost non-overlapping matches, in code points."""
+    found = {f"#hits_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()}
+    docs = docs.withColumns(found)
+    docs = docs.withColumns({f"#gaps_{k}": F.when(F.size(f"#hits_{k}") > 0, F.split(text, p, -1)) for k, p in patterns.items()})
+    docs = docs.withColumns({k: _placed(F.col(f"`#hits_{k}`"), F.col(f"`#gaps_{k}`")) for k in patterns})
+    return docs.drop(*[f"#{x}_{k}" for x in ("hits", "gaps") for k in patterns])
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's leftmost non-overlapping matches, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+def _placed(hits: Column, gaps: Column) -> Column:
+    """Positions by running sums, CHUNK matches at a time, so that the work stays in proportion to the matches."""
+    n = F.size(hits)
+    rows = F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), hits.alias("hit"), F.slice(gaps, 2, n).alias("next"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["gap"], F.lit(AROUND)).alias("before"), F.left(x["next"], F.lit(2)).alias("after"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, placed).otherwise(none)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)), start, step))
+    none = F.array().cast(f"array<struct<base:int,out:{SPAN}>>")
+    along = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("base"), c["out"].alias("out")))).alias("out"))
+    based = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("out")), along, lambda acc: acc["out"])
+    moved = lambda c: F.transform(c["out"], lambda s: F.struct((s["start"] + c["base"]).alias("start"), (s["end"] + c["base"]).alias("end"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after")))
+    return F.when(n > 0, F.flatten(F.transform(based, moved))).otherwise(F.array().cast(SPAN))
 
 
 def digits_of(value: Column) -> Column:
@@ -83,41 +120,74 @@ def valid(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(matches(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))
-
-
-def features(text: Column, s: Column) -> list[Column]:
-    """Twelve conditions on a candidate's format and context."""
-    value, n = s["value"], F.length(digits_of(s["value"]))
-    before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
+def features(g: str, s: Column) -> list[Column]:
+    """Up to twelve conditions on a candidate's format and on the signs around it."""
+    value, n, size = s["value"], F.length(digits_of(s["value"])), F.length(s["value"])
+    if g == "at":
+        return [
+            value.contains("@"),
+            value.rlike(r"@[^@]*[A-Za-z0-9]\.[A-Za-z]{2,}"),
+            value.rlike(r"[\[({]\x20?at\x20?[\])}]"),
+            value.rlike(r"[\[({]\x20?dot\x20?[\])}]"),
+            value.rlike(r"\.[A-Za-z]{2,10}\W*$"),
+            value.rlike(r"^[A-Za-z0-9]"),
+            value.rlike(r"[^\x00-\x7f]"),
+            value.rlike(r"[0-9]"),
+            size > 40,
+            value.rlike(r"@.*@"),
+            s["before"].rlike(r"<$"),
+            value.rlike(r"[!?*|\\]"),
+        ]
+    if g == "digits":
+        return [
+            n >= 9,
+            n >= 13,
+            n <= 15,
+            n <= 19,
+            value.rlike(r"^\(?\+"),
+            value.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"),
+            value.rlike(r"[()/ -]"),
+            luhn(value),
+            value.rlike(r"^[^./]*$"),
+            value.rlike(r"^\(?0"),
+            value.rlike(r"^\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,4}){2,}$"),
+            size > 24,
+        ]
     return [
-        value.contains("@"),
-        value.rlike(r"@[^@]*[A-Za-z0-9]\.[A-Za-z]{2,}"),
-        n >= 9,
-        n >= 13,
-        n <= 15,
-        n <= 19,
-        value.startswith("+"),
-        value.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"),
-        value.rlike(r"[()/ -]"),
-        luhn(value),
-        value.rlike(r"^[^./]*$"),
-        before.rlike(CONTEXT),
+        value.rlike(r"^[0-9a-fA-F]+$"),
+        value.rlike(r"[A-Za-z]"),
+        size >= 20,
+        size >= 32,
+        value.rlike(r"[a-z]") & value.rlike(r"[A-Z]"),
+        s["before"].rlike(r"[\x22'`]$") & s["after"].rlike(r"^[\x22'`]"),
+        size > 64,
+        value.rlike(r"[_/+-]"),
+        n * 5 >= size,
+        value.rlike(r"=$"),
+        size.isin(32, 40, 64),
+        value.rlike(r"^[0-9_/+-]*$"),
     ]
 
 
+def held_out(doc_id: Column, text: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), text).cast("binary")) % 5 == 0
+
+
 def proposed(docs: DataFrame) -> DataFrame:
-    """docs with the arrays spans_<kind> and candidates_<generator> (start, end, cell, overlaps) added."""
+    """docs (doc_id, text, others) with the arrays spans_<kind>, candidates_<generator> (start, end, cell, overlaps, label) and held added."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumns({f"spans_{k}": base_spans(text, k) for k in KINDS})
-    docs = docs.withColumns({f"candidates_{g}": matches(text, p) for g, p in GENERATORS.items()})
+    docs = with_matches(docs.withColumn("held", held_out(F.col("doc_id"), text)), text, {f"spans_{k}": PATTERNS[k] for k in KINDS} | {f"candidates_{g}": p for g, p in GENERATORS.items()})
+    right = {k: (lambda kind: lambda s: valid(kind, s["value"]))(k) for k in KINDS}
+    docs = docs.withColumns({f"spans_{k}": F.filter(f"spans_{k}", right[k]) for k in KINDS})
     every = F.concat(*[F.col(f"spans_{k}") for k in KINDS])
 
     def described(g: str) -> Column:
         def one(s: Column) -> Column:
-            cell = sum((f.cast("int") * (1 << i) for i, f in enumerate(features(text, s))), F.lit(0))
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), cell.alias("cell"), F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("overlaps"))
+            cell = sum((f.cast("int") * (1 << i) for i, f in enumerate(features(g, s))), F.lit(0))
+            overlaps = F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            denied = s["before"].rlike(DENIES[g])
+            label = F.when(overlaps | (s["before"].rlike(SAYS[g]) & ~denied), 1).when(denied, -1).otherwise(0)
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), cell.alias("cell"), overlaps.alias("overlaps"), label.alias("label"))
 
         return F.transform(F.col(f"candidates_{g}"), one)
 
@@ -167,38 +237,46 @@ def learn(candidates: DataFrame) -> dict[str, dict[int, float]]:
     """For each generator the accepted cells and their scores. candidates: what proposed() adds."""
     rows = None
     for g in GENERATORS:
-        part = candidates.select(F.lit(g).alias("g"), F.explode(f"candidates_{g}").alias("c")).select("g", "c.cell", "c.overlaps")
+        part = candidates.select(F.lit(g).alias("g"), "held", F.explode(f"candidates_{g}").alias("c")).select("g", "held", "c.cell", "c.label")
         rows = part if rows is None else rows.unionByName(part)
-    counts = rows.groupBy("g", "cell").agg(F.count_if(~F.col("overlaps")).alias("neg"), F.count_if("overlaps").alias("pos")).collect()  # at most 2 x 4,096 rows
-    out: dict[str, dict[int, float]] = {}
-    for g in GENERATORS:
-        cells = {r["cell"]: (r["neg"], r["pos"]) for r in counts if r["g"] == g}
-        trees = boosted(cells) if cells else []
-        scores = {c: tree_score(c, trees) for c in cells}
-        accepted: dict[int, float] = {}
-        neg = pos = 0
-        for s in sorted(set(scores.values()), reverse=True):
-            at = [c for c in scores if scores[c] == s]
-            neg, pos = neg + sum(cells[c][0] for c in at), pos + sum(cells[c][1] for c in at)
-            if pos >= PRECISION * (pos + neg):
-                accepted = {c: x for c, x in scores.items() if x >= s and x > 0}
-        out[g] = accepted
-    return out
+    sums = [F.count_if(F.col("label") == v).alias(n) for v, n in ((-1, "neg"), (0, "open"), (1, "pos"))]
+    counts = rows.groupBy("g", "held", "cell").agg(*sums).collect()  # at most 2 x 3 x 4,096 rows
+    return {g: accepted([(r["held"], r["cell"], r["neg"], r["open"], r["pos"]) for r in counts if r["g"] == g]) for g in GENERATORS}
+
+
+def accepted(counts: list[tuple[bool, int, int, int, int]]) -> dict[int, float]:
+    """Cells whose candidates are accepted, and their scores. counts: held out, cell, negatives, open ones, positives."""
+    cells = {c: (neg + open_, pos) for held, c, neg, open_, pos in counts if not held}
+    apart = {c: (neg, open_, pos) for held, c, neg, open_, pos in counts if held}
+    if not cells or not apart:
+        return {}
+    trees = boosted(cells)
+    scores = {c: tree_score(c, trees) for c in {*cells, *apart}}
+    least, neg, open_, pos = math.inf, 0, 0, 0
+    for s in sorted({scores[c] for c in apart}, reverse=True):
+        for c in apart:
+            if scores[c] == s:
+                neg, open_, pos = neg + apart[c][0], open_ + apart[c][1], pos + apart[c][2]
+        if pos and pos >= PRECISION * (pos + neg) and pos >= SHARE * (pos + neg + open_):
+            least = s
+    return {c: x for c, x in scores.items() if x >= least and x > 0}
 
 
 def kind_of(g: str, cell: Column) -> Column:
     """The kind that a candidate is added as."""
     if g == "at":
         return F.lit("email")
+    if g == "secret":
+        return F.lit("secret")
     bit = lambda i: cell.bitwiseAND(1 << i) > 0
-    return F.when(bit(7), "ip").when(bit(3) & bit(9), "card").otherwise("phone")
+    return F.when(bit(5), "ip").when(bit(1) & bit(7), "card").otherwise("phone")
 
 
 def added(docs: DataFrame, model: dict[str, dict[int, float]]) -> Column:
     """Array of (kind number, start, end) of the accepted candidates, none overlapping another or a base span."""
     def part(g: str, accepted: dict[int, float]) -> Column:
         scores = F.create_map(*[F.lit(x) for c, s in accepted.items() for x in (c, float(s))])
-        number = lambda c: F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind_of(g, c)).cast("int") - 1
+        number = lambda c: F.array_position(F.array(*[F.lit(k) for k in ADDED]), kind_of(g, c)).cast("int") - 1
         kept = F.filter(F.col(f"candidates_{g}"), lambda s: ~s["overlaps"] & s["cell"].isin([*accepted]))
         return F.transform(kept, lambda s: F.struct((-scores[s["cell"]]).alias("worse"), s["start"].alias("start"), s["end"].alias("end"), number(s["cell"]).alias("kind")))
 
@@ -218,7 +296,7 @@ def base(docs: DataFrame) -> Column:
 
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ADDED])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -231,13 +309,13 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with [kind] in place of all spans in text, and n_chars, if there, set to the new length."""
+    """docs (doc_id, text, others) with [kind] in place of all spans in text, and n_chars, if there, set to the new length."""
     own = [c for c in docs.columns if c != "text"]
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), "text") if own else docs
-    model = learn(stored(proposed(docs.select("text")).drop("text")))
-    found = proposed(work)
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col("doc_id"), "text")
+    found = stored(proposed(work))
+    model = learn(found)
     spans = F.array_sort(F.transform(F.concat(base(found), added(found, model)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    names = F.array(*[F.lit(f"[{k}]") for k in ADDED])
 
     def step(acc: Column, s: Column) -> Column:
         end = -s["back"]

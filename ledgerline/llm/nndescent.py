@@ -3,7 +3,9 @@
 Equal vectors are one node (their smallest id; a node keeps its k + 1 smallest ids, all that a query can need). Nodes are dealt into
 blocks of about BLOCK by the signs of random projections. NN-descent starts with neighbours from each block, the cells beside it and a few random
 nodes, and then, by joins, brings every block the neighbours, reverse neighbours and neighbours of neighbours of its nodes; each node
-keeps the DEGREE nearest it has met, until a turn hardly changes them. Vectors travel with 16 bits a component and a factor of their own here.
+keeps the DEGREE nearest it has met, until a turn hardly changes them. A turn brings a block only nodes that it has not met yet. A cell
+of many vectors that look alike is dealt into several blocks, of which a node meets up to SPREAD at the start. Vectors travel with 16 bits
+a component and a factor of their own here.
 
 A search is a beam of the BEAM nearest nodes for each query, first of its own block's; each turn joins the nearest ones not
 expanded yet with the graph (forward edges and up to REVERSE reverse ones), measures what is new, and stops when no
@@ -30,12 +32,15 @@ from pyspark.sql import functions as F
 from .common import stored
 from .topk import usable
 
-K, DEGREE, REVERSE, BEAM, BLOCK = 10, 24, 48, 256, 256
-TURNS, CHANGE, SEED = 6, 0.008, 5
+K, DEGREE, REVERSE, BEAM, BLOCK = 10, 24, 48, 320, 256
+TURNS, CHANGE, SEED = 8, 0.002, 5
 #: Neighbouring cells that a node is shown to at the start.
 PROBES = 8
 #: In a turn of NN-descent: reverse neighbours of a node, and how many of each neighbour's nearest are met.
-BACK, NEAREST = 12, 4
+BACK, NEAREST = 16, 8
+#: Blocks of a cell that a node or a query is shown to at the start.
+SPREAD = 4
+STATE = "node long, block long, small binary, neighbours array<long>, d array<float>"
 STEPS = 60
 
 
@@ -67,9 +72,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, degree: int) -> tuple[list[np.ndarray], float]:
-    """Of each of ids the `degree` nearest of others, and the sum of the distances."""
-    held_d, held_i = np.full((len(ids), degree), np.inf, np.float32), np.full((len(ids), degree), -1, np.int64)
+def nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, held_i: np.ndarray, held_d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """held_i, held_d (of each of ids its nearest so far and their distances; -1 and inf where there is none) after meeting others."""
+    degree = held_i.shape[1]
     for lo in range(0, len(others), 8192):
         o = others[lo : lo + 8192]
         d = distances(x, y[lo : lo + 8192]).astype(np.float32)
@@ -78,9 +83,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, d
         at = np.argpartition(d, degree - 1, axis=1)[:, :degree]
         held_d, held_i = np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1)
     order = np.argsort(held_d, axis=1)
-    held_d, held_i = np.take_along_axis(held_d, order, 1), np.take_along_axis(held_i, order, 1)
-    ok = np.isfinite(held_d)
-    return [i[o] for i, o in zip(held_i, ok, strict=True)], float(np.sqrt(held_d[ok]).sum())
+    return np.take_along_axis(held_i, order, 1), np.take_along_axis(held_d, order, 1)
 
 
 def renamed(df: DataFrame) -> DataFrame:
@@ -112,24 +115,34 @@ class Index:
 
         self.place = place
         placed = stored(self.members.select("node", "vector").mapInPandas(place, "node long, cell long, small binary"))
-        parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))
+        self.parts = stored(placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")))
         block = F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("parts")))
-        self.nodes = stored(placed.join(parts, "cell").select("node", block.alias("block"), "cell", "small"))
+        self.nodes = stored(placed.join(self.parts, "cell").select("node", block.alias("block"), "cell", "small"))
         self.degree = degree
         self.graph = self.descend()
 
-    def _measure(self, wanted: DataFrame) -> DataFrame:
-        """The graph after each block has met the nodes in wanted (block, other, small)."""
+    def _blocks(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows (with cell) once for each of up to SPREAD blocks of the cell, from the one that the hash of `key` points at."""
+        start = F.pmod(F.xxhash64(key), F.col("parts"))
+        turns = F.transform(F.sequence(F.lit(0), F.least(F.col("parts"), F.lit(SPREAD)) - 1), lambda i: F.xxhash64("cell", F.pmod(start + i, F.col("parts"))))
+        return rows.join(self.parts, "cell").withColumn("block", F.explode(turns)).drop("cell", "parts")
+
+    def _measure(self, state: DataFrame, wanted: DataFrame) -> DataFrame:
+        """state (node, block, small, neighbours, d) after each block has met the nodes in wanted (block, other, small)."""
         width, degree = self.width, self.degree
 
         def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(others):
-                return pd.DataFrame({"node": [], "block": [], "neighbours": [], "total": []})
+                return own
+            held_i, held_d = np.full((len(own), degree), -1, np.int64), np.full((len(own), degree), np.inf, np.float32)
+            for r, (i, d) in enumerate(zip(own["neighbours"], own["d"], strict=True)):
+                held_i[r, : len(i)], held_d[r, : len(i)] = i, d
             x, y = (unpacked(p["small"], width) for p in (own, others))
-            lists, total = nearest(own["node"].to_numpy(np.int64), x, others["other"].to_numpy(np.int64), y, degree)
-            return pd.DataFrame({"node": own["node"], "block": own["block"], "neighbours": lists, "total": [total] + [0.0] * (len(own) - 1)})
+            held_i, held_d = nearest(own["node"].to_numpy(np.int64), x, others["other"].to_numpy(np.int64), y, held_i, held_d)
+            n = np.isfinite(held_d).sum(axis=1)
+            return own.assign(neighbours=[i[:k] for i, k in zip(held_i, n, strict=True)], d=[d[:k] for d, k in zip(held_d, n, strict=True)])
 
-        return stored(renamed(self.nodes).groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(meet, "node long, block long, neighbours array<long>, total double"))
+        return stored(renamed(state).groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(meet, STATE))
 
     def _edges(self, graph: DataFrame, reverse: int) -> DataFrame:
         """node, other: forward edges, and at most `reverse` reverse ones of each node."""
@@ -139,24 +152,27 @@ class Index:
         return forward.unionByName(back).distinct()
 
     def descend(self) -> DataFrame:
+        """The graph: node, neighbours. A block never meets a node twice: each turn brings only what is new to it."""
         at = self.nodes.select("node", "block")
+        none = F.array()
+        state = self.nodes.select("node", "block", "small", none.cast("array<long>").alias("neighbours"), none.cast("array<float>").alias("d"))
         # first acquaintances: a block's own nodes, those of cells that differ in one sign, and random ones, which tie cells together
-        cells = self.nodes.select("cell", "block").distinct()
         beside = [F.col("cell").bitwiseXOR(F.lit(1 << j)) for j in range(min(self.bits, PROBES))]
         any_ = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(1 << self.bits)) for j in range(2)]
-        first = self.nodes.select(F.col("node").alias("other"), "small", F.explode(F.array_distinct(F.array(F.col("cell"), *beside, *any_))).alias("cell"))
-        graph = self._measure(first.join(cells, "cell").select("block", "other", "small"))
-        last = graph.agg(F.sum("total")).first()[0] or 0.0
-        for turn in range(TURNS):
-            near = stored(self._edges(graph, BACK).join(at, "node").select("block", "other").distinct())
-            far = near.select("block", F.col("other").alias("node")).join(graph.select("node", F.explode(F.slice("neighbours", 1, NEAREST)).alias("other")), "node").select("block", "other")
-            wanted = near.unionByName(far).distinct().join(self.nodes.select(F.col("node").alias("other"), "small"), "other")
-            graph = self._measure(wanted)
-            now = graph.agg(F.sum("total"), F.sum(F.size("neighbours"))).first()
-            if turn and last - (now[0] or 0.0) <= CHANGE * last:
+        cells = self.nodes.select("node", F.explode(F.array_distinct(F.array(F.col("cell"), *beside, *any_))).alias("cell"))
+        new = stored(self._blocks(cells, "node").select("block", F.col("node").alias("other")).distinct())
+        met, last = new, math.inf
+        for turn in range(TURNS + 1):
+            state = self._measure(state, new.join(self.nodes.select(F.col("node").alias("other"), "small"), "other"))
+            now = state.agg(F.sum(F.aggregate("d", F.lit(0.0), lambda a, x: a + F.sqrt(x.cast("double"))))).first()[0] or 0.0
+            if turn == TURNS or (turn > 1 and last - now <= CHANGE * last):
                 break
-            last = now[0] or 0.0
-        return graph.select("node", "neighbours")
+            last = now
+            near = stored(self._edges(state, BACK).join(at, "node").select("block", "other").distinct())
+            far = near.select("block", F.col("other").alias("node")).join(state.select("node", F.explode(F.slice("neighbours", 1, NEAREST)).alias("other")), "node").select("block", "other")
+            new = stored(near.unionByName(far).distinct().join(met, ["block", "other"], "left_anti"))
+            met = stored(met.unionByName(new))
+        return state.select("node", "neighbours")
 
     def search(self, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
         """query_id, rank, vec_id, score. queries: vec_id, embedding."""
@@ -203,7 +219,7 @@ class Index:
                 out.append((team, query, nodes[order], d[order], open_[order]))
             return pd.DataFrame(out, columns=["team", "query", "nodes", "d", "open"])
 
-        entry = placed.join(self.nodes.select("cell", "block", F.col("node").alias("other")), "cell")
+        entry = self._blocks(placed, "query").join(self.nodes.select("block", F.col("node").alias("other")), "block")
         pool = self.nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(64).select("block", F.col("node").alias("other"))
         entry = entry.select("query", "team", "q", "block", "other").unionByName(placed.select("query", "team", "q").join(F.broadcast(pool)).select("query", "team", "q", "block", "other"))
         ask = entry.groupBy("block", "query").agg(F.collect_set("other").alias("others"), F.first("team").alias("team"), F.first("q").alias("q")).withColumn("bound", F.lit(float("inf")).cast("float"))
@@ -218,7 +234,7 @@ class Index:
             bound = F.when(F.size("nodes") >= beam, F.element_at("d", -1)).otherwise(F.lit(float("inf")).cast("float"))
             front = front.select("query", bound.alias("bound"), F.explode(F.transform("places", lambda i: F.get("nodes", i))).alias("node"))
             ask = front.join(edges, "node").groupBy("block", "query").agg(F.collect_set("other").alias("others"), F.first("bound").alias("bound")).join(placed.select("query", "team", "q"), "query")
-        found = state.select("query", F.explode(F.slice("nodes", 1, 4 * k + 8)).alias("node")).join(self.members, "node").join(good.select(F.col("node").alias("query"), F.col("vector").alias("target")), "query")
+        found = state.select("query", F.explode(F.slice("nodes", 1, 12 * k)).alias("node")).join(self.members, "node").join(good.select(F.col("node").alias("query"), F.col("vector").alias("target")), "query")
 
         @F.pandas_udf("double")
         def score(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ Two interpolated Kneser-Ney models, one of toxic and one of ordinary labelled te
 word and its end from up to four letters before. Counts of 5-grams and the weights of backing off from them are each class's own;
 all lower orders are continuation counts over both classes, so that rare expressions fall back to what the classes share. A
 text is scored by the models' log-likelihood ratio: over the whole text and over its most telling word, both normalised by
-length as well as summed for that word; a logistic curve, fitted on labelled rows left out of the counts, turns these into a score.
+length as well as summed for that word; a logistic curve, fitted on labelled rows left out of the counts (on labelled rows as they are, where those left out are all of one class), turns these into a score.
 
 Counting is one Spark aggregation over every labelled text that may be learned from. The rows of the logistic curve are measured
 by models without their counts; all other scores come from models with all counts. Each distinct 5-gram of the documents gets its
@@ -12,7 +12,7 @@ ratio once, by joins with the whole count tables of all orders, contexts' back-o
 (FREQUENT at most) are sent to the tasks; words with others meet their ratios in a join.
 
 Defined cases: letters are what Unicode counts as letters or digits, in lower case, numbered modulo 4,095; null and empty texts have
-no words and get the score of a text without evidence; null labels don't count; a doc_id labelled twice is toxic if any of its
+no words and get the share of toxic ones among the labelled; null labels don't count; a doc_id labelled twice is toxic if any of its
 labels is; rows with a null doc_id are scored, never learned from; repeated rows are scored each. With no usable labels at all
 every score is 0. Other columns play no part.
 """
@@ -218,7 +218,7 @@ def _measured(texts: list[str], known: np.ndarray, ratio: np.ndarray) -> tuple[l
 
 
 def features(docs: DataFrame, ratios: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """ka, kb (of a distinct text), and by each model (0: without held rows, 1: all) the ratio per event, that of the most telling
+    """ka, kb (of a distinct text), events, and by each model (0: without held rows, 1: all) the ratio per event, that of the most telling
     word, and the largest ratio per event of a word: a0, b0, c0, a1, b1, c1."""
     spark = docs.sparkSession
     size = F.floor(F.log2("n")).cast("int")
@@ -253,23 +253,24 @@ def features(docs: DataFrame, ratios: DataFrame, frequent: int = FREQUENT) -> Da
     words = words.drop("grams").unionByName(rest).groupBy("row", "ka", "kb", "word").agg(*[F.sum(c).alias(c) for c in ("events", "r0", "r1")])
     columns = {"events": F.col("events").cast("double")} | {f"{x}{m}": F.col(f"r{m}") / (F.col("events") if x == "c" else 1) for x in "abc" for m in (0, 1)}
     whole = rows.select("ka", "kb", *PARTS).unionByName(words.select("ka", "kb", *[v.alias(c) for c, v in columns.items()])).groupBy("ka", "kb").agg(*[(F.sum if c[0] in "ea" else F.max)(c).alias(c) for c in PARTS])
-    return whole.select("ka", "kb", *[F.coalesce(F.col(f"a{m}") / F.nullif("events", F.lit(0.0)), F.lit(0.0)).alias(f"a{m}") if x == "a" else F.coalesce(f"{x}{m}", F.lit(0.0)).alias(f"{x}{m}") for m in (0, 1) for x in "abc"])
+    return whole.select("ka", "kb", "events", *[F.coalesce(F.col(f"a{m}") / F.nullif("events", F.lit(0.0)), F.lit(0.0)).alias(f"a{m}") if x == "a" else F.coalesce(f"{x}{m}", F.lit(0.0)).alias(f"{x}{m}") for m in (0, 1) for x in "abc"])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic regression (constant first), by Newton's steps."""
-    a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
+    """Weights of a ridge logistic regression (constant first), by Newton's steps. The ridge counts weights of unit spread."""
     if len(y) == 0 or y.min() == y.max():
-        return np.array([0.0, 1.0, 1.0, 1.0])
-    penalty = np.diag([1e-6, 1e-2, 1e-2, 1e-2])
+        return np.array([0.0, 1.0, 0.0, 0.0])
+    spread = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a = np.column_stack([np.ones(len(x)), x / spread])
+    w = np.zeros(a.shape[1])
+    penalty = np.diag([1e-6, 0.1, 0.1, 0.1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w / np.concatenate(([1.0], spread))
 
 
 def fold(doc_id: Column) -> Column:
@@ -295,13 +296,22 @@ def score(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
     levels, usable = model
     asked = stored(docs.select("text").mapInArrow(_asked, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     measured = stored(features(docs, gram_ratios(asked, levels), frequent))
-    sample = rows.where("held = 1").select("toxic", *_keys())
-    got = sample.join(measured, ["ka", "kb"]).select("toxic", "a0", "b0", "c0").toPandas() if usable[0] else pd.DataFrame({c: [] for c in ("toxic", "a0", "b0", "c0")})
-    w = fit_curve(got[["a0", "b0", "c0"]].to_numpy(float), got["toxic"].to_numpy(float))
+
+    def measures(sample: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
+        got = sample.select("toxic", *_keys()).join(measured, ["ka", "kb"]).select("toxic", *[f"{x}{m}" for x in "abc"]).toPandas()
+        return got[[f"{x}{m}" for x in "abc"]].to_numpy(float), got["toxic"].to_numpy(float)
+
+    x, y = measures(rows.where("held = 1"), 0) if usable[0] else (np.empty((0, 3)), np.empty(0))
+    if len(set(y)) < 2:  # too few labels to leave rows of both classes out
+        part = min(1.0, calibration_rows / max(1, rows.count()))
+        x, y = measures(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(part * 1_000_000)), 1)
+    w = fit_curve(x, y)
     z = F.lit(float(w[0])) + sum(F.lit(float(v)) * F.col(c) for v, c in zip(w[1:], ("a1", "b1", "c1"), strict=True))
+    prior = min(max(rows.agg(F.avg("toxic")).first()[0] or 0.0, 1e-6), 1 - 1e-6)
+    z = F.when(F.col("events") > 0, z).otherwise(F.lit(float(np.log(prior / (1 - prior)))))  # no words: what labelled texts are on average
     scores = measured.select("ka", "kb", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("toxic_score"))
     ka, kb = _keys()
-    out = docs.withColumns({"_ka": ka, "_kb": kb}).join(bounded_broadcast(scores.withColumnsRenamed({"ka": "_ka", "kb": "_kb"})), ["_ka", "_kb"])
+    out = docs.withColumns({"#ka": ka, "#kb": kb}).join(bounded_broadcast(scores.withColumnsRenamed({"ka": "#ka", "kb": "#kb"})), ["#ka", "#kb"])
     return out.select(*[out[c] for c in docs.columns], "toxic_score")
 
 

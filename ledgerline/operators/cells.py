@@ -111,3 +111,23 @@ def page_lines(pages: DataFrame, least: int = 4) -> DataFrame:
     lines = pages.select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_idx", "line")).where(F.length(F.trim("line")) >= least)
     parts = T.split_numbers(F.col("line"))
     return lines.select("doc_id", "row_idx", F.concat(F.array(parts["label"]), parts["numbers"]).alias("cells"))
+
+
+#: Figures whose growth over the column beside them fills a growth field, by sheet.
+GROWTH_OF = {
+    "balance": {"asset_total_assets": "asset_total_assets_yoy_growth", "liability_total_liabilities": "liability_total_liabilities_yoy_growth"},
+    "income": {"total_operating_revenue": "operating_revenue_yoy_growth", "net_profit": "net_profit_yoy_growth"},
+    "cash": {"net_cash_flow": "net_cash_flow_yoy_growth"},
+}
+
+
+def with_adjacent_growth(records: DataFrame, sheet: str) -> DataFrame:
+    """C-10: growth fields that are missing or zero, from a figure and that of the column beside it (<figure>_previous)."""
+    out = {}
+    for figure, growth in GROWTH_OF[sheet].items():
+        if figure in records.columns and f"{figure}_previous" in records.columns:
+            before = F.nullif(F.col(f"{figure}_previous"), F.lit(0.0))
+            new = (F.col(figure) - before) / F.abs(before) * 100
+            old = F.col(growth) if growth in records.columns else F.lit(None).cast("double")
+            out[growth] = F.coalesce(F.nullif(old, F.lit(0.0)), new, old)
+    return records.withColumns(out)

@@ -51,10 +51,23 @@ def impute_cash(cash: DataFrame) -> DataFrame:
 
 
 def repair_cash(cash: DataFrame) -> DataFrame:
-    """D-14: a net flow of about zero gives way to the sum of large components."""
-    o, i, f = (F.col(f"{x}_cf_net_amount") for x in ("operating", "investing", "financing"))
-    total = o + i + f
-    return cash.withColumn("net_cash_flow", F.when((F.abs("net_cash_flow") <= 1e-3) & (F.greatest(F.abs(o), F.abs(i), F.abs(f)) > 1), total).otherwise(F.col("net_cash_flow")))
+    """D-14: where all three components are known, a net flow that is missing or far too small for them gives way to their sum; then
+    ratios that are missing, beyond 1,000, far from the flows, or of a replaced net flow are computed anew."""
+    flows = {x: F.col(f"{x}_cf_net_amount") for x in ("operating", "investing", "financing")}
+    total, net = sum(flows.values(), F.lit(0.0)), F.abs("net_cash_flow")
+    size = F.greatest(*[F.abs(c) for c in flows.values()], F.abs(total))
+    swap = total.isNotNull() & (net.isNull() | ((net <= 1e-3) & (size >= 100)) | ((net <= 1) & (size >= 10_000)))
+    out = cash.withColumn("#swap", swap).withColumn("net_cash_flow", F.when(F.col("#swap"), total).otherwise(F.col("net_cash_flow")))
+    known = F.coalesce(F.col("net_cash_flow") != 0, F.lit(False))
+
+    def ratio(x: str) -> Column:
+        name = f"{x}_cf_ratio_of_net_cf"
+        old = F.col(name) if name in cash.columns else F.lit(None).cast("double")
+        new = F.try_divide(flows[x], "net_cash_flow") * 100
+        bad = F.col("#swap") | old.isNull() | (F.abs(old) > 1000) | (F.abs(old - new) > F.greatest(F.lit(10.0), F.abs(new) * 0.2))
+        return F.when(known & flows[x].isNotNull() & bad, new).otherwise(old)
+
+    return out.withColumns({f"{x}_cf_ratio_of_net_cf": ratio(x) for x in flows}).drop("#swap")
 
 
 def field_rule(mode: str, direct: Column, reuse: Column | None = None, derived: Column | None = None) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +47,50 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 20_000, block: int = 1_000, part: int = 20_000) -> DataFrame:
-    """K-16: the k largest inner products. The query batch is broadcast if it has at most `limit` rows; beyond that, blocks of about
-    `block` queries meet parts of about `part` vectors in an equi-join, and k rows a query and part go on to the last rank."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    columns = ["query_id", "vec_id", "label", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score")]
-    order = [F.desc("score"), F.col("vec_id")]
-    if q.limit(limit + 1).count() <= limit:
-        scored = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select(*columns)
-    else:
-        n_blocks, n_parts = -(-q.count() // block), max(1, -(-vectors.count() // part))
-        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        asked = q.withColumn("block", dealt("query_id", n_blocks)).withColumn("part", every(n_parts))
-        met = vectors.withColumn("part", dealt("vec_id", n_parts)).withColumn("block", every(n_blocks)).join(asked, ["block", "part"])
-        own = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
-        scored = met.where("vec_id <> query_id").select(*columns, "part").withColumn("own", own).where(F.col("own") <= k).drop("own", "part")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each batch: its ids and its vectors as one matrix; shorter vectors end in zeros."""
+    for pdf in batches:
+        if len(pdf):
+            width = max(1, *map(len, pdf["embedding"]))
+            rows = np.zeros((len(pdf), width))
+            for i, x in enumerate(pdf["embedding"]):
+                rows[i, : len(x)] = x
+            yield pd.DataFrame([{"n": len(pdf), "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "rows": rows.tobytes(), "block": pdf["block"].iloc[0] if "block" in pdf else 0}])
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4_000, stripes: int = 32) -> DataFrame:
+    """K-16: the k largest inner products of each query with all vectors but its own: query_id, the columns of vectors but the
+    embedding, score, rank.
+
+    Blocks of about `block` queries meet batches of vectors in an equi-join, as products of matrices, and about k rows a query and batch go on to
+    the last rank. Scores are rounded to six digits, ties go to the smaller id; null vectors take no part."""
+    known = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()
+    slim = lambda df: df.where(known).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("embedding"))
+    q = slim(queries)
+    blocks = max(1, -(-q.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    packed = "n int, ids binary, rows binary, block int"
+    asked = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(lambda pdf: pd.concat(_packed(iter([pdf]))), packed)
+    asked = asked.select("block", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "rows")], every(stripes).alias("stripe"))
+    met = slim(vectors).mapInPandas(_packed, packed).select("n", "ids", "rows", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int").alias("stripe"), every(blocks).alias("block"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
+                a, c = np.frombuffer(r.q_rows).reshape(r.q_n, -1), np.frombuffer(r.rows).reshape(r.n, -1)
+                width = min(a.shape[1], c.shape[1])  # what lies beyond meets zeros
+                score = a[:, :width] @ c[:, :width].T
+                score[q_ids[:, None] == ids[None]] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q_ids), -np.inf)
+                i, j = np.nonzero((score >= least[:, None] - 1e-6) & (score > -np.inf))  # rounding may tie what is this near
+                yield pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[j], "score": score[i, j]})
+
+    found = asked.join(met, ["block", "stripe"]).mapInPandas(best, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6) + F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    hits = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    others = [c for c in vectors.columns if c not in ("vec_id", "embedding")]
+    return hits.join(vectors.select("vec_id", *others), "vec_id").select("query_id", "vec_id", *others, "score", "rank")
 
 
 def scoped(hits: DataFrame, wanted: Column, company: Column, topic: Column) -> DataFrame:
@@ -100,12 +131,52 @@ def source_counts(hits: DataFrame, kind: str) -> DataFrame:
 
 
 def companies(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """L-1: names that a question holds, found by the name tokens of the text (an equi-join, not a scan of all names)."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("Supplier#[0-9]{9}"), F.lit(0))))
-    found = questions.select("question_id", token.alias("stock_abbr")).join(names, "stock_abbr")
+    """L-1: codes of the names (stock_code, stock_abbr) that a question's text holds anywhere, of whatever form.
+
+    A text meets names by its pieces of each length that names have (a handful of lengths), in an equi-join."""
+    names = names.where("length(stock_abbr) > 0").select("stock_code", "stock_abbr").distinct()
+    lengths = [r[0] for r in names.select(F.length("stock_abbr")).distinct().collect()]  # as many rows as names have lengths
+    if not lengths:
+        lengths = [1]
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
+    of_length = lambda n: F.transform(starts(n), lambda i: F.substring("text", i, F.lit(n)))
+    pieces = F.array_distinct(F.flatten(F.array(*map(of_length, lengths))))
+    found = questions.select("question_id", F.explode(pieces).alias("stock_abbr")).join(names, "stock_abbr")
     return found.groupBy("question_id").agg(F.array_join(F.sort_array(F.collect_set("stock_code")), ",").alias("companies"))
 
 
+#: Events that a question may ask for, and what evidence of each must hold (one word of each group).
+EVENTS = (
+    (("资产重组",), (("资产重组", "重大资产重组", "控股股东变更", "控制权变更", "股权转让"),)),
+    (("商誉减值风险",), (("商誉",), ("减值",))),
+    (("应收账款回收风险",), (("应收账款",), ("回收风险", "回款风险", "回收不及预期"))),
+    (("FDA", "认证"), (("FDA",), ("认证",))),
+    (("集采",), (("集采", "中标"),)),
+    (("业绩预告",), (("业绩预告",),)),
+)
+
+
+def fits_event(question: Column, text: Column) -> Column:
+    """Whether a text holds what the first event in the question asks of it; true without an event."""
+    has = lambda c, words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    out = F.lit(True)
+    for asked, groups in reversed(EVENTS):
+        out = F.when(has(question, asked), reduce(lambda a, b: a & b, [has(text, g) for g in groups])).otherwise(out)
+    return out
+
+
+def evidence_companies(questions: DataFrame, evidence: DataFrame, names: DataFrame) -> DataFrame:
+    """K-29: companies of the stock reports that fit a question's event, in the order of the evidence, each once.
+
+    questions: question_id, text. evidence: question_id, place, source_type, company, title, snippet. names: stock_abbr."""
+    fitting = evidence.where("source_type = 'stock'").join(questions.select("question_id", F.col("text").alias("question")), "question_id")
+    fitting = fitting.where(fits_event(F.col("question"), F.concat_ws("\n", "title", "snippet")))
+    key = lambda c: F.lower(F.regexp_replace(c, r"[\s()（）]|股份有限公司$|有限公司$", ""))
+    known = names.select(F.col("stock_abbr").alias("name"), key(F.col("stock_abbr")).alias("key")).groupBy("key").agg(F.min("name").alias("name"))
+    found = fitting.withColumn("key", key(F.col("company"))).join(known, "key").groupBy("question_id", "name").agg(F.min("place").alias("place"))
+    return found.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("companies"))
+
+
 def slots(questions: DataFrame) -> DataFrame:
     """L-4 to L-8: period, top-n, threshold (in 10k), intent of each question."""
     t = F.col("text")

@@ -97,6 +97,10 @@ def overall(summary: DataFrame) -> DataFrame:
 def prechecks(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
     """R-20 to R-24: issues found before loading: key, rule. (R-17 to R-19 are required_fields, duplicate_keys, percentage_outliers.)"""
     x = balance.join(cash.drop("stock_abbr"), KEY, "full_outer").join(income.drop("stock_abbr"), KEY, "full_outer").join(kpi.select(*KEY, "gross_profit_margin", "net_profit_margin"), KEY, "full_outer")
+
+    def far(rule: str, ratio: str, part: Column, whole: Column, gap: float) -> dict[str, Column]:
+        return {rule: F.abs(F.try_divide(part, F.nullif(whole, F.lit(0.0))) * 100 - F.col(ratio)) > gap} if ratio in x.columns else {}
+
     col = F.col
     a, net = col("asset_total_assets"), col("net_cash_flow")
     flows = col("operating_cf_net_amount") + col("investing_cf_net_amount") + col("financing_cf_net_amount")
@@ -107,6 +111,9 @@ def prechecks(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataF
         "gross_margin_precheck": F.abs(col("gross_profit_margin") - F.try_divide((r - col("operating_expense_cost_of_sales")) * 100, r)) > 5,
         "net_margin_precheck": F.abs(col("net_profit_margin") - F.try_divide(col("net_profit") * 100, r)) > 5,
     }
+    found |= far("asset_liability_ratio_consistency", "asset_liability_ratio", col("liability_total_liabilities"), a, 5)
+    for flow in ("operating", "investing", "financing"):
+        found |= far(f"{flow}_cf_ratio_of_net_cf_consistency_precheck", f"{flow}_cf_ratio_of_net_cf", col(f"{flow}_cf_net_amount"), net, 10)
     return x.select(*KEY, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))).alias("rule"))
 
 

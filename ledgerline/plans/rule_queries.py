@@ -12,19 +12,30 @@ K = "stock_code, report_period, report_year"
 _r = f"""(CASE WHEN i.{REV} IS NULL THEN k.{REV} WHEN k.{REV} IS NULL THEN i.{REV}
   WHEN bi < bk OR (bi = bk AND abs(i.{REV}) >= abs(k.{REV})) THEN i.{REV} ELSE k.{REV} END)"""
 _b = lambda r: f"(CASE WHEN ({r} - i.{COST}) * 100 / nullif({r}, 0) BETWEEN -100 AND 100 THEN 0 ELSE 1 END + CASE WHEN i.{NP} * 100 / nullif({r}, 0) BETWEEN -100 AND 100 THEN 0 ELSE 1 END)"
+# single quarters of a figure at each period (a gap resets), and their growth over the quarter just before
+_growth = lambda c, n: f"""w{n} AS (SELECT stock_code, report_year, max(CASE WHEN report_period LIKE '%Q1' THEN {c} END) AS a1, max(CASE WHEN report_period LIKE '%H1' THEN {c} END) AS a2, max(CASE WHEN report_period LIKE '%Q3' THEN {c} END) AS a3, max(CASE WHEN report_period LIKE '%FY' THEN {c} END) AS a4 FROM income GROUP BY ALL),
+u{n} AS (SELECT stock_code, report_year, 'Q1' AS sfx, report_year * 4 AS at, a1 AS x FROM w{n} UNION ALL SELECT stock_code, report_year, 'H1', report_year * 4 + 1, a2 - a1 FROM w{n} UNION ALL SELECT stock_code, report_year, 'Q3', report_year * 4 + 2, a3 - a2 FROM w{n} UNION ALL SELECT stock_code, report_year, 'FY', report_year * 4 + 3, a4 - a3 FROM w{n}),
+g{n} AS (SELECT n.stock_code, n.report_year, concat(n.report_year, n.sfx) AS report_period, (n.x - b.x) * 100 / nullif(abs(b.x), 0) AS y FROM u{n} n JOIN u{n} b ON n.stock_code = b.stock_code AND n.at = b.at + 1)"""
 _rules = f""", j AS (SELECT {K}, i.{COST} AS cost, i.{NP} AS np, k.eps, k.roe, k.gross_profit_margin AS gpm, k.net_profit_margin AS npm, k.net_asset_per_share AS nav, k.operating_cf_per_share AS ocps,
-  b.{ASSETS} AS a, b.{LIAB} AS l, b.equity_total_equity AS e, c.operating_cf_net_amount AS o, c.investing_cf_net_amount AS v, c.financing_cf_net_amount AS f, c.net_cash_flow AS n, {_b(f'i.{REV}')} AS bi, {_b(f'k.{REV}')} AS bk, {_r} AS r
-  FROM income i FULL JOIN kpi k USING ({K}) FULL JOIN balance b USING ({K}) FULL JOIN cash c USING ({K})),
+  b.{ASSETS} AS a, b.{LIAB} AS l, b.equity_total_equity AS e, c.operating_cf_net_amount AS o, c.investing_cf_net_amount AS v, c.financing_cf_net_amount AS f, c.net_cash_flow AS n, c.operating_cf_ratio_of_net_cf AS ro, c.investing_cf_ratio_of_net_cf AS ri, c.financing_cf_ratio_of_net_cf AS rf, b.asset_liability_ratio AS al, {_b(f'i.{REV}')} AS bi, {_b(f'k.{REV}')} AS bk, {_r} AS r
+  FROM income i FULL JOIN kpi k USING ({K}) FULL JOIN balance2 b USING ({K}) FULL JOIN cash2 c USING ({K})),
 s AS (SELECT *, CASE WHEN np * 10000 / nullif(eps, 0) BETWEEN 1e6 AND 1e12 THEN np * 10000 / nullif(eps, 0) END AS sh, np * 100 / nullif(e, 0) AS xroe FROM j),
+{_growth(REV, 'r')}, {_growth(NP, 'p')},
+gy AS (SELECT {K}, (x - b) * 100 / nullif(abs(b), 0) AS y FROM (SELECT {K}, net_profit_excl_non_recurring AS x, last_value(net_profit_excl_non_recurring IGNORE NULLS) OVER (PARTITION BY stock_code, report_period[5:6] ORDER BY report_year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM kpi)),
 d AS (SELECT {K}, unnest([
   {{'rule': 'balance_equation', 'x': l + e, 'y': a, 't': 1.0, 'u': 0.02, 's': 'near'}}, {{'rule': 'cash_flow_equation', 'x': n, 'y': o + v + f, 't': 1.0, 'u': 0.03, 's': 'near'}},
   {{'rule': 'gross_profit_margin_consistency', 'x': gpm, 'y': (r - cost) * 100 / nullif(r, 0), 't': 3.0, 'u': 0.08, 's': 'near'}}, {{'rule': 'net_profit_margin_consistency', 'x': npm, 'y': np * 100 / nullif(r, 0), 't': 3.0, 'u': 0.08, 's': 'near'}},
   {{'rule': 'margin_order_consistency', 'x': npm, 'y': gpm, 't': 20.0, 'u': 0.0, 's': 'upper'}}, {{'rule': 'eps_net_profit_sign_consistency', 'x': CASE WHEN eps <> 0 AND np <> 0 THEN eps END, 'y': np, 't': 0.0, 'u': 0.0, 's': 'sign'}},
   {{'rule': 'roe_consistency', 'x': CASE WHEN report_period LIKE '%FY' AND e > 0 AND abs(roe) <= 100 AND abs(xroe) <= 100 AND roe * xroe > 0 THEN roe END, 'y': xroe, 't': 8.0, 'u': 0.8, 's': 'near'}},
-  {{'rule': 'net_asset_per_share_consistency', 'x': nav, 'y': e * 10000 / sh, 't': 0.2, 'u': 0.08, 's': 'near'}}, {{'rule': 'operating_cf_per_share_consistency', 'x': ocps, 'y': o * 10000 / sh, 't': 0.2, 'u': 0.08, 's': 'near'}}], recursive := true) FROM s),
+  {{'rule': 'net_asset_per_share_consistency', 'x': nav, 'y': e * 10000 / sh, 't': 0.2, 'u': 0.08, 's': 'near'}}, {{'rule': 'operating_cf_per_share_consistency', 'x': ocps, 'y': o * 10000 / sh, 't': 0.2, 'u': 0.08, 's': 'near'}},
+  {{'rule': 'operating_cf_ratio_consistency', 'x': ro, 'y': o * 100 / nullif(n, 0), 't': 2.0, 'u': 0.05, 's': 'near'}}, {{'rule': 'investing_cf_ratio_consistency', 'x': ri, 'y': v * 100 / nullif(n, 0), 't': 2.0, 'u': 0.05, 's': 'near'}},
+  {{'rule': 'financing_cf_ratio_consistency', 'x': rf, 'y': f * 100 / nullif(n, 0), 't': 2.0, 'u': 0.05, 's': 'near'}}, {{'rule': 'asset_liability_ratio_consistency', 'x': al, 'y': l * 100 / nullif(a, 0), 't': 1.0, 'u': 0.02, 's': 'near'}}], recursive := true) FROM s
+  UNION ALL SELECT {K}, 'operating_revenue_qoq_consistency', operating_revenue_qoq_growth, y, 5.0, 0.15, 'near' FROM kpi2 JOIN gr USING ({K})
+  UNION ALL SELECT {K}, 'net_profit_qoq_consistency', net_profit_qoq_growth, y, 5.0, 0.15, 'near' FROM kpi2 JOIN gp USING ({K})
+  UNION ALL SELECT {K}, 'net_profit_excl_non_recurring_yoy_consistency', net_profit_excl_non_recurring_yoy, y, 5.0, 0.15, 'near' FROM kpi2 JOIN gy USING ({K})),
 det AS (SELECT {K}, rule, x AS actual, y AS expected, abs(x - y) AS difference, CASE s WHEN 'upper' THEN x <= y + t WHEN 'sign' THEN x * y > 0 ELSE abs(x - y) <= t OR abs(x - y) / greatest(abs(y), 1.0) <= u END AS passed FROM d WHERE x IS NOT NULL AND y IS NOT NULL),
 sm AS (SELECT rule, count(*) AS applicable, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed FROM det GROUP BY 1)"""
-detail = lambda s: R.accounting_rules(s["income"], s["kpi"], s["balance"], s["cash"])
+detail = lambda s: R.accounting_rules(s["income"], s["kpi2"], s["balance2"], s["cash2"])
 _on_sheets("r1_r13_rule_detail", detail, _rules + " SELECT * FROM det")
 _on_sheets("e12_rule_summary", lambda s: R.rule_summary(detail(s)), _rules + " SELECT *, round(passed / applicable, 4) AS pass_rate FROM sm")
 _on_sheets("e12_overall", lambda s: R.overall(R.rule_summary(detail(s))), _rules + " SELECT count(*) AS rules, sum(applicable)::BIGINT AS applicable, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed FROM sm")
@@ -32,11 +43,13 @@ _on_sheets("r17_required_fields", lambda s: R.required_fields(s["income"], ["sto
 _on_sheets("r18_duplicate_keys", lambda s: R.duplicate_keys(s["income"].unionByName(s["income"].where("report_year = 1995"))), f"SELECT {K}, count(*) AS n FROM (SELECT * FROM income UNION ALL SELECT * FROM income WHERE report_year = 1995) GROUP BY ALL HAVING count(*) > 1")
 _on_sheets(
     "r20_r24_prechecks",
-    lambda s: R.prechecks(s["income"], s["kpi"], s["balance"], s["cash"]),
-    f""", x AS (SELECT {K}, b.{ASSETS} AS a, b.{LIAB} AS l, b.equity_total_equity AS e, c.net_cash_flow AS n, c.operating_cf_net_amount + c.investing_cf_net_amount + c.financing_cf_net_amount AS fl, i.{REV} AS r, i.{COST} AS cost, i.{NP} AS np, k.gross_profit_margin AS g, k.net_profit_margin AS m
-FROM balance b FULL JOIN cash c USING ({K}) FULL JOIN income i USING ({K}) FULL JOIN kpi k USING ({K}))
+    lambda s: R.prechecks(s["income"], s["kpi"], s["balance2"], s["cash2"]),
+    f""", x AS (SELECT {K}, b.{ASSETS} AS a, b.{LIAB} AS l, b.equity_total_equity AS e, c.net_cash_flow AS n, c.operating_cf_net_amount + c.investing_cf_net_amount + c.financing_cf_net_amount AS fl, i.{REV} AS r, i.{COST} AS cost, i.{NP} AS np, k.gross_profit_margin AS g, k.net_profit_margin AS m, b.asset_liability_ratio AS al, c.operating_cf_net_amount AS o, c.investing_cf_net_amount AS v, c.financing_cf_net_amount AS fi, c.operating_cf_ratio_of_net_cf AS ro, c.investing_cf_ratio_of_net_cf AS ri, c.financing_cf_ratio_of_net_cf AS rf
+FROM balance2 b FULL JOIN cash2 c USING ({K}) FULL JOIN income i USING ({K}) FULL JOIN kpi k USING ({K}))
 SELECT {K}, 'balance_equation_precheck' AS rule FROM x WHERE abs(l + e - a) > greatest(100, abs(a) * 0.02) UNION ALL SELECT {K}, 'cash_flow_equation_precheck' FROM x WHERE abs(n - fl) > greatest(100, abs(n) * 0.05)
-UNION ALL SELECT {K}, 'gross_margin_precheck' FROM x WHERE abs(g - (r - cost) * 100 / nullif(r, 0)) > 5 UNION ALL SELECT {K}, 'net_margin_precheck' FROM x WHERE abs(m - np * 100 / nullif(r, 0)) > 5""",
+UNION ALL SELECT {K}, 'gross_margin_precheck' FROM x WHERE abs(g - (r - cost) * 100 / nullif(r, 0)) > 5 UNION ALL SELECT {K}, 'net_margin_precheck' FROM x WHERE abs(m - np * 100 / nullif(r, 0)) > 5
+UNION ALL SELECT {K}, 'asset_liability_ratio_consistency' FROM x WHERE abs(l / nullif(a, 0) * 100 - al) > 5 UNION ALL SELECT {K}, 'operating_cf_ratio_of_net_cf_consistency_precheck' FROM x WHERE abs(o / nullif(n, 0) * 100 - ro) > 10
+UNION ALL SELECT {K}, 'investing_cf_ratio_of_net_cf_consistency_precheck' FROM x WHERE abs(v / nullif(n, 0) * 100 - ri) > 10 UNION ALL SELECT {K}, 'financing_cf_ratio_of_net_cf_consistency_precheck' FROM x WHERE abs(fi / nullif(n, 0) * 100 - rf) > 10""",
 )
 _on_sheets("e8_anomalies", lambda s: R.anomalies(s["kpi"]).select(*KEY, "field", "value", "anomaly"), f"SELECT {K}, 'gross_profit_margin' AS field, gross_profit_margin AS value, 'percentage' AS anomaly FROM kpi WHERE abs(gross_profit_margin) > 1000 UNION ALL SELECT {K}, 'net_profit_margin', net_profit_margin, 'percentage' FROM kpi WHERE abs(net_profit_margin) > 1000")
 _on_sheets("e9_anomaly_counts", lambda s: R.anomaly_counts(R.anomalies(s["kpi"])), "SELECT 'gross_profit_margin' AS field, 'percentage' AS anomaly, count(*) AS n FROM kpi WHERE abs(gross_profit_margin) > 1000 HAVING count(*) > 0 UNION ALL SELECT 'net_profit_margin', 'percentage', count(*) FROM kpi WHERE abs(net_profit_margin) > 1000 HAVING count(*) > 0")

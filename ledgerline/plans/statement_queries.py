@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import periods as D
 from ..operators import shapes as S
 from ..operators import view as V
-from ..sources.statements import KEY, ORACLE_BASE, sheet
+from ..sources.statements import KEY, ORACLE_BASE, sheets
 
 FLOWS = V.FLOWS
 REV, NP, COST, ASSETS, LIAB, INV = "total_operating_revenue", "net_profit", "operating_expense_cost_of_sales", "asset_total_assets", "liability_total_liabilities", "asset_inventory"
@@ -33,12 +33,9 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 O: dict[str, str] = {}
 
 
-def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: sheet(spark, sf_dir, n) for n in ("income", "kpi", "balance", "cash")}
-
-
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.wide(**sheets(spark, sf_dir))
+    s = sheets(spark, sf_dir)
+    return V.wide(*[s[n] for n in ("income", "kpi", "balance", "cash")])
 
 
 def _on_view(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -75,7 +72,12 @@ o AS (SELECT * REPLACE (coalesce(operating_cf_net_amount, net_cash_flow - invest
 i AS (SELECT * REPLACE (coalesce(investing_cf_net_amount, net_cash_flow - operating_cf_net_amount - financing_cf_net_amount) AS investing_cf_net_amount) FROM o),
 f AS (SELECT * REPLACE (coalesce(financing_cf_net_amount, net_cash_flow - operating_cf_net_amount - investing_cf_net_amount) AS financing_cf_net_amount) FROM i)"""
 _on_sheets("d4_cash_imputation", lambda s: D.impute_cash(s["cash"]).drop("stock_abbr"), _cf + " SELECT * EXCLUDE (stock_abbr), " + ", ".join(f"{x}_cf_net_amount * 100 / nullif(net_cash_flow, 0) AS {x}_cf_ratio_of_net_cf" for x in ("operating", "investing", "financing")) + " FROM f")
-_on_sheets("d14_cash_repair", lambda s: D.repair_cash(s["cash"]).select(*KEY, "net_cash_flow"), "SELECT stock_code, report_period, report_year, CASE WHEN abs(net_cash_flow) <= 1e-3 AND greatest(abs(operating_cf_net_amount), abs(investing_cf_net_amount), abs(financing_cf_net_amount)) > 1 THEN operating_cf_net_amount + investing_cf_net_amount + financing_cf_net_amount ELSE net_cash_flow END AS net_cash_flow FROM cash")
+_parts = ("operating", "investing", "financing")
+_sum = " + ".join(f"{x}_cf_net_amount" for x in _parts)
+_big = "greatest(" + ", ".join(f"abs({x}_cf_net_amount)" for x in _parts) + f", abs({_sum}))"
+_fixed = f", w AS (SELECT *, ({_sum}) IS NOT NULL AND (net_cash_flow IS NULL OR (abs(net_cash_flow) <= 1e-3 AND {_big} >= 100) OR (abs(net_cash_flow) <= 1 AND {_big} >= 10000)) AS swap FROM cash2), x AS (SELECT * REPLACE (CASE WHEN swap THEN {_sum} ELSE net_cash_flow END AS net_cash_flow) FROM w)"
+_ratio = lambda x: f"CASE WHEN net_cash_flow IS NULL OR net_cash_flow = 0 OR {x}_cf_net_amount IS NULL THEN {x}_cf_ratio_of_net_cf WHEN swap OR {x}_cf_ratio_of_net_cf IS NULL OR abs({x}_cf_ratio_of_net_cf) > 1000 OR abs({x}_cf_ratio_of_net_cf - {x}_cf_net_amount / net_cash_flow * 100) > greatest(10, abs({x}_cf_net_amount / net_cash_flow * 100) * 0.2) THEN {x}_cf_net_amount / net_cash_flow * 100 ELSE {x}_cf_ratio_of_net_cf END AS {x}_cf_ratio_of_net_cf"
+_on_sheets("d14_cash_repair", lambda s: D.repair_cash(s["cash2"]).select(*KEY, "net_cash_flow", *[f"{x}_cf_ratio_of_net_cf" for x in _parts]), f"{_fixed} SELECT stock_code, report_period, report_year, net_cash_flow, {', '.join(map(_ratio, _parts))} FROM x")
 
 
 def _d7(s: dict[str, DataFrame]) -> DataFrame:
@@ -120,9 +122,9 @@ _three = ["1995Q3", "1996Q3", "1997Q3"]
 _in3 = "report_period IN ('1995Q3', '1996Q3', '1997Q3')"
 _on_view("q3_consecutive_above", lambda v: S.consecutive_above(v, _three, [REV, NP], [10.0, -5.0]), f"SELECT {W}, report_period, {REV}, {NP} FROM v WHERE {_in3} AND stock_code IN (SELECT stock_code FROM v WHERE {_in3} AND {REV} > 10 AND {NP} > -5 GROUP BY 1 HAVING count(DISTINCT report_period) = 3)")
 _on_view("q4_always_positive", lambda v: S.always_positive(v, _three, NP), f"SELECT {W}, min({NP}) AS least FROM v WHERE {_in3} GROUP BY ALL HAVING count(*) = 3 AND min({NP}) > 0")
-_cagr = f", c AS (SELECT {W}, max(CASE WHEN report_period = '1994Q3' THEN {REV} END) AS a, max(CASE WHEN {_p} THEN {REV} END) AS b FROM v GROUP BY {W}), g AS (SELECT {W}, (pow(b / a, 1.0 / 3) - 1) * 100 AS cagr FROM c WHERE a > 0 AND b > 0)"
-_on_view("q5_cagr", lambda v: S.cagr(v, "1994Q3", P, 3, REV), _cagr + " SELECT * FROM g")
-_on_view("q6_cagr_histogram", lambda v: S.cagr_histogram(v, "1994Q3", P, 3, REV), _cagr + " SELECT (floor(cagr / 10) * 10)::BIGINT AS bin, count(*) AS companies FROM g WHERE (SELECT count(*) FROM g) >= 2 GROUP BY 1")
+_cagr = f", c AS (SELECT {W}, max(CASE WHEN report_period = '1995Q3' THEN {REV} END) AS a, max(CASE WHEN report_period = '1998Q3' THEN {REV} END) AS b FROM v GROUP BY {W}), g AS (SELECT {W}, (pow(b / a, 1.0 / 3) - 1) * 100 AS cagr FROM c WHERE a > 0 AND b > 0)"
+_on_view("q5_cagr", lambda v: S.cagr(v, "1995Q3", "1998Q3", 3, REV), _cagr + " SELECT * FROM g")
+_on_view("q6_cagr_histogram", lambda v: S.cagr_histogram(v, "1995Q3", "1998Q3", 3, REV), _cagr + " SELECT (floor(cagr / 10) * 10)::BIGINT AS bin, count(*) AS companies FROM g WHERE (SELECT count(*) FROM g) >= 2 GROUP BY 1")
 _on_view("q7_count_companies", lambda v: S.count_companies(v, P, F.col(NP) > 0), f"SELECT count(DISTINCT stock_code) AS companies FROM v WHERE {_p} AND {NP} > 0")
 _on_view("q8_screen", lambda v: S.screen(v, P, [F.col(REV) > 50, F.col(NP) < 0], [REV, NP]), f"SELECT {W}, {REV}, {NP} FROM v WHERE {_p} AND {REV} > 50 AND {NP} < 0")
 _on_view("q9_cumulative_qoq", lambda v: S.cumulative_qoq(v, 1997, REV), f", x AS (SELECT {W}, max(CASE WHEN report_period = '1997Q1' THEN {REV} END) AS a, max(CASE WHEN report_period = '1997H1' THEN {REV} END) AS b, max(CASE WHEN {_p} THEN {REV} END) AS c FROM v GROUP BY {W}) SELECT {W}, b - a AS q2, c - b AS third, ((c - b) - (b - a)) * 100 / nullif(abs(b - a), 0) AS growth FROM x WHERE b - a IS NOT NULL AND c - b IS NOT NULL")

@@ -1,12 +1,16 @@
-"""The four statement sheets, derived from the order tables (FIXTURES.md): one SQL text for Spark and for DuckDB."""
+"""The four statement sheets, derived from the order tables (FIXTURES.md): one SQL text for Spark and for DuckDB.
+
+The base is computed once for each query and kept in the shared folder; the sheets are projections of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import stored
+
 KEY = ["stock_code", "report_period", "report_year"]
 
-BASE = """
+FACTS = """
 q AS (
   SELECT l_suppkey, CAST(extract(year FROM l_shipdate) AS INT) AS yr, CAST(extract(quarter FROM l_shipdate) AS INT) AS qt,
     SUM(CAST(l_extendedprice*(1-l_discount) AS DECIMAL(18,4))) AS rev, SUM(CAST(l_quantity*p_retailprice*0.5 AS DECIMAL(18,4))) AS cost,
@@ -24,7 +28,8 @@ base AS (
     CAST(SUM(rev) AS DOUBLE)/10000 AS revenue, CAST(SUM(cost) AS DOUBLE)/10000 AS cost, CAST(SUM(sell) AS DOUBLE)/10000 AS selling,
     CAST(SUM(rnd) AS DOUBLE)/10000 AS rnd, CAST(SUM(np) AS DOUBLE)/10000 AS net_profit, CAST(SUM(ocf) AS DOUBLE)/10000 AS ocf,
     CAST(SUM(icf) AS DOUBLE)/10000 AS icf, CAST(SUM(fcf) AS DOUBLE)/10000 AS fcf, CAST(SUM(liab) AS DOUBLE)/10000 AS liab
-  FROM q JOIN p ON qt <= maxq WHERE (l_suppkey*7 + yr*3 + maxq) % 13 <> 0 GROUP BY l_suppkey, yr, sfx),
+  FROM q JOIN p ON qt <= maxq WHERE (l_suppkey*7 + yr*3 + maxq) % 13 <> 0 GROUP BY l_suppkey, yr, sfx)"""
+SHEETS = """
 income AS (
   SELECT stock_code, stock_abbr, report_period, report_year, CASE WHEN (k + report_year) % 17 = 0 THEN NULL ELSE revenue END AS total_operating_revenue,
     cost AS operating_expense_cost_of_sales, selling AS operating_expense_selling_expenses, rnd AS operating_expense_rnd_expenses, net_profit FROM base),
@@ -42,15 +47,41 @@ balance AS (
     CASE WHEN k % 3 = 0 THEN NULL ELSE liab * 0.1 END AS liability_contract_liabilities, liab * 0.2 AS liability_advance_from_customers FROM base),
 cash AS (
   SELECT stock_code, stock_abbr, report_period, report_year,
-    CASE WHEN (k + report_year) % 4 = 1 THEN NULL ELSE ocf END AS operating_cf_net_amount, CASE WHEN (k + report_year) % 4 = 2 THEN NULL ELSE icf END AS investing_cf_net_amount,
-    CASE WHEN (k + report_year) % 4 = 3 THEN NULL ELSE fcf END AS financing_cf_net_amount,
-    CASE WHEN (k + report_year) % 4 = 0 THEN NULL WHEN k % 37 = 0 THEN 0 WHEN k % 9 = 0 THEN (ocf + icf + fcf) * 1.5 ELSE ocf + icf + fcf END AS net_cash_flow FROM base)
+    CASE WHEN (k + report_year) % 5 = 1 THEN NULL ELSE ocf END AS operating_cf_net_amount, CASE WHEN (k + report_year) % 5 = 2 THEN NULL ELSE icf END AS investing_cf_net_amount,
+    CASE WHEN (k + report_year) % 5 = 3 THEN NULL ELSE fcf END AS financing_cf_net_amount,
+    CASE WHEN (k + report_year) % 5 = 4 THEN NULL WHEN k % 37 = 0 THEN 0 WHEN k % 9 = 0 THEN (ocf + icf + fcf) * 1.5 ELSE ocf + icf + fcf END AS net_cash_flow FROM base),
+balance2 AS (
+  SELECT b.*, CASE WHEN CAST(stock_code AS INT) % 11 = 0 THEN 9 ELSE 0 END + liability_total_liabilities * 100 / nullif(asset_total_assets, 0) AS asset_liability_ratio FROM balance b),
+cash2 AS (
+  SELECT c.*, CASE WHEN (CAST(stock_code AS INT) + report_year) % 7 = 0 THEN 60 ELSE 0 END + operating_cf_net_amount * 100 / nullif(net_cash_flow, 0) AS operating_cf_ratio_of_net_cf,
+    CASE WHEN (CAST(stock_code AS INT) + report_year) % 8 = 0 THEN 60 ELSE 0 END + investing_cf_net_amount * 100 / nullif(net_cash_flow, 0) AS investing_cf_ratio_of_net_cf,
+    CASE WHEN (CAST(stock_code AS INT) + report_year) % 11 = 0 THEN 60 ELSE 0 END + financing_cf_net_amount * 100 / nullif(net_cash_flow, 0) AS financing_cf_ratio_of_net_cf FROM cash c),
+single AS (
+  SELECT *, CASE period_suffix WHEN 'Q1' THEN 1 WHEN 'H1' THEN 2 WHEN 'Q3' THEN 3 ELSE 4 END AS place, net_profit * 0.9 AS excl,
+    revenue - coalesce(lag(revenue) OVER (PARTITION BY stock_code, report_year ORDER BY CASE period_suffix WHEN 'Q1' THEN 1 WHEN 'H1' THEN 2 WHEN 'Q3' THEN 3 ELSE 4 END), 0) AS r1,
+    net_profit - coalesce(lag(net_profit) OVER (PARTITION BY stock_code, report_year ORDER BY CASE period_suffix WHEN 'Q1' THEN 1 WHEN 'H1' THEN 2 WHEN 'Q3' THEN 3 ELSE 4 END), 0) AS p1 FROM base),
+before AS (
+  SELECT stock_code, report_period, report_year, r1, p1, excl, lag(r1) OVER (PARTITION BY stock_code ORDER BY report_year, place) AS r0, lag(p1) OVER (PARTITION BY stock_code ORDER BY report_year, place) AS p0,
+    lag(excl) OVER (PARTITION BY stock_code, period_suffix ORDER BY report_year) AS e0 FROM single),
+kpi2 AS (
+  SELECT k.*, (r1 - r0) * 100 / nullif(abs(r0), 0) AS operating_revenue_qoq_growth, (p1 - p0) * 100 / nullif(abs(p0), 0) AS net_profit_qoq_growth,
+    (excl - e0) * 100 / nullif(abs(e0), 0) + CASE WHEN (CAST(k.stock_code AS INT) + k.report_year) % 6 = 0 THEN 400 ELSE 0 END AS net_profit_excl_non_recurring_yoy
+  FROM kpi k JOIN before b ON k.stock_code = b.stock_code AND k.report_period = b.report_period)
 """
+BASE = FACTS + "," + SHEETS
 #: The same for DuckDB, where the tables are views of these names.
 ORACLE_BASE = BASE.replace("{lineitem}", "lineitem").replace("{part}", "part")
+#: What `sheets` offers. The last three are the sheets with growth and ratio columns.
+NAMES = ("income", "kpi", "balance", "cash", "kpi2", "balance2", "cash2")
 
 
-def sheet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of base, income, kpi, balance, cash."""
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each company and cumulative period, computed once and stored."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return spark.sql(f"WITH {BASE} SELECT * FROM {name}", lineitem=read("lineitem"), part=read("part"))
+    return stored(spark.sql(f"WITH {FACTS} SELECT * FROM base", lineitem=read("lineitem"), part=read("part")))
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The sheets by name, projections of one stored base."""
+    base = facts(spark, sf_dir)
+    return {n: spark.sql(f"WITH {SHEETS.replace('FROM base', 'FROM {base}')} SELECT * FROM {n}", base=base) for n in NAMES}

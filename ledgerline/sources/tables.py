@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "source_name string, stock_code string, stock_abbr string, year string, report_year string, period_norm string, report_period string, is_english_version string, selected string"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder (spark.checkpoint.dir; a local one only where that is unset), computed once."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/ledgerline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A-1: selected reports that are no English versions, with codes padded and years and periods from either column."""
     rows = spark.read.schema(MANIFEST).option("header", True).csv(path)

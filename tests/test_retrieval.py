@@ -13,7 +13,7 @@ def test_top_k_of_many_queries_meets_in_blocks(spark):
     r = random.Random(3)
     rows = [(i, [r.randint(-8, 8) / 4 for _ in range(5)], i % 3) for i in range(60)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    out = K.exact_top_k(vectors, vectors.where("vec_id % 2 = 0"), 4, limit=5, block=4, part=7)
+    out = K.exact_top_k(vectors, vectors.where("vec_id % 2 = 0"), 4, block=4, stripes=3)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     want = set()
@@ -23,3 +23,25 @@ def test_top_k_of_many_queries_meets_in_blocks(spark):
     got = [tuple(x) for x in out.select("query_id", "vec_id", "label", "score", "rank").collect()]
     assert len(got) == len(want) and {x[:3] + x[4:] for x in got} == {x[:3] + x[4:] for x in want}
     assert sorted(x[3] for x in got) == pytest.approx(sorted(x[3] for x in want))
+
+
+def test_top_k_rounds_before_it_ranks(spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, [0.5000004, 0.0], "b"), (2, [0.4999996, 1.0], "c"), (3, [0.4], "d"), (4, None, "e"), (5, [], "f")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    out = K.exact_top_k(vectors, vectors.where("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"], r["label"]) for r in out] == [(1, 0.5, "b"), (2, 0.5, "c"), (3, 0.4, "d")]
+    assert K.exact_top_k(vectors, vectors.where("false"), 3).count() == 0
+
+
+def test_names_of_any_form_are_found(spark):
+    names = spark.createDataFrame([("1", "云南白药"), ("2", "Ali Health"), ("3", "白药"), ("4", "")], "stock_code string, stock_abbr string")
+    asked = spark.createDataFrame([(1, "云南白药2023年利润"), (2, "比较Ali Health与白药"), (3, "无"), (4, None)], "question_id long, text string")
+    assert {r["question_id"]: r["companies"] for r in K.companies(asked, names).collect()} == {1: "1,3", 2: "2,3"}
+
+
+def test_companies_come_from_fitting_stock_evidence(spark):
+    asked = spark.createDataFrame([(1, "哪些公司有商誉减值风险"), (2, "有哪些公司")], "question_id long, text string")
+    rows = [(q, i, kind, c, t, "") for q in (1, 2) for i, kind, c, t in [(1, "stock", "B 公司", "商誉 减值"), (2, "industry", "A", "商誉减值"), (3, "stock", "A", "商誉"), (4, "stock", "b公司", "商誉减值"), (5, "stock", "none", "x")]]
+    evidence = spark.createDataFrame(rows, "question_id long, place int, source_type string, company string, title string, snippet string")
+    names = spark.createDataFrame([("A",), ("B公司",)], "stock_abbr string")
+    assert {r["question_id"]: r["companies"] for r in K.evidence_companies(asked, evidence, names).collect()} == {1: ["B公司"], 2: ["B公司", "A"]}

@@ -6,8 +6,8 @@ form's SHA-256 is joined with a table of known texts' digests, which is broadcas
 licenses of up to a page as whole texts, with and without their titles, and the usual notices of longer ones; whole texts of any
 length come from a table or a folder of license files (`known_files`).
 
-Only lines that may be a known text are brought to canonical form: each known text offers a word that no spelling rule touches,
-and a line without any of those words can't have its digest. If a known text has no such word all lines go on.
+Only lines that may be a known text are brought to canonical form: a few words are chosen, none of which a spelling rule touches, so
+that each known text has one of them, and a line without any of them can't be a known text. If a text has no such word all lines go on.
 
 Defined cases: null and empty texts, and texts of no letters or digits, have the digest of the empty form and no license, as has
 a text that is nothing but a copyright line; rows that repeat a doc_id share what is found in any of them; rows with a null doc_id
@@ -16,10 +16,12 @@ are returned without licenses; an empty table gives no rows. Other columns play
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast
+from .common import bounded_broadcast, stored
 
 MIT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -80,12 +82,11 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, rows: DataFrame | None = None) -> DataFrame:
-    """license, digest, word (one that the text's lines hold in any spelling, or null) of rows (license, text), the built-in ones if None."""
+    """license, digest, words (those that the text's lines hold in any spelling) of rows (license, text), the built-in ones if None."""
     rows = spark.createDataFrame(texts(), "license string, text string") if rows is None else rows.select("license", "text")
     touched = [b for _, b in SPELLINGS if b.strip().isalpha()] + ["http"]
     free = F.filter(F.split(canonical(F.col("text")), " "), lambda w: (F.length(w) >= 4) & w.rlike("^[a-z]+$") & ~w.rlike("|".join(x.strip() for x in touched)))
-    longest = F.array_max(F.transform(free, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return rows.select("license", digest(F.col("text")).alias("digest"), longest.alias("word"))
+    return rows.select("license", digest(F.col("text")).alias("digest"), F.array_distinct(free).alias("words"))
 
 
 def known_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,20 +99,39 @@ def known_files(spark: SparkSession, folder: str) -> DataFrame:
 FILTERED = 10_000
 
 
+def cover(texts_: list[list[str]]) -> list[str] | None:
+    """Few words of which each text has one; None if a text has no word."""
+    left, out = [set(t) for t in texts_], []
+    while left:
+        if not all(left):
+            return None
+        counts: dict[str, int] = {}
+        for t in left:
+            for w in t:
+                counts[w] = counts.get(w, 0) + 1
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        out.append(best)
+        left = [t for t in left if best not in t]
+    return out
+
+
 def scan(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """doc_id, digest (of the whole document), n_matches, licenses (distinct, ascending, comma-joined) of each row of docs.
 
-    table: license, digest, word of the known texts; the built-in ones if it is None."""
+    table: license, digest, words of the known texts; the built-in ones if it is None. Lines are not sought by words if it has no words."""
     docs = docs.select("doc_id", "text")
     table = known(docs.sparkSession) if table is None else table
-    words = [r["word"] for r in table.select("word").distinct().limit(FILTERED + 1).collect()] if "word" in table.columns else [None]
-    pattern = "|".join(sorted(words)) if None not in words and len(words) <= FILTERED else ""  # the empty pattern is in every line
+    listed = [r["words"] for r in table.select("words").limit(FILTERED + 1).collect()] if "words" in table.columns else []
+    words = cover(listed) if len(listed) <= FILTERED and "words" in table.columns else None
     table = bounded_broadcast(table.select("license", "digest").distinct())
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) < F.length("text")) & F.lower(x).rlike(pattern))
-    units = docs.where("doc_id is not null").select("doc_id", F.explode(F.concat(F.array("text"), lines)).alias("unit"))
-    found = units.select("doc_id", digest(F.col("unit")).alias("digest")).join(table, "digest")
+    maybe = lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words], F.lit(False)) if words is not None else F.lit(True)
+    low = F.lower("text")
+    lines = F.filter(F.split(low, "\n"), lambda x: maybe(x) & (F.length(x) < F.length(low)))
+    whole = stored(docs.select("doc_id", digest(F.col("text")).alias("digest")))
+    units = docs.where("doc_id is not null").select("doc_id", F.explode(lines).alias("unit")).select("doc_id", digest(F.col("unit")).alias("digest"))
+    found = units.unionByName(whole.where("doc_id is not null")).join(table, "digest")
     found = found.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
-    out = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(found, "doc_id", "left")
+    out = whole.join(found, "doc_id", "left")
     return out.select("doc_id", "digest", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"))
 
 

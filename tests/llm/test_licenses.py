@@ -28,7 +28,8 @@ def test_letters_of_all_scripts_count(spark):
 
 def test_lines_without_a_known_word_are_passed_over_only_if_they_cannot_match(spark):
     table = licenses.known(spark, spark.createDataFrame([("A", "Use at will"), ("B", "No")], "license string, text string"))
-    assert {r["license"]: r["word"] for r in table.collect()} == {"A": "will", "B": None}
+    assert {r["license"]: r["words"] for r in table.collect()} == {"A": ["will"], "B": []}
+    assert licenses.cover([["will"], []]) is None and licenses.cover([["a", "b"], ["b"], ["c"]]) == ["b", "c"] and licenses.cover([]) == []
     docs = spark.createDataFrame([(1, "x\nNO!\ny"), (2, "use AT will.\nz"), (3, "nothing")], "doc_id long, text string")
     assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs, table).collect()} == {1: "B", 2: "A", 3: ""}
     assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs, table.where("license = 'A'")).collect()} == {1: "", 2: "A", 3: ""}

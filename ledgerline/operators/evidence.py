@@ -67,11 +67,39 @@ def reranked(hits: DataFrame, scores: DataFrame) -> DataFrame:
     return hits.join(scores, ["query_id", "vec_id"], "left").withColumn("place", F.row_number().over(order))
 
 
-def best_chunk(evidence: DataFrame, chunks: DataFrame, company: Column, short: int = 80) -> DataFrame:
-    """K-26, K-27: the best chunk of each piece of evidence: 2 for a body, -1.5 if short, 2 for the company, else -0.8."""
-    score = F.when(F.col("kind") == "body", 2.0).otherwise(0.0) - F.when(F.length("text") < short, 1.5).otherwise(0.0) + F.when(company, 2.0).otherwise(-0.8)
-    rows = evidence.join(chunks, "doc_id").withColumn("chunk_score", F.round(score, 6))
-    return rows.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("chunk", "chunk_score"), F.struct((-F.col("chunk_score")).alias("s"), "chunk")).alias("x")).select("query_id", "doc_id", "x.*")
+def _best(rows: DataFrame, score: Column, least: float | None = None) -> DataFrame:
+    """The chunk with the best score of each question and document; the earlier one on ties."""
+    rows = rows.withColumn("chunk_score", F.round(score, 6))
+    rows = rows if least is None else rows.where(F.col("chunk_score") >= least)
+    best = F.min_by(F.struct("chunk", "chunk_score"), F.struct((-F.col("chunk_score")).alias("s"), "chunk")).alias("x")
+    return rows.groupBy("query_id", "doc_id").agg(best).select("query_id", "doc_id", "x.*")
+
+
+def _n_terms(*texts: str) -> Column:
+    return F.size(F.filter("terms", lambda t: reduce(lambda a, b: a | b, [F.coalesce(F.col(c).contains(t), F.lit(False)) for c in texts])))
+
+
+def best_chunk(evidence: DataFrame, chunks: DataFrame, short: int = 30) -> DataFrame:
+    """K-26: the best chunk of each piece of evidence: 2 for a body, 0.5 for a section, -1.5 if short, 2 if it names the company, else -0.8,
+    1 for each term of the question, 0.2 for figures.
+
+    evidence: query_id, doc_id, company (null: not known), terms. chunks: doc_id, chunk, kind, text, section, figures."""
+    named = F.when(F.col("company") == "", 0.0).when(F.col("text").contains(F.col("company")), 2.0).when(F.col("company").isNotNull(), -0.8).otherwise(0.0)
+    score = F.when(F.col("kind") == "body", 2.0).otherwise(0.0) + F.when(F.col("section") != "", 0.5).otherwise(0.0) - F.when(F.length("text") < short, 1.5).otherwise(0.0)
+    return _best(evidence.join(chunks, "doc_id"), score + named + _n_terms("text") + F.when(F.col("figures"), 0.2).otherwise(0.0))
+
+
+def best_visual(evidence: DataFrame, chunks: DataFrame, least: float = 1.0) -> DataFrame:
+    """K-27: the best visual chunk of each piece of evidence, if it has `least`: 1 for a caption, 1.5 if it names the company, 1 for each term of
+    the question, 1.2 on the same page, 0.6 at most two and 0.2 at most four pages away.
+
+    evidence: query_id, doc_id, company, terms, page (0: not known). chunks: doc_id, chunk, text, caption, page of visual chunks."""
+    rows = evidence.withColumnRenamed("page", "#page").join(chunks, "doc_id")
+    holds = lambda c: F.coalesce(F.col(c).contains(F.col("company")), F.lit(False))
+    gap = F.when((F.col("page") > 0) & (F.col("#page") > 0), F.abs(F.col("page") - F.col("#page")))
+    near = F.when(gap == 0, 1.2).when(gap <= 2, 0.6).when(gap <= 4, 0.2).otherwise(0.0)
+    named = F.when((F.col("company") != "") & (holds("text") | holds("caption")), 1.5).otherwise(0.0)
+    return _best(rows, F.when(F.col("caption") != "", 1.0).otherwise(0.0) + named + _n_terms("text", "caption") + near, least)
 
 
 def reference_rows(rows: DataFrame, n: int = 5, deepest: int = 20) -> DataFrame:
@@ -146,15 +174,24 @@ def record_fill(balance: DataFrame) -> DataFrame:
     return balance.withColumns({"equity_total_equity": F.coalesce("equity_total_equity", a - li), "asset_liability_ratio": F.try_divide(li * 100, a)})
 
 
-def return_prechecks(kpi: DataFrame, income: DataFrame, balance: DataFrame) -> DataFrame:
-    """R-25, R-26: issues of ROE and of net assets a share. An implausible derived ROE (the gate) also ends the second check, as in the source's rules."""
-    x = kpi.join(income.select(*KEY, F.col("net_profit").alias("#p")), KEY).join(balance.select(*KEY, F.col("equity_total_equity").alias("#e")), KEY)
+def return_prechecks(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
+    """R-25, R-26: issues of ROE, of net assets and of operating cash flow a share. An implausible derived ROE (the gate) also ends the
+    checks a share, as in the source's rules."""
+    x = kpi.join(income.select(*KEY, F.col("net_profit").alias("#p")), KEY)
+    x = x.join(balance.select(*KEY, F.col("equity_total_equity").alias("#e")), KEY, "left").join(cash.select(*KEY, F.col("operating_cf_net_amount").alias("#o")), KEY, "left")
     derived = F.try_divide(F.col("#p") * 100, F.col("#e"))
-    gate = F.coalesce(F.abs(derived) <= 100, F.lit(True))
+    yearly = F.col("report_period").endswith("FY") & (F.col("#e") > 0) & (F.abs("roe") <= 100)
+    gated = F.coalesce(yearly & ((F.abs(derived) > 100) | (derived * F.col("roe") < 0)), F.lit(False))
     shares = F.try_divide(F.col("#p") * 10_000, F.col("eps"))
-    nav = F.when(shares.between(1e6, 1e12), F.try_divide(F.col("#e") * 10_000, shares))
-    found = {"roe_precheck": F.col("report_period").endswith("FY") & (F.abs(F.col("roe") - derived) > F.greatest(F.lit(8.0), F.abs(derived) * 0.8)), "net_asset_per_share_precheck": F.abs(F.col("net_asset_per_share") - nav) > F.greatest(F.lit(2.0), F.abs(nav) * 0.8)}
-    return x.where(gate).select(*KEY, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))).alias("rule"))
+    a_share = lambda c: F.when(shares.between(1e6, 1e12), F.try_divide(F.col(c) * 10_000, shares))
+    beyond = lambda a, b, least: F.abs(a - b) > F.greatest(F.lit(least), F.abs(a) * 0.8, F.abs(b) * 0.8)
+    apart = lambda a, b: (a * b < 0) | beyond(a, b, 2.0)
+    found = {
+        "roe_consistency_precheck": yearly & beyond(F.col("roe"), derived, 8.0),
+        "net_asset_per_share_consistency_precheck": apart(F.col("net_asset_per_share"), a_share("#e")),
+        "operating_cf_per_share_consistency_precheck": apart(F.col("operating_cf_per_share"), a_share("#o")),
+    }
+    return x.where(~gated).select(*KEY, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))).alias("rule"))
 
 
 def snapped(df: DataFrame, columns: list[str]) -> DataFrame:

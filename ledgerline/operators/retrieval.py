@@ -177,16 +177,55 @@ def evidence_companies(questions: DataFrame, evidence: DataFrame, names: DataFra
     return found.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("companies"))
 
 
-def slots(questions: DataFrame) -> DataFrame:
-    """L-4 to L-8: period, top-n, threshold (in 10k), intent of each question."""
+#: What may follow a year and the period that it makes; words before a threshold; units in 10k; numbers of the best.
+PERIOD_TAILS = {"": "FY", "全年": "FY", "年度": "FY", "前三季度": "Q3", "第三季度": "Q3", "第二季度": "Q2", "第一季度": "Q1", "半年度": "H1", "上半年": "H1"}
+COMPARISONS = ("超过", "高于", "低于", "不少于")  # also within 不超过, 不高于, 不低于
+AMOUNTS = {"亿": 10_000.0, "元": 0.0001}
+BEST_OF = {"前十": 10, "前五": 5, "前三": 3, "top10": 10, "top5": 5, "top3": 3}
+RANKING, FILTERING = ("排名", "前五", "前三", "前十", "最高", "最低"), ("哪些", "筛选", "超过", "低于", "为负", "为正")
+
+
+def periods(x: Column, this_year: int | None = None) -> Column:
+    """L-4: all periods that a text names, each once: a year with or without its part, ranges of third quarters (after the rest), and, if this
+    year is given, the last one. Parts that no report covers (fourth quarters, 三季度 alone) make no period."""
+    found = F.regexp_extract_all(x, F.lit("[0-9]{4}年(?:前?三季度|第[一二三四]季度|半年度|上半年|全年|年度)?"), F.lit(0))
+    tails = F.create_map(*[F.lit(v) for pair in PERIOD_TAILS.items() for v in pair])
+    single = F.transform(found, lambda p: F.concat(F.substring(p, 1, 4), tails[F.substring(p, 6, 9)]))
+    first, last = (F.nullif(F.regexp_extract(x, "([0-9]{4})-([0-9]{4})年第三季度", i), F.lit("")).try_cast("int") for i in (1, 2))
+    spans = F.when(first <= last, F.transform(F.sequence(first, last), lambda y: F.concat(y.cast("string"), F.lit("Q3"))))
+    before = F.when(x.contains("去年"), F.lit(f"{this_year - 1}FY")) if this_year else F.lit(None).cast("string")
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(F.coalesce(single, none), F.coalesce(spans, none), F.array(before))))
+
+
+def top_n(x: Column) -> Column:
+    """L-5: a marked number of the best, else one in digits. 前三季度 is a period, not the first three."""
+    t = F.regexp_replace(F.lower(x), "前三季度", "")
+    marked = F.coalesce(*[F.when(t.contains(w), n) for w, n in BEST_OF.items()])
+    return F.coalesce(marked, F.nullif(F.regexp_extract(t, "(?:前|最高的)([0-9]+)(?:家|位|名|$)", 1), F.lit("")).try_cast("int"))
+
+
+def threshold(x: Column) -> Column:
+    """L-6: the amount (10k) or percentage after the first comparison that has one."""
+    part = lambda w, i: F.nullif(F.regexp_extract(x, w + r"\s*([0-9]+(?:\.[0-9]+)?)\s*(亿|万|元)?", i), F.lit(""))
+    scale = lambda w: F.coalesce(*[F.when(part(w, 2) == u, k) for u, k in AMOUNTS.items()], F.lit(1.0))
+    return F.coalesce(*[part(w, 1).try_cast("double") * scale(w) for w in COMPARISONS])
+
+
+def slots(questions: DataFrame, this_year: int | None = None) -> DataFrame:
+    """L-4 to L-6: periods and the first of them, top-n, threshold (in 10k) of each question, and what it asks for: the best, those that pass, or values."""
     t = F.col("text")
-    year = F.nullif(F.regexp_extract(t, "([0-9]{4})年", 1), F.lit(""))
-    tail = F.when(t.contains("第三季度") | t.contains("前三季度"), "Q3").when(t.contains("上半年"), "H1").when(t.contains("第一季度"), "Q1").otherwise("FY")
-    top = F.when(t.contains("前十"), 10).otherwise(F.nullif(F.regexp_extract(t, "前([0-9]+)", 1), F.lit("")).try_cast("int"))
-    amount = F.nullif(F.regexp_extract(t, "超过([0-9]+(\\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
-    scale = F.when(t.rlike("超过[0-9.]+亿元"), 10_000.0).otherwise(1.0)
-    intent = F.when(top.isNotNull(), "ranking").when(amount.isNotNull(), "screen").otherwise("lookup")
-    return questions.select("question_id", F.concat(year, tail).alias("period"), top.alias("top_n"), (amount * scale).alias("threshold"), intent.alias("intent"))
+    out = questions.select("question_id", periods(t, this_year).alias("periods"), top_n(t).alias("top_n"), threshold(t).alias("threshold"))
+    intent = F.when(F.col("top_n").isNotNull(), "ranking").when(F.col("threshold").isNotNull(), "screen").otherwise("lookup")
+    return out.select("question_id", F.get("periods", 0).alias("period"), "periods", "top_n", "threshold", intent.alias("intent"))
+
+
+def question_type(x: Column, chart: Column, n_companies: Column, n_metrics: Column, n_periods: Column) -> Column:
+    """L-8: the type of a question by its words and by what was found in it."""
+    has = lambda words: reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+    out = F.when(chart.isNotNull() | x.contains("趋势"), "trend_or_chart").when(has(RANKING), "ranking").when(has(FILTERING), "filter")
+    out = out.when((n_companies >= 2) & (n_metrics > 0), "comparison").when((n_companies > 0) & (n_metrics > 0), "single_company_metric")
+    return out.when((n_metrics > 0) & (n_periods > 0), "period_stat").otherwise("generic")
 
 
 def metrics(questions: DataFrame, keywords: dict[str, str]) -> DataFrame:

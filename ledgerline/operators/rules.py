@@ -4,6 +4,7 @@ All rules of a row are computed in one pass: the joined sheets get an array of (
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,7 +96,7 @@ def overall(summary: DataFrame) -> DataFrame:
 
 
 def prechecks(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
-    """R-20 to R-24: issues found before loading: key, rule. (R-17 to R-19 are required_fields, duplicate_keys, percentage_outliers.)"""
+    """R-20 to R-24: issues found before loading: key, rule. (R-17 to R-19 are required_fields, duplicate_keys, anomalies.)"""
     x = balance.join(cash.drop("stock_abbr"), KEY, "full_outer").join(income.drop("stock_abbr"), KEY, "full_outer").join(kpi.select(*KEY, "gross_profit_margin", "net_profit_margin"), KEY, "full_outer")
 
     def far(rule: str, ratio: str, part: Column, whole: Column, gap: float) -> dict[str, Column]:
@@ -108,8 +109,8 @@ def prechecks(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataF
     found = {
         "balance_equation_precheck": F.abs(col("liability_total_liabilities") + col("equity_total_equity") - a) > F.greatest(F.lit(100.0), F.abs(a) * 0.02),
         "cash_flow_equation_precheck": F.abs(net - flows) > F.greatest(F.lit(100.0), F.abs(net) * 0.05),
-        "gross_margin_precheck": F.abs(col("gross_profit_margin") - F.try_divide((r - col("operating_expense_cost_of_sales")) * 100, r)) > 5,
-        "net_margin_precheck": F.abs(col("net_profit_margin") - F.try_divide(col("net_profit") * 100, r)) > 5,
+        "gross_profit_margin_consistency_precheck": F.abs(col("gross_profit_margin") - F.try_divide((r - col("operating_expense_cost_of_sales")) * 100, r)) > 5,
+        "net_profit_margin_consistency_precheck": F.abs(col("net_profit_margin") - F.try_divide(col("net_profit") * 100, r)) > 5,
     }
     found |= far("asset_liability_ratio_consistency", "asset_liability_ratio", col("liability_total_liabilities"), a, 5)
     for flow in ("operating", "investing", "financing"):
@@ -135,8 +136,8 @@ def unpivoted(df: DataFrame) -> DataFrame:
 
 
 def anomalies(df: DataFrame) -> DataFrame:
-    """E-8, R-19: percentages over 1,000 and amounts over 1e8."""
-    kinds = {c: kind(c, t) for c, t in df.dtypes}
+    """E-8, R-19: percentages over 1,000, but for shares of the net cash flow, and amounts over 1e8."""
+    kinds = {c: kind(c, t) for c, t in df.dtypes if not c.endswith("_ratio_of_net_cf")}
     of = F.when(F.col("field").isin([c for c, k in kinds.items() if k == "ratio"]) & (F.abs("value") > 1000), "percentage").when(F.col("field").isin([c for c, k in kinds.items() if k == "amount"]) & (F.abs("value") > 1e8), "amount")
     return unpivoted(df).withColumn("anomaly", of).where("anomaly is not null")
 
@@ -179,15 +180,36 @@ def missing_examples(df: DataFrame, n: int = 10) -> DataFrame:
     return first.groupBy("field").agg(F.array_join(F.sort_array(F.collect_list("key")), ";").alias("keys"))
 
 
+#: For fields of each form, figures without which they are missing and the reasons then, in order, and the reason otherwise.
+MISSING = (
+    (r"^net_asset_per_share$", (("eps", "missing_share_basis"),), "derivation_inputs_incomplete"),
+    (r"^operating_cf_per_share$", (("operating_cf_net_amount", "upstream_cash_flow_missing"), ("eps", "missing_share_basis")), "derivation_inputs_incomplete"),
+    (r"^net_cash_flow_yoy_growth$", (("net_cash_flow", "upstream_net_cash_flow_missing"),), "prior_period_value_unavailable"),
+    (r"^(.*)_ratio_of_net_cf$", (("net_cash_flow", "upstream_net_cash_flow_missing"), (r"\1_net_amount", "upstream_cash_flow_missing")), "derivation_inputs_incomplete"),
+    (r"^equity_unappropriated_profit$", (), "statement_tail_not_stable"),
+    (r"^(gross_profit_margin|net_profit_margin|roe_weighted_excl_non_recurring)$", (), "derivable_but_inputs_missing"),
+)
+
+
+def missing_reason(field: str, columns: list[str]) -> Column:
+    """E-5: why a row lacks a field. Figures that the rows don't have at all count as missing."""
+    if field.endswith("_qoq_growth"):
+        return F.when(suffix(F.col("report_period")).isin("FY", "H1"), "likely_not_disclosed_in_source").otherwise("likely_extraction_gap")
+    for form, needs, otherwise in MISSING:
+        if found := re.match(form, field):
+            gone = [(F.col(c).isNull() if c in columns else F.lit(True), why) for c, why in ((found.expand(c), why) for c, why in needs)]
+            return F.coalesce(*[F.when(g, F.lit(why)) for g, why in gone], F.lit(otherwise))
+    return F.lit("likely_extraction_gap")
+
+
 def missing_reasons(df: DataFrame) -> DataFrame:
-    """E-5, E-6: why figures are missing, most frequent reason of each field, and all reasons as JSON."""
+    """E-5, E-6: missing values of each field, the most frequent reason (by name on ties), and all reasons with their numbers as JSON."""
     fields = [c for c, t in df.dtypes if t == "double"]
-    reason = F.when(suffix(F.col("report_period")) == "Q1", "first_quarter_report").when(F.coalesce(*fields).isNull(), "empty_record").when(suffix(F.col("report_period")) == "FY", "annual_report_gap").otherwise("interim_report_gap")
-    rows = df.withColumn("reason", reason).select("reason", F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in fields]))).alias("field"))
-    counts = rows.groupBy("field", "reason").agg(F.count("*").alias("n"))
+    gaps = [F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("field"), missing_reason(c, df.columns).alias("reason"))) for c in fields]
+    counts = df.select(F.explode(F.array_compact(F.array(*gaps))).alias("x")).groupBy("x.field", "x.reason").agg(F.count("*").alias("n"))
     by = F.struct((-F.col("n")).alias("n"), F.col("reason").alias("r"))
-    listed = F.transform(F.array_sort(F.collect_list(by)), lambda x: F.concat(x["r"], F.lit("="), (-x["n"]).cast("string")))
-    return counts.groupBy("field").agg(F.sum("n").alias("n_missing"), F.min(by)["r"].alias("reason"), F.array_join(listed, ",").alias("reasons"))
+    listed = F.transform(F.array_sort(F.collect_list(by)), lambda x: F.struct(x["r"], -x["n"]))
+    return counts.groupBy("field").agg(F.sum("n").alias("n_missing"), F.min(by)["r"].alias("reason"), F.to_json(F.map_from_entries(listed)).alias("reasons"))
 
 
 def most_missing(coverage: DataFrame, n: int = 8) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
@@ -47,7 +50,7 @@ _on_sheets(
     f""", x AS (SELECT {K}, b.{ASSETS} AS a, b.{LIAB} AS l, b.equity_total_equity AS e, c.net_cash_flow AS n, c.operating_cf_net_amount + c.investing_cf_net_amount + c.financing_cf_net_amount AS fl, i.{REV} AS r, i.{COST} AS cost, i.{NP} AS np, k.gross_profit_margin AS g, k.net_profit_margin AS m, b.asset_liability_ratio AS al, c.operating_cf_net_amount AS o, c.investing_cf_net_amount AS v, c.financing_cf_net_amount AS fi, c.operating_cf_ratio_of_net_cf AS ro, c.investing_cf_ratio_of_net_cf AS ri, c.financing_cf_ratio_of_net_cf AS rf
 FROM balance2 b FULL JOIN cash2 c USING ({K}) FULL JOIN income i USING ({K}) FULL JOIN kpi k USING ({K}))
 SELECT {K}, 'balance_equation_precheck' AS rule FROM x WHERE abs(l + e - a) > greatest(100, abs(a) * 0.02) UNION ALL SELECT {K}, 'cash_flow_equation_precheck' FROM x WHERE abs(n - fl) > greatest(100, abs(n) * 0.05)
-UNION ALL SELECT {K}, 'gross_margin_precheck' FROM x WHERE abs(g - (r - cost) * 100 / nullif(r, 0)) > 5 UNION ALL SELECT {K}, 'net_margin_precheck' FROM x WHERE abs(m - np * 100 / nullif(r, 0)) > 5
+UNION ALL SELECT {K}, 'gross_profit_margin_consistency_precheck' FROM x WHERE abs(g - (r - cost) * 100 / nullif(r, 0)) > 5 UNION ALL SELECT {K}, 'net_profit_margin_consistency_precheck' FROM x WHERE abs(m - np * 100 / nullif(r, 0)) > 5
 UNION ALL SELECT {K}, 'asset_liability_ratio_consistency' FROM x WHERE abs(l / nullif(a, 0) * 100 - al) > 5 UNION ALL SELECT {K}, 'operating_cf_ratio_of_net_cf_consistency_precheck' FROM x WHERE abs(o / nullif(n, 0) * 100 - ro) > 10
 UNION ALL SELECT {K}, 'investing_cf_ratio_of_net_cf_consistency_precheck' FROM x WHERE abs(v / nullif(n, 0) * 100 - ri) > 10 UNION ALL SELECT {K}, 'financing_cf_ratio_of_net_cf_consistency_precheck' FROM x WHERE abs(fi / nullif(n, 0) * 100 - rf) > 10""",
 )
@@ -60,9 +63,16 @@ _on_sheets("e1_sheet_sizes", lambda s: R.sheet_sizes(_two(s)), " UNION ALL ".joi
 _on_sheets("e2_field_coverage", lambda s: R.field_coverage(_two(s)), _cov)
 _on_sheets("e3_missing_examples", lambda s: R.missing_examples(s["cash"]), " UNION ALL ".join(f"SELECT '{c}' AS field, string_agg(k, ';' ORDER BY k) AS keys FROM (SELECT concat(stock_code, '|', report_period) AS k FROM cash WHERE {c} IS NULL ORDER BY 1 LIMIT 10)" for c in _fields["cash"]))
 _on_sheets("e4_mean_coverage", lambda s: R.mean_coverage(R.field_coverage(_two(s))), f", c AS ({_cov}) SELECT sheet, round(avg(coverage), 4) AS mean_coverage, coalesce(string_agg(CASE WHEN coverage < 0.5 THEN field END, ',' ORDER BY field), '') AS low_fields FROM c GROUP BY 1")
-_reason = "CASE WHEN report_period LIKE '%Q1' THEN 'first_quarter_report' WHEN coalesce(operating_cf_net_amount, investing_cf_net_amount, financing_cf_net_amount, net_cash_flow) IS NULL THEN 'empty_record' WHEN report_period LIKE '%FY' THEN 'annual_report_gap' ELSE 'interim_report_gap' END"
-_miss = " UNION ALL ".join(f"SELECT '{c}' AS field, {_reason} AS reason FROM cash WHERE {c} IS NULL" for c in _fields["cash"])
-_on_sheets("e5_e6_missing_reasons", lambda s: R.missing_reasons(s["cash"]), f", m AS ({_miss}), c AS (SELECT field, reason, count(*) AS n FROM m GROUP BY ALL) SELECT field, sum(n)::BIGINT AS n_missing, first(reason ORDER BY n DESC, reason) AS reason, string_agg(concat(reason, '=', n), ',' ORDER BY n DESC, reason) AS reasons FROM c GROUP BY 1")
+_gap = "'likely_extraction_gap'"
+_ratio = lambda x: f"CASE WHEN net_cash_flow IS NULL THEN 'upstream_net_cash_flow_missing' WHEN {x}_cf_net_amount IS NULL THEN 'upstream_cash_flow_missing' ELSE 'derivation_inputs_incomplete' END"
+_why = {  # field: reason, table
+    **{c: (_gap, "cash2") for c in _fields["cash"]}, **{f"{x}_cf_ratio_of_net_cf": (_ratio(x), "cash2") for x in ("operating", "investing", "financing")},
+    "eps": (_gap, "kpi2"), "gross_profit_margin": ("'derivable_but_inputs_missing'", "kpi2"), "net_asset_per_share": ("CASE WHEN eps IS NULL THEN 'missing_share_basis' ELSE 'derivation_inputs_incomplete' END", "kpi2"),
+    "operating_cf_per_share": ("'upstream_cash_flow_missing'", "kpi2"), "operating_revenue_qoq_growth": (f"CASE WHEN right(report_period, 2) IN ('FY', 'H1') THEN 'likely_not_disclosed_in_source' ELSE {_gap} END", "kpi2"),
+}
+_miss = " UNION ALL ".join(f"SELECT '{c}' AS field, {why} AS reason FROM {t} WHERE {c} IS NULL" for c, (why, t) in _why.items())
+_reasons = lambda s: reduce(DataFrame.unionByName, [R.missing_reasons(s[t].select(*KEY, *[c for c, (_, u) in _why.items() if u == t])) for t in ("cash2", "kpi2")])
+_on_sheets("e5_e6_missing_reasons", _reasons, f""", m AS ({_miss}), c AS (SELECT field, reason, count(*) AS n FROM m GROUP BY ALL) SELECT field, sum(n)::BIGINT AS n_missing, first(reason ORDER BY n DESC, reason) AS reason, concat('{{', string_agg(concat('"', reason, '":', n), ',' ORDER BY n DESC, reason), '}}') AS reasons FROM c GROUP BY 1""")
 _on_sheets("e7_most_missing", lambda s: R.most_missing(R.field_coverage(_two(s)), 3), f", c AS ({_cov}), r AS (SELECT sheet, field, n_missing, row_number() OVER (PARTITION BY sheet ORDER BY n_missing DESC, field)::INT AS place FROM c WHERE n_missing > 0) SELECT * FROM r WHERE place <= 3")
 _on_sheets("e10_audit_sample", lambda s: R.audit_sample(s["cash"], _fields["cash"]), f"SELECT {K}, concat_ws(';', " + ", ".join(f"concat('{c}=', {c} IS NOT NULL)" for c in _fields["cash"]) + ") AS filled FROM cash ORDER BY report_period, stock_code LIMIT 8")
 _on_sheets("e16_collapsed", lambda s: R.collapsed(s["income"], "stock_code", NP), f"SELECT stock_code, CASE WHEN (SELECT quantile_cont({NP}, 0.75) FROM income) <= 0 THEN min({NP}) ELSE max({NP}) END AS value FROM income GROUP BY 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cells as C
 from ..operators import evidence as E
+from ..operators import periods as D
 from ..operators import retrieval as K
 from ..sources import tables as A
 from ..sources.statements import KEY
@@ -98,7 +99,7 @@ Q["l1_companies"] = lambda spark, d: K.companies(questions(spark, d), sheets(spa
 O["l1_companies"] = f"WITH {_QUESTIONS} SELECT question_id, stock_code AS companies FROM qs WHERE t = 0"
 Q["l2_metrics"] = lambda spark, d: K.metrics(questions(spark, d), {"营业总收入": "total_operating_revenue", "净利润": "net_profit"})
 O["l2_metrics"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 1 THEN 'net_profit' ELSE 'total_operating_revenue' END AS metrics FROM qs"
-Q["l4_l8_slots"] = lambda spark, d: K.slots(questions(spark, d))
+Q["l4_l8_slots"] = lambda spark, d: K.slots(questions(spark, d)).drop("periods")
 O["l4_l8_slots"] = f"WITH {_QUESTIONS} SELECT question_id, concat(y, 'Q3') AS period, CASE WHEN t = 1 THEN 10 END AS top_n, CASE WHEN t = 2 THEN 120000.0 END::DOUBLE AS threshold, CASE t WHEN 0 THEN 'lookup' WHEN 1 THEN 'ranking' ELSE 'screen' END AS intent FROM qs"
 
 
@@ -156,8 +157,10 @@ _sheets("d6_enriched_kpi", lambda s: E.enriched_kpi(s["kpi"], s["income"], s["ba
  FROM kpi k LEFT JOIN income i USING ({_K3}) LEFT JOIN balance b USING ({_K3}) LEFT JOIN cash c USING ({_K3}))
 SELECT {_K3}, CASE WHEN ng IS NOT NULL AND (g IS NULL OR abs(g - ng) > 20) THEN ng ELSE g END AS gross_profit_margin, CASE WHEN nm IS NOT NULL AND (m IS NULL OR abs(m - nm) > 20) THEN nm ELSE m END AS net_profit_margin, roe, CASE WHEN no IS NOT NULL AND (o IS NULL OR abs(o - no) > greatest(0.2, abs(no) * 0.8)) THEN no ELSE o END AS operating_cf_per_share FROM x""")
 _sheets("c10b_record_fill", lambda s: E.record_fill(s["balance"]).select(*_K3.split(", "), "equity_total_equity", "asset_liability_ratio"), f"SELECT {_K3}, coalesce(equity_total_equity, asset_total_assets - liability_total_liabilities) AS equity_total_equity, liability_total_liabilities * 100 / nullif(asset_total_assets, 0) AS asset_liability_ratio FROM balance")
-_sheets("r25_r26_return_prechecks", lambda s: E.return_prechecks(s["kpi"].withColumns({"roe": F.col("roe") * 3 + 5, "net_asset_per_share": F.col("net_asset_per_share") * 200}), s["income"], s["balance"]), f""", x AS (SELECT {_K3}, k.roe * 3 + 5 AS roe, k.net_asset_per_share * 200 AS nav, i.net_profit * 100 / nullif(b.equity_total_equity, 0) AS d, CASE WHEN i.net_profit * 10000 / nullif(k.eps, 0) BETWEEN 1e6 AND 1e12 THEN b.equity_total_equity * 10000 / (i.net_profit * 10000 / nullif(k.eps, 0)) END AS n FROM kpi k JOIN income i USING ({_K3}) JOIN balance b USING ({_K3})),
-g AS (SELECT * FROM x WHERE coalesce(abs(d) <= 100, true)) SELECT {_K3}, 'roe_precheck' AS rule FROM g WHERE report_period LIKE '%FY' AND abs(roe - d) > greatest(8, abs(d) * 0.8) UNION ALL SELECT {_K3}, 'net_asset_per_share_precheck' FROM g WHERE abs(nav - n) > greatest(2, abs(n) * 0.8)""")
+_sheets("r25_r26_return_prechecks", lambda s: E.return_prechecks(s["kpi"].withColumns({"roe": F.col("roe") * 3 + 5, "net_asset_per_share": F.col("net_asset_per_share") * 200, "operating_cf_per_share": F.col("operating_cf_per_share") * 50}), s["income"], s["balance"], s["cash"]), f""", x AS (SELECT {_K3}, k.roe * 3 + 5 AS roe, k.net_asset_per_share * 200 AS nav, k.operating_cf_per_share * 50 AS ocf, i.net_profit * 100 / nullif(b.equity_total_equity, 0) AS d, b.equity_total_equity AS e, c.operating_cf_net_amount AS o, CASE WHEN i.net_profit * 10000 / nullif(k.eps, 0) BETWEEN 1e6 AND 1e12 THEN i.net_profit * 10000 / nullif(k.eps, 0) END AS n FROM kpi k JOIN income i USING ({_K3}) LEFT JOIN balance b USING ({_K3}) LEFT JOIN cash c USING ({_K3})),
+y AS (SELECT *, e * 10000 / n AS dn, o * 10000 / n AS dc, report_period LIKE '%FY' AND e > 0 AND abs(roe) <= 100 AS fy FROM x), g AS (SELECT * FROM y WHERE NOT coalesce(fy AND (abs(d) > 100 OR roe * d < 0), false))
+SELECT {_K3}, 'roe_consistency_precheck' AS rule FROM g WHERE fy AND abs(roe - d) > greatest(8, abs(d) * 0.8, abs(roe) * 0.8) UNION ALL SELECT {_K3}, 'net_asset_per_share_consistency_precheck' FROM g WHERE nav * dn < 0 OR abs(nav - dn) > greatest(2, abs(nav) * 0.8, abs(dn) * 0.8)
+UNION ALL SELECT {_K3}, 'operating_cf_per_share_consistency_precheck' FROM g WHERE ocf * dc < 0 OR abs(ocf - dc) > greatest(2, abs(ocf) * 0.8, abs(dc) * 0.8)""")
 _sheets("b29_snapped", lambda s: E.snapped(s["cash"].select(*_K3.split(", "), "net_cash_flow"), ["net_cash_flow"]), f"SELECT {_K3}, CASE WHEN abs(net_cash_flow) <= 1e-3 THEN 0 ELSE net_cash_flow END AS net_cash_flow FROM cash")
 _sheets("c19_page_grids", lambda s: E.only_without_long_grids(s["income"].select(F.col("stock_code").alias("source_name"), F.col("report_period").alias("table_name")), s["cash"].where("net_cash_flow > 0").select(F.col("stock_code").alias("source_name"), F.col("report_period").alias("table_name"))), "SELECT stock_code AS source_name, report_period AS table_name FROM income i WHERE NOT EXISTS (SELECT 1 FROM cash c WHERE c.stock_code = i.stock_code AND c.report_period = i.report_period AND net_cash_flow > 0)")
 _on("k2_k3_body_pages", "documents", lambda d: E.body_pages(d, ["the ", " der ", " que "]).select("doc_id", F.md5(E.without_noise(F.col("text"), ["[%]{3}", "[*]{3}"]).cast("binary")).alias("clean")), "SELECT doc_id, md5(regexp_replace(text, '[%]{3}|[*]{3}', '', 'g')) AS clean FROM documents WHERE contains(text, 'the ')::INT + contains(text, ' der ')::INT + contains(text, ' que ')::INT < 2")
@@ -196,12 +199,13 @@ Q["k18_metadata_scores"] = lambda spark, d: K.metadata_scores(
     5,
 )
 O["k18_metadata_scores"] = "WITH q AS (SELECT DISTINCT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM benchmark), b AS (SELECT DISTINCT item_id AS report_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM benchmark), h AS (SELECT question_id, report_id, round((report_id % 2 = 0)::INT * 3.0::DOUBLE + count(*) * 0.2::DOUBLE, 6) AS score FROM q JOIN b USING (t) WHERE t NOT IN ('de', 'la') GROUP BY question_id, report_id) SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, report_id))::INT AS rank FROM h QUALIFY rank <= 5"
-Q["k26_best_chunk"] = lambda spark, d: E.best_chunk(
-    _hits(_table(spark, d, "embeddings")).where("rank <= 10").select("query_id", F.col("vec_id").alias("doc_id"), "label"),
-    _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk", "text")).withColumn("kind", F.when(F.col("chunk") % 2 == 0, "body").otherwise("visual")),
-    F.col("label") < 5,
-)
-O["k26_best_chunk"] = _sqlhits + ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1)::INT - 1 AS chunk FROM l), s AS (SELECT query_id, doc_id, chunk, round(CASE WHEN chunk % 2 = 0 THEN 2.0 ELSE 0 END - CASE WHEN length(text) < 80 THEN 1.5 ELSE 0 END + CASE WHEN label < 5 THEN 2.0 ELSE -0.8 END, 6)::DOUBLE AS chunk_score FROM r JOIN c ON c.doc_id = r.vec_id WHERE rank <= 10) SELECT query_id, doc_id, chunk, chunk_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_score DESC, chunk) = 1"
+_cited = lambda spark, d: _hits(_table(spark, d, "embeddings")).where("rank <= 10").select("query_id", F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, "the ").when(F.col("label") < 8, "zzz").alias("company"), F.array(F.lit("License"), F.lit("token")).alias("terms"), F.col("label").alias("page"))
+_lines = lambda spark, d: _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk", "text"))
+_sqllines = _sqlhits + ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1)::INT - 1 AS chunk FROM l), e AS (SELECT query_id, vec_id AS doc_id, CASE WHEN label < 5 THEN 'the ' WHEN label < 8 THEN 'zzz' END AS company, label AS page FROM r WHERE rank <= 10)"
+Q["k26_best_chunk"] = lambda spark, d: E.best_chunk(_cited(spark, d), _lines(spark, d).withColumns({"kind": F.when(F.col("chunk") % 2 == 0, "body").otherwise("visual"), "section": F.when(F.col("chunk") % 3 == 0, F.lit("1")), "figures": F.col("chunk") % 5 == 1}))
+O["k26_best_chunk"] = _sqllines + ", s AS (SELECT query_id, doc_id, chunk, round(CASE WHEN chunk % 2 = 0 THEN 2.0 ELSE 0 END + CASE WHEN chunk % 3 = 0 THEN 0.5 ELSE 0 END - CASE WHEN length(text) < 30 THEN 1.5 ELSE 0 END + CASE WHEN company IS NULL THEN 0 WHEN contains(text, company) THEN 2.0 ELSE -0.8 END + contains(text, 'License')::INT + contains(text, 'token')::INT + CASE WHEN chunk % 5 = 1 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS chunk_score FROM e JOIN c USING (doc_id)) SELECT query_id, doc_id, chunk, chunk_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_score DESC, chunk) = 1"
+Q["k27_best_visual"] = lambda spark, d: E.best_visual(_cited(spark, d), _lines(spark, d).where("chunk % 2 = 1").withColumns({"caption": F.when(F.col("chunk") % 3 == 0, F.substring("text", 1, 9)), "page": (F.col("chunk") / 2).cast("int")}))
+O["k27_best_visual"] = _sqllines + ", v AS (SELECT query_id, doc_id, chunk, c.text, company, CASE WHEN chunk % 3 = 0 THEN substr(c.text, 1, 9) END AS caption, abs(e.page - chunk // 2) AS gap, e.page > 0 AND chunk // 2 > 0 AS paged FROM e JOIN c USING (doc_id) WHERE chunk % 2 = 1), s AS (SELECT *, round(CASE WHEN caption <> '' THEN 1.0 ELSE 0 END + CASE WHEN contains(text, company) THEN 1.5 ELSE 0 END + contains(text, 'License')::INT + contains(text, 'token')::INT + CASE WHEN NOT paged THEN 0 WHEN gap = 0 THEN 1.2 WHEN gap <= 2 THEN 0.6 WHEN gap <= 4 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS chunk_score FROM v) SELECT query_id, doc_id, chunk, chunk_score FROM s WHERE chunk_score >= 1 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_score DESC, chunk) = 1"
 _on("b24_b27_page_heads", "documents", lambda d: d.select("doc_id", T.first_line_with(F.col("text"), ["License", "token"]).alias("title"), T.file_key(F.concat(F.col("source"), F.lit(" (1).PDF"))).alias("key")), "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, 'License') OR contains(x, 'token'))[1] AS title, source || '1' AS key FROM documents")
 _sheets("r27_relaxed_cash_flow", lambda s: s["cash"].withColumns({c: F.coalesce(F.col(c) * 1000, F.lit(0.0)) for c, t in s["cash"].dtypes if t == "double"}).where(E.relaxed_cash_gap()).select(*_K3.split(", ")), f", z AS (SELECT {_K3}, coalesce(net_cash_flow, 0) * 1000 AS n, (coalesce(operating_cf_net_amount, 0) * 1000 + coalesce(investing_cf_net_amount, 0) * 1000 + coalesce(financing_cf_net_amount, 0) * 1000) AS t FROM cash) SELECT {_K3} FROM z WHERE abs(n - t) > greatest(100, abs(n) * 0.05) AND abs(n) > 1e-3")
 
@@ -253,3 +257,21 @@ Q["c10_adjacent_growth"] = _c10
 O["c10_adjacent_growth"] = f"""WITH {ORACLE_BASE}, x AS (SELECT stock_code, report_period, report_year, {REV} AS r, {REV} * 0.75 AS r0, net_profit AS p, CASE WHEN report_year % 2 = 0 THEN -net_profit END AS p0, CASE report_year % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 12.5 END AS g FROM income)
 SELECT stock_code, report_period, report_year, round(CASE WHEN coalesce(g, 0) = 0 AND r IS NOT NULL AND r0 <> 0 THEN (r - r0) / abs(r0) * 100 ELSE g END, 6)::DOUBLE AS operating_revenue_yoy_growth,
     round(CASE WHEN p IS NOT NULL AND p0 <> 0 THEN (p - p0) / abs(p0) * 100 END, 6)::DOUBLE AS net_profit_yoy_growth FROM x"""
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    q = questions(spark, d)
+    found = K.slots(q).join(K.companies(q, sheets(spark, d)["income"].select("stock_code", "stock_abbr").distinct()), "question_id", "left")
+    found = found.join(K.metrics(q, {"营业总收入": "revenue"}), "question_id").join(q, "question_id")
+    count = lambda c: F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.size(F.split(c, ",")))
+    kind = K.question_type(F.col("text"), F.lit(None).cast("string"), count(F.col("companies")), count(F.col("metrics")), F.size("periods"))
+    return found.select("question_id", kind.alias("question_type"))
+
+
+Q["l8_question_types"] = _typed
+O["l8_question_types"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 0 THEN 'single_company_metric' WHEN 1 THEN 'ranking' ELSE 'filter' END AS question_type FROM qs"
+_on("b26_page_unit", "documents", lambda d: d.select("doc_id", T.page_unit(F.concat(F.repeat(F.lit("\n"), (F.col("doc_id") % 100).cast("int")), F.lit("单位：万元\n"), F.col("text"))).alias("unit")), "SELECT doc_id, CASE WHEN doc_id % 100 < 80 THEN '万元' END AS unit FROM documents")
+_on("b28_caption_text", "nation", lambda n: n.select("n_nationkey", E.caption_text(F.when(F.col("n_regionkey") > 0, F.col("n_name")), F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).alias("caption")), "SELECT n_nationkey, concat_ws('：', CASE WHEN n_regionkey > 0 THEN n_name END, 'region ' || n_regionkey) AS caption FROM nation")
+_on("c20_first_method", "lineitem", lambda x: C.first_method(x.select(F.col("l_orderkey").alias("grid"), F.col("l_returnflag").alias("sheet"), (F.col("l_orderkey") % 5_000).alias("page"), F.col("l_linenumber").alias("method_order"))), "SELECT l_orderkey AS grid, l_returnflag AS sheet, l_orderkey % 5000 AS page, l_linenumber AS method_order FROM lineitem QUALIFY l_linenumber = min(l_linenumber) OVER (PARTITION BY l_returnflag, l_orderkey % 5000)")
+_sheets("b24_cover", lambda s: s["income"].select(*_K3.split(", "), T.cover(F.when(F.col("report_year") % 2 == 0, F.concat(F.lit("证券代码 "), "stock_code", F.lit("\n"), (F.col("report_year") + 10).cast("string"), F.lit("年第三季度报告摘要"))).otherwise(F.lit("目录")), F.concat("stock_code", F.lit("："), (F.col("report_year") + 20).cast("string"), F.lit("年年度报告.pdf"))).alias("x")).select(*_K3.split(", "), "x.*"), f"SELECT {_K3}, (report_year + CASE WHEN report_year % 2 = 0 THEN 10 ELSE 20 END)::INT AS year, CASE WHEN report_year % 2 = 0 THEN 'Q3' ELSE 'FY' END AS period, report_year % 2 = 0 AS summary, stock_code AS code FROM income")
+_sheets("d15_names", lambda s: D.enrich_names(s["income"].select(F.concat_ws("-", "stock_code", "report_period").alias("id"), F.when(F.col("report_year") % 3 > 0, F.col("stock_code")).alias("stock_code"), F.when(F.col("report_year") % 3 < 2, F.when(F.col("report_period").endswith("Q1"), "none").otherwise(F.col("stock_abbr"))).alias("stock_abbr")), s["income"].select("stock_code", "stock_abbr").distinct()).select("id", "name", "code"), "SELECT concat_ws('-', stock_code, report_period) AS id, CASE WHEN report_year % 3 < 2 AND report_period LIKE '%Q1' THEN 'none' ELSE stock_abbr END AS name, CASE WHEN report_year % 3 = 0 AND report_period LIKE '%Q1' THEN '000000' ELSE stock_code END AS code FROM income")

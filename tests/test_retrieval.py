@@ -45,3 +45,18 @@ def test_companies_come_from_fitting_stock_evidence(spark):
     evidence = spark.createDataFrame(rows, "question_id long, place int, source_type string, company string, title string, snippet string")
     names = spark.createDataFrame([("A",), ("B公司",)], "stock_abbr string")
     assert {r["question_id"]: r["companies"] for r in K.evidence_companies(asked, evidence, names).collect()} == {1: ["B公司"], 2: ["B公司", "A"]}
+
+
+def test_slots_of_questions(spark):
+    asked = [
+        ("2022年第三季度与2023年营收超过1.5 亿元的公司", "2022Q3,2023FY", None, 15_000.0),
+        ("2020-2022年第三季度净利润前5家", "2022Q3,2020Q3,2021Q3", 5, None),
+        ("2024年前三季度毛利率不低于30%", "2024Q3", None, 30.0),
+        ("去年上半年Top3，2021年年度，2021年度，2020年第四季度", "2021FY,2024FY", 3, None),
+        ("不少于20000元", "", None, 2.0),
+        ("", "", None, None),
+        (None, "", None, None),
+    ]
+    questions = spark.createDataFrame([(i, x[0]) for i, x in enumerate(asked)], "question_id int, text string")
+    out = K.slots(questions, this_year=2025).orderBy("question_id").collect()
+    assert [(",".join(r["periods"]), r["top_n"], r["threshold"]) for r in out] == [x[1:] for x in asked]

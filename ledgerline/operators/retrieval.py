@@ -98,16 +98,45 @@ def scoped(hits: DataFrame, wanted: Column, company: Column, topic: Column) -> D
     return hits.where(wanted).withColumn("score", F.round(F.col("score") + F.when(company, 0.05).otherwise(0.0) + F.when(topic, 0.03).otherwise(0.0), 6))
 
 
+def pieces(x: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1)))
+    of_length = lambda n: F.transform(starts(n), lambda i: F.substring(x, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*map(of_length, lengths))))
+
+
+#: What each kind of match adds, and words of questions about an industry.
+MATCHES = {"company": 3.0, "topic": 2.0, "token": 0.2}
+INDUSTRY_WORDS = ("行业", "板块", "医保目录", "集采")
+
+
 def metadata_scores(questions: DataFrame, reports: DataFrame, k: int) -> DataFrame:
-    """K-18: reports of each question by matching fields: +3 company, +2 topic, +0.2 a common term; only scores over 0.
+    """K-18: the k best reports of each question by what their title, company and organization hold: +3 a company, +2 a topic, +0.2 a word of
+    the question (of two characters or more), -2.5 for a stock report without any of the companies asked for, +1 for an industry report if the
+    question is about an industry; only scores over 0, ties to the smaller report_id.
 
-    Questions and reports meet on terms, so no pair without a common term is made."""
-    a = questions.select("question_id", F.col("company").alias("qc"), F.explode("terms").alias("term"))
-    b = reports.select("report_id", "company", F.explode("terms").alias("term"))
-    hits = a.join(b, "term").groupBy("question_id", "report_id").agg(F.count("*").alias("n"), F.max((F.col("qc") == F.col("company")).cast("int")).alias("same"))
-    scored = hits.withColumn("score", F.round(F.col("same") * 3.0 + F.col("n") * 0.2, 6))
+    questions: question_id, text, companies, topics. reports: report_id, kind (stock or industry), title, company, organization.
+    Both meet on pieces of the lengths that are asked for, in an equi-join. Reports that only the industry point speaks for tie, so
+    the first k of them are enough."""
+    none = F.array().cast("array<string>")
+    wanted = lambda c, part: F.transform(F.coalesce(c, none), lambda x: F.struct(F.lit(part).alias("part"), x.alias("needle")))
+    words = F.filter(F.split("text", r"\s+"), lambda t: F.length(t) >= 2)
+    rows = F.concat(wanted(F.col("companies"), "company"), wanted(F.col("topics"), "topic"), wanted(words, "token"))
+    asked = questions.select("question_id", F.explode(rows).alias("x")).select("question_id", "x.*").where("needle <> ''").groupBy("question_id", "part", "needle").agg(F.count("*").alias("times"))
+    lengths = [r[0] for r in asked.select(F.length("needle")).distinct().collect()] or [1]
+    held = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "company", "organization")])
+    places = reports.select("report_id", F.explode(pieces(held, lengths)).alias("needle")).join(asked.select("needle").distinct(), "needle", "left_semi")
+    points = F.coalesce(*[F.when(F.col("part") == p, F.lit(x)) for p, x in MATCHES.items()]) * F.col("times")
+    met = asked.join(places, "needle").select("question_id", "report_id", points.alias("points"), (F.col("part") == "company").alias("own"))
+    facts = questions.select("question_id", (F.size(F.coalesce("companies", none)) > 0).alias("named"), F.coalesce(reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in INDUSTRY_WORDS]), F.lit(False)).alias("wide"))
+    first = reports.where("kind = 'industry'").orderBy("report_id").limit(k).select("report_id", "kind")
+    spare = facts.where("wide").withColumn("kind", F.lit("industry")).join(F.broadcast(first), "kind").select("question_id", "report_id", F.lit(0.0).alias("points"), F.lit(False).alias("own"))
+    found = met.unionByName(spare).groupBy("question_id", "report_id").agg(F.sum("points").alias("points"), F.max("own").alias("own"))
+    found = found.join(facts, "question_id").join(reports.select("report_id", "kind"), "report_id")
+    stock, industry = F.col("kind") == "stock", F.col("kind") == "industry"
+    score = F.col("points") - F.when(stock & F.col("named") & ~F.col("own"), 2.5).otherwise(0.0) + F.when(industry & F.col("wide"), 1.0).otherwise(0.0)
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "report_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "report_id", "score", "rank")
+    return found.withColumn("score", F.round(score, 6)).where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "report_id", "score", "rank")
 
 
 def fused(metadata: DataFrame, vector: DataFrame) -> DataFrame:
@@ -138,10 +167,7 @@ def companies(questions: DataFrame, names: DataFrame) -> DataFrame:
     lengths = [r[0] for r in names.select(F.length("stock_abbr")).distinct().collect()]  # as many rows as names have lengths
     if not lengths:
         lengths = [1]
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
-    of_length = lambda n: F.transform(starts(n), lambda i: F.substring("text", i, F.lit(n)))
-    pieces = F.array_distinct(F.flatten(F.array(*map(of_length, lengths))))
-    found = questions.select("question_id", F.explode(pieces).alias("stock_abbr")).join(names, "stock_abbr")
+    found = questions.select("question_id", F.explode(pieces(F.col("text"), lengths)).alias("stock_abbr")).join(names, "stock_abbr")
     return found.groupBy("question_id").agg(F.array_join(F.sort_array(F.collect_set("stock_code")), ",").alias("companies"))
 
 

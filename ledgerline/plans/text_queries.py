@@ -193,12 +193,24 @@ O["k19_report_metadata"] = "SELECT doc_id AS report_id, source, CASE WHEN lang =
 Q["k20_descriptions"] = lambda spark, d: E.described(_table(spark, d, "nation").select(F.col("n_name").alias("field"), F.when(F.col("n_regionkey") == 1, F.lit("given")).alias("description")), _table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_name").alias("field"), F.lit("default").alias("description")))
 O["k20_descriptions"] = "SELECT n_name AS field, coalesce(CASE WHEN n_regionkey = 1 THEN 'given' END, CASE WHEN n_nationkey < 12 THEN 'default' END) AS description FROM nation"
 _on("k23_retried", "embeddings", lambda e: E.retried(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")), _hits(e).where("query_id % 40 = 0 and rank <= 2").select("query_id", "vec_id"), _hits(e).where("rank <= 4").select("query_id", "vec_id")), _sqlhits + " SELECT query_id, vec_id, 1 AS pass FROM r WHERE query_id % 40 = 0 AND rank <= 2 UNION ALL SELECT query_id, vec_id, 2 FROM r WHERE query_id % 40 <> 0 AND rank <= 4")
-Q["k18_metadata_scores"] = lambda spark, d: K.metadata_scores(
-    _table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.lit("en").alias("company"), T.terms(F.col("text"), ["de", "la"]).alias("terms")),
-    _table(spark, d, "benchmark").select(F.col("item_id").alias("report_id"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("company"), T.terms(F.col("text"), ["de", "la"]).alias("terms")),
-    5,
-)
-O["k18_metadata_scores"] = "WITH q AS (SELECT DISTINCT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM benchmark), b AS (SELECT DISTINCT item_id AS report_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM benchmark), h AS (SELECT question_id, report_id, round((report_id % 2 = 0)::INT * 3.0::DOUBLE + count(*) * 0.2::DOUBLE, 6) AS score FROM q JOIN b USING (t) WHERE t NOT IN ('de', 'la') GROUP BY question_id, report_id) SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, report_id))::INT AS rank FROM h QUALIFY rank <= 5"
+def _k18(spark: SparkSession, d: str) -> DataFrame:
+    """Questions on a company's third quarters, every second one also on its industry, one in four without the company; reports of all records."""
+    x = sheets(spark, d)["income"].withColumn("id", F.concat_ws("-", "stock_code", "report_period"))
+    y = F.col("report_year")
+    asked = x.where("report_period like '%Q3'").select(
+        F.col("id").alias("question_id"), F.concat_ws(" ", "stock_abbr", "report_period", F.when(y % 2 == 0, F.lit("行业"))).alias("text"),
+        F.when(y % 4 != 1, F.array("stock_abbr")).alias("companies"), F.array("report_period").alias("topics"),
+    )
+    kind = F.when((F.col("stock_code").cast("int") + y) % 3 == 0, "industry").otherwise("stock")
+    reports = x.select(F.col("id").alias("report_id"), kind.alias("kind"), F.concat(F.col("report_period"), F.lit(" 点评")).alias("title"), F.col("stock_abbr").alias("company"), F.lit("").alias("organization"))
+    return K.metadata_scores(asked, reports, 5)
+
+
+Q["k18_metadata_scores"] = _k18
+O["k18_metadata_scores"] = f"""WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS id, stock_abbr AS n, report_period AS p, report_year AS y, (stock_code::INT + report_year) % 3 = 0 AS wide FROM income),
+s AS (SELECT q.id AS question_id, r.id AS report_id, round(CASE WHEN q.n = r.n AND q.y % 4 <> 1 THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN q.n = r.n THEN 0.2 ELSE 0 END + CASE WHEN q.p = r.p THEN 2.2 ELSE 0 END + CASE WHEN r.wide AND q.y % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN NOT r.wide AND q.y % 4 <> 1 AND q.n <> r.n THEN 2.5 ELSE 0 END, 6)::DOUBLE AS score
+    FROM x q, x r WHERE q.p LIKE '%Q3')
+SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, report_id))::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""
 _cited = lambda spark, d: _hits(_table(spark, d, "embeddings")).where("rank <= 10").select("query_id", F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, "the ").when(F.col("label") < 8, "zzz").alias("company"), F.array(F.lit("License"), F.lit("token")).alias("terms"), F.col("label").alias("page"))
 _lines = lambda spark, d: _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk", "text"))
 _sqllines = _sqlhits + ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1)::INT - 1 AS chunk FROM l), e AS (SELECT query_id, vec_id AS doc_id, CASE WHEN label < 5 THEN 'the ' WHEN label < 8 THEN 'zzz' END AS company, label AS page FROM r WHERE rank <= 10)"

@@ -60,3 +60,21 @@ def test_slots_of_questions(spark):
     questions = spark.createDataFrame([(i, x[0]) for i, x in enumerate(asked)], "question_id int, text string")
     out = K.slots(questions, this_year=2025).orderBy("question_id").collect()
     assert [(",".join(r["periods"]), r["top_n"], r["threshold"]) for r in out] == [x[1:] for x in asked]
+
+
+def test_metadata_scores_against_a_plain_count(spark):
+    asked = [(1, "比较 甲药 集采", ["甲药"], ["集采"]), (2, "乙 行业", [], None), (3, "丙丙 丙丙", ["丁丁"], []), (4, None, None, None), (5, "", ["无此"], [])]
+    reports = [(1, "stock", "甲药点评", "甲药", "机构"), (2, "industry", "集采 甲药", None, ""), (3, "stock", "丙丙", "", "x"), (4, "industry", "", "", ""), (5, "industry", "丙丙丁丁", "", "")]
+    got = K.metadata_scores(spark.createDataFrame(asked, "question_id int, text string, companies array<string>, topics array<string>"), spark.createDataFrame(reports, "report_id int, kind string, title string, company string, organization string"), 2)
+    want = set()
+    for q, text, companies, topics in asked:
+        scores = []
+        for r, kind, *parts in reports:
+            held = " ".join(p for p in parts if p)
+            own = [c for c in companies or [] if c in held]
+            score = 3.0 * len(own) + 2.0 * sum(t in held for t in topics or []) + 0.2 * sum(len(t) > 1 and t in held for t in (text or "").split())
+            score -= 2.5 if kind == "stock" and companies and not own else 0
+            score += 1 if kind == "industry" and any(w in (text or "") for w in K.INDUSTRY_WORDS) else 0
+            scores += [(-round(score, 6), r)] if score > 0 else []
+        want |= {(q, r, -s, i + 1) for i, (s, r) in enumerate(sorted(scores)[:2])}
+    assert {tuple(r) for r in got.collect()} == want

@@ -103,8 +103,8 @@ def nth_number(tokens: Column, n: int) -> Column:
 
 
 def growth_token(tokens: Column) -> Column:
-    """B-17: the first number from the third on that can be a growth rate."""
-    return F.get(F.filter(F.transform(F.slice(tokens, 3, 100), plain_number), lambda v: F.abs(v) <= 500), 0)
+    """B-17: the first number from the third token on that is marked as a percentage or at most 500 in size."""
+    return plain_number(F.get(F.filter(F.slice(tokens, 3, 100), lambda t: plain_number(t).isNotNull() & (t.rlike("[%％]|百分点") | (F.abs(plain_number(t)) <= 500))), 0))
 
 
 def third_quarter_value(tokens: Column) -> Column:

@@ -14,7 +14,7 @@ ALIASES = {
 }
 ZERO_FIELDS = ("operating_expense_selling_expenses", "operating_expense_rnd_expenses")
 PARENT, QUARTERS = "归属于", "第一季度"
-NUMBER = r"^[-+(（]?[0-9][0-9,]*(\.[0-9]+)?[)）]?%?$"
+NUMBER = r"^[-+(（]?[0-9][0-9,]*(\.[0-9]+)?[)）]?[%％]?$"
 
 
 def filled_rows(grid: DataFrame) -> DataFrame:
@@ -131,3 +131,26 @@ def with_adjacent_growth(records: DataFrame, sheet: str) -> DataFrame:
             old = F.col(growth) if growth in records.columns else F.lit(None).cast("double")
             out[growth] = F.coalesce(F.nullif(old, F.lit(0.0)), new, old)
     return records.withColumns(out)
+
+
+#: Growth fields of key figures with what their rows' labels hold and don't hold.
+KPI_GROWTH = (
+    ("operating_revenue_yoy_growth", "营业收入", None),
+    ("net_profit_yoy_growth", "归属于上市公司股东的净利润", "扣除非经常性损益"),
+    ("net_profit_excl_non_recurring_yoy", "扣除非经常性损益", None),
+)
+
+
+def kpi_growth(grid: DataFrame, third_quarter: Column, limit: float) -> DataFrame:
+    """C-11: growth fields of each record from the rows of its grid: in third quarters the last of four or more numbers, else the growth token.
+    The first value of at most `limit` in size is taken, else the last one. Records without any row of numbers are left out."""
+    rows = stitched(latched(labelled(filled_rows(grid)))).where(F.size("numbers") > 0)
+    numbers = F.filter("numbers", lambda t: T.plain_number(t).isNotNull())
+    last = F.when(third_quarter & (F.size(numbers) >= 4), T.plain_number(F.get(numbers, F.size(numbers) - 1)))
+    rows = rows.withColumn("value", F.coalesce(last, T.growth_token(F.col("numbers"))))
+    out = []
+    for field, word, other in KPI_GROWTH:
+        at = F.when(F.col("label").contains(word) & (~F.col("label").contains(other) if other else F.lit(True)) & F.col("value").isNotNull(), F.col("row_idx"))
+        sane = F.when(F.abs("value") <= limit, at)
+        out.append(F.coalesce(F.min_by("value", sane), F.max_by("value", at)).alias(field))
+    return rows.groupBy("record").agg(*out)

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.statements import KEY
+from .cells import ALIASES
 
 
 def without_noise(x: Column, patterns: list[str]) -> Column:
@@ -204,13 +206,46 @@ def only_without_long_grids(page_grids: DataFrame, long_grids: DataFrame) -> Dat
     return page_grids.join(long_grids.select("source_name", "table_name").distinct(), ["source_name", "table_name"], "left_anti")
 
 
-def page_ranges(pages: DataFrame, start: Column, stop: Column, span: int = 4) -> DataFrame:
-    """C-14 to C-16: ranges from a start marker to before the next stop marker, at most `span` pages, with the earliest longest one of each document."""
-    w = Window.partitionBy("doc_id").orderBy("page")
-    ahead = w.rowsBetween(1, span)
-    x = pages.withColumn("end", F.least(F.coalesce(F.min(F.when(stop, F.col("page") - 1)).over(ahead), F.col("page") + span - 1), F.col("page") + span - 1)).where(start)
-    best = F.struct((F.col("page") - F.col("end")).alias("l"), F.col("page").alias("p"))
-    return x.groupBy("doc_id").agg(F.min_by(F.struct(F.col("page").alias("first"), F.col("end").alias("last")), best).alias("x")).select("doc_id", "x.*")
+#: What may follow a marker on its line; signals of each sheet; marks of pages about other matters.
+MARKER_TAILS = ("", "续", "(续)", "续表", "(续表)")
+SIGNALS = {
+    "balance": ("资产总计", "负债合计", "所有者权益"),
+    "income": ("营业收入", "营业成本", "净利润"),
+    "cash": ("经营活动产生的现金流量净额", "现金及现金等价物净增加额"),
+    "kpi": ("营业收入", "每股收益", "净资产收益率"),
+}
+OTHER_MATTERS = ("受影响的合并", "会计政策变更前", "关联交易", "审计报告")
+
+
+def has_marker(page: Column, markers: list[str]) -> Column:
+    """C-14: whether a line, without numbering and colons at its ends, is a marker, continued or not."""
+    bare = lambda line: F.regexp_replace(F.regexp_replace(T.clean_label(line), r"^[(]?[一二三四五六七八九十0-9]+[).、]*", ""), r"^:+|:+$", "")
+    return F.exists(F.split(F.coalesce(page, F.lit("")), r"\r?\n"), lambda line: bare(line).isin(*[m + t for m in markers for t in MARKER_TAILS]))
+
+
+def range_score(text: Column, sheet: str) -> Column:
+    """C-16: 10 an alias, digits / 80 up to 10, 8 for a unit, 4 for 项目, 12 a signal of the sheet, -25 for other matters."""
+    x = T.clean_label(text)
+    holds = lambda words: sum((x.contains(w).cast("int") for w in words), F.lit(0))
+    aliases = sorted({a for a, _ in ALIASES.get(sheet, ())})
+    some = x.rlike("单位:?(人民币)?(亿元|万元|元)").cast("int") * 8 + x.contains("项目").cast("int") * 4 - (holds(OTHER_MATTERS) > 0).cast("int") * 25
+    return holds(aliases) * 10 + F.least(F.regexp_count(text, F.lit("[0-9]")) / 80, F.lit(10.0)) + some + holds(SIGNALS[sheet]) * 12
+
+
+def page_ranges(pages: DataFrame, sheet: str, starts: list[str], stops: list[str], span: int = 4) -> DataFrame:
+    """C-14 to C-16: ranges from a page with a start marker up to the next page with a stop marker, at most `span` pages, and of each document
+    the one with the best score, the earlier on ties.
+
+    pages: doc_id, page, text (null: empty). Returns doc_id, first, last, score; documents without a start marker have no row. A page meets only
+    the `span` - 1 pages after it, in one window over its document."""
+    ahead = Window.partitionBy("doc_id").orderBy("page").rowsBetween(0, span - 1)
+    page = F.struct("page", F.coalesce("text", F.lit("")).alias("text"), has_marker(F.col("text"), stops).alias("stop"))
+    x = pages.select("doc_id", page.alias("p"), has_marker(F.col("text"), starts).alias("start"), "page").withColumn("ahead", F.collect_list("p").over(ahead)).where("start")
+    stop = F.array_position(F.transform(F.slice("ahead", 2, span), lambda p: p["stop"]), F.lit(True))
+    x = x.select("doc_id", F.slice("ahead", F.lit(1), F.when(stop > 0, stop + 1).otherwise(F.lit(span)).cast("int")).alias("range"))
+    score = F.round(range_score(F.array_join(F.transform("range", lambda p: p["text"]), "\n"), sheet), 6)
+    x = x.select("doc_id", F.get("range", F.lit(0))["page"].alias("first"), F.get("range", F.size("range") - 1)["page"].alias("last"), score.alias("score"))
+    return x.groupBy("doc_id").agg(F.min_by(F.struct("first", "last", "score"), F.struct((-F.col("score")).alias("s"), "first")).alias("x")).select("doc_id", "x.*")
 
 
 def relaxed_cash_gap() -> Column:

@@ -174,7 +174,20 @@ _kinds = lambda d: d.select("doc_id", "source", F.when(F.length("text") > 500, "
 _sqlkinds = "WITH k AS (SELECT doc_id, source, CASE WHEN length(text) > 500 THEN 'body' ELSE 'short' END AS kind FROM documents)"
 _on("e14_corpus_statistics", "documents", lambda d: E.corpus_statistics(_kinds(d)), _sqlkinds + " SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, count(DISTINCT CASE WHEN kind = 'body' THEN doc_id END) AS n_body FROM k GROUP BY 1")
 _on("e15_sample_chunks", "documents", lambda d: E.sample_chunks(_kinds(d)), _sqlkinds + " SELECT source, kind, min(doc_id) AS doc_id FROM k GROUP BY ALL ORDER BY 1, 2 LIMIT 6")
-_on("c14_c16_page_ranges", "conversations", lambda c: E.page_ranges(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.length("text").alias("n")), F.col("n") > 200, F.col("n") < 120), "WITH p AS (SELECT conv_id AS doc_id, turn AS page, length(text) AS n FROM conversations), x AS (SELECT *, least(coalesce(min(CASE WHEN n < 120 THEN page - 1 END) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), page + 3), page + 3) AS e FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page - e, page) AS r FROM x WHERE n > 200) SELECT doc_id, page AS first, e AS last FROM s WHERE r = 1")
+
+def _statement_pages(c: DataFrame) -> DataFrame:
+    """Pages of a document from the turns of a conversation: every third opens a sheet, every fourth the next one; some speak of an audit."""
+    k = F.col("conv_id") + F.col("turn")
+    head = F.when(k % 3 == 0, F.lit("一、合并利润表（续）：\n单位：万元\n营业收入 项目\n")).when(k % 4 == 1, F.lit("2. 合并现金流量表\n净利润\n")).when(k % 5 == 2, F.lit("审计报告 合并利润表\n")).otherwise(F.lit(""))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.concat(head, "text").alias("text"))
+
+
+_on("c14_c16_page_ranges", "conversations", lambda c: E.page_ranges(_statement_pages(c), "income", ["合并利润表"], ["合并现金流量表"], 3), """WITH p AS (SELECT conv_id AS doc_id, turn AS page, text, (conv_id + turn) % 3 = 0 AS a, (conv_id + turn) % 3 <> 0 AND (conv_id + turn) % 4 = 1 AS b FROM conversations),
+q AS (SELECT *, NOT a AND NOT b AND (doc_id + page) % 5 = 2 AS o, length(regexp_replace(text, '[^0-9]', '', 'g')) + CASE WHEN b THEN 1 ELSE 0 END AS digits FROM p),
+s AS (SELECT x.doc_id, x.page AS first, min(y.page) AS stop FROM q x LEFT JOIN q y ON y.doc_id = x.doc_id AND y.page > x.page AND y.page <= x.page + 2 AND y.b WHERE x.a GROUP BY ALL),
+t AS (SELECT s.doc_id, first, max(page) AS last, round(10 + 12 + 8 + 4 + least(sum(digits) / 80, 10) + CASE WHEN bool_or(b) THEN 22 ELSE 0 END - CASE WHEN bool_or(o) THEN 25 ELSE 0 END, 6) AS score
+    FROM s JOIN q ON q.doc_id = s.doc_id AND page BETWEEN first AND coalesce(stop, first + 2) GROUP BY ALL)
+SELECT doc_id, first, last, score FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) = 1""")
 Q["l3_l7_topics_charts"] = lambda spark, d: questions(spark, d).select("question_id", E.topics(F.col("text"), ["净利润", "营业总收入", "公司"]).alias("topics"), E.chart_type(F.col("text"), {"前十": "bar", "公司": "table", "多少": "value"}).alias("chart"))
 O["l3_l7_topics_charts"] = f"WITH {_QUESTIONS} SELECT question_id, CASE t WHEN 0 THEN '营业总收入' WHEN 1 THEN '净利润,公司' ELSE '营业总收入,公司' END AS topics, CASE t WHEN 0 THEN 'value' ELSE 'table' END AS chart FROM qs"
 
@@ -287,3 +300,25 @@ _on("b28_caption_text", "nation", lambda n: n.select("n_nationkey", E.caption_te
 _on("c20_first_method", "lineitem", lambda x: C.first_method(x.select(F.col("l_orderkey").alias("grid"), F.col("l_returnflag").alias("sheet"), (F.col("l_orderkey") % 5_000).alias("page"), F.col("l_linenumber").alias("method_order"))), "SELECT l_orderkey AS grid, l_returnflag AS sheet, l_orderkey % 5000 AS page, l_linenumber AS method_order FROM lineitem QUALIFY l_linenumber = min(l_linenumber) OVER (PARTITION BY l_returnflag, l_orderkey % 5000)")
 _sheets("b24_cover", lambda s: s["income"].select(*_K3.split(", "), T.cover(F.when(F.col("report_year") % 2 == 0, F.concat(F.lit("证券代码 "), "stock_code", F.lit("\n"), (F.col("report_year") + 10).cast("string"), F.lit("年第三季度报告摘要"))).otherwise(F.lit("目录")), F.concat("stock_code", F.lit("："), (F.col("report_year") + 20).cast("string"), F.lit("年年度报告.pdf"))).alias("x")).select(*_K3.split(", "), "x.*"), f"SELECT {_K3}, (report_year + CASE WHEN report_year % 2 = 0 THEN 10 ELSE 20 END)::INT AS year, CASE WHEN report_year % 2 = 0 THEN 'Q3' ELSE 'FY' END AS period, report_year % 2 = 0 AS summary, stock_code AS code FROM income")
 _sheets("d15_names", lambda s: D.enrich_names(s["income"].select(F.concat_ws("-", "stock_code", "report_period").alias("id"), F.when(F.col("report_year") % 3 > 0, F.col("stock_code")).alias("stock_code"), F.when(F.col("report_year") % 3 < 2, F.when(F.col("report_period").endswith("Q1"), "none").otherwise(F.col("stock_abbr"))).alias("stock_abbr")), s["income"].select("stock_code", "stock_abbr").distinct()).select("id", "name", "code"), "SELECT concat_ws('-', stock_code, report_period) AS id, CASE WHEN report_year % 3 < 2 AND report_period LIKE '%Q1' THEN 'none' ELSE stock_abbr END AS name, CASE WHEN report_year % 3 = 0 AND report_period LIKE '%Q1' THEN '000000' ELSE stock_code END AS code FROM income")
+
+
+def _kpi_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Grids of key figures: amounts of two years and a growth rate, a label over two rows, rates beyond reason, a breakdown by quarters."""
+    n = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    none = F.lit(None).cast("string")
+    row = lambda label, *cells: F.array(F.lit(label), *cells, *[none] * (4 - len(cells)))
+    wild = F.when(F.col("report_year") % 2 == 0, "5,000.00%").otherwise("-8.25%")
+    grid = F.array(
+        row("（一）营业收入（元）", n(REV), n("net_profit"), wild),
+        row("归属于上市公司股东的"), row("净利润", n("net_profit"), n(REV), F.lit("600.00"), F.lit("7.5%")),
+        row("归属于上市公司股东的扣除非经常性损益的净利润", n("net_profit"), n(REV), F.lit("3.25"), F.lit("1,200.5%")),
+        row("其中：营业收入", F.lit("1"), F.lit("2"), F.lit("12％")),
+        row("第一季度第二季度"), row("营业收入", F.lit("1"), F.lit("2"), F.lit("99%")),
+    )
+    x = sheets(spark, d)["income"].where(f"{REV} is not null and net_profit is not null")
+    return x.select(F.concat_ws("-", "stock_code", "report_period").alias("record"), F.lit("kpi").alias("sheet"), F.posexplode(grid).alias("row_idx", "cells"))
+
+
+Q["c11_kpi_growth"] = lambda spark, d: C.kpi_growth(_kpi_grid(spark, d), F.col("record").endswith("Q3"), 1_000.0)
+O["c11_kpi_growth"] = f"""WITH {ORACLE_BASE} SELECT concat_ws('-', stock_code, report_period) AS record, CASE WHEN report_year % 2 = 0 THEN 12.0 ELSE -8.25 END::DOUBLE AS operating_revenue_yoy_growth, 7.5::DOUBLE AS net_profit_yoy_growth,
+    CASE WHEN report_period LIKE '%Q3' THEN 1200.5 ELSE 3.25 END::DOUBLE AS net_profit_excl_non_recurring_yoy FROM income WHERE {REV} IS NOT NULL AND net_profit IS NOT NULL"""

@@ -152,22 +152,48 @@ def metric_columns(metrics: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(dictionary), "metric", "left").select("question_id", "metric", "column", F.col("column").isNotNull().alias("supported"))
 
 
+def _margin_revenue(income: Column, own: Column, cost: Column, profit: Column) -> Column:
+    """Of two positive revenues the one with the less odd margins, the larger on ties; without any the income sheet's if not 0."""
+    def candidate(revenue: Column) -> Column:
+        gross, net = F.try_divide((revenue - cost) * 100, revenue), F.try_divide(profit * 100, revenue)
+        odd = [F.when(F.abs(m) > 100, F.abs(m) + 1_000) for m in (gross, net)] + [F.when(m < -50, -m - 50) for m in (gross, net)] + [F.when(net > gross + 20, net - gross + 480)]
+        score = sum((F.coalesce(o, F.lit(0.0)) for o in odd), F.lit(0.0))
+        return F.when(revenue > 0, F.struct(score.alias("s"), (-revenue).alias("l"), revenue.alias("revenue")))
+    return F.coalesce(F.least(candidate(income), candidate(own))["revenue"], F.nullif(income, F.lit(0.0)), own)
+
+
 def enriched_kpi(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
-    """D-6: KPI margins, ROE and operating cash flow a share, refilled from the joined sheets where missing or out of tolerance."""
+    """D-6: key figures from the joined sheets. Amounts are filled where missing and, within a year, replaced beyond max(100, 30 %) or with another
+    sign; margins are replaced beyond 20 points; returns and growth are filled where missing or over 1,000; figures a share are replaced beyond
+    max(1, 80 %) or with another sign. Missing sheets leave the own figures."""
     x = kpi
-    for df, names in ((income, {"total_operating_revenue": "#r", "net_profit": "#p", "operating_expense_cost_of_sales": "#c"}), (balance, {"equity_total_equity": "#e"}), (cash, {"operating_cf_net_amount": "#o"})):
+    growth = [c for c in ("operating_revenue_yoy_growth", "net_profit_yoy_growth") if c in income.columns]
+    for df, names in ((income, {"total_operating_revenue": "#r", "net_profit": "#p", "operating_expense_cost_of_sales": "#c"} | {c: f"#{c}" for c in growth}), (balance, {"equity_total_equity": "#e"}), (cash, {"operating_cf_net_amount": "#o"})):
         x = x.join(df.select(*KEY, *[F.col(a).alias(b) for a, b in names.items()]), KEY, "left")
-    pct = lambda a, b: F.try_divide(a * 100, b)
-    refill = lambda own, new, off: F.when(new.isNotNull() & (own.isNull() | (F.abs(own - new) > off)), new).otherwise(own)
-    shares = F.try_divide(F.col("#p") * 10_000, F.col("eps"))
-    per_share = F.when(shares.between(1e6, 1e12), F.try_divide(F.col("#o") * 10_000, shares))
+    for c in ("total_operating_revenue", "net_profit_10k_yuan", "roe", "roe_weighted_excl_non_recurring", "net_profit_excl_non_recurring", *growth):
+        x = x if c in x.columns else x.withColumn(c, F.lit(None).cast("double"))
+    own, r, p, cost, equity, flow = (F.col(c) for c in ("total_operating_revenue", "#r", "#p", "#c", "#e", "#o"))
+    within = F.right("report_period", F.lit(2)).isin("Q1", "H1", "Q3")
+    replaced = lambda c, new, off: F.when(new.isNotNull() & (F.col(c).isNull() | off(F.col(c), new)), new).otherwise(F.col(c))
+    amount = lambda a, b: within & F.when(a == 0, F.abs(b) > 100).otherwise((a * b < 0) | (F.abs(a - b) > F.greatest(F.lit(100.0), F.abs(b) * 0.3)))
+    wild = lambda a, b: F.abs(a) > 1_000
+    margin = lambda a, b: wild(a, b) | (F.abs(a - b) > 20)
+    a_share = lambda a, b: F.when((a == 0) | (b == 0), F.abs(a - b) > 1).otherwise((a * b < 0) | (F.abs(a - b) > F.greatest(F.lit(1.0), F.abs(a) * 0.8, F.abs(b) * 0.8)))
+    x = x.withColumn("#m", _margin_revenue(r, own, cost, p))
+    shares = F.try_divide(p * 10_000, F.col("eps"))
+    shares = F.when(F.abs(shares).between(1e6, 1e12), shares)
     out = x.withColumns({
-        "gross_profit_margin": refill(F.col("gross_profit_margin"), pct(F.col("#r") - F.col("#c"), F.col("#r")), F.lit(20.0)),
-        "net_profit_margin": refill(F.col("net_profit_margin"), pct(F.col("#p"), F.col("#r")), F.lit(20.0)),
-        "roe": F.coalesce("roe", pct(F.col("#p"), F.col("#e"))),
-        "operating_cf_per_share": refill(F.col("operating_cf_per_share"), per_share, F.greatest(F.lit(0.2), F.abs(per_share) * 0.8)),
+        "total_operating_revenue": replaced("total_operating_revenue", r, amount),
+        "net_profit_10k_yuan": replaced("net_profit_10k_yuan", p, amount),
+        "gross_profit_margin": replaced("gross_profit_margin", F.try_divide((F.col("#m") - cost) * 100, F.col("#m")), margin),
+        "net_profit_margin": replaced("net_profit_margin", F.try_divide(p * 100, F.col("#m")), margin),
+        "roe": replaced("roe", F.try_divide(p * 100, equity), wild),
+        "roe_weighted_excl_non_recurring": replaced("roe_weighted_excl_non_recurring", F.try_divide(F.col("net_profit_excl_non_recurring") * 100, equity), wild),
+        "net_asset_per_share": replaced("net_asset_per_share", F.try_divide(equity * 10_000, shares), a_share),
+        "operating_cf_per_share": replaced("operating_cf_per_share", F.try_divide(flow * 10_000, shares), a_share),
+        **{c: replaced(c, F.col(f"#{c}"), wild) for c in growth},
     })
-    return out.drop("#r", "#p", "#c", "#e", "#o")
+    return out.drop(*[c for c in out.columns if c.startswith("#")])
 
 
 def record_fill(balance: DataFrame) -> DataFrame:

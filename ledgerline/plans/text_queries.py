@@ -152,10 +152,37 @@ def _sheets(name: str, f: Callable[[dict[str, DataFrame]], DataFrame], sql: str)
 
 
 _K3 = "stock_code, report_period, report_year"
-_sheets("d6_enriched_kpi", lambda s: E.enriched_kpi(s["kpi"], s["income"], s["balance"], s["cash"]).select(*_K3.split(", "), "gross_profit_margin", "net_profit_margin", "roe", "operating_cf_per_share"), f""", x AS (SELECT {_K3}, k.gross_profit_margin AS g, k.net_profit_margin AS m, k.roe, k.operating_cf_per_share AS o, (i.{REV} - i.operating_expense_cost_of_sales) * 100 / nullif(i.{REV}, 0) AS ng, i.net_profit * 100 / nullif(i.{REV}, 0) AS nm,
- CASE WHEN i.net_profit * 10000 / nullif(k.eps, 0) BETWEEN 1e6 AND 1e12 THEN c.operating_cf_net_amount * 10000 / (i.net_profit * 10000 / nullif(k.eps, 0)) END AS no
- FROM kpi k LEFT JOIN income i USING ({_K3}) LEFT JOIN balance b USING ({_K3}) LEFT JOIN cash c USING ({_K3}))
-SELECT {_K3}, CASE WHEN ng IS NOT NULL AND (g IS NULL OR abs(g - ng) > 20) THEN ng ELSE g END AS gross_profit_margin, CASE WHEN nm IS NOT NULL AND (m IS NULL OR abs(m - nm) > 20) THEN nm ELSE m END AS net_profit_margin, roe, CASE WHEN no IS NOT NULL AND (o IS NULL OR abs(o - no) > greatest(0.2, abs(no) * 0.8)) THEN no ELSE o END AS operating_cf_per_share FROM x""")
+
+def _kpi_given(s: dict[str, DataFrame]) -> DataFrame:
+    """Key figures with zero, reversed, missing and wild values, enriched."""
+    y = F.col("report_year")
+    kpi = s["kpi"].withColumns({
+        "net_profit_10k_yuan": F.when(y % 4 == 0, 0.0).when(y % 4 == 1, -F.col("net_profit_10k_yuan")).otherwise(F.col("net_profit_10k_yuan")),
+        "roe": F.when(y % 3 == 1, 1_500.0).when(y % 3 == 2, F.col("roe")), "operating_revenue_yoy_growth": F.when(y % 2 == 0, 2_000.0).otherwise(5.0),
+        "net_asset_per_share": F.when(y % 2 == 0, F.col("net_asset_per_share") * 0.1).otherwise(F.col("net_asset_per_share")),
+        "operating_cf_per_share": F.when(y % 3 == 0, F.lit(0.0)).otherwise(F.col("operating_cf_per_share") * 50),
+    })
+    income = s["income"].withColumn("operating_revenue_yoy_growth", (y % 7).cast("double"))
+    return E.enriched_kpi(kpi, income, s["balance"], s["cash"])
+
+
+_KPI = "total_operating_revenue, net_profit_10k_yuan, gross_profit_margin, net_profit_margin, roe, roe_weighted_excl_non_recurring, net_asset_per_share, operating_cf_per_share"
+_sheets("d6_enriched_kpi", lambda s: _kpi_given(s).select(*_K3.split(", "), "operating_revenue_yoy_growth", *[F.round(c, 6).alias(c) for c in _KPI.split(", ")]), f""", x AS (SELECT {_K3}, report_period LIKE '%FY' AS fy, k.{REV} AS r0, i.{REV} AS r, i.operating_expense_cost_of_sales AS c, i.net_profit AS p, b.equity_total_equity AS e, c.operating_cf_net_amount AS f, k.net_profit_excl_non_recurring AS x,
+ CASE report_year % 4 WHEN 0 THEN 0 WHEN 1 THEN -k.net_profit_10k_yuan ELSE k.net_profit_10k_yuan END AS p0, k.gross_profit_margin AS g, k.net_profit_margin AS m, CASE report_year % 3 WHEN 1 THEN 1500 WHEN 2 THEN k.roe END AS roe,
+ CASE WHEN report_year % 2 = 0 THEN k.net_asset_per_share * 0.1 ELSE k.net_asset_per_share END AS nav, CASE WHEN report_year % 3 = 0 THEN 0 ELSE k.operating_cf_per_share * 50 END AS ocf, k.eps
+ FROM kpi k LEFT JOIN income i USING ({_K3}) LEFT JOIN balance b USING ({_K3}) LEFT JOIN cash c USING ({_K3})),
+cand AS (SELECT {_K3}, v AS rev, (v - c) * 100 / v AS gm, p * 100 / v AS nm FROM (SELECT *, unnest([r, r0]) AS v FROM x) WHERE v > 0),
+best AS (SELECT {_K3}, rev FROM cand QUALIFY row_number() OVER (PARTITION BY {_K3} ORDER BY CASE WHEN abs(gm) > 100 THEN 1000 + abs(gm) ELSE 0 END + CASE WHEN abs(nm) > 100 THEN 1000 + abs(nm) ELSE 0 END + CASE WHEN gm < -50 THEN -gm - 50 ELSE 0 END + CASE WHEN nm < -50 THEN -nm - 50 ELSE 0 END + CASE WHEN nm > gm + 20 THEN nm - gm + 480 ELSE 0 END, rev DESC) = 1),
+y AS (SELECT x.*, coalesce(rev, nullif(r, 0), r0) AS v, CASE WHEN abs(p * 10000 / nullif(eps, 0)) BETWEEN 1e6 AND 1e12 THEN p * 10000 / eps END AS n FROM x LEFT JOIN best USING ({_K3})),
+z AS (SELECT *, (v - c) * 100 / nullif(v, 0) AS g1, p * 100 / nullif(v, 0) AS m1, p * 100 / nullif(e, 0) AS roe1, x * 100 / nullif(e, 0) AS w1, e * 10000 / n AS nav1, f * 10000 / n AS ocf1 FROM y)
+SELECT {_K3}, CASE WHEN report_year % 2 = 0 THEN report_year % 7 ELSE 5 END::DOUBLE AS operating_revenue_yoy_growth,
+ round(CASE WHEN r IS NOT NULL AND (r0 IS NULL OR NOT fy AND (r0 = 0 AND abs(r) > 100 OR r0 <> 0 AND (r0 * r < 0 OR abs(r0 - r) > greatest(100, abs(r) * 0.3)))) THEN r ELSE r0 END, 6)::DOUBLE AS {REV},
+ round(CASE WHEN p IS NOT NULL AND (p0 IS NULL OR NOT fy AND (p0 = 0 AND abs(p) > 100 OR p0 <> 0 AND (p0 * p < 0 OR abs(p0 - p) > greatest(100, abs(p) * 0.3)))) THEN p ELSE p0 END, 6)::DOUBLE AS net_profit_10k_yuan,
+ round(CASE WHEN g1 IS NOT NULL AND (g IS NULL OR abs(g) > 1000 OR abs(g - g1) > 20) THEN g1 ELSE g END, 6)::DOUBLE AS gross_profit_margin,
+ round(CASE WHEN m1 IS NOT NULL AND (m IS NULL OR abs(m) > 1000 OR abs(m - m1) > 20) THEN m1 ELSE m END, 6)::DOUBLE AS net_profit_margin,
+ round(CASE WHEN roe1 IS NOT NULL AND (roe IS NULL OR abs(roe) > 1000) THEN roe1 ELSE roe END, 6)::DOUBLE AS roe, round(w1, 6)::DOUBLE AS roe_weighted_excl_non_recurring,
+ round(CASE WHEN nav1 IS NOT NULL AND (nav IS NULL OR CASE WHEN nav = 0 OR nav1 = 0 THEN abs(nav - nav1) > 1 ELSE nav * nav1 < 0 OR abs(nav - nav1) > greatest(1, abs(nav) * 0.8, abs(nav1) * 0.8) END) THEN nav1 ELSE nav END, 6)::DOUBLE AS net_asset_per_share,
+ round(CASE WHEN ocf1 IS NOT NULL AND (ocf IS NULL OR CASE WHEN ocf = 0 OR ocf1 = 0 THEN abs(ocf - ocf1) > 1 ELSE ocf * ocf1 < 0 OR abs(ocf - ocf1) > greatest(1, abs(ocf) * 0.8, abs(ocf1) * 0.8) END) THEN ocf1 ELSE ocf END, 6)::DOUBLE AS operating_cf_per_share FROM z""")
 _sheets("c10b_record_fill", lambda s: E.record_fill(s["balance"]).select(*_K3.split(", "), "equity_total_equity", "asset_liability_ratio"), f"SELECT {_K3}, coalesce(equity_total_equity, asset_total_assets - liability_total_liabilities) AS equity_total_equity, liability_total_liabilities * 100 / nullif(asset_total_assets, 0) AS asset_liability_ratio FROM balance")
 _sheets("r25_r26_return_prechecks", lambda s: E.return_prechecks(s["kpi"].withColumns({"roe": F.col("roe") * 3 + 5, "net_asset_per_share": F.col("net_asset_per_share") * 200, "operating_cf_per_share": F.col("operating_cf_per_share") * 50}), s["income"], s["balance"], s["cash"]), f""", x AS (SELECT {_K3}, k.roe * 3 + 5 AS roe, k.net_asset_per_share * 200 AS nav, k.operating_cf_per_share * 50 AS ocf, i.net_profit * 100 / nullif(b.equity_total_equity, 0) AS d, b.equity_total_equity AS e, c.operating_cf_net_amount AS o, CASE WHEN i.net_profit * 10000 / nullif(k.eps, 0) BETWEEN 1e6 AND 1e12 THEN i.net_profit * 10000 / nullif(k.eps, 0) END AS n FROM kpi k JOIN income i USING ({_K3}) LEFT JOIN balance b USING ({_K3}) LEFT JOIN cash c USING ({_K3})),
 y AS (SELECT *, e * 10000 / n AS dn, o * 10000 / n AS dc, report_period LIKE '%FY' AND e > 0 AND abs(roe) <= 100 AS fy FROM x), g AS (SELECT * FROM y WHERE NOT coalesce(fy AND (abs(d) > 100 OR roe * d < 0), false))

@@ -266,10 +266,30 @@ def missing_slots(parsed: DataFrame) -> DataFrame:
     return parsed.select("question_id", F.array_join(gone, ",").alias("missing"))
 
 
-def carried(turns: DataFrame, conv: str, turn: str, value: str) -> DataFrame:
-    """L-9: a turn without a value takes the last one before it."""
+#: Words by which a turn refers to companies of the turns before.
+BACK = ("这些公司", "这些企业", "上述公司", "上述企业", "这些", "上述")
+
+
+def refers_back(x: Column) -> Column:
+    """L-9: whether a turn refers to companies of earlier turns; null texts don't."""
+    return F.coalesce(reduce(lambda a, b: a | b, [x.contains(w) for w in BACK]), F.lit(False))
+
+
+def carried(turns: DataFrame, conv: str, turn: str, value: str, refers: Column | None = None) -> DataFrame:
+    """L-9: a turn without a value takes the last one before it, if it refers to it (always, if `refers` is not given)."""
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
-    return turns.withColumn("carried", F.last(value, ignorenulls=True).over(w))
+    last = F.last(value, ignorenulls=True).over(w)
+    return turns.withColumn("carried", last if refers is None else F.coalesce(F.col(value), F.when(refers, last)))
+
+
+def same_period(x: Column, periods: Column, before: Column) -> Column:
+    """L-9: periods of a follow-up that asks for the same period (同期) of a year: whole years take the quarter of the period before; without
+    periods the year named before 同期 does. Without a period before they stay; null periods are none."""
+    own = F.coalesce(periods, F.array().cast("array<string>"))
+    year, quarter = F.nullif(F.regexp_extract(x, "([0-9]{4})年同期", 1), F.lit("")), F.substring(before, 5, 10)
+    moved = F.transform(own, lambda p: F.when(p.endswith("FY") & year.isNotNull(), F.concat(F.substring(p, 1, 4), quarter)).otherwise(p))
+    moved = F.when(F.size(own) > 0, moved).when(year.isNotNull(), F.array(F.concat(year, quarter))).otherwise(own)
+    return F.when(x.contains("同期") & before.rlike("^[0-9]{4}.{2}"), F.array_distinct(moved)).otherwise(own)
 
 
 def cumulative_text(turns: DataFrame) -> DataFrame:

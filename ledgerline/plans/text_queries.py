@@ -85,6 +85,21 @@ _on("a15_seeded_sample", "benchmark", lambda d: K.seeded_sample(d.select("item_i
 _on("l9_carried_slots", "conversations", lambda d: K.carried(d.withColumn("slot", F.when(F.length("text") > 300, F.length("text"))), "conv_id", "turn", "slot").select("conv_id", "turn", "carried"), "SELECT conv_id, turn, last_value(CASE WHEN length(text) > 300 THEN length(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INT AS carried FROM conversations")
 
 
+def _follow_ups(d: DataFrame) -> DataFrame:
+    """Turns of which a third refers back and a third asks for the same period of a year, some with periods and a period before."""
+    said = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("这些公司"), "text")).when(F.col("turn") % 3 == 2, F.concat(F.lit("与2021年同期相比 "), "text")).otherwise(F.col("text"))
+    own = F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("2022FY"), F.lit("2023Q1"), F.lit("2022FY"))).when(F.col("conv_id") % 3 == 1, F.array().cast("array<string>"))
+    x = d.select("conv_id", "turn", said.alias("text"), F.when(F.length("text") > 300, F.length("text")).alias("slot"), own.alias("own"), F.when(F.col("conv_id") % 4 < 2, "2023H1").alias("before"))
+    periods = F.array_join(K.same_period(F.col("text"), F.col("own"), F.col("before")), ",")
+    return K.carried(x, "conv_id", "turn", "slot", K.refers_back(F.col("text"))).select("conv_id", "turn", "carried", periods.alias("periods"))
+
+
+_on("l9_follow_ups", "conversations", _follow_ups, """WITH x AS (SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN length(text) END AS slot, turn % 3 = 2 AND conv_id % 4 < 2 AS same FROM conversations),
+y AS (SELECT *, last_value(slot IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before FROM x)
+SELECT conv_id, turn, CASE WHEN slot IS NOT NULL THEN slot WHEN turn % 3 = 1 THEN before END::INT AS carried,
+    CASE WHEN same THEN CASE WHEN conv_id % 3 = 0 THEN '2022H1,2023Q1' ELSE '2021H1' END WHEN conv_id % 3 = 0 THEN '2022FY,2023Q1,2022FY' ELSE '' END AS periods FROM y""")
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """Questions on the facts (FIXTURES.md F-5)."""
     x = sheets(spark, d)["income"].where("report_period like '%Q3'")

@@ -7,16 +7,71 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Aliases of fields by sheet, in order; fields whose blank rows mean 0; what makes a label about a parent company.
+#: Aliases of fields by sheet, in order.
 ALIASES = {
-    "income": (("营业总收入", "total_operating_revenue"), ("营业收入", "total_operating_revenue"), ("扣除非经常性损益的净利润", "net_profit_excl_non_recurring"), ("净利润", "net_profit"), ("销售费用", "operating_expense_selling_expenses"), ("研发费用", "operating_expense_rnd_expenses")),
-    "cash": (("经营活动产生的现金流量净额", "operating_cf_net_amount"), ("投资活动产生的现金流量净额", "investing_cf_net_amount"), ("筹资活动产生的现金流量净额", "financing_cf_net_amount")),
-}
-ZERO_FIELDS = ("operating_expense_selling_expenses", "operating_expense_rnd_expenses")
+    "kpi": {
+        "营业收入": "total_operating_revenue", "营业收入（元）": "total_operating_revenue", "每股收益": "eps", "基本每股收益": "eps", "基本每股收益(元/股)": "eps", "基本每股收益（元/股）": "eps",
+        "基本每股收益（元／股）": "eps", "稀释每股收益": "eps", "稀释每股收益(元/股)": "eps", "稀释每股收益（元/股）": "eps", "稀释每股收益（元／股）": "eps", "用最新股本计算的全面摊薄每股收益(元/股)": "eps",
+        "营业总收入": "total_operating_revenue", "营业收入合计": "total_operating_revenue", "营业收入同比增长": "operating_revenue_yoy_growth", "营业总收入同比增长": "operating_revenue_yoy_growth",
+        "营业收入比上年同期增长": "operating_revenue_yoy_growth", "营业总收入比上年同期增长": "operating_revenue_yoy_growth", "营业收入较上年同期增长": "operating_revenue_yoy_growth",
+        "营业总收入较上年同期增长": "operating_revenue_yoy_growth", "营业收入比上年同期增减": "operating_revenue_yoy_growth", "营业总收入环比增长": "operating_revenue_qoq_growth", "营业收入环比增长": "operating_revenue_qoq_growth",
+        "归属于母公司所有者的净利润": "net_profit_10k_yuan", "归属于母公司股东的净利润": "net_profit_10k_yuan", "归属于上市公司股东的净利润": "net_profit_10k_yuan", "归属于上市公司股东的净利润（元）": "net_profit_10k_yuan",
+        "归属于母公司所有者的净利润（元）": "net_profit_10k_yuan", "归属于母公司股东的净利润（元）": "net_profit_10k_yuan", "归属于母公司净利润": "net_profit_10k_yuan",
+        "归属于母公司所有者的净利润同比增长": "net_profit_yoy_growth", "归属于母公司股东的净利润同比增长": "net_profit_yoy_growth", "归属于上市公司股东的净利润同比增长": "net_profit_yoy_growth",
+        "归属于上市公司股东的净利润比上年同期增长": "net_profit_yoy_growth", "归属于母公司所有者的净利润比上年同期增长": "net_profit_yoy_growth", "归属于母公司股东的净利润比上年同期增长": "net_profit_yoy_growth",
+        "归属于母公司所有者的净利润环比增长": "net_profit_qoq_growth", "归属于母公司股东的净利润环比增长": "net_profit_qoq_growth", "归属于上市公司股东的净利润环比增长": "net_profit_qoq_growth",
+        "每股净资产": "net_asset_per_share", "归属于上市公司股东的每股净资产": "net_asset_per_share", "净资产收益率": "roe", "加权平均净资产收益率": "roe", "加权平均净资产收益率（%）": "roe", "加权平均净资产收益率(%)": "roe",
+        "净资产收益率（%）": "roe", "净资产收益率(%)": "roe", "均净资产收益率（%）": "roe", "均净资产收益率(%)": "roe", "经营活动产生的现金流量净额/每股": "operating_cf_per_share", "每股经营现金流": "operating_cf_per_share",
+        "每股经营活动产生的现金流量净额": "operating_cf_per_share", "每股经营活动现金流量净额": "operating_cf_per_share", "扣除非经常性损益后的净利润": "net_profit_excl_non_recurring", "扣除非经常性损益后的净利润（元）": "net_profit_excl_non_recurring",
+        "归属于上市公司股东的扣除非经常性损益的净利润": "net_profit_excl_non_recurring", "归属于上市公司股东的扣除非经常性损益后的净利润": "net_profit_excl_non_recurring",
+        "归属于上市公司股东的扣除非经常性损益的净利润（元）": "net_profit_excl_non_recurring", "归属于本公司股东的扣除非经常性损益的净利润": "net_profit_excl_non_recurring",
+        "归属于母公司所有者的扣除非经常性损益的净利润": "net_profit_excl_non_recurring", "归属于母公司股东的扣除非经常性损益的净利润": "net_profit_excl_non_recurring",
+        "归属于本公司股东的每股股东权益": "net_asset_per_share", "归属于本公司股东的每股净资产": "net_asset_per_share", "扣除非经常性损益后的净利润同比增长": "net_profit_excl_non_recurring_yoy",
+        "归属于上市公司股东的扣除非经常性损益的净利润同比增长": "net_profit_excl_non_recurring_yoy", "归属于母公司所有者的扣除非经常性损益的净利润同比增长": "net_profit_excl_non_recurring_yoy",
+        "毛利率": "gross_profit_margin", "净利率": "net_profit_margin", "扣非加权平均净资产收益率": "roe_weighted_excl_non_recurring", "扣除非经常性损益后的加权平均净资产收益率": "roe_weighted_excl_non_recurring",
+        "扣除非经常性损益后的加权平均净资产收益率（%）": "roe_weighted_excl_non_recurring", "扣除非经常性损益后的加权平均净资产收益率(%)": "roe_weighted_excl_non_recurring",
+    },
+    "balance": {
+        "货币资金": "asset_cash_and_cash_equivalents", "现金及存放中央银行款项": "asset_cash_and_cash_equivalents", "现金及银行存款": "asset_cash_and_cash_equivalents", "应收账款": "asset_accounts_receivable", "存货": "asset_inventory",
+        "交易性金融资产": "asset_trading_financial_assets", "在建工程": "asset_construction_in_progress", "资产总计": "asset_total_assets", "负债和所有者权益总计": "asset_total_assets", "负债和所有者权益(或股东权益)总计": "asset_total_assets",
+        "总资产同比增长": "asset_total_assets_yoy_growth", "应付账款": "liability_accounts_payable", "预收款项": "liability_advance_from_customers", "预收账款": "liability_advance_from_customers", "负债合计": "liability_total_liabilities",
+        "总负债同比增长": "liability_total_liabilities_yoy_growth", "合同负债": "liability_contract_liabilities", "合同负债及预收款项": "liability_contract_liabilities", "合同负债及预收账款": "liability_contract_liabilities",
+        "短期借款": "liability_short_term_loans", "短期银行借款": "liability_short_term_loans", "资产负债率": "asset_liability_ratio", "未分配利润": "equity_unappropriated_profit", "归属于母公司股东的未分配利润": "equity_unappropriated_profit",
+        "所有者权益合计": "equity_total_equity", "股东权益合计": "equity_total_equity", "归属于母公司股东权益合计": "equity_total_equity", "归属于母公司所有者权益合计": "equity_total_equity", "归属于母公司所有者的权益合计": "equity_total_equity",
+        "归属于母公司所有者权益(或股东权益)合计": "equity_total_equity", "归属于上市公司股东的所有者权益": "equity_total_equity", "归属于上市公司股东的所有者权益合计": "equity_total_equity", "所有者权益(或股东权益)合计": "equity_total_equity",
+    },
+    "cash": {
+        "现金及现金等价物净增加额": "net_cash_flow", "五、现金及现金等价物净增加额": "net_cash_flow", "现金及现金等价物净增加额同比增长": "net_cash_flow_yoy_growth", "经营活动产生的现金流量净额": "operating_cf_net_amount",
+        "经营活动产生的现金流量净额（元）": "operating_cf_net_amount", "经营现金流量净额": "operating_cf_net_amount", "经营活动现金流占比": "operating_cf_ratio_of_net_cf", "销售商品、提供劳务收到的现金": "operating_cf_cash_from_sales",
+        "投资活动产生的现金流量净额": "investing_cf_net_amount", "投资现金流量净额": "investing_cf_net_amount", "投资活动现金流占比": "investing_cf_ratio_of_net_cf",
+        "购建固定资产、无形资产和其他长期资产支付的现金": "investing_cf_cash_for_investments", "购建固定资产、无形资产和其他长期资产所支付的现金": "investing_cf_cash_for_investments", "投资支付的现金": "investing_cf_cash_for_investments",
+        "收回投资收到的现金": "investing_cf_cash_from_investment_recovery", "收回投资所收到的现金": "investing_cf_cash_from_investment_recovery", "取得借款收到的现金": "financing_cf_cash_from_borrowing", "借款收到的现金": "financing_cf_cash_from_borrowing",
+        "偿还债务支付的现金": "financing_cf_cash_for_debt_repayment", "偿还借款支付的现金": "financing_cf_cash_for_debt_repayment", "筹资活动产生的现金流量净额": "financing_cf_net_amount", "筹资现金流量净额": "financing_cf_net_amount",
+        "筹资活动现金流占比": "financing_cf_ratio_of_net_cf",
+    },
+    "income": {
+        "归属于母公司所有者的净利润": "net_profit", "归属于母公司股东的净利润": "net_profit", "归属于上市公司股东的净利润": "net_profit", "净利润": "net_profit", "归属于母公司所有者的净利润同比增长": "net_profit_yoy_growth",
+        "归属于母公司股东的净利润同比增长": "net_profit_yoy_growth", "归属于上市公司股东的净利润同比增长": "net_profit_yoy_growth", "净利润同比增长": "net_profit_yoy_growth", "其他收益": "other_income",
+        "营业总收入": "total_operating_revenue", "营业收入": "total_operating_revenue", "营业收入同比增长": "operating_revenue_yoy_growth", "营业总收入同比增长": "operating_revenue_yoy_growth",
+        "营业成本": "operating_expense_cost_of_sales", "销售费用": "operating_expense_selling_expenses", "管理费用": "operating_expense_administrative_expenses", "财务费用": "operating_expense_financial_expenses",
+        "研发费用": "operating_expense_rnd_expenses", "研发投入": "operating_expense_rnd_expenses", "研发支出": "operating_expense_rnd_expenses", "税金及附加": "operating_expense_taxes_and_surcharges",
+        "营业总成本": "total_operating_expenses", "营业利润": "operating_profit", "利润总额": "total_profit", "资产减值损失": "asset_impairment_loss", "信用减值损失": "credit_impairment_loss",
+    },
+}
+#: Fields whose blank rows mean 0; what makes a label about a parent company; a number.
+ZERO_FIELDS = (
+    "asset_trading_financial_assets", "asset_construction_in_progress", "liability_short_term_loans", "liability_advance_from_customers", "liability_contract_liabilities", "financing_cf_cash_from_borrowing",
+    "financing_cf_cash_for_debt_repayment", "investing_cf_cash_from_investment_recovery", "investing_cf_cash_for_investments",
+)
 PARENT, QUARTERS = "归属于", "第一季度"
 NUMBER = r"^[-+(（]?[0-9][0-9,]*(\.[0-9]+)?[)）]?[%％]?$"
 
 
+def aliases_of(sheet: str) -> list[tuple[str, str]]:
+    """Aliases of a sheet and their fields, written as labels are after cleaning, each once."""
+    return list(dict.fromkeys((a.translate(str.maketrans("（）：", "():")), f) for a, f in ALIASES.get(sheet, {}).items()))
+
+
 def filled_rows(grid: DataFrame) -> DataFrame:
     """C-1: without rows of nulls."""
     return grid.where(F.exists("cells", lambda c: c.isNotNull() & (F.trim(c) != "")))
@@ -36,7 +91,8 @@ def latched(rows: DataFrame) -> DataFrame:
 
 def stitched(rows: DataFrame) -> DataFrame:
     """C-3, C-9: labels of rows without numbers go before that of the next row with numbers; blank rows of zero fields stay by themselves."""
-    zero = F.exists(F.array(*[F.lit(a) for pairs in ALIASES.values() for a, f in pairs if f in ZERO_FIELDS]), lambda a: F.col("label").contains(a))
+    blank = F.array(*[F.lit(a) for a in dict.fromkeys(a for sheet in ALIASES for a, f in aliases_of(sheet) if f in ZERO_FIELDS)])
+    zero = F.exists(blank, lambda a: F.startswith(T.without_prefix(F.col("label")), a))
     ends = ((F.size("numbers") > 0) | zero).cast("int")
     after = F.sum(ends).over(Window.partitionBy("record", "sheet").orderBy(F.desc("row_idx")).rowsBetween(Window.unboundedPreceding, 0))
     parts = rows.withColumn("island", after).groupBy("record", "sheet", "island").agg(F.max("row_idx").alias("row_idx"), F.array_sort(F.collect_list(F.struct("row_idx", "label"))).alias("l"), F.max_by("numbers", "row_idx").alias("numbers"))
@@ -45,17 +101,17 @@ def stitched(rows: DataFrame) -> DataFrame:
 
 def mapped(rows: DataFrame) -> DataFrame:
     """C-4: a row for each alias of its sheet that the label holds. The dictionary is an array in the plan, so nothing is joined."""
-    def found(sheet: str, pairs: tuple) -> Column:
+    def found(sheet: str, pairs: list) -> Column:
         every = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("alias"), F.lit(f).alias("field")) for i, (a, f) in enumerate(pairs)])
         return F.when(F.col("sheet") == sheet, F.filter(every, lambda x: F.col("label").contains(x["alias"])))
-    return rows.withColumn("hit", F.explode(F.coalesce(*[found(s, p) for s, p in ALIASES.items()]))).select("record", "sheet", "row_idx", "label", "numbers", "hit.*")
+    return rows.withColumn("hit", F.explode(F.coalesce(*[found(s, aliases_of(s)) for s in ALIASES]))).select("record", "sheet", "row_idx", "label", "numbers", "hit.*")
 
 
 def scored(rows: DataFrame) -> DataFrame:
     """C-5, C-7: candidates with value and score; blank rows of zero fields have 0."""
     bare = T.without_prefix(F.col("label"))
     match = F.when(bare == F.col("alias"), 100).when(F.startswith(bare, F.col("alias")), 80).when(F.contains(bare, F.col("alias")), 55).otherwise(20)
-    value = F.coalesce(T.nth_number(F.col("numbers"), 0), F.when(F.col("field").isin(*ZERO_FIELDS), F.lit(0.0)))
+    value = F.coalesce(T.nth_number(F.col("numbers"), 0), F.when(F.col("field").isin(*ZERO_FIELDS) & F.startswith(bare, F.col("alias")), F.lit(0.0)))
     bonus = F.least(F.length("alias"), F.lit(20)) + F.least(F.size("numbers"), F.lit(3)) * 6 + F.least(F.log10(F.abs("value") + 1), F.lit(12.0))
     special = F.when(F.col("label").contains(PARENT), 60).otherwise(0) - F.when(T.is_note_marker(F.col("numbers")), 90).otherwise(0)
     return rows.withColumn("value", value).where("value is not null").withColumn("score", F.round(match + bonus + special, 6))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.statements import KEY
-from .cells import ALIASES
+from .cells import aliases_of
 
 
 def without_noise(x: Column, patterns: list[str]) -> Column:
@@ -253,7 +253,7 @@ def range_score(text: Column, sheet: str) -> Column:
     """C-16: 10 an alias, digits / 80 up to 10, 8 for a unit, 4 for 项目, 12 a signal of the sheet, -25 for other matters."""
     x = T.clean_label(text)
     holds = lambda words: sum((x.contains(w).cast("int") for w in words), F.lit(0))
-    aliases = sorted({a for a, _ in ALIASES.get(sheet, ())})
+    aliases = sorted({a for a, _ in aliases_of(sheet)})
     some = x.rlike("单位:?(人民币)?(亿元|万元|元)").cast("int") * 8 + x.contains("项目").cast("int") * 4 - (holds(OTHER_MATTERS) > 0).cast("int") * 25
     return holds(aliases) * 10 + F.least(F.regexp_count(text, F.lit("[0-9]")) / 80, F.lit(10.0)) + some + holds(SIGNALS[sheet]) * 12
 

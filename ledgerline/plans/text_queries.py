@@ -142,18 +142,22 @@ O["a3_a4_versions"] = f"WITH {ORACLE_BASE} SELECT stock_abbr AS company, report_
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """Raw grids of the income sheet: a heading, a label split over two rows, numbers in several forms, a blank row, a breakdown."""
+    """Raw grids of two sheets: headings, labels split over two rows, numbers in several forms, blank rows that mean 0 and that don't, a breakdown."""
     n = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    rows = [(F.lit("一、营业"), None), (F.lit("总收入"), n(REV)), (F.lit("（二）净利润"), n("net_profit")), (F.lit("归属于母公司的净利润"), n("operating_expense_rnd_expenses")), (F.lit("销售费用"), None), (F.lit("第一季度第二季度"), None), (F.lit("净利润"), F.lit("999999"))]
-    grid = F.array(*[F.array(label, value if value is not None else F.lit(None).cast("string")) for label, value in rows])
+    none = F.lit(None).cast("string")
+    grid = lambda rows: F.array(*[F.array(F.lit(label), none if value is None else value) for label, value in rows])
+    income = [("一、营业", None), ("总收入", n(REV)), ("（二）净利润", n("net_profit")), ("归属于母公司的净利润", n("operating_expense_rnd_expenses")), ("销售费用", None), ("第一季度第二季度", None), ("净利润", F.lit("999999"))]
+    balance = [("货币资金", n("net_profit")), ("（二）短期借款", None), ("（三）存货", None), ("应收账款", n(REV))]
+    both = F.array(F.struct(F.lit("income").alias("sheet"), grid(income).alias("rows")), F.struct(F.lit("balance").alias("sheet"), grid(balance).alias("rows")))
     x = sheets(spark, d)["income"].where(f"{REV} is not null")
-    return x.select(F.concat_ws("-", "stock_code", "report_period").alias("record"), F.lit("income").alias("sheet"), F.posexplode(grid).alias("row_idx", "cells"))
+    x = x.select(F.concat_ws("-", "stock_code", "report_period").alias("record"), F.explode(both).alias("g"))
+    return x.select("record", "g.sheet", F.posexplode("g.rows").alias("row_idx", "cells"))
 
 
 Q["c1_c9_fields"] = lambda spark, d: C.fields_of(_grid(spark, d)).select("record", "field", "value", "row_idx")
-O["c1_c9_fields"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, {REV}::DECIMAL(18,2)::DOUBLE AS r, operating_expense_rnd_expenses::DECIMAL(18,2)::DOUBLE AS p, net_profit::DECIMAL(18,2)::DOUBLE AS n FROM income WHERE {REV} IS NOT NULL), s AS (SELECT *, 100 + 3 + 6 + least(log10(abs(n) + 1), 12) AS a, 55 + 3 + 6 + least(log10(abs(p) + 1), 12) + 60 AS b FROM x) SELECT record, 'total_operating_revenue' AS field, r AS value, 1 AS row_idx FROM x UNION ALL SELECT record, 'net_profit', CASE WHEN round(a, 6) >= round(b, 6) THEN n ELSE p END, CASE WHEN round(a, 6) >= round(b, 6) THEN 2 ELSE 3 END FROM s UNION ALL SELECT record, 'operating_expense_selling_expenses', 0.0, 4 FROM x"
-Q["c12_records"] = lambda spark, d: C.assembled(C.fields_of(_grid(spark, d)), [REV, "operating_expense_selling_expenses"]).select("record", REV, "operating_expense_selling_expenses", "warning")
-O["c12_records"] = f"WITH {ORACLE_BASE} SELECT concat_ws('-', stock_code, report_period) AS record, {REV}::DECIMAL(18,2)::DOUBLE AS {REV}, 0.0::DOUBLE AS operating_expense_selling_expenses, NULL AS warning FROM income WHERE {REV} IS NOT NULL"
+O["c1_c9_fields"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, {REV}::DECIMAL(18,2)::DOUBLE AS r, operating_expense_rnd_expenses::DECIMAL(18,2)::DOUBLE AS p, net_profit::DECIMAL(18,2)::DOUBLE AS n FROM income WHERE {REV} IS NOT NULL), s AS (SELECT *, 100 + 3 + 6 + least(log10(abs(n) + 1), 12) AS a, 55 + 3 + 6 + least(log10(abs(p) + 1), 12) + 60 AS b FROM x) SELECT record, 'total_operating_revenue' AS field, r AS value, 1 AS row_idx FROM x UNION ALL SELECT record, 'net_profit', CASE WHEN round(a, 6) >= round(b, 6) THEN n ELSE p END, CASE WHEN round(a, 6) >= round(b, 6) THEN 2 ELSE 3 END FROM s UNION ALL SELECT record, 'asset_cash_and_cash_equivalents', n, 0 FROM x UNION ALL SELECT record, 'liability_short_term_loans', 0.0, 1 FROM x UNION ALL SELECT record, unnest(['asset_inventory', 'asset_accounts_receivable']), r, 3 FROM x"
+Q["c12_records"] = lambda spark, d: C.assembled(C.fields_of(_grid(spark, d)), [REV, "liability_short_term_loans"]).select("record", "sheet", REV, "liability_short_term_loans", "warning")
+O["c12_records"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, {REV}::DECIMAL(18,2)::DOUBLE AS r FROM income WHERE {REV} IS NOT NULL) SELECT record, 'income' AS sheet, r AS {REV}, NULL::DOUBLE AS liability_short_term_loans, NULL AS warning FROM x UNION ALL SELECT record, 'balance', NULL, 0.0, NULL FROM x"
 _on("c13_candidate_pages", "documents", lambda d: C.candidate_pages(d.select("doc_id", "text"), ["License", "licensed"]).select("doc_id", "hits", "digits"), "WITH p AS (SELECT doc_id, contains(text, 'License')::INT + contains(text, 'licensed')::INT AS hits, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS digits FROM documents) SELECT * FROM p WHERE hits >= 2 OR digits >= 80")
 _on("c17_c18_grid_choice", "lineitem", lambda x: C.kept_grids(C.grid_quality(x.select(F.col("l_orderkey").alias("grid"), F.col("l_returnflag").alias("sheet"), (F.col("l_orderkey") % 50).alias("page"), F.col("l_linenumber").alias("row_idx"), F.col("l_suppkey").cast("string").alias("alias"), F.array(F.col("l_linestatus"), F.col("l_quantity").cast("int").cast("string")).alias("cells")))).select("grid", "sheet", "page", "quality"), "WITH g AS (SELECT l_orderkey AS grid, l_returnflag AS sheet, l_orderkey % 50 AS page, count(DISTINCT l_suppkey) AS h, count(*) AS n FROM lineitem GROUP BY ALL), q AS (SELECT *, round(least(h, 8) * 1.5 + least(0.5 * 6, 4) + least(n / 8, 4), 6) AS quality FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY sheet, page ORDER BY quality DESC, grid) AS p, max(quality) OVER (PARTITION BY sheet, page) AS t FROM q) SELECT grid, sheet, page, quality FROM r WHERE (p <= 2 AND quality >= 5) OR (t < 5 AND p = 1 AND quality >= 4)")
 _on("c21_page_lines", "documents", lambda d: C.page_lines(d).select("doc_id", "row_idx", F.size("cells").alias("n_cells")), "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INT - 1 AS row_idx FROM l) SELECT doc_id, row_idx, (1 + least(len(regexp_extract_all(line, '[-+]?\\(?[0-9][0-9,]*(?:\\.[0-9]+)?\\)?%?')), 5))::INT AS n_cells FROM u WHERE length(trim(line, ' ')) >= 4")

@@ -124,7 +124,7 @@ def best(candidates: DataFrame) -> DataFrame:
 
 
 def assembled(found: DataFrame, fields: list[str]) -> DataFrame:
-    """C-12: a row a record, with a serial number and a warning if nothing was mapped. The number is dense in record order by sheet."""
+    """C-12: a row a record and sheet, with a warning if none of the fields was mapped. There is no serial number: record is the key."""
     wide = found.groupBy("record", "sheet").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
     return wide.withColumn("warning", F.when(F.coalesce(*fields).isNull(), "no_mapped_fields_found"))
 

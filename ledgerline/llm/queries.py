@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, nndescent, packing, pii, quality, substrings, topk, toxicity
+from . import licenses, minhash, mixing, nndescent, packing, periodic, pii, quality, substrings, tiers, topk, toxicity, whitening
 from .common import table
 
 
@@ -67,6 +67,26 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error of every vector and its first four components."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the strongest run, digests of all runs and of the collapsed text of every document."""
+    found = periodic.detect(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.withColumn("best", periodic.strongest(F.col("runs")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    strongest = [F.col("best")[k].alias(k) for k in ("start", "length", "period")] + [F.expr("best.length * 1000 div best.period").alias("exponent_milli")]
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *strongest, digest(periodic.listed(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group of every piece of every document."""
+    return tiers.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk_search": op2_topk_search,
@@ -78,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_resampling": op8_quality_resampling,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_tiered_packing": op13_tiered_packing,
 }
 SUBSTRINGS_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -25,7 +25,9 @@ table, or one without held-out positives, adds nothing. Other columns are kept a
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +65,41 @@ TREES, RATE, PRECISION, SHARE = 24, 0.3, 0.98, 0.5
 CELLS = 1 << 12
 #: Characters before a candidate that are looked at, up to the candidate before it; matches placed at a time.
 AROUND, CHUNK = 32, 256
+FOUND = "array<struct<kind:int,start:int,end:int>>"
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, also if `use` reads it within functions over arrays."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def mask(spans: Column, inner: int = 0) -> Column:
+    """Bytes, 1 where a span (sorted, none overlapping another) covers a position, its first `inner` ones left out; 0 between; ends with the last span.
+
+    Bytes are read at any place without walking through what is before."""
+    def own(spans: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), lambda s: s["end"]))
+        return F.zip_with(spans, before, lambda s, b: F.concat(F.repeat(F.lit("0"), s["start"] - b + inner), F.repeat(F.lit("1"), s["end"] - s["start"] - inner)))
+
+    return F.when(F.size(spans) > 0, F.array_join(once(spans, own), "").cast("binary")).otherwise(F.lit(b""))
+
+
+def covered(mask: Column, start: Column, end: Column) -> Column:
+    return F.contains(F.substring(mask, start + 1, end - start), F.lit(b"1"))
+
+
+def clusters(spans: Column, families: list[Column]) -> Column:
+    """Arrays of the spans (sorted by start) that overlap, directly or through others. families: the same spans in arrays without overlaps."""
+    def cut(masks: Column) -> Column:
+        inside = lambda s: F.exists(masks, lambda m: covered(m, s["start"], s["start"] + 1))
+        starts = lambda spans: F.filter(F.sequence(F.lit(1), F.size(spans)), lambda i: ~inside(F.element_at(spans, i)))
+        groups = lambda spans, at: F.zip_with(at, F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(F.size(spans) + 1)), lambda i, j: F.slice(spans, i, j - i))
+        return once(spans, lambda spans: once(starts(spans), lambda at: groups(spans, at)))
+
+    return F.when(F.size(spans) > 0, once(F.array(*[mask(x, 1) for x in families]), cut)).otherwise(F.slice(F.array(spans), 1, 0))
+
+
 def with_matches(docs: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
     """docs with an array for each pattern: (start, end, value, before, after) of its leftmost non-overlapping matches, in code points."""
     found = {f"#hits_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()}
@@ -87,7 +121,7 @@ def _placed(hits: Column, gaps: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)), start, step))
+    chunks = once(rows, lambda rows: F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)), start, step)))
     none = F.array().cast(f"array<struct<base:int,out:{SPAN}>>")
     along = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("base"), c["out"].alias("out")))).alias("out"))
     based = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("out")), along, lambda acc: acc["out"])
@@ -179,17 +213,17 @@ def proposed(docs: DataFrame) -> DataFrame:
     docs = with_matches(docs.withColumn("held", held_out(F.col("doc_id"), text)), text, {f"spans_{k}": PATTERNS[k] for k in KINDS} | {f"candidates_{g}": p for g, p in GENERATORS.items()})
     right = {k: (lambda kind: lambda s: valid(kind, s["value"]))(k) for k in KINDS}
     docs = docs.withColumns({f"spans_{k}": F.filter(f"spans_{k}", right[k]) for k in KINDS})
-    every = F.concat(*[F.col(f"spans_{k}") for k in KINDS])
+    masks = F.array(*[mask(F.col(f"spans_{k}")) for k in KINDS])
 
     def described(g: str) -> Column:
-        def one(s: Column) -> Column:
+        def one(s: Column, masks: Column) -> Column:
             cell = sum((f.cast("int") * (1 << i) for i, f in enumerate(features(g, s))), F.lit(0))
-            overlaps = F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            overlaps = F.exists(masks, lambda m: covered(m, s["start"], s["end"]))
             denied = s["before"].rlike(DENIES[g])
             label = F.when(overlaps | (s["before"].rlike(SAYS[g]) & ~denied), 1).when(denied, -1).otherwise(0)
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), cell.alias("cell"), overlaps.alias("overlaps"), label.alias("label"))
 
-        return F.transform(F.col(f"candidates_{g}"), one)
+        return once(masks, lambda masks: F.transform(F.col(f"candidates_{g}"), lambda s: one(s, masks)))
 
     return docs.withColumns({f"candidates_{g}": described(g) for g in GENERATORS})
 
@@ -273,19 +307,30 @@ def kind_of(g: str, cell: Column) -> Column:
 
 
 def added(docs: DataFrame, model: dict[str, dict[int, float]]) -> Column:
-    """Array of (kind number, start, end) of the accepted candidates, none overlapping another or a base span."""
+    """Array of (kind number, start, end) of the accepted candidates, none overlapping another or a base span.
+
+    Candidates meet only those that they overlap with, directly or through others."""
     def part(g: str, accepted: dict[int, float]) -> Column:
-        scores = F.create_map(*[F.lit(x) for c, s in accepted.items() for x in (c, float(s))])
+        scores = F.from_json(F.lit(json.dumps([accepted.get(c) for c in range(CELLS)])), "array<double>")
         number = lambda c: F.array_position(F.array(*[F.lit(k) for k in ADDED]), kind_of(g, c)).cast("int") - 1
+        of = lambda s, scores: F.struct(s["start"].alias("start"), s["end"].alias("end"), (-F.get(scores, s["cell"])).alias("worse"), number(s["cell"]).alias("kind"))
         kept = F.filter(F.col(f"candidates_{g}"), lambda s: ~s["overlaps"] & s["cell"].isin([*accepted]))
-        return F.transform(kept, lambda s: F.struct((-scores[s["cell"]]).alias("worse"), s["start"].alias("start"), s["end"].alias("end"), number(s["cell"]).alias("kind")))
+        return once(scores, lambda scores: F.transform(kept, lambda s: of(s, scores)))
 
     parts = [part(g, accepted) for g, accepted in model.items() if accepted]
     if not parts:
-        return F.array().cast("array<struct<kind:int,start:int,end:int>>")
+        return F.array().cast(FOUND)
     free = lambda acc, s: ~F.exists(acc, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     one = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    return F.aggregate(F.array_sort(F.concat(*parts)), F.array().cast("array<struct<kind:int,start:int,end:int>>"), lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(one(s)))).otherwise(acc))
+    better = lambda group: F.array_sort(F.transform(group, lambda s: F.struct(s["worse"].alias("worse"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    greedy = lambda group: F.aggregate(better(group), F.array().cast(FOUND), lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(one(s)))).otherwise(acc))
+    chosen = lambda group: F.when(F.size(group) == 1, F.transform(group, one)).otherwise(greedy(group))
+
+    def choose(parts: Column) -> Column:
+        return F.flatten(F.transform(clusters(F.array_sort(F.flatten(parts)), [F.get(parts, i) for i in range(n)]), chosen))
+
+    n = len(parts)
+    return once(F.array(*parts), choose)
 
 
 def base(docs: DataFrame) -> Column:
@@ -314,19 +359,25 @@ def redact(docs: DataFrame) -> DataFrame:
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), F.col("doc_id"), "text")
     found = stored(proposed(work))
     model = learn(found)
-    spans = F.array_sort(F.transform(F.concat(base(found), added(found, model)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    numbered = lambda i: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("kind"))
+    families = F.array(*[F.transform(f"spans_{k}", numbered(i)) for i, k in enumerate(KINDS)], F.array_sort(F.transform(added(found, model), place)))
+    first = lambda group: F.array_min(F.transform(group, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    merged = lambda group: once(first(group), lambda x: F.struct(x["start"].alias("start"), F.array_max(F.transform(group, lambda s: s["end"])).alias("end"), x["kind"].alias("kind")))
+    covers = once(families, lambda x: F.transform(clusters(F.array_sort(F.flatten(x)), [F.get(x, i) for i in range(len(KINDS) + 1)]), merged))
+    found = found.withColumn("#covers", covers)
     names = F.array(*[F.lit(f"[{k}]") for k in ADDED])
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(end.alias("at"), F.concat(acc["out"], F.array(gap, names[s["kind"]])).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(inside)
+    def replaced(points: Column) -> Column:
+        """points: the text with four bytes a character."""
+        cut = lambda a, b: F.decode(F.substring(points, a * 4 + 1, (b - a) * 4), "UTF-32")
+        before = F.concat(F.array(F.lit(0)), F.transform("#covers", lambda s: s["end"]))
+        gaps = F.zip_with("#covers", F.slice(before, 1, F.size("#covers")), lambda s, b: F.concat(cut(b, s["start"]), F.element_at(names, s["kind"] + 1)))
+        last = F.element_at("#covers", -1)["end"]
+        return F.concat(F.array_join(gaps, ""), cut(last, F.length("text")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
+    text = once(F.encode("text", "UTF-32"), replaced)
+    out = found.withColumn("text", F.when(F.size("#covers") > 0, text).otherwise(F.col("text")))
     cols = {c: F.col("own").getField(c) for c in own} | {"text": F.col("text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -65,9 +65,13 @@ _cells("b14_b20_tokens", lambda: [_toks()["label"].alias("label"), F.array_join(
 _cells("b22_formats", lambda: [T.amount_text(T.plain_number(F.col("txt")) * 100_000).alias("amount"), T.ratio_text(F.lit(12.345)).alias("ratio")], f"CASE WHEN abs(({_num}) * 100000) >= 10000 THEN format('{{:.2f}}亿元', ({_num}) * 100000 / 10000) ELSE format('{{:.2f}}万元', ({_num}) * 100000) END AS amount, '12.35%' AS ratio")
 
 _on("k1_clean_page", "documents", lambda d: d.select("doc_id", F.md5(T.clean_page(F.col("text")).cast("binary")).alias("clean")), r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, chr(0), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS clean FROM documents")
-_on("k6_dense_sentences", "documents", lambda d: d.select("doc_id", F.size(T.dense_sentences(F.col("text"))).alias("n_sentences")), None)
-_on("k7_k10_chunks", "documents", lambda d: K.chunks(d).select("chunk_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest")), None)
-_on("k12_fallback_chunks", "documents", lambda d: K.fallback_chunks(d, K.chunks(d.where("length(text) > 60")).select("doc_id").distinct()), None)
+#: Paragraphs of informative text and their windows; \n before # and blank lines part them.
+_sqlchunks = r"""WITH c AS (SELECT doc_id, length(text) > 60 AS long, source, lang, string_split(replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\n\s*\n', chr(1), 'g'), chr(10) || '#', chr(1) || '#'), chr(1)) AS ps FROM documents),
+p AS (SELECT doc_id, long, list_filter(list_transform(ps, lambda x: trim(regexp_replace(x, '\s*\n\s*', ' ', 'g'), ' ')), lambda x: length(x) >= 18 AND length(regexp_replace(x, '[^0-9]', '', 'g')) <= 0.18 * length(x)) AS ps FROM c),
+b AS (SELECT doc_id, long, array_to_string(ps, chr(10)) AS body FROM p WHERE len(ps) > 0)"""
+_on("k6_dense_sentences", "documents", lambda d: d.select("doc_id", F.size(T.dense_sentences(F.col("text"))).alias("n_sentences")), r"SELECT doc_id, len(list_filter(CASE WHEN length(text) >= 220 THEN list_transform(string_split(regexp_replace(text, '([。！？；.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')) ELSE [text] END, lambda s: s <> '' OR length(text) < 220))::INT AS n_sentences FROM documents")
+_on("k7_k10_chunks", "documents", lambda d: K.chunks(d).select("chunk_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest")), _sqlchunks + ", w AS (SELECT doc_id, unnest(range(0, greatest(ceil((length(body) - 900) / 750.0), 0)::INT + 1)) AS i, body FROM b) SELECT doc_id || '-' || i AS chunk_id, length(substr(body, i * 750 + 1, 900))::INT AS n, md5(substr(body, i * 750 + 1, 900)) AS digest FROM w")
+_on("k12_fallback_chunks", "documents", lambda d: K.fallback_chunks(d, K.chunks(d.where("length(text) > 60")).select("doc_id").distinct()), _sqlchunks + " SELECT doc_id, concat_ws('；', source, lang) AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b WHERE long)")
 _on("k9_windows", "documents", lambda d: d.select("doc_id", F.posexplode(T.windows(F.col("text"), 900, 150)).alias("chunk", "w")).select("doc_id", "chunk", F.md5(F.col("w").cast("binary")).alias("digest")), "WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 900) / 750.0), 0)::INT + 1))::INT AS chunk FROM documents) SELECT doc_id, chunk, md5(substr(text, chunk * 750 + 1, 900)) AS digest FROM s")
 _on("k30_terms", "benchmark", lambda d: d.select("item_id", F.array_join(T.terms(F.col("text"), ["de", "la"]), " ").alias("terms")), "WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM benchmark), u AS (SELECT item_id, w, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), m AS (SELECT item_id, x, min(i) AS i FROM u WHERE x NOT IN ('de', 'la') GROUP BY ALL) SELECT item_id, coalesce((SELECT string_agg(x, ' ' ORDER BY i) FROM m WHERE m.item_id = t.item_id), '') AS terms FROM t")
 _hits = lambda e, k=50: K.exact_top_k(e, e.where("vec_id % 20 = 0"), k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +60,15 @@ ALIASES = {
         "营业总成本": "total_operating_expenses", "营业利润": "operating_profit", "利润总额": "total_profit", "资产减值损失": "asset_impairment_loss", "信用减值损失": "credit_impairment_loss",
     },
 }
-#: Fields whose blank rows mean 0; what makes a label about a parent company; a number.
+#: Fields whose blank rows mean 0; words of labels about the parent company, of total equity and of parts of a profit; figures a share; a number.
 ZERO_FIELDS = (
     "asset_trading_financial_assets", "asset_construction_in_progress", "liability_short_term_loans", "liability_advance_from_customers", "liability_contract_liabilities", "financing_cf_cash_from_borrowing",
     "financing_cf_cash_for_debt_repayment", "investing_cf_cash_from_investment_recovery", "investing_cf_cash_for_investments",
 )
-PARENT, QUARTERS = "归属于", "第一季度"
+PARENT = ("归属于母公司", "归属于上市公司", "归属于本公司")
+TOTAL_EQUITY, MINORITY = ("所有者权益合计", "股东权益合计", "所有者权益(或股东权益)合计"), "少数股东权益"
+PARTS_OF_PROFIT = ("持续经营", "终止经营", "少数股东损益")
+A_SHARE = ("eps", "net_asset_per_share", "operating_cf_per_share")
 NUMBER = r"^[-+(（]?[0-9][0-9,]*(\.[0-9]+)?[)）]?[%％]?$"
 
 
@@ -107,13 +112,27 @@ def mapped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hit", F.explode(F.coalesce(*[found(s, aliases_of(s)) for s in ALIASES]))).select("record", "sheet", "row_idx", "label", "numbers", "hit.*")
 
 
+def special_score(field: Column, alias: Column, label: Column) -> Column:
+    """C-5: what speaks for or against single fields: 60 for the parent's net profit, -35 a part of it; 70 for total equity, -70 for the parent's, -120 for
+    minorities; -65 for figures a share whose alias comes late in the label; -20 for diluted earnings."""
+    bare = T.without_prefix(label)
+    has = lambda x, words: reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    parent = has(label, PARENT)
+    profit = points(parent, 60) - sum(points(label.contains(w), 35) for w in PARTS_OF_PROFIT)
+    equity = points(has(bare, TOTAL_EQUITY), 70) - points(parent, 70) - points(label.contains(MINORITY), 120)
+    late = points(field.isin(*A_SHARE) & (alias != "每股收益") & ~F.contains(F.left(bare, F.length(alias) + 2), alias), 65)
+    diluted = points((field == "eps") & label.contains("稀释") & ~label.contains("基本"), 20)
+    return F.when(field == "net_profit", profit).when(field == "equity_total_equity", equity).otherwise(0) - late - diluted
+
+
 def scored(rows: DataFrame) -> DataFrame:
     """C-5, C-7: candidates with value and score; blank rows of zero fields have 0."""
     bare = T.without_prefix(F.col("label"))
     match = F.when(bare == F.col("alias"), 100).when(F.startswith(bare, F.col("alias")), 80).when(F.contains(bare, F.col("alias")), 55).otherwise(20)
     value = F.coalesce(T.nth_number(F.col("numbers"), 0), F.when(F.col("field").isin(*ZERO_FIELDS) & F.startswith(bare, F.col("alias")), F.lit(0.0)))
     bonus = F.least(F.length("alias"), F.lit(20)) + F.least(F.size("numbers"), F.lit(3)) * 6 + F.least(F.log10(F.abs("value") + 1), F.lit(12.0))
-    special = F.when(F.col("label").contains(PARENT), 60).otherwise(0) - F.when(T.is_note_marker(F.col("numbers")), 90).otherwise(0)
+    special = special_score(F.col("field"), F.col("alias"), F.col("label")) - F.when(T.is_note_marker(F.col("numbers")), 90).otherwise(0)
     return rows.withColumn("value", value).where("value is not null").withColumn("score", F.round(match + bonus + special, 6))
 
 
@@ -178,14 +197,14 @@ GROWTH_OF = {
 
 
 def with_adjacent_growth(records: DataFrame, sheet: str) -> DataFrame:
-    """C-10: growth fields that are missing or zero, from a figure and that of the column beside it (<figure>_previous)."""
+    """C-10: growth fields that are missing, zero or beyond 1,000, from a figure and that of the column beside it (<figure>_previous)."""
     out = {}
     for figure, growth in GROWTH_OF[sheet].items():
         if figure in records.columns and f"{figure}_previous" in records.columns:
             before = F.nullif(F.col(f"{figure}_previous"), F.lit(0.0))
             new = (F.col(figure) - before) / F.abs(before) * 100
             old = F.col(growth) if growth in records.columns else F.lit(None).cast("double")
-            out[growth] = F.coalesce(F.nullif(old, F.lit(0.0)), new, old)
+            out[growth] = F.coalesce(F.when((old != 0) & (F.abs(old) <= 1_000), old), new, old)
     return records.withColumns(out)
 
 

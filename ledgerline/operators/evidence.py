@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.statements import KEY
 from .cells import aliases_of
+from .periods import sanitize
 
 
 def without_noise(x: Column, patterns: list[str]) -> Column:
@@ -162,16 +164,28 @@ def _margin_revenue(income: Column, own: Column, cost: Column, profit: Column) -
     return F.coalesce(F.least(candidate(income), candidate(own))["revenue"], F.nullif(income, F.lit(0.0)), own)
 
 
-def enriched_kpi(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
-    """D-6: key figures from the joined sheets. Amounts are filled where missing and, within a year, replaced beyond max(100, 30 %) or with another
-    sign; margins are replaced beyond 20 points; returns and growth are filled where missing or over 1,000; figures a share are replaced beyond
-    max(1, 80 %) or with another sign. Missing sheets leave the own figures."""
+def _related(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
+    """Key figures beside what they are checked against: revenue, profit, cost and growth of income (#r, #p, #c, #<growth>), equity (#e), cash flow (#o)."""
     x = kpi
-    growth = [c for c in ("operating_revenue_yoy_growth", "net_profit_yoy_growth") if c in income.columns]
+    growth = [c for c in GROWTH if c in income.columns]
     for df, names in ((income, {"total_operating_revenue": "#r", "net_profit": "#p", "operating_expense_cost_of_sales": "#c"} | {c: f"#{c}" for c in growth}), (balance, {"equity_total_equity": "#e"}), (cash, {"operating_cf_net_amount": "#o"})):
         x = x.join(df.select(*KEY, *[F.col(a).alias(b) for a, b in names.items()]), KEY, "left")
     for c in ("total_operating_revenue", "net_profit_10k_yuan", "roe", "roe_weighted_excl_non_recurring", "net_profit_excl_non_recurring", *growth):
         x = x if c in x.columns else x.withColumn(c, F.lit(None).cast("double"))
+    return x
+
+
+def enriched_kpi(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
+    """D-6: key figures from the joined sheets. Amounts are filled where missing and, within a year, replaced beyond max(100, 30 %) or with another
+    sign; margins are replaced beyond 20 points; returns and growth are filled where missing or over 1,000; figures a share are replaced beyond
+    max(1, 80 %) or with another sign. Missing sheets leave the own figures."""
+    out = _enriched(_related(kpi, income, balance, cash))
+    return out.drop(*[c for c in out.columns if c.startswith("#")])
+
+
+def _enriched(x: DataFrame) -> DataFrame:
+    """One pass over key figures beside their related ones."""
+    growth = [c for c in GROWTH if f"#{c}" in x.columns]
     own, r, p, cost, equity, flow = (F.col(c) for c in ("total_operating_revenue", "#r", "#p", "#c", "#e", "#o"))
     within = F.right("report_period", F.lit(2)).isin("Q1", "H1", "Q3")
     replaced = lambda c, new, off: F.when(new.isNotNull() & (F.col(c).isNull() | off(F.col(c), new)), new).otherwise(F.col(c))
@@ -182,7 +196,7 @@ def enriched_kpi(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: Da
     x = x.withColumn("#m", _margin_revenue(r, own, cost, p))
     shares = F.try_divide(p * 10_000, F.col("eps"))
     shares = F.when(F.abs(shares).between(1e6, 1e12), shares)
-    out = x.withColumns({
+    return x.withColumns({
         "total_operating_revenue": replaced("total_operating_revenue", r, amount),
         "net_profit_10k_yuan": replaced("net_profit_10k_yuan", p, amount),
         "gross_profit_margin": replaced("gross_profit_margin", F.try_divide((F.col("#m") - cost) * 100, F.col("#m")), margin),
@@ -193,7 +207,37 @@ def enriched_kpi(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: Da
         "operating_cf_per_share": replaced("operating_cf_per_share", F.try_divide(flow * 10_000, shares), a_share),
         **{c: replaced(c, F.col(f"#{c}"), wild) for c in growth},
     })
-    return out.drop(*[c for c in out.columns if c.startswith("#")])
+
+
+#: Growth of key figures that income has, and percentages that are checked again between passes.
+GROWTH = ("operating_revenue_yoy_growth", "net_profit_yoy_growth")
+CHECKED_AGAIN = (
+    "gross_profit_margin", "net_profit_margin", "roe", "roe_weighted_excl_non_recurring", "operating_revenue_yoy_growth", "operating_revenue_qoq_growth", "net_profit_yoy_growth", "net_profit_qoq_growth",
+    "net_profit_excl_non_recurring_yoy",
+)
+
+
+def settled_kpi(kpi: DataFrame, income: DataFrame, balance: DataFrame, cash: DataFrame, passes: int = 2) -> DataFrame:
+    """D-8: key figures sanitized, enriched, their percentages beyond 1,000 dropped, and enriched again, `passes` times in all; history is an array of
+    (step, field, before, after) of what each step changed. Later passes see what earlier ones replaced, so a margin may follow a replaced revenue.
+
+    All steps are projections over one join; a step that changes nothing leaves no entry, so passes beyond the last that changes a row add nothing."""
+    x = _related(kpi, income, balance, cash).withColumn("history", F.array().cast("array<struct<step:string,field:string,before:double,after:double>>"))
+    own = [c for c, t in x.dtypes if t == "double" and not c.startswith("#")]
+
+    def step(x: DataFrame, name: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        y = change(x.withColumns({f"#was_{c}": F.col(c) for c in own}))
+        entry = lambda c: F.when(~F.col(c).eqNullSafe(F.col(f"#was_{c}")), F.struct(F.lit(name).alias("step"), F.lit(c).alias("field"), F.col(f"#was_{c}").alias("before"), F.col(c).alias("after")))
+        return y.withColumn("history", F.concat("history", F.array_compact(F.array(*map(entry, own))))).drop(*[f"#was_{c}" for c in own])
+
+    checked = [c for c in CHECKED_AGAIN if c in own]
+    recheck = lambda x: x.withColumns({c: F.when(F.abs(c) <= 1_000, F.col(c)) for c in checked})
+    x = step(x, "sanitize", lambda x: sanitize(x, own))
+    for i in range(1, passes + 1):
+        x = step(x, f"enrich {i}", _enriched)
+        if i < passes:
+            x = step(x, f"check {i}", recheck)
+    return x.drop(*[c for c in x.columns if c.startswith("#")])
 
 
 def record_fill(balance: DataFrame) -> DataFrame:

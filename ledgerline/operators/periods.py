@@ -94,10 +94,10 @@ def plausible_revenue(income: Column, kpi: Column, cost: Column, profit: Column)
     return F.least(option(income), option(kpi))["v"]
 
 
-def sanitize(df: DataFrame) -> DataFrame:
-    """D-8: implausible eps, per-share figures, percentages and amounts become null."""
+def sanitize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """D-8: implausible eps, per-share figures, percentages and amounts (of all columns if none are named) become null."""
     limit = lambda c, t: 20.0 if c == "eps" else 200.0 if "per_share" in c else {"ratio": 1000.0, "amount": 1e8}.get(kind(c, t))
-    limits = {c: limit(c, t) for c, t in df.dtypes if t == "double"}
+    limits = {c: limit(c, t) for c, t in df.dtypes if t == "double" and c in (columns or df.columns)}
     return df.withColumns({c: F.when(F.abs(c) <= x, F.col(c)) for c, x in limits.items() if x})
 
 

@@ -339,3 +339,57 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def status_summary(rows: DataFrame, status: str) -> DataFrame:
     """A-13"""
     return rows.groupBy(status).agg(F.count("*").alias("n"))
+
+
+#: Intents whose retrieval starts from rows, words by which a question means the first row's company, and words that let evidence choose companies.
+SEEDED_INTENTS = ("hybrid_sql_rag", "causal_analysis")
+ONE_COMPANY = ("该公司", "这家公司", "其主营", "主营业务类型", "业务类型", "成本控制优势")
+EVIDENCE_DECIDES = ("应收账款回收风险", "回款风险", "回收不及预期", "FDA", "FDA认证", "集采中标", "中标企业", "业绩预告", "风险提示")
+
+
+def _first_names(rows: DataFrame, n: int) -> DataFrame:
+    """The first n distinct names of each question's rows, in order: question_id, names.
+
+    Rows fold to one a name before names are ranked, and only n of them are gathered."""
+    one = rows.where("trim(stock_abbr) <> ''").groupBy("question_id", F.trim("stock_abbr").alias("name")).agg(F.min("place").alias("place"))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("place", "name"))
+    first = one.withColumn("place", place).where(F.col("place") <= n)
+    return first.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def seeded_by_rows(questions: DataFrame, rows: DataFrame, n: int = 5) -> DataFrame:
+    """J-15: retrieval plans of questions without companies, seeded from what their SQL found: question_id, companies, scope, seeded.
+
+    Questions of SEEDED_INTENTS take the companies of their context, else the first n of their rows, and a hybrid scope becomes stock; a question about "this
+    company" that still has none takes that of its first row. questions: question_id, text, intent, needs_retrieval, scope, companies, context (arrays,
+    null: none). rows: question_id, place, stock_abbr."""
+    none = F.array().cast("array<string>")
+    own, context = F.coalesce("companies", none), F.array_distinct(F.filter(F.transform(F.coalesce("context", none), lambda c: F.trim(c)), lambda c: c != ""))
+    names = F.coalesce("names", none)
+    asks = F.coalesce(F.col("needs_retrieval") & F.col("intent").isin(*SEEDED_INTENTS), F.lit(False)) & (F.size(own) == 0)
+    seeds = F.when(asks, F.when(F.size(context) > 0, context).otherwise(names)).otherwise(none)
+    alone = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in ONE_COMPANY]), F.lit(False)) & (F.size(own) == 0) & (F.size(seeds) == 0) & (F.size(names) > 0)
+    x = questions.join(_first_names(rows, n), "question_id", "left").withColumns({"#own": own, "#seeds": seeds, "#alone": alone, "#first": F.slice(names, 1, 1)})
+    found = F.when(F.col("#alone"), F.col("#first")).when(F.size("#seeds") > 0, F.col("#seeds")).otherwise(F.col("#own"))
+    scope = F.when(F.col("#alone") | ((F.size("#seeds") > 0) & (F.col("scope") == "hybrid")), "stock").otherwise(F.col("scope"))
+    return x.select("question_id", found.alias("companies"), scope.alias("scope"), (F.col("#alone") | (F.size("#seeds") > 0)).alias("seeded"))
+
+
+def seeded_by_evidence(questions: DataFrame, rows: DataFrame, companies: DataFrame, pool: DataFrame) -> DataFrame:
+    """J-15: rows of each question after its evidence has named companies: question_id and the columns of rows.
+
+    Questions that need SQL, have no companies and either found no rows or let evidence decide (EVIDENCE_DECIDES) take the rows of the pool whose company the
+    evidence names; one that lets evidence decide loses its rows if the evidence names none; all others keep theirs.
+    questions: question_id, text, needs_sql, companies. companies: question_id, companies (array). pool: stock_abbr and the other columns of rows."""
+    none = F.array().cast("array<string>")
+    decides = F.coalesce(reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in EVIDENCE_DECIDES]), F.lit(False))
+    x = questions.select("question_id", (F.coalesce("needs_sql", F.lit(False)) & (F.size(F.coalesce("companies", none)) == 0)).alias("free"), decides.alias("decides"))
+    x = x.join(companies.select("question_id", F.array_distinct("companies").alias("found")), "question_id", "left")
+    x = x.join(rows.select("question_id").distinct().withColumn("has", F.lit(True)), "question_id", "left")
+    named = F.size(F.coalesce("found", none)) > 0
+    anew = F.col("free") & named & (F.col("has").isNull() | F.col("decides"))
+    x = x.select("question_id", "found", anew.alias("anew"), (F.col("free") & F.col("decides") & ~named).alias("cleared"))
+    others = [c for c in rows.columns if c != "question_id"]
+    kept = rows.join(x.where("anew or cleared").select("question_id"), "question_id", "left_anti")
+    fresh = x.where("anew").select("question_id", F.explode("found").alias("stock_abbr")).join(pool, "stock_abbr")
+    return kept.unionByName(fresh.select("question_id", *others))

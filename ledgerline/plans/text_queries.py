@@ -14,7 +14,7 @@ from ..operators import periods as D
 from ..operators import retrieval as K
 from ..sources import tables as A
 from ..sources.statements import KEY
-from .statement_queries import ORACLE_BASE, REV, sheets
+from .statement_queries import COST, ORACLE_BASE, REV, sheets
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 O: dict[str, str] = {}
@@ -160,6 +160,29 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 Q["c1_c9_fields"] = lambda spark, d: C.fields_of(_grid(spark, d)).select("record", "field", "value", "row_idx")
 O["c1_c9_fields"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, {REV}::DECIMAL(18,2)::DOUBLE AS r, operating_expense_rnd_expenses::DECIMAL(18,2)::DOUBLE AS p, net_profit::DECIMAL(18,2)::DOUBLE AS n FROM income WHERE {REV} IS NOT NULL), s AS (SELECT *, 100 + 3 + 6 + least(log10(abs(n) + 1), 12) AS a, 55 + 3 + 6 + least(log10(abs(p) + 1), 12) + 60 AS b FROM x) SELECT record, 'total_operating_revenue' AS field, r AS value, 1 AS row_idx FROM x UNION ALL SELECT record, 'net_profit', CASE WHEN round(a, 6) >= round(b, 6) THEN n ELSE p END, CASE WHEN round(a, 6) >= round(b, 6) THEN 2 ELSE 3 END FROM s UNION ALL SELECT record, 'asset_cash_and_cash_equivalents', n, 0 FROM x UNION ALL SELECT record, 'liability_short_term_loans', 0.0, 1 FROM x UNION ALL SELECT record, unnest(['asset_inventory', 'asset_accounts_receivable']), r, 3 FROM x"
+#: Rows that compete for a field: sheet, label, column of the value, and by candidate: field, alias and what the label gives without the size of the value.
+_RIVALS = (
+    ("balance", "归属于母公司所有者权益合计", COST, (("equity_total_equity", 100 + 13 + 6 + 70 - 70),)),
+    ("balance", "所有者权益合计", REV, (("equity_total_equity", 100 + 7 + 6 + 70),)),
+    ("balance", "少数股东权益与股东权益合计", "operating_expense_rnd_expenses", (("equity_total_equity", 55 + 6 + 6 + 70 - 120),)),
+    ("kpi", "稀释每股收益", REV, (("eps", 100 + 6 + 6 - 20),)),
+    ("kpi", "（二）基本每股收益", COST, (("eps", 100 + 6 + 6),)),
+    ("kpi", "期末调整后每股净资产", REV, (("net_asset_per_share", 55 + 5 + 6 - 65),)),
+    ("kpi", "本期每股净资产", COST, (("net_asset_per_share", 55 + 5 + 6),)),
+    ("income", "终止经营净利润", REV, (("net_profit", 55 + 3 + 6 - 35),)),
+    ("income", "本年净利润", COST, (("net_profit", 55 + 3 + 6),)),
+    ("income", "归属于本公司的净利润", "net_profit", (("net_profit", 55 + 3 + 6 + 60),)),
+)
+
+
+def _rivals(spark: SparkSession, d: str) -> DataFrame:
+    x = sheets(spark, d)["income"].where(f"{REV} is not null")
+    rows = F.array(*[F.struct(F.lit(sheet).alias("sheet"), F.lit(i).alias("row_idx"), F.array(F.lit(label), F.col(c).cast("decimal(18,2)").cast("string")).alias("cells")) for i, (sheet, label, c, _) in enumerate(_RIVALS)])
+    return x.select(F.concat_ws("-", "stock_code", "report_period").alias("record"), F.explode(rows).alias("r")).select("record", "r.*")
+
+
+Q["c5_rival_rows"] = lambda spark, d: C.fields_of(_rivals(spark, d)).select("record", "sheet", "field", "value", "row_idx", F.round("score", 4).alias("score"))
+O["c5_rival_rows"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, * FROM income WHERE {REV} IS NOT NULL), c AS (" + " UNION ALL ".join(f"SELECT record, '{sheet}' AS sheet, '{field}' AS field, {c}::DECIMAL(18,2)::DOUBLE AS value, {i} AS row_idx, {given} + least(log10(abs({c}::DECIMAL(18,2)::DOUBLE) + 1), 12) AS score FROM x" for i, (sheet, _, c, found) in enumerate(_RIVALS) for field, given in found) + ") SELECT record, sheet, field, value, row_idx, round(score, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY record, sheet, field ORDER BY round(score, 6) DESC, row_idx) = 1"
 Q["c12_records"] = lambda spark, d: C.assembled(C.fields_of(_grid(spark, d)), [REV, "liability_short_term_loans"]).select("record", "sheet", REV, "liability_short_term_loans", "warning")
 O["c12_records"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, {REV}::DECIMAL(18,2)::DOUBLE AS r FROM income WHERE {REV} IS NOT NULL) SELECT record, 'income' AS sheet, r AS {REV}, NULL::DOUBLE AS liability_short_term_loans, NULL AS warning FROM x UNION ALL SELECT record, 'balance', NULL, 0.0, NULL FROM x"
 _on("c13_candidate_pages", "documents", lambda d: C.candidate_pages(d.select("doc_id", "text"), ["License", "licensed"]).select("doc_id", "hits", "digits"), "WITH p AS (SELECT doc_id, contains(text, 'License')::INT + contains(text, 'licensed')::INT AS hits, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS digits FROM documents) SELECT * FROM p WHERE hits >= 2 OR digits >= 80")
@@ -324,13 +347,13 @@ def _c10(spark: SparkSession, d: str) -> DataFrame:
 
 def _adjacent(income: DataFrame) -> DataFrame:
     """Records with the figures of the column beside them (three quarters of the revenue; the profit with the other sign)."""
-    given = F.when(F.col("report_year") % 3 == 0, F.lit(0.0)).when(F.col("report_year") % 3 == 1, F.lit(12.5))
+    given = F.when(F.col("report_year") % 3 == 0, F.lit(0.0)).when(F.col("report_year") % 3 == 1, F.when(F.col("report_period").endswith("H1"), 5_000.0).otherwise(12.5))
     return income.withColumns({"total_operating_revenue_previous": F.col(REV) * 0.75, "net_profit_previous": F.when(F.col("report_year") % 2 == 0, -F.col("net_profit")), "operating_revenue_yoy_growth": given, "net_profit_yoy_growth": F.lit(None).cast("double")})
 
 
 Q["c10_adjacent_growth"] = _c10
-O["c10_adjacent_growth"] = f"""WITH {ORACLE_BASE}, x AS (SELECT stock_code, report_period, report_year, {REV} AS r, {REV} * 0.75 AS r0, net_profit AS p, CASE WHEN report_year % 2 = 0 THEN -net_profit END AS p0, CASE report_year % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 12.5 END AS g FROM income)
-SELECT stock_code, report_period, report_year, round(CASE WHEN coalesce(g, 0) = 0 AND r IS NOT NULL AND r0 <> 0 THEN (r - r0) / abs(r0) * 100 ELSE g END, 6)::DOUBLE AS operating_revenue_yoy_growth,
+O["c10_adjacent_growth"] = f"""WITH {ORACLE_BASE}, x AS (SELECT stock_code, report_period, report_year, {REV} AS r, {REV} * 0.75 AS r0, net_profit AS p, CASE WHEN report_year % 2 = 0 THEN -net_profit END AS p0, CASE report_year % 3 WHEN 0 THEN 0.0 WHEN 1 THEN CASE WHEN report_period LIKE '%H1' THEN 5000 ELSE 12.5 END END AS g FROM income)
+SELECT stock_code, report_period, report_year, round(CASE WHEN (coalesce(g, 0) = 0 OR abs(g) > 1000) AND r IS NOT NULL AND r0 <> 0 THEN (r - r0) / abs(r0) * 100 ELSE g END, 6)::DOUBLE AS operating_revenue_yoy_growth,
     round(CASE WHEN p IS NOT NULL AND p0 <> 0 THEN (p - p0) / abs(p0) * 100 END, 6)::DOUBLE AS net_profit_yoy_growth FROM x"""
 
 

@@ -1,12 +1,12 @@
 """The four statement sheets, derived from the order tables (FIXTURES.md): one SQL text for Spark and for DuckDB.
 
-The base is computed once for each query and kept in the shared folder; the sheets are projections of it."""
+The base is computed once an application, as long as its tables stay as they are, and kept in the shared folder; the sheets are projections of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import stored
+from .tables import stamp, stored_path
 
 KEY = ["stock_code", "report_period", "report_year"]
 
@@ -75,10 +75,18 @@ ORACLE_BASE = BASE.replace("{lineitem}", "lineitem").replace("{part}", "part")
 NAMES = ("income", "kpi", "balance", "cash", "kpi2", "balance2", "cash2")
 
 
+#: Where the base of an application and of its tables, as they were last changed, is kept.
+_kept: dict[tuple, str] = {}
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each company and cumulative period, computed once and stored."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return stored(spark.sql(f"WITH {FACTS} SELECT * FROM base", lineitem=read("lineitem"), part=read("part")))
+    """A row for each company and cumulative period, computed once an application and version of the tables, and stored."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")]
+    base = spark.sql(f"WITH {FACTS} SELECT * FROM base", **dict(zip(("lineitem", "part"), map(spark.read.parquet, paths), strict=True)))
+    key = (spark.sparkContext.applicationId, *paths, *(stamp(spark, p) for p in paths))
+    if key not in _kept or stamp(spark, _kept[key]) is None:
+        _kept[key] = stored_path(base)
+    return spark.read.schema(base.schema).parquet(_kept[key])
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -12,15 +12,32 @@ MANIFEST = "source_name string, stock_code string, stock_abbr string, year strin
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder (spark.checkpoint.dir; a local one only where that is unset), computed once."""
+    """df as a Parquet table in the shared folder (spark.checkpoint.dir), computed once."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored_path(df))
+
+
+def stored_path(df: DataFrame) -> str:
+    """Writes df to the shared folder; where it is. A local folder only where none is set and the master is local, too."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         folder = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/ledgerline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """When a file or folder was last changed, and its length; None where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return None
+    status = files.getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import field_rules as R
+from ..operators import resolution as L
 from ..operators import retrieval as K
 from ..sources.statements import KEY, ORACLE_BASE, sheets
 from .statement_queries import COST, REV
@@ -136,3 +137,27 @@ SELECT question_id, CASE WHEN alone THEN first WHEN s THEN CASE WHEN y % 4 = 1 T
 O["j15_seeded_by_evidence"] = f"""WITH {_SEED}, m AS (SELECT *, y % 3 <> 0 AND k % 7 <> 0 AS free, (k + y) % 4 = 0 AS decides, y % 2 = 0 AS named, (k + y) % 5 <> 0 AS has FROM asked), w AS (SELECT *, free AND named AND (NOT has OR decides) AS anew, free AND decides AND NOT named AS cleared FROM m)
 SELECT question_id, place, stock_abbr FROM rows_ JOIN w USING (question_id) WHERE NOT anew AND NOT cleared
 UNION ALL SELECT question_id, 0, stock_abbr FROM (SELECT question_id, 'Supplier#' || lpad((k + unnest([1, 2]))::VARCHAR, 9, '0') AS stock_abbr FROM w WHERE anew) JOIN (SELECT DISTINCT stock_abbr FROM t) USING (stock_abbr)"""
+
+
+# L-1: companies of questions
+def named_questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions that name companies by name, by codes of six and three digits, with spaces in a name, after a hint, or by an alias; names and aliases."""
+    x = sheets(spark, d)["income"].where("report_period like '%Q3'")
+    k = F.col("stock_code").cast("int")
+    nxt = F.concat(F.lit("Supplier#"), F.lpad((k + 1).cast("string"), 9, "0"))
+    text = F.when(k % 5 == 0, F.concat("stock_abbr", F.lit("2023年的利润是多少"))).when(k % 5 == 1, F.concat(F.lit("比较"), "stock_code", F.lit("和"), F.lpad((k + 1).cast("string"), 3, "0"), F.lit("的收入")))
+    text = text.when(k % 5 == 2, F.concat(F.lit("Sup plier（集团）#"), F.lpad(k.cast("string"), 9, "0"), F.lit(" 怎么样"))).when(k % 5 == 3, F.concat(F.lit("公司名称："), "stock_abbr", F.lit("集团，利润？")))
+    q = x.select(F.concat_ws("-", "stock_code", "report_period").alias("question_id"), text.otherwise(F.concat(F.lit("<"), k.cast("string"), F.lit(">与"), nxt, F.lit("相比"))).alias("text"))
+    names = x.select("stock_code", "stock_abbr").distinct()
+    return q, names, names.select(F.concat(F.lit("<"), F.col("stock_code").cast("int").cast("string"), F.lit(">")).alias("alias"), "stock_abbr")
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    out = L.resolved_companies(*named_questions(spark, d))
+    return out.select("question_id", F.array_join("companies", ",").alias("companies"), F.array_join("codes", ",").alias("codes"))
+
+
+Q["l1_resolved_companies"] = _resolved
+O["l1_resolved_companies"] = f"""WITH {ORACLE_BASE}, t AS (SELECT concat_ws('-', stock_code, report_period) AS question_id, stock_code::INT AS k FROM income WHERE report_period LIKE '%Q3'), n AS (SELECT DISTINCT stock_code, stock_abbr FROM income WHERE report_period LIKE '%Q3'),
+u AS (SELECT question_id, unnest(CASE WHEN k % 5 IN (1, 4) THEN [k, k + 1] ELSE [k] END) AS c FROM t)
+SELECT question_id, string_agg(stock_abbr, ',' ORDER BY c) AS companies, string_agg(stock_code, ',' ORDER BY c) AS codes FROM u JOIN n ON stock_code::INT = c GROUP BY 1"""

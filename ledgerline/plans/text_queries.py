@@ -181,8 +181,8 @@ def _rivals(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.concat_ws("-", "stock_code", "report_period").alias("record"), F.explode(rows).alias("r")).select("record", "r.*")
 
 
-Q["c5_rival_rows"] = lambda spark, d: C.fields_of(_rivals(spark, d)).select("record", "sheet", "field", "value", "row_idx", F.round("score", 4).alias("score"))
-O["c5_rival_rows"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, * FROM income WHERE {REV} IS NOT NULL), c AS (" + " UNION ALL ".join(f"SELECT record, '{sheet}' AS sheet, '{field}' AS field, {c}::DECIMAL(18,2)::DOUBLE AS value, {i} AS row_idx, {given} + least(log10(abs({c}::DECIMAL(18,2)::DOUBLE) + 1), 12) AS score FROM x" for i, (sheet, _, c, found) in enumerate(_RIVALS) for field, given in found) + ") SELECT record, sheet, field, value, row_idx, round(score, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY record, sheet, field ORDER BY round(score, 6) DESC, row_idx) = 1"
+Q["c5_rival_rows"] = lambda spark, d: C.fields_of(_rivals(spark, d)).select("record", "sheet", "field", "value", "row_idx")
+O["c5_rival_rows"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, * FROM income WHERE {REV} IS NOT NULL), c AS (" + " UNION ALL ".join(f"SELECT record, '{sheet}' AS sheet, '{field}' AS field, {c}::DECIMAL(18,2)::DOUBLE AS value, {i} AS row_idx, {given} + least(log10(abs({c}::DECIMAL(18,2)::DOUBLE) + 1), 12) AS score FROM x" for i, (sheet, _, c, found) in enumerate(_RIVALS) for field, given in found) + ") SELECT record, sheet, field, value, row_idx FROM c QUALIFY row_number() OVER (PARTITION BY record, sheet, field ORDER BY round(score, 6) DESC, row_idx) = 1"
 Q["c12_records"] = lambda spark, d: C.assembled(C.fields_of(_grid(spark, d)), [REV, "liability_short_term_loans"]).select("record", "sheet", REV, "liability_short_term_loans", "warning")
 O["c12_records"] = f"WITH {ORACLE_BASE}, x AS (SELECT concat_ws('-', stock_code, report_period) AS record, {REV}::DECIMAL(18,2)::DOUBLE AS r FROM income WHERE {REV} IS NOT NULL) SELECT record, 'income' AS sheet, r AS {REV}, NULL::DOUBLE AS liability_short_term_loans, NULL AS warning FROM x UNION ALL SELECT record, 'balance', NULL, 0.0, NULL FROM x"
 _on("c13_candidate_pages", "documents", lambda d: C.candidate_pages(d.select("doc_id", "text"), ["License", "licensed"]).select("doc_id", "hits", "digits"), "WITH p AS (SELECT doc_id, contains(text, 'License')::INT + contains(text, 'licensed')::INT AS hits, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS digits FROM documents) SELECT * FROM p WHERE hits >= 2 OR digits >= 80")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.statements import KEY
 from .periods import plausible_revenue, qoq_reset, yoy
+from .quantiles import percentiles
 from .view import kind, suffix
 
 DETAIL = "array<struct<rule:string,actual:double,expected:double,abs_tol:double,rel_tol:double,style:string>>"
@@ -226,14 +227,16 @@ def audit_sample(df: DataFrame, fields: list[str], n: int = 8) -> DataFrame:
 
 def skewed(df: DataFrame, column: str) -> DataFrame:
     """E-17: whether the largest size is 50 times the median's, of 5 values or more."""
-    x = df.where(F.abs(column) > 0).agg(F.count("*").alias("n"), F.max(F.abs(column)).alias("most"), F.median(F.abs(column)).alias("mid"))
-    return x.select("n", F.coalesce((F.col("n") >= 5) & (F.try_divide("most", "mid") >= 50), F.lit(False)).alias("skewed"))
+    sizes = df.where(F.abs(column) > 0).select(F.abs(column).alias("size"))
+    [mid] = percentiles(sizes, [("size", 0.5)])
+    x = sizes.agg(F.count("*").alias("n"), F.max("size").alias("most"))
+    return x.select("n", F.coalesce((F.col("n") >= 5) & (F.try_divide("most", F.lit(mid).cast("double")) >= 50), F.lit(False)).alias("skewed"))
 
 
 def collapsed(df: DataFrame, category: str, value: str) -> DataFrame:
     """E-16: one value a category: the smallest if three quarters of all are 0 or less, else the largest."""
-    q = df.agg(F.percentile(value, 0.75).alias("q"))
-    return df.join(F.broadcast(q)).groupBy(category).agg(F.when(F.max("q") <= 0, F.min(value)).otherwise(F.max(value)).alias("value"))
+    [q] = percentiles(df, [(value, 0.75)])
+    return df.groupBy(category).agg((F.min(value) if q is not None and q <= 0 else F.max(value)).alias("value"))
 
 
 def first_seen(df: DataFrame, group: str, order: str, entity: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from .quantiles import percentiles
 from .view import kind, period_order
 
 WHO = ["stock_code", "stock_abbr"]
@@ -31,9 +32,10 @@ def lookup(view: DataFrame, company: str, period: str, metrics: list[str]) -> Da
 
 def above_median_below_mean(view: DataFrame, period: str, high: str, low: str) -> DataFrame:
     """Q-2: above the median of one metric, below the mean of another."""
-    rows = in_period(view, period)
-    stats = rows.agg(F.median(high).alias("mid"), F.avg(low).alias("mean"))
-    return rows.join(F.broadcast(stats)).where((F.col(high) > F.col("mid")) & (F.col(low) < F.col("mean"))).select(*WHO, high, low)
+    rows = stored(in_period(view, period).select(*WHO, high, low))
+    [mid] = percentiles(rows, [(high, 0.5)])
+    mean = rows.agg(F.avg(low).alias("mean"))
+    return rows.join(F.broadcast(mean)).where((F.col(high) > F.lit(mid).cast("double")) & (F.col(low) < F.col("mean"))).select(*WHO, high, low)
 
 
 def consecutive_above(view: DataFrame, periods: list[str], metrics: list[str], bounds: list[float]) -> DataFrame:
@@ -273,12 +275,13 @@ def relevant(rows: DataFrame, metrics: list[str]) -> DataFrame:
 def validation(rows: DataFrame, ratios: list[str], numbers: list[str]) -> DataFrame:
     """Q-38: what speaks against a result, in one row."""
     bad = ~F.col("report_period").rlike(r"^[0-9]{4}(Q1|Q2|H1|Q3|Q4|FY)$")
+    high = percentiles(rows.select(*[F.abs(c).alias(c) for c in ratios]), [(c, 0.9) for c in ratios])
     return rows.agg(
         F.count("*").alias("n_rows"),
         F.countDistinct("report_period").alias("n_periods"),
         F.count_if(bad).alias("odd_periods"),
         F.coalesce(F.bool_and(F.coalesce(F.greatest(*[F.coalesce(F.abs(c), F.lit(0.0)) for c in numbers]) if len(numbers) > 1 else F.coalesce(F.abs(numbers[0]), F.lit(0.0)), F.lit(0.0)) == 0), F.lit(True)).alias("all_zero"),
-        *[F.coalesce(F.percentile(F.abs(c), 0.9) > 1000, F.lit(False)).alias(f"{c}_too_large") for c in ratios],
+        *[F.lit(q is not None and not q <= 1000).alias(f"{c}_too_large") for c, q in zip(ratios, high, strict=True)],
     )
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of plans of retrieval (L-11) and of their repeated search (K-23), with their DuckDB SQL."""
+"""Registered queries of plans of retrieval (L-11), of their repeated search (K-23), of resumable builds (K-14) and of sheets from paths (A-7), with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import planning as P
+from ..operators import view as V
+from ..sources import tables as A
 from ..sources.statements import ORACLE_BASE, sheets
+from ..streaming import embedding as S
+from .statement_queries import O as STATEMENT_SQL
+from .statement_queries import VIEW_COLUMNS
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 O: dict[str, str] = {}
@@ -109,3 +114,30 @@ wide AS (SELECT question_id, list(DISTINCT z) AS more FROM (SELECT question_id,
 open3 AS (SELECT l.* REPLACE (list_distinct(list_concat(topics, more)) AS topics, 'hybrid' AS scope) FROM left2 l JOIN wide USING (question_id) WHERE len(list_filter(more, lambda z: NOT list_contains(topics, z))) > 0),
 {_search("open3", "h3", 3)}
 SELECT * EXCLUDE (top_k) FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)"""
+
+
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks' measures, from a build in batches and a second call, which finds nothing to do."""
+    chunks = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    source = A.stored_path(chunks.repartition(spark.sparkContext.defaultParallelism, "chunk_id"))
+    letters = lambda x: F.array(F.length(x), F.length(F.regexp_replace(x, "[^a-z]", "")), F.length(F.regexp_replace(x, "[^ ]", ""))).cast("array<float>")
+    for _ in range(2):
+        S.build_resumable(spark, source, f"{source}-index", "letters", letters, files_a_batch=3)
+    n = spark.read.parquet(source).count()
+    state = S.progress(spark, f"{source}-index", "letters", n).select("index_status", F.col("dim").alias("n_dims"))
+    return S.embedded(spark, f"{source}-index", "letters", n).select("chunk_id", *[F.get("embedding", i).cast("int").alias(c) for i, c in enumerate(("n_chars", "n_letters", "n_spaces"))]).join(F.broadcast(state))
+
+
+Q["k14_resumed_build"] = _resumed
+O["k14_resumed_build"] = "SELECT doc_id::VARCHAR AS chunk_id, length(text)::INT AS n_chars, length(regexp_replace(text, '[^a-z]', '', 'g'))::INT AS n_letters, length(regexp_replace(text, '[^ ]', '', 'g'))::INT AS n_spaces, 'ready' AS index_status, 3 AS n_dims FROM documents"
+
+
+def _from_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The wide view of sheets that were written to a folder each and are read by path."""
+    s = sheets(spark, d)
+    read = lambda n: A.read_sheet(spark, path=A.stored_path(s[n]), schema=dict(s[n].dtypes))
+    return V.wide(*map(read, ("income", "kpi", "balance", "cash"))).select(*VIEW_COLUMNS)
+
+
+Q["a7_sheets_from_paths"] = _from_paths
+O["a7_sheets_from_paths"] = STATEMENT_SQL["v1_wide_view"]

@@ -49,8 +49,8 @@ def _on_sheets(name: str, f: Callable[[dict[str, DataFrame]], DataFrame], sql: s
 
 
 W, P, P0 = "stock_code, stock_abbr", "1997Q3", "1996Q3"
-_cols = [*KEY, "stock_abbr", REV, NP, COST, "rnd_expense_ratio", "inventory_turnover_ratio", ASSETS, "operating_cf_net_amount", "net_cash_flow"]
-_on_view("v1_wide_view", lambda v: v.select(*_cols), f"SELECT {', '.join(_cols)} FROM v")
+VIEW_COLUMNS = [*KEY, "stock_abbr", REV, NP, COST, "rnd_expense_ratio", "inventory_turnover_ratio", ASSETS, "operating_cf_net_amount", "net_cash_flow"]
+_on_view("v1_wide_view", lambda v: v.select(*VIEW_COLUMNS), f"SELECT {', '.join(VIEW_COLUMNS)} FROM v")
 _on_view("v4_clamped_view", lambda v: V.clamped(v).select(*KEY, REV, "gross_profit_margin", "rnd_expense_ratio"), f"SELECT {', '.join(KEY)}, CASE WHEN abs({REV}) <= 1e8 THEN {REV} END AS {REV}, CASE WHEN abs(gross_profit_margin) <= 1000 THEN gross_profit_margin END AS gross_profit_margin, CASE WHEN abs(rnd_expense_ratio) <= 1000 THEN rnd_expense_ratio END AS rnd_expense_ratio FROM v")
 _on_view("v3_derived_quarters", lambda v: v.where(F.substring("report_period", 5, 2).isin("Q2", "Q4")).select(*KEY, *FLOWS), f"SELECT {', '.join(KEY)}, {', '.join(FLOWS)} FROM v WHERE report_period[5:6] IN ('Q2', 'Q4')")
 _on_sheets(

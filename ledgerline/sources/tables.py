@@ -67,6 +67,37 @@ def conforming(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(c).cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in schema.items()])
 
 
+def jdbc_options(url: str, table: str, bounds: tuple[str, int, int, int] | None = None, fetch: int = 10_000, **more: str) -> dict[str, str]:
+    """Options of a read from a database. bounds (whole-number column, least, greatest, partitions) has that many tasks read a range each; without it one task reads all."""
+    out = {"url": url, "dbtable": table, "fetchsize": str(fetch), "pushDownPredicate": "true", **more}
+    if bounds:
+        column, least, greatest, parts = bounds
+        if least > greatest or parts < 1:
+            raise ValueError("bounds: least is over greatest, or there are no partitions")
+        out |= {"partitionColumn": column, "lowerBound": str(least), "upperBound": str(greatest), "numPartitions": str(parts)}
+    return out
+
+
+def read_sheet(spark: SparkSession, *, path: str | None = None, table: str | None = None, jdbc: dict[str, str] | None = None, schema: dict[str, str] | None = None, kind: str = "parquet") -> DataFrame:
+    """A-7: a sheet from a path (of Parquet, ORC, JSON or CSV files), a catalog table or a database (`jdbc_options`), exactly one of them.
+
+    schema: the sheet's columns and types; others are dropped, missing ones are null, codes are padded to six digits. Without it the sheet is as it is.
+    Filters and the choice of columns reach the source."""
+    if sum(x is not None for x in (path, table, jdbc)) != 1:
+        raise ValueError("a sheet is read from one of path, table and jdbc")
+    if jdbc is not None:
+        rows = spark.read.format("jdbc").options(**jdbc).load()
+    elif table is not None:
+        rows = spark.read.table(table)
+    else:
+        rows = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {})).load(path)
+    if schema is None:
+        return rows
+    rows = conforming(rows, schema)
+    code = F.trim(F.col("stock_code").cast("string")) if "stock_code" in schema else None
+    return rows if code is None else rows.withColumn("stock_code", F.when(F.length(code) < 6, F.lpad(code, 6, "0")).otherwise(code))
+
+
 def write_sheet(df: DataFrame, path: str, schema: dict[str, str], mode: str = "append") -> None:
     """A-8, A-12"""
     conforming(df, schema).write.mode(mode).parquet(path)

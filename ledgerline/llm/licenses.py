@@ -59,8 +59,8 @@ KNOWN = {
 }
 #: Spellings taken as equal, applied in this order to lower-case text.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("&", " and "), ("https:", "http:"), ("(c)", "copyright"))
-#: A line that states a copyright: with a sign, a year or a reservation.
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]{0,20}(copyright[^\n]{0,200}(\(c\)|©|[0-9]{4}|all rights reserved)|\(c\)|©|all rights reserved)[^\n]{0,200}$"
+#: A line, of any length, that states a copyright: with a sign, a year or a reservation.
+COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]{0,20}(copyright[^\n]*(\(c\)|©|[0-9]{4}|all rights reserved)|\(c\)|©|all rights reserved)[^\n]*$"
 OTHERS = r"[^\p{L}\p{N}]+"
 
 

@@ -20,6 +20,14 @@ def test_whole_texts_with_and_without_titles(spark):
     assert all(name in got[i] for i, _, name in rows), [(name, got[i]) for i, _, name in rows if name not in got[i]]
 
 
+def test_copyright_lines_of_any_length_are_left_out(spark):
+    text = licenses.KNOWN["MIT"][0][1]
+    owners = ", ".join(f"Owner {i}" for i in range(50_000))
+    rows = [(1, f"Copyright (c) 2021 {owners}\n{text}"), (2, f"Copyright {owners} 2021\n{text}"), (3, f"{owners}\n{text}"), (4, text)]
+    got = {r["doc_id"]: r["digest"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[4] != got[3]
+
+
 def test_letters_of_all_scripts_count(spark):
     rows = [(1, "Лицензия: свободная"), (2, "许可证"), (3, "лицензия свободная!"), (4, ""), (5, "Copyright (c) 2020 A. B.")]
     d = {r["doc_id"]: r["digest"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

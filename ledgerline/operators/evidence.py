@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..sources.statements import KEY
 from .cells import aliases_of
 from .periods import sanitize
+from .retrieval import filled
 
 
 def without_noise(x: Column, patterns: list[str]) -> Column:
@@ -131,6 +132,12 @@ def sample_chunks(chunks: DataFrame, n: int = 6) -> DataFrame:
     return chunks.groupBy("source", "kind").agg(F.min("doc_id").alias("doc_id")).orderBy("source", "kind").limit(n)
 
 
+def sample_filled(chunks: DataFrame, n: int = 6) -> DataFrame:
+    """E-15: a chunk of each pair of source and kind, pairs in order, then the first others by doc_id, n in all. doc_ids are unique."""
+    first = sample_chunks(chunks, n)
+    return filled(first.withColumn("turn", F.row_number().over(Window.orderBy("source", "kind"))), chunks.select("doc_id", "source", "kind"), "doc_id", n)  # over n rows
+
+
 def chart_type(x: Column, keywords: dict[str, str]) -> Column:
     """L-7: the type of the keyword that comes last."""
     places = [F.struct((F.length(x) - F.locate(w[::-1], F.reverse(x))).alias("at"), F.when(x.contains(w), F.lit(t)).alias("t")) for w, t in keywords.items()]

@@ -336,6 +336,33 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
+def filled(first: DataFrame, rows: DataFrame, key: str, n: int) -> DataFrame:
+    """A-14, E-15: the rows of a sample and, up to n in all, the first others of `rows` by key. first has a column turn, its order, then key."""
+    rest = rows.join(first.select(key), key, "left_anti").orderBy(key).limit(n)
+    both = first.select(*rows.columns, F.lit(0).alias("late"), "turn").unionByName(rest.select(*rows.columns, F.lit(1).alias("late"), F.lit(0).alias("turn")))
+    cut = both.orderBy("late", "turn", key).limit(n)
+    return cut.withColumn("place", F.row_number().over(Window.orderBy("late", "turn", key))).drop("late", "turn")  # over n rows
+
+
+def filled_round_robin(rows: DataFrame, group: str, entity: str, n: int) -> DataFrame:
+    """A-14: id, group and entity of n rows: one an entity while groups take turns, then the other rows by id. ids are unique."""
+    one = rows.groupBy(entity).agg(F.min(F.struct(group, "id")).alias("x")).select("x.*", entity)
+    turn = one.withColumn("own", F.row_number().over(Window.partitionBy(group).orderBy("id"))).where(F.col("own") <= n)
+    first = turn.orderBy("own", group).limit(n)
+    return filled(first.withColumn("turn", F.row_number().over(Window.orderBy("own", group))), rows.select("id", group, entity), "id", n)  # over n rows
+
+
+def ordered_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """A-15: a seeded sample in the order of its key, with places."""
+    return seeded_sample(rows, key, n, seed).withColumn("place", F.row_number().over(Window.orderBy(key)))  # over n rows
+
+
+def with_fallback(hits: DataFrame, other: DataFrame) -> DataFrame:
+    """K-21: the hits, and for queries that have none those of the other search, which `fallback` marks."""
+    missing = other.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    return hits.withColumn("fallback", F.lit(False)).unionByName(missing.withColumn("fallback", F.lit(True)))
+
+
 def status_summary(rows: DataFrame, status: str) -> DataFrame:
     """A-13"""
     return rows.groupBy(status).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.statements import KEY
+from ..sources.tables import stored
 from .periods import plausible_revenue, qoq_reset, yoy
 from .quantiles import percentiles
 from .view import kind, suffix
@@ -96,6 +97,13 @@ def overall(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count("*").alias("rules"), F.sum("applicable").alias("applicable"), F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
 
 
+def worst_rules(summary: DataFrame, n: int = 8) -> DataFrame:
+    """E-12: the n rules with the largest share of failures, by name on ties, with their place."""
+    rate = F.round(F.try_divide("failed", "applicable"), 4)
+    first = summary.select("rule", F.coalesce(rate, F.lit(0.0)).alias("failure_rate"), "failed").orderBy(F.desc("failure_rate"), "rule").limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("failure_rate"), "rule")))  # over n rows
+
+
 def prechecks(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
     """R-20 to R-24: issues found before loading: key, rule. (R-17 to R-19 are required_fields, duplicate_keys, anomalies.)"""
     x = balance.join(cash.drop("stock_abbr"), KEY, "full_outer").join(income.drop("stock_abbr"), KEY, "full_outer").join(kpi.select(*KEY, "gross_profit_margin", "net_profit_margin"), KEY, "full_outer")
@@ -213,6 +221,15 @@ def missing_reasons(df: DataFrame) -> DataFrame:
     return counts.groupBy("field").agg(F.sum("n").alias("n_missing"), F.min(by)["r"].alias("reason"), F.to_json(F.map_from_entries(listed)).alias("reasons"))
 
 
+def missing_keys(df: DataFrame, n: int = 10) -> DataFrame:
+    """E-6: for each field with gaps the first n keys without it, by code and period, as code|period."""
+    fields = [c for c, t in df.dtypes if t == "double"]
+    gaps = df.select("stock_code", "report_period", F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in fields]))).alias("field"))
+    first = gaps.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy("stock_code", "report_period"))).where(F.col("place") <= n)
+    key = F.struct("place", F.concat_ws("|", F.coalesce("stock_code", F.lit("")), F.coalesce("report_period", F.lit(""))).alias("key"))
+    return first.groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["key"]), " | ").alias("sample_keys"))
+
+
 def most_missing(coverage: DataFrame, n: int = 8) -> DataFrame:
     """E-7"""
     place = F.row_number().over(Window.partitionBy("sheet").orderBy(F.desc("n_missing"), "field"))
@@ -278,6 +295,15 @@ def profile(df: DataFrame, numbers: list[str], period: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.lit(len(numbers)).alias("n_numeric"), F.countDistinct(period).alias("n_periods"))
 
 
+def skew_flags(df: DataFrame, numbers: list[str]) -> DataFrame:
+    """M-1, E-17: for each numeric column the number of sizes over 0 and whether the largest is 50 times their median, of 5 or more."""
+    sizes = stored(df.select(*[F.when(F.abs(c) > 0, F.abs(c)).alias(c) for c in numbers]))
+    mids = percentiles(sizes, [(c, 0.5) for c in numbers])
+    aggs = sizes.agg(*[F.struct(F.count(c).alias("n"), F.max(c).alias("most"), F.lit(mid).cast("double").alias("mid")).alias(c) for c, mid in zip(numbers, mids, strict=True)])
+    rows = aggs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in numbers])).alias("r")).select("r.column", "r.x.*")
+    return rows.select("column", "n", F.coalesce((F.col("n") >= 5) & (F.try_divide("most", "mid") >= 50), F.lit(False)).alias("skewed"))
+
+
 def chart_table(df: DataFrame, series: str, value: str, n: int) -> DataFrame:
     """M-2: the n largest of each series, with their place."""
     place = F.row_number().over(Window.partitionBy(series).orderBy(F.desc_nulls_last(value), *[c for c in df.columns if c not in (series, value)]))

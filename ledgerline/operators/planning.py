@@ -132,25 +132,24 @@ def related_plans(plans: DataFrame) -> DataFrame:
 def topic_hits(plans: DataFrame, reports: DataFrame) -> DataFrame:
     """question_id, report_id, score, place: the top_k reports that share a topic with a plan and are in its scope, +2 a topic, +3 for one of its companies.
 
-    reports: report_id, kind (stock or industry), company (null: none), topics. Reports of the same kind, company and topics score alike and only their first
-    top_k can count, and equal plans are searched once; so what meets on a topic grows with different plans and reports, not with their copies."""
-    key = ["companies", "topics", "scope", "top_k"]
+    reports: report_id, kind (stock or industry), company (null: none), topics. Reports of the same kind and topics score alike whatever their company, but for
+    a plan's own companies; so topics meet once for all plans of the same topics and scope, the first top_k of them are enough, and reports of the own companies
+    come by a join on the company. What meets grows with different sets of topics, not with plans times reports."""
+    key, wide = ["companies", "topics", "scope", "top_k"], ["topics", "scope", "top_k"]
     asked = plans.where("top_k > 0").select(*key).distinct()
     most = asked.agg(F.max("top_k")).first()[0] or 0
-    sets = reports.select("report_id", "kind", "company", F.array_sort(F.array_distinct(_given(F.col("topics")))).alias("set"))
-    first = F.row_number().over(Window.partitionBy("kind", "company", "set").orderBy("report_id"))
-    alike = sets.withColumn("n", first).where(F.col("n") <= most)
-    classes = sets.select("kind", "company", "set").distinct()
-    stock = (F.col("kind") == "stock") & ((F.size("companies") == 0) | F.coalesce(F.array_contains("companies", F.col("company")), F.lit(False)))
-    inside = (F.col("scope") == "hybrid") | ((F.col("scope") == "industry") & (F.col("kind") == "industry")) | ((F.col("scope") == "stock") & stock)
-    met = asked.withColumn("topic", F.explode("topics")).join(classes.withColumn("topic", F.explode("set")), "topic").where(inside).groupBy(*key, "kind", "company", "set").agg(F.count("*").alias("shared"))
-    own = F.coalesce(F.array_contains("companies", F.col("company")), F.lit(False))
-    scored = met.withColumn("score", F.col("shared") * 2.0 + F.when(own, 3.0).otherwise(0.0))
-    same = (scored["kind"] == alike["kind"]) & scored["company"].eqNullSafe(alike["company"]) & (scored["set"] == alike["set"])
-    rows = scored.join(alike, same).select(*key, "report_id", "score")
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "report_id"))
-    best = rows.withColumn("place", place).where(F.col("place") <= F.col("top_k"))
-    return plans.join(best, key).select("question_id", "report_id", "score", "place")
+    sets = reports.select("report_id", "kind", "company", F.array_sort(F.array_distinct(_given(F.col("topics")))).alias("set")).where(F.size("set") > 0)
+    first = lambda by: sets.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("report_id"))).where(F.col("n") <= most).drop("n")
+    best = lambda rows, by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "report_id"))).where(F.col("place") <= F.col("top_k"))
+    fits = (F.col("scope") == "hybrid") | (F.col("scope") == F.col("kind"))
+    open_ = asked.where((F.col("scope") != "stock") | (F.size("companies") == 0))
+    classes = sets.select("kind", "set").distinct()
+    met = open_.select(*wide).distinct().withColumn("topic", F.explode(F.array_distinct("topics"))).join(classes.withColumn("topic", F.explode("set")), "topic").where(fits).groupBy(*wide, "kind", "set").agg((F.count("*") * 2.0).alias("score"))
+    any_ = best(met.join(first(["kind", "set"]).drop("company"), ["kind", "set"]), wide).select(*wide, "report_id", "score")
+    shared = F.size(F.array_intersect("topics", "set"))
+    own = asked.withColumn("company", F.explode(F.array_distinct("companies"))).join(first(["kind", "company", "set"]), "company").where(fits & (shared > 0)).select(*key, "report_id", (shared * 2.0 + 3.0).alias("score"))
+    both = open_.join(any_, wide).select(*key, "report_id", "score").unionByName(own).groupBy(*key, "report_id").agg(F.max("score").alias("score"))
+    return plans.join(best(both, key), key).select("question_id", "report_id", "score", "place")
 
 
 def searched(plans: DataFrame, search: Callable[[DataFrame], DataFrame], wider: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

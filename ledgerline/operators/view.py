@@ -13,6 +13,12 @@ from ..sources.statements import KEY
 PERIOD_ORDER = {"Q1": 1, "Q2": 2, "H1": 3, "Q3": 4, "Q4": 5, "FY": 6}
 DERIVED = {"Q2": ("H1", "Q1"), "Q4": ("FY", "Q3")}
 FLOWS = ["total_operating_revenue", "net_profit", "operating_expense_cost_of_sales", "operating_expense_selling_expenses", "operating_expense_rnd_expenses", "operating_cf_net_amount", "investing_cf_net_amount", "financing_cf_net_amount", "net_cash_flow"]
+#: The figures of a period that a quarter of its own is derived for, as given for the first variant of the view and for the second.
+ALL_FLOWS = ["total_operating_revenue", "net_profit", "total_profit", "operating_profit", "operating_expense_cost_of_sales", "operating_expense_selling_expenses", "operating_expense_administrative_expenses", "operating_expense_financial_expenses", "operating_expense_rnd_expenses", "operating_expense_taxes_and_surcharges", "total_operating_expenses", "other_income", "asset_impairment_loss", "credit_impairment_loss", "operating_cf_net_amount", "investing_cf_net_amount", "financing_cf_net_amount", "operating_cf_cash_from_sales", "investing_cf_cash_for_investments", "investing_cf_cash_from_investment_recovery", "financing_cf_cash_from_borrowing", "financing_cf_cash_for_debt_repayment", "net_profit_excl_non_recurring"]
+SPINE_FLOWS = ["total_operating_revenue", "net_profit", "total_profit", "operating_expense_rnd_expenses", "operating_expense_selling_expenses", "operating_expense_cost_of_sales", "operating_expense_administrative_expenses", "operating_expense_financial_expenses", "operating_expense_taxes_and_surcharges", "total_operating_expenses", "operating_cf_net_amount", "investing_cf_net_amount", "financing_cf_net_amount", "net_profit_excl_non_recurring"]
+#: Parts of names of columns that hold shares or amounts (V-4).
+SHARE_WORDS = ("ratio", "margin", "growth", "roe", "率", "占比", "比例")
+AMOUNT_WORDS = ("revenue", "profit", "amount", "expense", "equity", "asset", "liability", "cash", "收入", "利润", "费用", "金额", "总额", "权益", "资产", "负债", "净额")
 #: Name tokens that make a column a ratio; other doubles are amounts.
 RATIO_TOKENS = ("ratio", "margin", "growth", "roe", "yoy", "qoq")
 LIMITS = {"ratio": 1000.0, "amount": 1e8}
@@ -27,10 +33,10 @@ def period_order(period: Column) -> Column:
     return reduce(lambda acc, kv: F.when(suffix(period) == kv[0], kv[1]).otherwise(acc), PERIOD_ORDER.items(), F.lit(99))
 
 
-def wide(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataFrame, strict_names: bool = False) -> DataFrame:
+def wide(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataFrame, strict_names: bool = False, flows: list[str] | None = None) -> DataFrame:
     """V-1: full outer join of the sheets on the business key, with resolved revenue and profit and two ratios.
 
-    A name missing in the income sheet is taken from any other sheet unless strict_names."""
+    A name missing in the income sheet is taken from any other sheet unless strict_names. flows: figures of derived quarters (V-3)."""
     own = set(income.columns)
     parts = []
     for name, df in (("kpi", kpi), ("balance", balance), ("cash", cash)):
@@ -40,7 +46,7 @@ def wide(income: DataFrame, kpi: DataFrame, balance: DataFrame, cash: DataFrame,
     if not strict_names:
         out = out.withColumn("stock_abbr", F.coalesce("stock_abbr", "#kpi", "#balance", "#cash"))
     out = out.drop("#kpi", "#balance", "#cash").withColumn("total_operating_revenue", F.coalesce("total_operating_revenue", "total_operating_revenue_kpi")).withColumn("net_profit", F.coalesce("net_profit", "net_profit_10k_yuan"))
-    return with_ratios(with_quarters(out))
+    return with_ratios(with_quarters(out, flows))
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
@@ -104,6 +110,19 @@ def clamped(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(F.abs(c) <= LIMITS[k], F.col(c)) for c, k in kinds.items() if k})
 
 
+def clamped_by_name(df: DataFrame) -> DataFrame:
+    """V-4: numbers become null beyond 1,000 where the column's name says a share, and beyond 1e8 where it says an amount; a name that says
+    both is a share, one that says neither stays. Small letters and capitals are alike; columns of text stay."""
+    def limit(name: str, dtype: str) -> float | None:
+        if dtype not in ("double", "float", "int", "bigint") and not dtype.startswith("decimal"):
+            return None
+        says = lambda words: any(w in name.lower() for w in words)
+        return LIMITS["ratio"] if says(SHARE_WORDS) else LIMITS["amount"] if says(AMOUNT_WORDS) else None
+
+    limits = {c: limit(c, t) for c, t in df.dtypes}
+    return df.withColumns({c: F.when(F.abs(c) <= most, F.col(c)) for c, most in limits.items() if most})
+
+
 def one_per_key(df: DataFrame, order: list[str]) -> DataFrame:
     """V-5: a row a key. Amounts: largest by size of the non-zero ones; ratios: median; others: first by order."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))

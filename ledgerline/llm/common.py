@@ -27,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset and the master is local, too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
+        if not sc.getCheckpointDir() and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         found = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(found)

@@ -145,7 +145,8 @@ def named_questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     x = sheets(spark, d)["income"].where("report_period like '%Q3'")
     k = F.col("stock_code").cast("int")
     nxt = F.concat(F.lit("Supplier#"), F.lpad((k + 1).cast("string"), 9, "0"))
-    text = F.when(k % 5 == 0, F.concat("stock_abbr", F.lit("2023年的利润是多少"))).when(k % 5 == 1, F.concat(F.lit("比较"), "stock_code", F.lit("和"), F.lpad((k + 1).cast("string"), 3, "0"), F.lit("的收入")))
+    short = lambda c: F.lpad(c.cast("string"), F.when(c < 1_000, 3).otherwise(6), "0")  # noqa: E731  from 1,000 on three digits would be another company's
+    text = F.when(k % 5 == 0, F.concat("stock_abbr", F.lit("2023年的利润是多少"))).when(k % 5 == 1, F.concat(F.lit("比较"), "stock_code", F.lit("和"), short(k + 1), F.lit("的收入")))
     text = text.when(k % 5 == 2, F.concat(F.lit("Sup plier（集团）#"), F.lpad(k.cast("string"), 9, "0"), F.lit(" 怎么样"))).when(k % 5 == 3, F.concat(F.lit("公司名称："), "stock_abbr", F.lit("集团，利润？")))
     q = x.select(F.concat_ws("-", "stock_code", "report_period").alias("question_id"), text.otherwise(F.concat(F.lit("<"), k.cast("string"), F.lit(">与"), nxt, F.lit("相比"))).alias("text"))
     names = x.select("stock_code", "stock_abbr").distinct()

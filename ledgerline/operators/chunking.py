@@ -41,6 +41,7 @@ DISCARDED = (
     "评级说明和重要声明", "信息披露声明", "免责声明", "投资评级[:：]?", "证券的投资评级", "行业的投资评级", "法律声明", "若本报告的接收人非本公司的客户", "本研究报告仅供", "本公司不会因接收人收到本报告而视其为客户",
     "任何形式的分享证券投资收益或者分担证券投资损失", "公司简介", "经营范围包括[:：]", "联系我们", "邮编[:：]", "公司网址[:：]", "研究所地址[:：]", "分析师声明", "特别声明",
 )
+DISCARDED_STARTS = "".join(sorted({w[0] for w in DISCARDED}))
 CONTENTS = (r"^(?:目录|内容目录)\s*$", "[.．·•]{6,}")
 DISCLAIMERS = ("评级说明和重要声明", "信息披露声明", "免责声明", "法律声明", "特别声明", "分析师声明", "联系我们")
 CAPTION = rf"^(图表?|表)\s*([0-9{_DIGITS}百零]+)\s*(?:[:：.\-—]\s*)?(.*)$"
@@ -53,6 +54,12 @@ COVER_HEADS, FOREIGN_DISCLAIMERS = ("epsperoe", "股价总市值", "pegbvps"), (
     "important disclaimer", "distribution and regional notices", "analyst certification", "please read the analyst certification", "海通国际", "hti", "htirl", "htisg", "sebi", "nism", "for research reports on non-indian securities",
 )
 NOISE = "|".join((*INLINE_NOISE, *COVER_FIGURES))
+#: The same for Spark. All noise but addresses begins with one of NOISE_STARTS or NOISE_WORDS, addresses hold an @: lines without these are left as they are, and a glance
+#: at the next character saves most places of the others the alternatives.
+NOISE_STARTS, NOISE_WORDS = "证公行首市请敬股投个数资分联第总最一近", ("SAC", "Email", "52")
+NOISE_PLAIN, NOISE_ALL = f"(?=[{NOISE_STARTS}SE5])(?:{'|'.join((*INLINE_NOISE[:-1], *COVER_FIGURES))})", f"(?=[{NOISE_STARTS}SE5A-Za-z0-9._%+-])(?:{NOISE})"
+#: Blanks, strokes and dashes in one pass; possessive, so long rules of them need no stack.
+GAPS = r"(?:[\s|｜]++|[-—–]{2,}+)++"
 NOISE_LINE = "^(?:" + "|".join(NOISE_LINES) + ")"
 ASCII_ONLY = r"^[A-Za-z0-9 ./%+\-—]+$"
 #: Set off paragraphs while lines are joined: a break, and the start of a line that stands alone.
@@ -78,10 +85,10 @@ def hits(x: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def without_noise(x: Column) -> Column:
-    """K-2: a line without inline noise, in one alternation; rules of strokes and dashes are spaces."""
-    for pattern in (NOISE, r"\s*[|｜]+\s*", r"\s*[-—–]{2,}\s*", r"\s+"):
-        x = F.regexp_replace(x, pattern, " ")
-    return trimmed(x)
+    """K-2: a line without inline noise, in one alternation; rules of strokes and dashes are spaces. x is read several times."""
+    may = reduce(lambda a, b: a | b, [x.contains(w) for w in NOISE_WORDS], F.lit(False)) | x.rlike(f"[{NOISE_STARTS}]")
+    plain = F.when(x.contains("@"), F.regexp_replace(x, NOISE_ALL, " ")).when(may, F.regexp_replace(x, NOISE_PLAIN, " ")).otherwise(x)
+    return F.trim(F.regexp_replace(plain, GAPS, " "))
 
 
 def is_contents(page: Column) -> Column:
@@ -92,7 +99,7 @@ def is_contents(page: Column) -> Column:
 
 def is_disclaimer(page: Column) -> Column:
     """K-3: a page with two kinds of disclaimers."""
-    return hits(page, DISCLAIMERS) >= 2
+    return reduce(lambda a, b: a + b, [page.contains(w).cast("int") for w in DISCLAIMERS]) >= 2
 
 
 def is_noise_line(x: Column) -> Column:
@@ -116,8 +123,8 @@ def is_topic(x: Column) -> Column:
 def says_little(x: Column) -> Column:
     """K-7: short, discarded, of letters and figures only, a code, or a block of a cover: two of its words, or many digits and no sentence."""
     digits = F.regexp_count(x, F.lit("[0-9]"))
-    cover = (hits(x, COVER_WORDS) >= 2) | ((digits > 0.18 * F.length(x)) & ~x.rlike(_STOP))
-    return (F.length(x) < 18) | any_of(x, DISCARDED) | x.rlike(ASCII_ONLY) | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)\s*.*$") | cover
+    cover = (hits(x, (f"(?=[总流5第资])(?:{COVER_WORDS[0]})", f"(?=[分SE])(?:{COVER_WORDS[1]})", COVER_WORDS[2])) >= 2) | ((digits > 0.18 * F.length(x)) & ~x.rlike(_STOP))
+    return (F.length(x) < 18) | x.rlike(f"(?=[{DISCARDED_STARTS}])(?:{'|'.join(DISCARDED)})") | x.rlike(ASCII_ONLY) | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)\s*.*$") | cover
 
 
 def sentences(x: Column) -> Column:
@@ -149,7 +156,8 @@ def sections(pages: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     dropped = is_contents(text) | is_disclaimer(text)
     rows = pages.select("doc_id", "page", dropped.alias("dropped"), F.when(dropped, F.array(F.lit(""))).otherwise(page_paragraphs(F.col("text"))).alias("p"))
-    rows = rows.select("doc_id", "page", "dropped", F.posexplode("p").alias("place", "paragraph"))
+    # outer: else Spark infers a filter on the size of p and computes the paragraphs for it, too
+    rows = rows.select("doc_id", "page", "dropped", F.posexplode_outer("p").alias("place", "paragraph")).where("place is not null")
     x = F.col("paragraph")
     rows = rows.withColumns({"level": F.when(~F.col("dropped"), heading_level(x)), "caption": x.rlike(CAPTION) & ~F.col("dropped")})
     opens = (F.col("level") == 1) | ((F.col("place") == 0) & is_topic(x) & ~F.col("dropped"))

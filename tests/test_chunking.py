@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import chunking as C
 
@@ -97,3 +98,21 @@ def test_cleaned_chunks(spark):
 def test_one_shuffle_by_document(spark):
     plan = C.sections(pages(spark, [(1, 1, LONG)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_paragraphs_are_computed_once(spark):
+    pages = spark.createDataFrame([(1, 1, "x")], "doc_id long, page int, text string")
+    assert C.sections(pages)._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
+
+
+def test_noise_as_its_plain_patterns(spark):
+    parts = ["分析师：某某。", "SAC 登记编号：S1", "a@b.com5@c.org", "52 周内最高/最低价 3", "a|-|-b -- c", "资料来源：x", "--|" * 9_000, "  x\t y ", "Email: q@r.st", "2023年", "请务必阅读正文之后的重要声明部分", "第一大股东 甲", "", " "]
+    texts = [a + b for a in parts for b in parts]
+
+    def plain(x):
+        for p in (C.NOISE, r"\s*[|｜]+\s*", r"\s*[-—–]{2,}\s*", r"\s+"):
+            x = F.regexp_replace(x, p, " ")
+        return C.trimmed(x)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(C.without_noise(F.col("t")).alias("got"), plain(F.col("t")).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows)

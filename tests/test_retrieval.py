@@ -78,3 +78,12 @@ def test_metadata_scores_against_a_plain_count(spark):
             scores += [(-round(score, 6), r)] if score > 0 else []
         want |= {(q, r, -s, i + 1) for i, (s, r) in enumerate(sorted(scores)[:2])}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_stripes_grow_with_the_vectors(spark):
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in K.exact_top_k(vectors, vectors.where("vec_id % 3 = 0"), 4, block=10, stripe=10).collect()}
+    for i in range(0, 90, 3):
+        best = sorted((j for j in range(90) if j != i), key=lambda j: (-sum(a * b for a, b in zip(rows[i][1], rows[j][1], strict=True)), j))[:4]
+        assert [got[i, n] for n in range(1, 5)] == best

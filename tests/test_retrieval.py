@@ -87,3 +87,20 @@ def test_stripes_grow_with_the_vectors(spark):
     for i in range(0, 90, 3):
         best = sorted((j for j in range(90) if j != i), key=lambda j: (-sum(a * b for a, b in zip(rows[i][1], rows[j][1], strict=True)), j))[:4]
         assert [got[i, n] for n in range(1, 5)] == best
+
+
+def test_frequent_needles_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(K, "OFTEN", 3)
+    reports = [(f"r{i:03d}", "stock" if i % 3 else "industry", f"P{i % 2} note", f"C{i % 20:02d}", "") for i in range(60)]
+    asked = [(q, f"C{q:02d} P{q % 2} 行业" if q % 2 else f"C{q:02d} P0", [f"C{q:02d}"] if q % 3 else None, [f"P{q % 2}"]) for q in range(12)]
+    out = K.metadata_scores(spark.createDataFrame(asked, "question_id long, text string, companies array<string>, topics array<string>"), spark.createDataFrame(reports, "report_id string, kind string, title string, company string, organization string"), 4)
+    want = set()
+    for q, text, companies, topics in asked:
+        scores = []
+        for r, kind, title, company, _ in reports:
+            held = f"{title} {company}"
+            s = sum(3 for c in companies or [] if c in held) + sum(2 for t in topics if t in held) + sum(0.2 for w in text.split() if w in held)
+            s += (kind == "industry" and "行业" in text) - 2.5 * (kind == "stock" and bool(companies) and not any(c in held for c in companies or []))
+            scores += [(-round(s, 6), r)] if round(s, 6) > 0 else []
+        want |= {(q, r, n) for n, (_, r) in enumerate(sorted(scores)[:4], 1)}
+    assert {(x["question_id"], x["report_id"], x["rank"]) for x in out.collect()} == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from ledgerline.operators import retrieval as K
@@ -104,3 +105,22 @@ def test_frequent_needles_make_no_pairs(spark, monkeypatch):
             scores += [(-round(s, 6), r)] if round(s, 6) > 0 else []
         want |= {(q, r, n) for n, (_, r) in enumerate(sorted(scores)[:4], 1)}
     assert {(x["question_id"], x["report_id"], x["rank"]) for x in out.collect()} == want
+
+
+def test_copies_do_not_swell_what_leaves_a_cell():
+    ids = np.arange(5_000)[::-1].copy()
+    score = np.zeros((3, 5_000))
+    score[1, 7], score[2] = 2.0, np.arange(5_000) / 100  # all equal; one above equal ones; all different
+    i, j = K._candidates(score, ids, 10)
+    got = [sorted(ids[j[i == r]].tolist()) for r in range(3)]
+    assert got[0] == list(range(10))
+    assert got[1] == [*range(10), int(ids[7])]
+    assert got[2] == list(range(10))  # the largest scores have the smallest ids
+    assert [x.size for x in K._candidates(np.full((2, 3), -np.inf), ids[:3], 10)] == [0, 0]
+
+
+def test_all_hits_of_copies_are_those_with_the_smallest_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(300)] + [(300, [2.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in K.exact_top_k(vectors, vectors.where("vec_id in (1, 300)"), 3, block=1, stripes=3).collect()}
+    assert got == {(1, 1): 300, (1, 2): 0, (1, 3): 2, (300, 1): 0, (300, 2): 1, (300, 3): 2}

@@ -55,3 +55,14 @@ def test_sentences_and_windows(spark):
     df = spark.createDataFrame([("ab. " * 60,), ("short.",)], "x string")
     assert [len(r[0]) for r in df.select(T.dense_sentences(F.col("x"))).collect()] == [60, 1]
     assert [r[0] for r in spark.createDataFrame([("abcdefghij",)], "x string").select(T.windows(F.col("x"), 4, 1)).collect()] == [["abcd", "defg", "ghij"]]
+
+
+def test_facts_bring_rows_together_before_they_are_summed(spark):
+    from ledgerline.sources import statements as S
+
+    tables = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "part")}
+    got, plain = (spark.sql(f"WITH {sql} SELECT * FROM base", **tables) for sql in (S.SPARK_FACTS, S.FACTS))
+    assert got.schema == plain.schema and got.count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    plan = spark.sql(f"WITH {S.SPARK_FACTS} SELECT * FROM base", **tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.rindex("REBALANCE_PARTITIONS_BY_COL")  # the lowest aggregate is above the exchange

@@ -227,16 +227,14 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict, np.nda
 
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments by their minimizers, with their words; of hot minimizers their single windows, by the windows' hashes, without words."""
     for found in _pieces(batches):
-        yield pd.DataFrame([(w["m"], doc, w["start"], part.tobytes()) for doc, w, part in found], columns=["route", "doc_id", "start", "words"])
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for found in _pieces(batches):
-        hashes = [rolling(part, WINDOW).view(np.int64) for _, _, part in found]
-        n = [len(x) for x in hashes]
-        at = np.concatenate([np.arange(w["start"], w["start"] + k) for (_, w, _), k in zip(found, n, strict=True)] or [np.empty(0, np.int64)])
-        yield pd.DataFrame({"route": np.concatenate(hashes or [np.empty(0, np.int64)]), "doc_id": np.repeat([doc for doc, _, _ in found], n).astype(np.int64), "start": at})
+        yield pd.DataFrame([(w["m"], doc, w["start"], part.tobytes()) for doc, w, part in found if not w["hot"]], columns=["route", "doc_id", "start", "words"])
+        cut = [(doc, w["start"], rolling(part, WINDOW).view(np.int64)) for doc, w, part in found if w["hot"]]
+        if cut:
+            n = [len(x) for _, _, x in cut]
+            at = np.concatenate([np.arange(start, start + k) for (_, start, _), k in zip(cut, n, strict=True)])
+            yield pd.DataFrame({"route": np.concatenate([x for _, _, x in cut]), "doc_id": np.repeat([doc for doc, _, _ in cut], n).astype(np.int64), "start": at, "words": None})
 
 
 def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,13 +271,14 @@ def passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     sums = mixed.agg(F.sum(F.when(~F.col("hot"), F.col("n") + WINDOW - 1)), F.count_if("hot")).first()
     shards = max(1, -(-(sums[0] or 0) // SHARD_WORDS))
 
-    def wanted(rows: DataFrame) -> DataFrame:
-        return docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n")).alias("wanted")), "doc_id")
-
-    contents = wanted(mixed.where("not hot")).mapInPandas(_contents, "route long, doc_id long, start int, words binary")
-    found = contents.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(_search, "doc_id long, lo int, hi int")
+    # segments and single windows come from one pass: the texts are shuffled once for both
+    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("wanted"))
+    pieces = docs.join(wanted, "doc_id").mapInPandas(_contents, "route long, doc_id long, start int, words binary")
+    if sums[1]:
+        pieces = stored(pieces)
+    found = pieces.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(_search, "doc_id long, lo int, hi int")
     if sums[1]:
-        windows = stored(wanted(mixed.where("hot")).mapInPandas(_windows, "route long, doc_id long, start int"))
+        windows = pieces.where("words is null").select("route", "doc_id", "start")
         first = stored(windows.groupBy("route").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
         found = found.unionByName(_later(windows, first, ["route"]).select("doc_id", F.col("start").alias("lo"), (F.col("start") + WINDOW).alias("hi")))
     return copies.unionByName(found)

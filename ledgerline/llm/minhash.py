@@ -16,7 +16,7 @@ of a bucket that are still in different components are then compared in blocks o
 only links that join components. A bucket with over HOT such members (texts around a frequent passage, say) is split first: if
 the similarity of two texts is 0.8 or more, what they don't share is at most a fifth of each one's shingles, so in any common order of
 shingles the first one they share lies within the first fifth of either. Members meet by these shingles, rarest first, instead of the
-bucket: no candidate pair stays untested.
+bucket: no candidate pair stays untested. Within a block the same rule picks the pairs that are compared.
 
 Defined cases: null, empty and wordless texts are classes of their own; repeated rows are returned each, in one class; rows that
 share a doc_id but differ in text are classed each by its own text; a text with a null doc_id is a node like others and links what is
@@ -42,6 +42,8 @@ MEMBERS_A_GROUP = 256
 LEFT_BLOCK, RIGHT_BLOCK = 512, 2_048
 #: Leftovers of a bucket above which its members meet by shingles.
 HOT = 2_048
+#: Links between components that one task joins; more of them are contracted in turns.
+TAIL = 100_000
 U64 = np.uint64
 IN_WORDS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)], np.uint8)
 ID_BITS = 44
@@ -155,6 +157,26 @@ class Shingled:
     def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return self.ids[self.at[i] : self.at[i + 1]], self.counts[self.at[i] : self.at[i + 1]]
 
+    def first_fifths(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shingles that make up the first fifth of each text's weight, those that fewest of the texts `which` have first, but for
+        those that one text alone has: text and shingle (as a rank) by shingle, and the same texts' entries by text (as places in the former)."""
+        size = self.at[which + 1] - self.at[which]
+        ends = np.cumsum(size)
+        entry = np.arange(ends[-1]) + np.repeat(self.at[which] - ends + size, size)
+        of = np.repeat(which, size)
+        _, kind, n = np.unique(self.ids[entry], return_inverse=True, return_counts=True)
+        rank = np.empty(len(n), np.int64)
+        rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+        order = np.lexsort((rank[kind], np.repeat(np.arange(len(which)), size)))
+        counts = self.counts[entry][order]
+        sums = np.concatenate(([0], np.cumsum(counts)))
+        starts = np.repeat(sums[ends - size], size)
+        first = sums[:-1] - starts <= np.repeat(sums[ends] - sums[ends - size], size) * (1 - THRESHOLD + 1e-9) + 1e-6
+        first &= n[kind[order]] > 1
+        of, rank = of[order][first], rank[kind[order]][first]
+        by = np.argsort(rank, kind="stable")
+        return of[by], rank[by], np.argsort(of[by], kind="stable")
+
     def similar(self, i: int, others: np.ndarray) -> np.ndarray:
         """Which of the others are linked to i."""
         own, _ = self.of(i)
@@ -217,9 +239,18 @@ def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for lo, hi in zip([0, *edges], [*edges, len(pdf)], strict=True):
             right = np.flatnonzero(~left[lo:hi]) + lo
+            of, rank, by_text = texts.first_fifths(np.unique(text_of[lo:hi]))
+            met = np.zeros(len(numbers), bool)
             for x in np.flatnonzero(left[lo:hi]) + lo:
                 # of two leftovers the smaller id is the left one; pairs that met in an earlier band were tested there
                 to = right[(comps[right] != comps[x]) & (~rest[right] | (ids[right] > ids[x]))]
+                own = rank[by_text[slice(*np.searchsorted(of, [text_of[x], text_of[x] + 1], sorter=by_text))]]
+                meets = [of[a:b] for a, b in zip(np.searchsorted(rank, own), np.searchsorted(rank, own, "right"), strict=True)]
+                for m in meets:
+                    met[m] = True
+                to = to[met[text_of[to]]]
+                for m in meets:
+                    met[m] = False
                 to = to[~(bands[to, : order[x]] == bands[x, : order[x]]).any(axis=1)]
                 to = to[texts.similar(text_of[x], text_of[to])]
                 if len(to):
@@ -275,8 +306,8 @@ def across_components(members: DataFrame, comps: DataFrame, texts: DataFrame, ho
 
     members = members.select("bucket", "band", "id")
     at = stored(members.join(comps, "id"))
-    sizes = sized(at)
-    crowded = stored(sizes.where(F.col("left_over") > hot).select("bucket"))
+    sizes = stored(sized(at))
+    crowded = sizes.where(F.col("left_over") > hot).select("bucket")
     if not crowded.isEmpty():
         few = bounded_broadcast(crowded)
         refined = by_prefix(at.join(few, "bucket").select("bucket", "band", "id"), texts)
@@ -293,13 +324,37 @@ def across_components(members: DataFrame, comps: DataFrame, texts: DataFrame, ho
     return rows.repartition("bucket", "lblock", "rblock").sortWithinPartitions("bucket", "lblock", "rblock").mapInPandas(_block_links, "a long, b long")
 
 
-def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """comps (id, comp) after joining the components of each link (a, b), by contracting edges to the smallest neighbours."""
+def between(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (u, v) between components of the links (a, b) between ids."""
     at = comps.select(F.col("id").alias("a"), F.col("comp").alias("u")), comps.select(F.col("id").alias("b"), F.col("comp").alias("v"))
-    edges = stored(links.join(at[0], "a").join(at[1], "b").where("u <> v").select("u", "v").distinct())
+    return links.join(at[0], "a").join(at[1], "b").where("u <> v").select("u", "v").distinct()
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """u and the component that it comes to, by union and find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"u": list(parent), "to": [root(x) for x in list(parent)]}, dtype=np.int64)
+
+
+def contract(comps: DataFrame, edges: DataFrame, tail: int = TAIL) -> DataFrame:
+    """comps (id, comp) after joining the components of each link (u, v), by contracting edges to the smallest neighbours until at
+    most `tail` of them are left, whatever the table's size. edges is read several times."""
     turn = 0
-    while not edges.isEmpty():
+    while left := edges.limit(tail + 1).count():
         turn += 1
+        if left <= tail:
+            to = stored(edges.coalesce(1).mapInPandas(_joined, "u long, to long"))
+            return stored(comps.join(to.withColumnRenamed("u", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # in turn the smallest id, which folds a pivot's star at once, and the smallest random rank, which no chain of ids can slow
         rank = lambda c, turn=turn: F.struct((F.col(c) if turn % 2 else F.xxhash64(c, F.lit(turn))).alias("h"), F.col(c).alias("x"))
@@ -326,13 +381,12 @@ def grouped(docs: DataFrame, hot: int = HOT) -> DataFrame:
     entries = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = stored(entries.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("hi"), F.count("*").alias("n")).where("pivot < hi").select("bucket", "pivot", "n"))
     members = stored(split_join(entries, shared, ["bucket"]).drop("n"))
-    ids = members.select("id").distinct()
-    comps = stored(ids.withColumn("comp", F.col("id")))
-    wanted = nodes.join(comps.select("id"), "id").select("id", "row", "bands")
+    wanted = stored(nodes.join(members.select("id").distinct(), "id").select("id", "row", "bands"))
+    comps = wanted.select("id", F.col("id").alias("comp"))
     texts = stored(docs.select(F.col("#row").alias("row"), "text").join(bounded_broadcast(wanted.select("id", "row")), "row").dropDuplicates(["id"]).join(wanted.select("id", "bands"), "id").select("id", "text", "bands"))
     stars = stored(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    comps = contract(comps, stored(verified(stars, texts.select("id", "text"))))
-    comps = contract(comps, stored(across_components(members.where("id <> pivot"), comps, texts, hot)))
+    comps = contract(comps, stored(verified(stars, texts.select("id", "text")).toDF("u", "v")))
+    comps = contract(comps, stored(between(comps, across_components(members.where("id <> pivot"), comps, texts, hot))))
     joined = stored(nodes.select("k1", "k2", "id", "first").join(comps, "id", "left").select("k1", "k2", "first", F.coalesce("comp", "id").alias("group")))
     names = joined.groupBy("group").agg(F.min("first").alias("class_id"))
     named = stored(joined.join(names, "group").join(signed.where("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"]).select("k1", "k2", "n", "group", "class_id"))

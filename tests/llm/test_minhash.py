@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerline.llm import minhash
@@ -64,3 +66,35 @@ def test_one_row_of_each_class_stays(spark):
     assert [k for k in kept if k[1] in "abc"] in ([(4, "a")], [(4, "b")])
     assert [k for k in kept if k[1] not in "abc"] == sorted([(9, "d"), (9, "e"), (None, "f"), (1, "g"), (1, "h")], key=str)
     assert minhash.firsts(df.where("false")).count() == 0
+
+
+def test_few_links_are_joined_in_one_step(spark, monkeypatch):
+    ids = [int(x) for x in np.random.default_rng(2).permutation(60)]
+    edges = spark.createDataFrame([*zip(ids[:29], ids[1:30], strict=True), *zip(ids[30:58], ids[31:59], strict=True)], "u long, v long")
+    comps = spark.createDataFrame([(i, i) for i in ids], "id long, comp long")
+    writes, stored = [], minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df: writes.append(1) or stored(df))
+    for tail, most in ((minhash.TAIL, 2), (0, 100)):
+        writes.clear()
+        at = dict(map(tuple, minhash.contract(comps, edges, tail).collect()))
+        assert len(at) == 60 and len({at[i] for i in ids[:30]}) == len({at[i] for i in ids[30:59]}) == 1 and len(set(at.values())) == 3
+        assert len(writes) <= most
+    assert dict(map(tuple, minhash.contract(comps, edges.where("false")).collect())) == {i: i for i in ids}
+
+
+def test_a_block_compares_only_what_can_be_alike(monkeypatch):
+    r, shared = random.Random(3), words(77, 150)
+    texts = [f"{shared} {words(500 + g, 60)}" for g in range(40)]  # alike by about 0.5 each
+    texts += [changed(texts[g], r, 1 + g % 4) for g in range(6)] + [f"{shared} {words(9, 8)} {shared} {words(k, 9)}" for k in (9, 10)]
+    rows = [(1, 0, i, i, t, [-i - 1] * minhash.BANDS, True) for i, t in enumerate(texts)]
+    pdf = pd.DataFrame(rows, columns=["bucket", "band", "id", "comp", "text", "bands", "rest"]).assign(lblock=0, rblock=0)
+    both = pd.concat([pdf.assign(left=True), pdf.assign(left=False)], ignore_index=True)
+    compared, similar = [], minhash.Shingled.similar
+    monkeypatch.setattr(minhash.Shingled, "similar", lambda self, i, others: compared.append(len(others)) or similar(self, i, others))
+    links = pd.concat(minhash._block_links(iter([both])))
+    want = linked(list(enumerate(texts)))
+    group = list(range(len(texts)))
+    for a, b in zip(links["a"], links["b"], strict=True):
+        group = [group[a] if g == group[b] else g for g in group]
+    assert all((want[i] == want[j]) == (group[i] == group[j]) for i, j in itertools.combinations(range(len(texts)), 2))
+    assert len(set(want)) < len(texts) and sum(compared) < 60  # of 1,128 pairs

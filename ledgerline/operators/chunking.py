@@ -2,12 +2,13 @@
 
 A page is a row: its lines become paragraphs by functions over arrays, without a shuffle. Sections run over the pages of a document, in one window;
 chunks are groups within it, so a document meets once. Packing of whole paragraphs is a fold of a small array, in Arrow batches.
+A text meets a costly pattern only after a glance at it for the words or marks that each match has, in which most characters fail at one comparison.
 
 Patterns are written so that Java's and RE2's syntax agree: they are used by Spark and, in the registered queries' SQL, by DuckDB."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,7 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_DIGITS, _STOP = "一二三四五六七八九十", "[。！？；]"
+_DIGITS, _STOP, _HAN = "一二三四五六七八九十", "[。！？；]", r"\u4E00-\u9FFF"
+
+
+def _glance(words: Iterable[str]) -> str:
+    """A pattern for Spark that each text with one of the words (of Chinese characters) matches: a first character, and the rest of any word."""
+    return f"[{_HAN}&&[{''.join(sorted({w[0] for w in words}))}]](?:{'|'.join(w[1:] for w in words)})"
+
+
 #: Noise within lines, and figures of covers, up to the end of their sentence.
 INLINE_NOISE = (
     "(?i:证券研究报告[:：]?)", "(?:公司点评报告|行业周报|行业深度报告|公司深度报告|首次覆盖报告|行业专题报告)", "市场有风险，投资需谨慎", "请务必阅读正文之后的免责条款部分", "请务必阅读正文之后的重要声明部分",
@@ -41,9 +49,9 @@ DISCARDED = (
     "评级说明和重要声明", "信息披露声明", "免责声明", "投资评级[:：]?", "证券的投资评级", "行业的投资评级", "法律声明", "若本报告的接收人非本公司的客户", "本研究报告仅供", "本公司不会因接收人收到本报告而视其为客户",
     "任何形式的分享证券投资收益或者分担证券投资损失", "公司简介", "经营范围包括[:：]", "联系我们", "邮编[:：]", "公司网址[:：]", "研究所地址[:：]", "分析师声明", "特别声明",
 )
-DISCARDED_STARTS = "".join(sorted({w[0] for w in DISCARDED}))
 CONTENTS = (r"^(?:目录|内容目录)\s*$", "[.．·•]{6,}")
 DISCLAIMERS = ("评级说明和重要声明", "信息披露声明", "免责声明", "法律声明", "特别声明", "分析师声明", "联系我们")
+DISCLAIMER = "声明"
 CAPTION = rf"^(图表?|表)\s*([0-9{_DIGITS}百零]+)\s*(?:[:：.\-—]\s*)?(.*)$"
 #: Starts of lines that go on with the sentence before.
 CONTINUED = (r"^[0-9][0-9.,%％+\-]*[。；，、]", r"^[)\]】%％、，。；]", "^(?:同比|环比|其中|同时|此外|另外|而|并且|且)")
@@ -54,13 +62,26 @@ COVER_HEADS, FOREIGN_DISCLAIMERS = ("epsperoe", "股价总市值", "pegbvps"), (
     "important disclaimer", "distribution and regional notices", "analyst certification", "please read the analyst certification", "海通国际", "hti", "htirl", "htisg", "sebi", "nism", "for research reports on non-indian securities",
 )
 NOISE = "|".join((*INLINE_NOISE, *COVER_FIGURES))
-#: The same for Spark. All noise but addresses begins with one of NOISE_STARTS or NOISE_WORDS, addresses hold an @: lines without these are left as they are, and a glance
-#: at the next character saves most places of the others the alternatives.
-NOISE_STARTS, NOISE_WORDS = "证公行首市请敬股投个数资分联第总最一近", ("SAC", "Email", "52")
-NOISE_PLAIN, NOISE_ALL = f"(?=[{NOISE_STARTS}SE5])(?:{'|'.join((*INLINE_NOISE[:-1], *COVER_FIGURES))})", f"(?=[{NOISE_STARTS}SE5A-Za-z0-9._%+-])(?:{NOISE})"
+#: The same for Spark: a look at the next character, one of NOISE_STARTS, S, E or 5, saves most places the alternatives. All noise but addresses holds one of NOISE_WORDS or
+#: NOISE_NAMES, addresses hold an @: lines without these are left as they are.
+NOISE_STARTS, NOISE_NAMES = "证公行首市请敬股投个数资分联第总最一近", ("SAC", "Email")
+NOISE_WORDS = (
+    "证券研究报告", "公司点评报告", "行业周报", "行业深度报告", "公司深度报告", "首次覆盖报告", "行业专题报告", "市场有风险", "请务必阅读正文", "敬请参阅", "股票投资评级", "投资评级", "个股表现", "行业表现", "数据来源", "资料来源", "分析师", "联系人",
+    "证书编号", "第一大股东", "总股本/流通股本", "总市值/流通市值", "最新收盘价", "一年最高最低", "周内最高/最低价", "资产负债率", "近3个月换手率",
+)
+NOISE_GLANCE = _glance(NOISE_WORDS)
+NOISE_PLAIN, NOISE_ALL = f"(?=[SE5{_HAN}])(?=[{NOISE_STARTS}SE5])(?:{'|'.join((*INLINE_NOISE[:-1], *COVER_FIGURES))})", f"(?=[{NOISE_STARTS}SE5A-Za-z0-9._%+-])(?:{NOISE})"
 #: Blanks, strokes and dashes in one pass; possessive, so long rules of them need no stack.
 GAPS = r"(?:[\s|｜]++|[-—–]{2,}+)++"
+#: Marks of gaps that aren't single spaces: of any text, of lines of a clean page, and of such lines that were joined once without gaps.
+GAP_MARKS = ("  ", "\t", "\n", "\v", "\f", "\r", "|", "｜", "--", "—", "–")
+LINE_MARKS, JOINED_MARKS = GAP_MARKS[3:], GAP_MARKS[8:]
+#: What K-1 changes in a page.
+UNCLEAN = ("\0", "\t", "  ", "\n\n\n")
 NOISE_LINE = "^(?:" + "|".join(NOISE_LINES) + ")"
+#: What their first characters match.
+NOISE_LINE_START = r"[\s0-9第请敬来资证公行首市股投个分SE研联]"
+COVER_GLANCE, DISCARDED_GLANCE = _glance([w.partition(" ")[2] or w for w in COVER_WORDS[0].split("|")]), _glance([w.partition("[")[0] for w in DISCARDED])
 ASCII_ONLY = r"^[A-Za-z0-9 ./%+\-—]+$"
 #: Set off paragraphs while lines are joined: a break, and the start of a line that stands alone.
 BREAK, ALONE = "\x01", "\x02"
@@ -72,8 +93,18 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+BLANKS, SEPARATORS = " \t\n\v\f\r", "\x85\u2028\u2029"
+
+
+def holds(x: Column, words: Iterable[str]) -> Column:
+    """Whether x, which is read several times, holds one of the words."""
+    return reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+
+
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """x, which is read several times, without blanks at its ends (also those before a line separator that is its last character)."""
+    starts, ends = ([f(x, F.lit(c)) for c in s] for f, s in ((F.startswith, BLANKS), (F.endswith, BLANKS + SEPARATORS)))
+    return F.when(reduce(lambda a, b: a | b, [*starts, *ends]), F.regexp_replace(x, r"^\s+|\s+$", "")).otherwise(x)
 
 
 def any_of(x: Column, patterns: tuple[str, ...]) -> Column:
@@ -86,30 +117,39 @@ def hits(x: Column, patterns: tuple[str, ...]) -> Column:
 
 def without_noise(x: Column) -> Column:
     """K-2: a line without inline noise, in one alternation; rules of strokes and dashes are spaces. x is read several times."""
-    may = reduce(lambda a, b: a | b, [x.contains(w) for w in NOISE_WORDS], F.lit(False)) | x.rlike(f"[{NOISE_STARTS}]")
-    plain = F.when(x.contains("@"), F.regexp_replace(x, NOISE_ALL, " ")).when(may, F.regexp_replace(x, NOISE_PLAIN, " ")).otherwise(x)
-    return F.trim(F.regexp_replace(plain, GAPS, " "))
+    return without_noise_and(x, GAP_MARKS)
+
+
+def without_noise_and(x: Column, marks: tuple[str, ...]) -> Column:
+    """The same of an x whose gaps, but for single spaces, have one of the marks."""
+    bare = lambda y: F.regexp_replace(y, GAPS, " ")
+    noisy = F.when(x.contains("@"), bare(F.regexp_replace(x, NOISE_ALL, " "))).when(holds(x, NOISE_NAMES) | x.rlike(NOISE_GLANCE), bare(F.regexp_replace(x, NOISE_PLAIN, " ")))
+    return F.trim(noisy.when(holds(x, marks), bare(x)).otherwise(x))
 
 
 def is_contents(page: Column) -> Column:
-    """K-3: a page of contents, by two marks, or its title and three dotted lines."""
+    """K-3: a page of contents, by two marks, or its title and three dotted lines. The title is one of the marks."""
     lines = F.regexp_count(page, F.lit("[.．]{6,}"))
-    return (hits(trimmed(page), CONTENTS) >= 2) | (page.contains("目录") & (lines >= 3))
+    return page.contains("目录") & ((lines >= 3) | (hits(trimmed(page), CONTENTS) >= 2))
 
 
 def is_disclaimer(page: Column) -> Column:
-    """K-3: a page with two kinds of disclaimers."""
-    return reduce(lambda a, b: a + b, [page.contains(w).cast("int") for w in DISCLAIMERS]) >= 2
+    """K-3: a page with two kinds of disclaimers. All kinds but one hold DISCLAIMER, so each such page does."""
+    return page.contains(DISCLAIMER) & (reduce(lambda a, b: a + b, [page.contains(w).cast("int") for w in DISCLAIMERS]) >= 2)
 
 
 def is_noise_line(x: Column) -> Column:
     """K-4: blank lines, short ones of figures, and those that match a pattern."""
-    return (x == "") | (x.rlike("^[0-9. /%+-]+$") & (F.length(x) <= 32)) | x.rlike(NOISE_LINE)
+    return (x == "") | ((F.length(x) <= 32) & x.rlike("^[0-9. /%+-]+$")) | (F.left(x, F.lit(1)).rlike(NOISE_LINE_START) & x.rlike(NOISE_LINE))
+
+
+def is_caption(x: Column) -> Column:
+    return (F.startswith(x, F.lit("图")) | F.startswith(x, F.lit("表"))) & x.rlike(CAPTION)
 
 
 def heading_level(x: Column) -> Column:
     """K-5: the level of a heading, 1 to 3; null for other lines and for captions."""
-    no = x.rlike(CAPTION) | x.rlike(r"^[0-9./ %+\-]+$") | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)$") | (x == "")
+    no = is_caption(x) | x.rlike(r"^[0-9./ %+\-]+$") | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)$") | (x == "")
     numbered = reduce(lambda acc, kv: F.when(x.rlike(kv[0]), kv[1]).otherwise(acc), reversed(NUMBERED), F.when((F.length(x) <= 36) & x.contains("：") & ~x.rlike(f"{_STOP}$"), 1))
     return F.when(x.isin(*PLAIN_HEADINGS), 1).when((F.length(x) <= 40) & ~no, numbered)
 
@@ -122,26 +162,31 @@ def is_topic(x: Column) -> Column:
 
 def says_little(x: Column) -> Column:
     """K-7: short, discarded, of letters and figures only, a code, or a block of a cover: two of its words, or many digits and no sentence."""
-    digits = F.regexp_count(x, F.lit("[0-9]"))
-    cover = (hits(x, (f"(?=[总流5第资])(?:{COVER_WORDS[0]})", f"(?=[分SE])(?:{COVER_WORDS[1]})", COVER_WORDS[2])) >= 2) | ((digits > 0.18 * F.length(x)) & ~x.rlike(_STOP))
-    return (F.length(x) < 18) | x.rlike(f"(?=[{DISCARDED_STARTS}])(?:{'|'.join(DISCARDED)})") | x.rlike(ASCII_ONLY) | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)\s*.*$") | cover
+    digits, words = F.regexp_count(x, F.lit("[0-9]")), "|".join(DISCARDED)
+    # two words of covers, one of them Chinese: a code, the third, is left out already
+    cover = (x.rlike(COVER_GLANCE) & (hits(x, COVER_WORDS) >= 2)) | ((digits > 0.18 * F.length(x)) & ~x.rlike(_STOP))
+    return (F.length(x) < 18) | x.rlike(ASCII_ONLY) | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)\s*.*$") | (x.rlike(DISCARDED_GLANCE) & x.rlike(words)) | cover
 
 
 def sentences(x: Column) -> Column:
     """K-6: a paragraph of DENSE characters or more as its sentences."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(x, f"({_STOP})", f"$1{BREAK}"), BREAK), trimmed), lambda s: s != "")
-    return F.when(F.length(x) < DENSE, F.filter(F.array(x), lambda s: s != "")).otherwise(parts)
+    told = lambda parts: F.filter(parts, lambda s: s != "")
+    cut = F.split(F.regexp_replace(x, f"({_STOP})", f"$1{BREAK}"), BREAK)
+    return F.when(F.length(x) < DENSE, told(F.array(x))).when(x.rlike(rf"[\u3000-\uFFFF&&{_STOP}]"), told(F.transform(cut, trimmed))).otherwise(told(F.array(trimmed(x))))
 
 
 def page_paragraphs(text: Column) -> Column:
     """K-4, K-6, K-7: the paragraphs of a page. Lines up to a blank or noise line, heading or caption are joined without a space; headings and captions
     stand alone; long paragraphs are cut to sentences; what says little goes; a first one that goes on with a sentence joins the second."""
-    lines = F.transform(F.split(T.clean_page(F.coalesce(text, F.lit(""))), r"\r?\n"), without_noise)
-    alone = lambda x: heading_level(x).isNotNull() | x.rlike(CAPTION)
+    page = F.coalesce(text, F.lit(""))
+    clean = F.when(holds(page, UNCLEAN), T.clean_page(page)).otherwise(page)
+    lines = once(clean, lambda x: F.when(x.contains("\r\n"), F.split(x, r"\r?\n")).otherwise(F.split(x, "\n")))
+    lines = F.transform(lines, lambda x: without_noise_and(x, LINE_MARKS))
+    alone = lambda x: heading_level(x).isNotNull() | is_caption(x)
     marked = F.transform(lines, lambda x: F.when(is_noise_line(x), BREAK).when(alone(x), F.concat(F.lit(BREAK + ALONE), x, F.lit(BREAK))).otherwise(x))
     parts = F.filter(F.split(F.array_join(marked, ""), BREAK), lambda p: p != "")
-    cut = F.flatten(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit(ALONE)), F.array(F.substring(p, F.lit(2), F.length(p)))).otherwise(once(without_noise(p), sentences))))
-    kept = F.filter(cut, lambda p: ~once(without_noise(p), says_little))
+    cut = F.flatten(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit(ALONE)), F.array(F.substring(p, F.lit(2), F.length(p)))).otherwise(once(without_noise_and(p, JOINED_MARKS), sentences))))
+    kept = F.filter(cut, lambda p: ~once(without_noise_and(p, JOINED_MARKS), says_little))
     first = lambda p: F.get(p, 0)
     goes_on = lambda p: (F.size(p) >= 2) & (F.length(first(p)) <= 120) & any_of(first(p), CONTINUED)
     joined = lambda p: F.concat(F.array(F.concat(first(p), F.lit(" "), F.get(p, 1))), F.slice(p, 3, F.size(p)))
@@ -159,7 +204,7 @@ def sections(pages: DataFrame) -> DataFrame:
     # outer: else Spark infers a filter on the size of p and computes the paragraphs for it, too
     rows = rows.select("doc_id", "page", "dropped", F.posexplode_outer("p").alias("place", "paragraph")).where("place is not null")
     x = F.col("paragraph")
-    rows = rows.withColumns({"level": F.when(~F.col("dropped"), heading_level(x)), "caption": x.rlike(CAPTION) & ~F.col("dropped")})
+    rows = rows.withColumns({"level": F.when(~F.col("dropped"), heading_level(x)), "caption": is_caption(x) & ~F.col("dropped")})
     opens = (F.col("level") == 1) | ((F.col("place") == 0) & is_topic(x) & ~F.col("dropped"))
     so_far = Window.partitionBy("doc_id").orderBy("page", "place").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(""))
@@ -212,26 +257,34 @@ def report_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
 
     Body paragraphs between headings and captions are packed; their texts begin with section and subsection. Each caption is a chunk of its own."""
     x = sections(pages)
-    apart = (F.col("level").isNotNull() | F.col("caption")).cast("int")
+    apart, body = (F.col("level").isNotNull() | F.col("caption")).cast("int"), F.col("level").isNull() & ~F.col("caption")
     x = x.withColumn("part", F.sum(apart).over(Window.partitionBy("doc_id").orderBy("page", "place").rowsBetween(Window.unboundedPreceding, 0)))
-    body = x.where("level is null and not caption").groupBy("doc_id", "page", "part", "section", "subsection").agg(F.min("place").alias("place"), F.transform(F.array_sort(F.collect_list(F.struct("place", "paragraph"))), lambda p: p["paragraph"]).alias("p"))
-    body = body.withColumn("p", _packer(size, overlap)("p")).select("doc_id", "page", "place", "section", "subsection", F.posexplode("p").alias("n", "body"))
+    # a part holds at most one caption, as its first row: one aggregation has both kinds, so that paragraphs are computed once and stay with their document
+    one = F.struct("place", "paragraph")
+    held = F.sort_array(F.collect_list(F.when(body, one)))
+    groups = x.groupBy("doc_id", "page", "part", "section", "subsection").agg(F.min(F.when(body, F.col("place"))).alias("place"), F.transform(held, lambda p: p["paragraph"]).alias("p"), F.max(F.when(F.col("caption") & F.col("level").isNull(), one)).alias("v"))
+    row = lambda place, n, kind, text: F.struct(place.alias("place"), n.alias("n"), F.lit(kind).alias("kind"), text.alias("own"))
+    groups = groups.withColumn("p", _packer(size, overlap)("p"))
+    rows = F.concat(F.transform("p", lambda b, i: row(F.col("place"), i, "body", b)), F.array(row(F.col("v.place"), F.lit(0), "visual_caption", F.col("v.paragraph"))))
+    # outer: else Spark infers a filter on the size and packs for it, too
+    out = groups.select("doc_id", "page", "section", "subsection", F.explode_outer(rows).alias("r")).select("doc_id", "page", "section", "subsection", "r.*").where("place is not null")
     head = lambda c: F.nullif(F.col(c), F.lit(""))
-    text = F.concat_ws("\n", head("section"), F.when(F.col("subsection") != F.col("section"), head("subsection")), head("body"))
-    body = body.select("doc_id", "page", "place", "n", F.lit("body").alias("kind"), "section", "subsection", F.lit(None).cast("string").alias("label"), text.alias("text"))
-    label = F.concat(F.regexp_extract("paragraph", CAPTION, 1), F.regexp_extract("paragraph", CAPTION, 2))
-    visual = x.where("caption and level is null").select("doc_id", "page", "place", F.lit(0).alias("n"), F.lit("visual_caption").alias("kind"), "section", "subsection", label.alias("label"), F.col("paragraph").alias("text"))
+    visual = F.col("kind") == "visual_caption"
+    text = F.when(visual, F.col("own")).otherwise(F.concat_ws("\n", head("section"), F.when(F.col("subsection") != F.col("section"), head("subsection")), head("own")))
+    label = F.when(visual, F.concat(F.regexp_extract("own", CAPTION, 1), F.regexp_extract("own", CAPTION, 2)))
     chunk = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("place", "n"))
-    out = body.unionByName(visual).withColumn("chunk", chunk)
+    out = out.withColumns({"chunk": chunk, "label": label, "text": text})
     name = F.concat_ws("::", F.col("doc_id").cast("string"), F.concat(F.lit("p"), F.col("page").cast("string")), F.when(F.col("kind") == "body", "body").otherwise("visual"), F.col("chunk").cast("string"))
     return out.select(name.alias("chunk_id"), "doc_id", "page", "chunk", "kind", "section", "subsection", "label", "text")
 
 
 def cleaned_chunks(chunks: DataFrame) -> DataFrame:
     """K-13: without body chunks that are short, heads of cover tables, or long disclaimers in English."""
-    t, n = trimmed(F.col("text")), F.length(trimmed(F.col("text")))
     dense, low = F.lower(F.regexp_replace("text", r"\s+", "")), F.lower("text")
     marks = reduce(lambda a, b: a + b, [low.contains(m).cast("int") for m in FOREIGN_DISCLAIMERS])
-    heads = reduce(lambda a, b: a | b, [dense.contains(m) for m in COVER_HEADS])
-    noise = (n <= 20) | ((n <= 40) & t.rlike(r"^[A-Za-z0-9%:：./\-\s]{1,40}$")) | ((n <= 80) & heads) | ((n >= 2000) & (marks >= 2))
-    return chunks.where((F.col("kind") != "body") | ~noise)
+
+    def noise(t: Column) -> Column:
+        n = F.length(t)
+        return (n <= 20) | ((n <= 40) & t.rlike(r"^[A-Za-z0-9%:：./\-\s]{1,40}$")) | ((n <= 80) & holds(dense, COVER_HEADS)) | ((n >= 2000) & (marks >= 2))
+
+    return chunks.where((F.col("kind") != "body") | ~once(trimmed(F.col("text")), noise))

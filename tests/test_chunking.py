@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,51 @@ def test_noise_as_its_plain_patterns(spark):
 
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(C.without_noise(F.col("t")).alias("got"), plain(F.col("t")).alias("want")).collect()
     assert all(r["got"] == r["want"] for r in rows)
+
+
+def test_chunks_compute_paragraphs_once(spark):
+    pages = spark.createDataFrame([(1, 1, "x")], "doc_id long, page int, text string")
+    for chunks in (C.report_chunks(pages).select("chunk_id", "kind", "text"), C.cleaned_chunks(C.report_chunks(pages)).select("chunk_id", "kind", "text")):
+        assert chunks._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
+
+
+def test_chunks_of_captions_and_of_pages_that_come_twice(spark):
+    head, caption = "一、公司主营业务稳健增长，盈利能力持续改善", "图表12：公司近五年营业收入及同比增速（亿元）"
+    once, twice = f"{LONG}甲\n{caption}\n{caption}\n{LONG}乙", f"{head}\n{caption}\n\n{LONG}丙"
+    out = C.report_chunks(pages(spark, [(1, 1, once), (2, 1, twice), (2, 1, twice), (None, None, caption), (None, None, caption)])).collect()
+    got = {k: sorted((r["chunk"], r["kind"], r["label"], r["text"]) for r in out if (r["doc_id"], r["page"]) == k) for k in ((1, 1), (2, 1), (None, None))}
+    seen, of = ("visual_caption", "图表12", caption), lambda section, text: ("body", None, f"{section}{text}")
+    assert got[1, 1] == [(1, *of("", f"{LONG}甲")), (2, *seen), (3, *seen), (4, *of("", f"{LONG}乙"))]
+    assert got[2, 1] == [(1, *seen), (2, *seen), (3, *of(f"{head}\n", f"{LONG}丙\n\n{LONG}丙"))]
+    assert got[None, None] == [(1, *seen), (2, *seen)]
+
+
+def test_glances_change_nothing(spark):
+    def plain_noise(x):
+        for p in (C.NOISE, r"\s*[|｜]+\s*", r"\s*[-—–]{2,}\s*", r"\s+"):
+            x = F.regexp_replace(x, p, " ")
+        return F.trim(x)
+
+    def plain_little(x):
+        cover = (C.hits(x, C.COVER_WORDS) >= 2) | ((F.regexp_count(x, F.lit("[0-9]")) > 0.18 * F.length(x)) & ~x.rlike("[。！？；]"))
+        return (F.length(x) < 18) | x.rlike("|".join(C.DISCARDED)) | x.rlike(C.ASCII_ONLY) | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)\s*.*$") | cover
+
+    def plain_line(x):
+        return (x == "") | (x.rlike("^[0-9. /%+-]+$") & (F.length(x) <= 32)) | x.rlike(C.NOISE_LINE)
+
+    plain_trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    plain_contents = lambda x: (C.hits(plain_trim(x), C.CONTENTS) >= 2) | (x.contains("目录") & (F.regexp_count(x, F.lit("[.．]{6,}")) >= 3))
+    plain_disclaimer = lambda x: sum((x.contains(w).cast("int") for w in C.DISCLAIMERS), F.lit(0)) >= 2
+    same = {
+        "noise": (C.without_noise, plain_noise), "little": (C.says_little, plain_little), "line": (C.is_noise_line, plain_line), "trim": (C.trimmed, plain_trim), "caption": (C.is_caption, lambda x: x.rlike(C.CAPTION)),
+        "contents": (C.is_contents, plain_contents), "disclaimer": (C.is_disclaimer, plain_disclaimer),
+    }
+    # an example of each alternative of a pattern, and what may stand around it
+    patterns = [*C.INLINE_NOISE[:-1], *C.COVER_FIGURES, *C.NOISE_LINES, *C.DISCARDED, *C.COVER_WORDS[0].split("|"), *C.COVER_WORDS[1].split("|"), *C.DISCLAIMERS]
+    words = {w for p in patterns for w in re.sub(r"\(\?i:(.*)\)$", r"\1", p).replace("(?:", "").replace("\\(", "(").replace("\\)", ")").split("|")}
+    words = {re.sub(r"\[:：\]\??", c, re.sub(r"（\?元）\?", "（元）", re.sub(r"\\s[*+]", s, re.sub(r"\[\^。；\\n\]\*|\.\*|\$|\)$", "", w)))) for w in words for c, s in (("：", " "), (":", ""))}
+    others = ["", "公司主营业务稳健增长，盈利能力持续改善以及其他", "Plain words of a sentence, and so on", "123456 7.8% 90", "目录", "......\n．．．．．．\n.......", "图表12：甲", "表3", "第 3 页 / 共 20 页", "3/20", "600000.SH 某某银行", "a.b@c.org", "a--b", "–", "—|", "\x85", "  ", "\r\n", "\x0b\f", "\t ", "。"]
+    texts = sorted({t for w in {*words, *others} for o in others for t in (w + o, o + w, f"{o} {w} {o}")})
+    assert all(any(re.match(p, x) for x in texts) for p in patterns)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[f(F.col("t")).alias(f"{k}_{i}") for k, fs in same.items() for i, f in enumerate(fs)]).collect()
+    assert len(rows) > 3_000 and not [(k, r["t"]) for r in rows for k in same if r[f"{k}_0"] != r[f"{k}_1"]]

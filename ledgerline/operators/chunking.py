@@ -78,10 +78,12 @@ GAP_MARKS = ("  ", "\t", "\n", "\v", "\f", "\r", "|", "｜", "--", "—", "–")
 LINE_MARKS, JOINED_MARKS = GAP_MARKS[3:], GAP_MARKS[8:]
 #: What K-1 changes in a page.
 UNCLEAN = ("\0", "\t", "  ", "\n\n\n")
+#: _STOP for Spark: most characters fail at one comparison.
+STOP = rf"[\u3000-\uFFFF&&{_STOP}]"
 NOISE_LINE = "^(?:" + "|".join(NOISE_LINES) + ")"
 #: What their first characters match.
 NOISE_LINE_START = r"[\s0-9第请敬来资证公行首市股投个分SE研联]"
-COVER_GLANCE, DISCARDED_GLANCE = _glance([w.partition(" ")[2] or w for w in COVER_WORDS[0].split("|")]), _glance([w.partition("[")[0] for w in DISCARDED])
+LITTLE_GLANCE = _glance([*(w.partition(" ")[2] or w for w in COVER_WORDS[0].split("|")), *(w.partition("[")[0] for w in DISCARDED)])
 ASCII_ONLY = r"^[A-Za-z0-9 ./%+\-—]+$"
 #: Set off paragraphs while lines are joined: a break, and the start of a line that stands alone.
 BREAK, ALONE = "\x01", "\x02"
@@ -127,6 +129,11 @@ def without_noise_and(x: Column, marks: tuple[str, ...]) -> Column:
     return F.trim(noisy.when(holds(x, marks), bare(x)).otherwise(x))
 
 
+def is_uneven(x: Column, marks: tuple[str, ...]) -> Column:
+    """Whether without_noise_and may do more than to trim x, which is read several times. Where it may not, it does no more to any piece of x."""
+    return x.contains("@") | holds(x, NOISE_NAMES) | x.rlike(NOISE_GLANCE) | holds(x, marks)
+
+
 def is_contents(page: Column) -> Column:
     """K-3: a page of contents, by two marks, or its title and three dotted lines. The title is one of the marks."""
     lines = F.regexp_count(page, F.lit("[.．]{6,}"))
@@ -162,17 +169,17 @@ def is_topic(x: Column) -> Column:
 
 def says_little(x: Column) -> Column:
     """K-7: short, discarded, of letters and figures only, a code, or a block of a cover: two of its words, or many digits and no sentence."""
-    digits, words = F.regexp_count(x, F.lit("[0-9]")), "|".join(DISCARDED)
+    digits = F.regexp_count(x, F.lit("[0-9]"))
     # two words of covers, one of them Chinese: a code, the third, is left out already
-    cover = (x.rlike(COVER_GLANCE) & (hits(x, COVER_WORDS) >= 2)) | ((digits > 0.18 * F.length(x)) & ~x.rlike(_STOP))
-    return (F.length(x) < 18) | x.rlike(ASCII_ONLY) | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)\s*.*$") | (x.rlike(DISCARDED_GLANCE) & x.rlike(words)) | cover
+    words = x.rlike(LITTLE_GLANCE) & (x.rlike(f"(?=[{_HAN}])(?:{'|'.join(DISCARDED)})") | (hits(x, (f"(?=[5{_HAN}])(?:{COVER_WORDS[0]})", *COVER_WORDS[1:])) >= 2))
+    return (F.length(x) < 18) | x.rlike(ASCII_ONLY) | x.rlike(r"^[0-9]{6}\.(?:SH|SZ|BJ)\s*.*$") | words | ((digits > 0.18 * F.length(x)) & ~x.rlike(_STOP))
 
 
 def sentences(x: Column) -> Column:
     """K-6: a paragraph of DENSE characters or more as its sentences."""
     told = lambda parts: F.filter(parts, lambda s: s != "")
-    cut = F.split(F.regexp_replace(x, f"({_STOP})", f"$1{BREAK}"), BREAK)
-    return F.when(F.length(x) < DENSE, told(F.array(x))).when(x.rlike(rf"[\u3000-\uFFFF&&{_STOP}]"), told(F.transform(cut, trimmed))).otherwise(told(F.array(trimmed(x))))
+    cut = F.split(F.regexp_replace(x, f"({STOP})", f"$1{BREAK}"), BREAK)
+    return F.when(F.length(x) < DENSE, told(F.array(x))).when(x.rlike(STOP), told(F.transform(cut, trimmed))).otherwise(told(F.array(trimmed(x))))
 
 
 def page_paragraphs(text: Column) -> Column:
@@ -185,8 +192,10 @@ def page_paragraphs(text: Column) -> Column:
     alone = lambda x: heading_level(x).isNotNull() | is_caption(x)
     marked = F.transform(lines, lambda x: F.when(is_noise_line(x), BREAK).when(alone(x), F.concat(F.lit(BREAK + ALONE), x, F.lit(BREAK))).otherwise(x))
     parts = F.filter(F.split(F.array_join(marked, ""), BREAK), lambda p: p != "")
-    cut = F.flatten(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit(ALONE)), F.array(F.substring(p, F.lit(2), F.length(p)))).otherwise(once(without_noise_and(p, JOINED_MARKS), sentences))))
-    kept = F.filter(cut, lambda p: ~once(without_noise_and(p, JOINED_MARKS), says_little))
+    even, uneven = lambda s: ~says_little(s), lambda s: ~once(without_noise_and(s, JOINED_MARKS), says_little)
+    single = lambda p: F.array(F.substring(p, F.lit(2), F.length(p)))
+    cut = lambda p: F.when(is_uneven(p, JOINED_MARKS), F.filter(once(without_noise_and(p, JOINED_MARKS), sentences), uneven)).otherwise(F.filter(once(F.trim(p), sentences), even))
+    kept = F.flatten(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit(ALONE)), F.filter(single(p), uneven)).otherwise(cut(p))))
     first = lambda p: F.get(p, 0)
     goes_on = lambda p: (F.size(p) >= 2) & (F.length(first(p)) <= 120) & any_of(first(p), CONTINUED)
     joined = lambda p: F.concat(F.array(F.concat(first(p), F.lit(" "), F.get(p, 1))), F.slice(p, 3, F.size(p)))
